@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catchment.llm.bpe import token_digests
 from catchment.llm.common import short_batches
+from catchment.llm.simhash import hex_fingerprint, simhash_groups
+from catchment.llm.wavelet import token_files
 
 #: The tokenizer file of the queries; the operators take any path.
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +31,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, count and checksum of every document's ids, read back from the shards."""
+    short_batches(spark)
+    return token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    short_batches(spark)
+    groups = simhash_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", hex_fingerprint(groups.fp).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_bpe": (op2_bpe, None),
+    "op4_wavelet": (op4_wavelet, None),
+    "op9_simhash": (op9_simhash, None),
 }
