@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catchment.llm.bpe import token_digests
 from catchment.llm.common import short_batches
+from catchment.llm.langid import fit, held_out, identify
 from catchment.llm.simhash import hex_fingerprint, simhash_groups
 from catchment.llm.wavelet import token_files
 
@@ -44,8 +45,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint(groups.fp).alias("fingerprint"), "component_id")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document by a network trained on documents not held out."""
+    short_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_bpe": (op2_bpe, None),
     "op4_wavelet": (op4_wavelet, None),
     "op9_simhash": (op9_simhash, None),
+    "op10_langid": (op10_langid, None),
 }
