@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catchment.llm.bpe import token_digests
 from catchment.llm.common import short_batches
+from catchment.llm.decontaminate import leaks
 from catchment.llm.langid import fit, held_out, identify
 from catchment.llm.simhash import hex_fingerprint, simhash_groups
 from catchment.llm.wavelet import token_files
@@ -38,6 +39,12 @@ def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document leaks; documents that leak none have no row."""
+    short_batches(spark)
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     short_batches(spark)
@@ -56,6 +63,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_bpe": (op2_bpe, None),
     "op4_wavelet": (op4_wavelet, None),
+    "op7_decontaminate": (op7_decontaminate, None),
     "op9_simhash": (op9_simhash, None),
     "op10_langid": (op10_langid, None),
 }
