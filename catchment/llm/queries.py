@@ -11,6 +11,8 @@ from catchment.llm.common import short_batches
 from catchment.llm.decontaminate import leaks
 from catchment.llm.langid import fit, held_out, identify
 from catchment.llm.simhash import hex_fingerprint, simhash_groups
+from catchment.llm.warc import SQL as WARC_SQL
+from catchment.llm.warc import archive_pages
 from catchment.llm.wavelet import token_files
 
 #: The tokenizer file of the queries; the operators take any path.
@@ -45,6 +47,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written to ZIP-packaged archives and read back by ranges."""
+    short_batches(spark)
+    return archive_pages(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     short_batches(spark)
@@ -64,6 +72,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_bpe": (op2_bpe, None),
     "op4_wavelet": (op4_wavelet, None),
     "op7_decontaminate": (op7_decontaminate, None),
+    "op8_warc": (op8_warc, WARC_SQL),
     "op9_simhash": (op9_simhash, None),
     "op10_langid": (op10_langid, None),
 }
