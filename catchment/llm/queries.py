@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from catchment.llm.bpe import token_digests
 from catchment.llm.common import short_batches
 from catchment.llm.decontaminate import leaks
+from catchment.llm.html import extract
 from catchment.llm.langid import fit, held_out, identify
 from catchment.llm.simhash import hex_fingerprint, simhash_groups
 from catchment.llm.warc import SQL as WARC_SQL
@@ -35,6 +36,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the wrapper of its host."""
+    short_batches(spark)
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, count and checksum of every document's ids, read back from the shards."""
     short_batches(spark)
@@ -70,6 +77,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_bpe": (op2_bpe, None),
+    "op3_html": (op3_html, None),
     "op4_wavelet": (op4_wavelet, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_warc": (op8_warc, WARC_SQL),
