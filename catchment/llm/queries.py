@@ -11,6 +11,7 @@ from catchment.llm.common import short_batches
 from catchment.llm.decontaminate import leaks
 from catchment.llm.html import extract
 from catchment.llm.langid import fit, held_out, identify
+from catchment.llm.neardup_vectors import near_vectors
 from catchment.llm.simhash import hex_fingerprint, simhash_groups
 from catchment.llm.warc import SQL as WARC_SQL
 from catchment.llm.warc import archive_pages
@@ -48,6 +49,11 @@ def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate group of every vector."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document leaks; documents that leak none have no row."""
     short_batches(spark)
@@ -79,6 +85,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_bpe": (op2_bpe, None),
     "op3_html": (op3_html, None),
     "op4_wavelet": (op4_wavelet, None),
+    "op5_vectors": (op5_vectors, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_warc": (op8_warc, WARC_SQL),
     "op9_simhash": (op9_simhash, None),
