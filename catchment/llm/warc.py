@@ -27,6 +27,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 LEAST_BYTES = 1000
 #: Bytes of a data member after which a task begins a new archive.
 ARCHIVE_BYTES = 256 << 20
+#: Tasks of the reading stages, at most.
+MOST_TASKS = 20_000
 #: Records that a reading task takes in one block, at most.
 BLOCK_RECORDS = 2000
 
@@ -230,8 +232,8 @@ def open_archive(uri: str) -> Archive:
     return Archive(lambda at, size: file.read_at(size, at), file.size())
 
 
-def record_ranges(archives: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
-    """path, ranges (array of offset, length): blocks of records, found through the stored index members."""
+def record_ranges(archives: DataFrame, block: int = BLOCK_RECORDS, tasks: int = 1) -> DataFrame:
+    """path, offsets, lengths: blocks of records, found through the stored index members."""
     names = ["path", "offsets", "lengths"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +246,7 @@ def record_ranges(archives: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
                 parts = [spans[k : k + block] for k in range(0, len(spans), block)]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(parts)), pa.array([[s for s, _ in p] for p in parts]), pa.array([[n for _, n in p] for p in parts])], names)
 
-    return archives.select("path").repartition("path").mapInArrow(run, "path string, offsets array<long>, lengths array<long>")
+    return archives.select("path").repartition(tasks, "path").mapInArrow(run, "path string, offsets array<long>, lengths array<long>")
 
 
 def read_archives(archives: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
@@ -276,7 +278,9 @@ def read_archives(archives: DataFrame, block: int = BLOCK_RECORDS) -> DataFrame:
                         rows.append((number(headers["WARC-Record-ID"]), full, digest, kind, number(refers) if refers else None, headers.get("WARC-Target-URI")))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    ranges = record_ranges(archives, block).repartition("path", "offsets")
+    # Tiny rows that stand for much work: dealt by number, so that they are not gathered in one task.
+    size = archives.agg(F.count("*").alias("n"), F.sum(F.ceil(F.col("records") / block)).alias("blocks")).first()
+    ranges = record_ranges(archives, block, min(MOST_TASKS, max(1, size["n"]))).repartition(min(MOST_TASKS, max(1, size["blocks"] or 0)))
     return ranges.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
