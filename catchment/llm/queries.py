@@ -11,8 +11,11 @@ from catchment.llm.common import short_batches
 from catchment.llm.decontaminate import leaks
 from catchment.llm.html import extract
 from catchment.llm.langid import fit, held_out, identify
+from catchment.llm.license import scan
 from catchment.llm.neardup_vectors import near_vectors
 from catchment.llm.simhash import hex_fingerprint, simhash_groups
+from catchment.llm.urlfilter import SQL as URL_SQL
+from catchment.llm.urlfilter import filter_pages
 from catchment.llm.warc import SQL as WARC_SQL
 from catchment.llm.warc import archive_pages
 from catchment.llm.wavelet import token_files
@@ -31,6 +34,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence statements of every document."""
+    short_batches(spark)
+    return scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text, for every document."""
     short_batches(spark)
@@ -54,6 +63,11 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture against the list entries active when it was fetched."""
+    return filter_pages(spark, _table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document leaks; documents that leak none have no row."""
     short_batches(spark)
@@ -82,10 +96,12 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_license": (op1_license, None),
     "op2_bpe": (op2_bpe, None),
     "op3_html": (op3_html, None),
     "op4_wavelet": (op4_wavelet, None),
     "op5_vectors": (op5_vectors, None),
+    "op6_urls": (op6_urls, URL_SQL),
     "op7_decontaminate": (op7_decontaminate, None),
     "op8_warc": (op8_warc, WARC_SQL),
     "op9_simhash": (op9_simhash, None),
