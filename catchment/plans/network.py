@@ -1 +1,81 @@
-"""Queries."""
+"""Routing networks. The parts stand for channels: channel k drains to (k - 1) div 2, 0 is the outlet."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catchment.operators import network as net
+from catchment.plans.registry import query
+
+
+def c(name):
+    return F.col(name)
+
+
+def tree(t):
+    return t.part.where("p_partkey > 0").select(c("p_partkey").alias("node"), F.expr("(p_partkey - 1) div 2").alias("down"))
+
+
+TREE = "WITH RECURSIVE e AS (SELECT p_partkey AS node, (p_partkey - 1) // 2 AS down FROM part WHERE p_partkey > 0), r(node, down, depth) AS (SELECT node, down, 1 FROM e UNION ALL SELECT r.node, e.down, depth + 1 FROM r JOIN e ON r.down = e.node)"
+
+query("so_8", TREE + " SELECT node, down, CAST(depth AS INT) AS depth FROM r")(lambda t: net.closure(tree(t)))
+query("so_11", TREE + " SELECT down AS root, CAST(count(*) AS BIGINT) AS descendants, CAST(max(depth) AS INT) AS depth FROM r GROUP BY 1")(
+    lambda t: net.closure(tree(t)).groupBy(c("down").alias("root")).agg(F.count("*").alias("descendants"), F.max("depth").alias("depth"))
+)
+query("gr_1", "SELECT p_partkey AS source, (p_partkey - 1) // 2 AS sink, 'tot' AS hyd_typ, 100.0 AS percent FROM part WHERE p_partkey > 0")(
+    lambda t: tree(t).select(c("node").alias("source"), c("down").alias("sink"), F.lit("tot").alias("hyd_typ"), F.lit(100.0).alias("percent"))
+)
+
+
+def edges(t):
+    """Edges with pass-through points (every seventh channel) and split flows."""
+    kind = lambda k: F.when(k == 0, "X").when(k % 7 == 0, "PT").otherwise("CH")
+    base = tree(t).select(c("node").alias("source"), kind(c("node")).alias("source_cat"), c("down").alias("sink"), kind(c("down")).alias("sink_cat"))
+    sur = base.select("*", F.lit("sur").alias("hyd_typ"), F.when(c("source") % 11 == 0, 90.0).otherwise(100.0).alias("percent"))
+    return sur
+
+
+EDGES = "(SELECT node AS source, CASE WHEN node = 0 THEN 'X' WHEN node % 7 = 0 THEN 'PT' ELSE 'CH' END AS source_cat, down AS sink, CASE WHEN down = 0 THEN 'X' WHEN down % 7 = 0 THEN 'PT' ELSE 'CH' END AS sink_cat, 'sur' AS hyd_typ, CASE WHEN node % 11 = 0 THEN 90.0 ELSE 100.0 END AS percent FROM (SELECT p_partkey AS node, (p_partkey - 1) // 2 AS down FROM part WHERE p_partkey > 0))"
+query("gr_2", f"SELECT source, source_cat, hyd_typ, sum(percent) AS total FROM {EDGES} GROUP BY 1, 2, 3 HAVING floor(sum(percent) + 0.5) <> 100")(lambda t: net.percent_faults(edges(t)))
+query("gr_2_loops", "WITH RECURSIVE e AS (SELECT p_partkey AS node, CASE WHEN p_partkey < 8 THEN (p_partkey + 3) % 8 ELSE (p_partkey - 1) // 2 END AS down FROM part WHERE p_partkey < 100), r(node, down) AS (SELECT node, down FROM e UNION SELECT r.node, e.down FROM r JOIN e ON r.down = e.node) SELECT node FROM r WHERE node = down")(
+    lambda t: net.loops(t.part.where("p_partkey < 100").select(c("p_partkey").alias("node"), F.expr("CASE WHEN p_partkey < 8 THEN (p_partkey + 3) % 8 ELSE (p_partkey - 1) div 2 END").alias("down")))
+)
+for _number in (3, 4):
+    query(f"gr_{_number}", f"WITH RECURSIVE e AS {EDGES}, r AS (SELECT * FROM e WHERE source_cat <> 'PT' UNION ALL SELECT r.source, r.source_cat, e.sink, e.sink_cat, e.hyd_typ, e.percent FROM r JOIN e ON r.sink_cat = 'PT' AND e.source = r.sink AND e.source_cat = 'PT') SELECT source, source_cat, sink, sink_cat, hyd_typ, percent, CAST(row_number() OVER (PARTITION BY source, source_cat ORDER BY sink_cat, sink, hyd_typ) AS INT) AS \"order\" FROM r WHERE sink_cat <> 'PT'")(
+        lambda t: net.skip_points(edges(t))
+    )
+query("gr_5", "SELECT a.p_partkey AS channel, b.p_size AS below FROM part a JOIN part b ON b.p_partkey = (a.p_partkey - 1) // 2 WHERE a.p_partkey > 0")(
+    lambda t: tree(t).join(t.part, c("down") == c("p_partkey")).select(c("node").alias("channel"), c("p_size").alias("below"))
+)
+query("gr_6", TREE + " SELECT node FROM r WHERE down = 5")(lambda t: net.closure(tree(t)).where("down = 5").select("node"))
+query("gr_7", TREE + " SELECT p_partkey AS node, CAST(p_size + coalesce((SELECT sum(q.p_size) FROM r JOIN part q ON q.p_partkey = r.node WHERE r.down = part.p_partkey), 0) AS BIGINT) AS total FROM part")(
+    lambda t: net.upstream_sum(tree(t), t.part.select(c("p_partkey").alias("node"), c("p_size").cast("long").alias("area")), "area")
+)
+# On the binary tree the order is the height that a channel's fully grown part has.
+for _number in (8, 9):
+    query(f"gr_{_number}")(lambda t: net.strahler(tree(t)))
+query("gr_10", TREE + " SELECT node, CAST(sum(p_size) AS BIGINT) AS length FROM r JOIN part ON p_partkey = r.down GROUP BY 1")(
+    lambda t: net.closure(tree(t)).join(t.part, c("down") == c("p_partkey")).groupBy("node").agg(F.sum("p_size").alias("length"))
+)
+query("gr_11", TREE + ", z AS (SELECT * FROM r UNION ALL SELECT p_partkey, p_partkey, 0 FROM part) SELECT a, b, min_by(m, (s, m)) AS meet, CAST(min(s) AS INT) AS steps FROM (SELECT x.node AS a, y.node AS b, x.down AS m, x.depth + y.depth AS s FROM z x JOIN z y ON x.down = y.down AND y.node = x.node + 1 WHERE x.node BETWEEN 50 AND 90) GROUP BY 1, 2")(
+    lambda t: net.meeting(tree(t), t.part.where("p_partkey between 50 and 90").select(c("p_partkey").alias("a"), (c("p_partkey") + 1).alias("b")))
+)
+for _number in (12, 13):
+    query(f"gr_{_number}", TREE + " SELECT p_partkey AS node, concat_ws('>', CAST(p_partkey AS VARCHAR), (SELECT string_agg(CAST(down AS VARCHAR), '>' ORDER BY depth) FROM r WHERE r.node = p_partkey)) AS path FROM part")(
+        lambda t: net.paths(tree(t)).select("node", F.array_join(c("path").cast("array<string>"), ">").alias("path"))
+    )
+query("gr_14", TREE + " SELECT node FROM r WHERE down = 12 UNION ALL SELECT 12")(lambda t: net.closure(tree(t)).where("down = 12").select("node").union(t.spark.range(12, 13)))
+query("gr_15", "SELECT a.p_partkey AS channel, a.p_brand AS sub FROM part a LEFT JOIN part b ON b.p_partkey = (a.p_partkey - 1) // 2 AND a.p_partkey > 0 WHERE b.p_partkey IS NULL OR b.p_brand <> a.p_brand")(
+    lambda t: t.part.alias("a").join(tree(t), c("a.p_partkey") == c("node"), "left").join(t.part.alias("b"), c("down") == c("b.p_partkey"), "left")
+    .where("b.p_partkey is null or b.p_brand <> a.p_brand").select(c("a.p_partkey").alias("channel"), c("a.p_brand").alias("sub"))
+)
+_MOVES = "SELECT p_partkey AS node, (p_partkey - 1) // 2 AS down FROM part WHERE p_partkey > 0 AND p_size < 20"
+for _number in (16, 17, 20):
+    query(f"gr_{_number}", f"WITH RECURSIVE e AS ({_MOVES}), r(node, target, k) AS (SELECT node, down, 1 FROM e UNION ALL SELECT r.node, e.down, k + 1 FROM r JOIN e ON e.node = r.target) SELECT node, max_by(target, k) AS target FROM r GROUP BY 1")(
+        lambda t: net.final_target(t.part.where("p_partkey > 0 and p_size < 20").select(c("p_partkey").alias("node"), F.expr("(p_partkey - 1) div 2").alias("down")))
+    )
+query("gr_18", f"SELECT sink AS source, sink_cat AS source_cat FROM {EDGES} e WHERE sink_cat <> 'X' AND NOT EXISTS (SELECT 1 FROM {EDGES} f WHERE f.source = e.sink AND f.source_cat = e.sink_cat) GROUP BY 1, 2")(lambda t: net.dead_ends(edges(t), ["X"]))
+query("wn_22", TREE + " SELECT p_brand, CAST(max(length) AS BIGINT) AS longest FROM (SELECT node, sum(p_size) AS length FROM r JOIN part ON p_partkey = r.down GROUP BY 1) x JOIN part ON p_partkey = node GROUP BY 1")(
+    lambda t: net.closure(tree(t)).join(t.part.select(c("p_partkey").alias("down"), "p_size"), "down").groupBy("node").agg(F.sum("p_size").alias("length"))
+    .join(t.part, c("node") == c("p_partkey")).groupBy("p_brand").agg(F.max("length").alias("longest"))
+)
