@@ -1 +1,61 @@
-"""Queries."""
+"""Reports and rule checks over yearly summaries; orders stand for inflow, line items for outflow."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from catchment.operators import checks
+from catchment.operators.aggregates import weighted_mean
+from catchment.plans.registry import query
+
+
+def c(name):
+    return F.col(name)
+
+
+def yearly(t):
+    a = t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("rain"), F.count("*").alias("n"))
+    b = t.lineitem.groupBy(F.year("l_shipdate").alias("y")).agg(F.sum("l_extendedprice").alias("flow"), F.sum("l_tax").alias("loss"), F.avg("l_quantity").alias("cn"))
+    return a.join(b, "y")
+
+
+YEARLY = "y AS (SELECT * FROM (SELECT CAST(year(o_orderdate) AS INT) AS y, sum(o_totalprice) AS rain, count(*) AS n FROM orders GROUP BY 1) JOIN (SELECT CAST(year(l_shipdate) AS INT) AS y, sum(l_extendedprice) AS flow, sum(l_tax) AS loss, avg(l_quantity) AS cn FROM lineitem GROUP BY 1) USING (y))"
+
+
+def _rules(number, rules, sql_rules):
+    parts = ", ".join(f"CASE WHEN {x} THEN '{m}' END" for x, m in sql_rules)
+    query(f"rp_{number}", f"WITH {YEARLY} SELECT y, concat_ws('; ', {parts}) AS warnings FROM y")(
+        lambda t: checks.warn(yearly(t).withColumn("share", checks.ratio("flow", "rain")), rules).select("y", F.array_join("warnings", "; ").alias("warnings"))
+    )
+
+
+query("rp_1", "SELECT (SELECT CAST(count(*) AS BIGINT) FROM part) AS channels, (SELECT CAST(count(*) AS BIGINT) FROM supplier) AS units, (SELECT round(sum(p_size), 2) FROM part) AS area")(
+    lambda t: t.part.agg(F.count("*").alias("channels"), F.round(F.sum("p_size").cast("double"), 2).alias("area")).crossJoin(F.broadcast(t.supplier.agg(F.count("*").alias("units"))))
+)
+_rules(2, [("share", ">", 1.7, "flow over rain"), ("share", "<", 1.5, "flow is low"), ("cn", ">", 25.4, "curve number is high")], [("flow / rain > 1.7", "flow over rain"), ("flow / rain < 1.5", "flow is low"), ("cn > 25.4", "curve number is high")])
+_rules(3, [("loss / n", ">", 0.161, "losses exceed"), ("n", "<", 100, "few samples")], [("loss / n > 0.161", "losses exceed"), ("n < 100", "few samples")])
+_rules(4, [("loss", ">=", 300, "uptake is high")], [("loss >= 300", "uptake is high")])
+_rules(5, [("cn", "<=", 25.5, "more stress days"), ("share", ">", 1.6, "water stress")], [("cn <= 25.5", "more stress days"), ("flow / rain > 1.6", "water stress")])
+_rules(6, [("flow - rain", ">", 0, "export exceeds")], [("flow > rain", "export exceeds")])
+query("rp_7", "SELECT p_type, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS y, round(sum(l_tax * l_quantity) / sum(l_quantity), 8) AS e FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")(
+    lambda t: t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).groupBy("p_type").agg(F.round(weighted_mean("l_extendedprice", "l_quantity"), 4).alias("y"), F.round(weighted_mean("l_tax", "l_quantity"), 8).alias("e"))
+)
+query("rp_8", f"WITH {YEARLY} SELECT y, round(loss / n * 100, 6) AS load, CASE WHEN loss / n * 100 > 16 THEN 'over' ELSE '' END AS warnings FROM y")(
+    lambda t: checks.warn(yearly(t).withColumn("load", checks.ratio("loss", "n") * 100), [("load", ">", 16, "over")]).select("y", F.round("load", 6).alias("load"), F.array_join("warnings", ";").alias("warnings"))
+)
+query("rp_9", "WITH v AS (SELECT o_orderpriority AS res, CAST(year(o_orderdate) AS INT) AS y, sum(o_totalprice) AS s FROM orders GROUP BY 1, 2) SELECT res, round(min_by(s, y), 4) AS first, round(max_by(s, y), 4) AS last, round(max_by(s, y) / min_by(s, y), 8) AS ratio, count(*) FILTER (WHERE s < 1) / count(*) AS empty FROM v GROUP BY 1")(
+    lambda t: checks.storage_change(t.orders.groupBy(c("o_orderpriority").alias("res"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("s")), ["res"], "y", "s").select("res", F.round("first", 4).alias("first"), F.round("last", 4).alias("last"), F.round("ratio", 8).alias("ratio"), "empty")
+)
+query("rp_10", f"WITH {YEARLY} SELECT y, CASE WHEN rain = 0 THEN 0 ELSE round((rain - flow) / rain * 100, 6) END AS lost FROM y")(lambda t: yearly(t).select("y", F.round(checks.in_out_percent(c("rain"), c("flow")), 6).alias("lost")))
+query("rp_11", "SELECT round(max(q), 4) AS most, round(avg(q), 4) AS mean FROM (SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1)")(lambda t: t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")).agg(F.round(F.max("q"), 4).alias("most"), F.round(F.avg("q"), 4).alias("mean")))
+query("rp_14", "SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey = 42")(
+    lambda t: t.customer.where("c_custkey = 42").join(t.nation, c("c_nationkey") == c("n_nationkey")).join(t.region, c("n_regionkey") == c("r_regionkey")).select("c_custkey", "c_name", "n_name", "r_name")
+)
+query("rp_15", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 100)")(lambda t: t.orders.join(t.customer.where("c_custkey < 100"), c("o_custkey") == c("c_custkey"), "left_anti").select("o_orderkey"))
+query("rp_16", "SELECT s_suppkey, CASE WHEN s_suppkey IN (1, 5, 9) THEN 99 ELSE s_nationkey END AS s_nationkey FROM supplier")(lambda t: t.supplier.select("s_suppkey", F.when(c("s_suppkey").isin(1, 5, 9), 99).otherwise(c("s_nationkey")).alias("s_nationkey")))
+query("rp_19", "SELECT DISTINCT lower(p_type) || '_lum' AS name FROM part")(lambda t: t.part.select(F.concat(F.lower("p_type"), F.lit("_lum")).alias("name")).distinct())
+query("rp_20", "SELECT CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS k, s_suppkey FROM supplier")(lambda t: t.supplier.select(F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("k"), "s_suppkey"))
+query("rp_21", "SELECT s_suppkey, round(s_acctbal / sum(s_acctbal) OVER (PARTITION BY s_nationkey), 8) AS share FROM supplier")(lambda t: t.supplier.select("s_suppkey", F.round(F.try_divide(c("s_acctbal"), F.sum("s_acctbal").over(Window.partitionBy("s_nationkey"))), 8).alias("share")))
+query("rp_27", "SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")(lambda t: t.nation.join(t.supplier.where("s_acctbal < 0"), c("n_nationkey") == c("s_nationkey"), "left_semi").select("n_nationkey"))
+query("rp_18")(lambda t: checks.nested(t.nation, t.supplier.select("s_nationkey", "s_suppkey", "s_name"), "n_nationkey", "s_nationkey", "suppliers"))
