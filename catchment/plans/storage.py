@@ -1 +1,46 @@
-"""Queries."""
+"""Scans, exports as lines, schema changes, and windowed streams run as batches."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catchment.operators import schema
+from catchment.plans.registry import query
+from catchment.sources import text, writers
+from catchment.streaming import daily
+
+
+def c(name):
+    return F.col(name)
+
+
+query("src_23", "SELECT o_orderkey, o_totalprice FROM orders")(lambda t: t.orders.select("o_orderkey", "o_totalprice"))
+query("src_25", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O'")(lambda t: t.orders.where("o_totalprice > 100000 and o_orderstatus = 'O'").select("o_orderkey"))
+query("src_18", "SELECT v.vec_id FROM embeddings v, (SELECT min(embedding[1]) AS a, max(embedding[1]) AS b FROM embeddings WHERE label = 1) x WHERE v.embedding[1] BETWEEN a - 0.01 AND b - 0.3")(
+    lambda t: t.embeddings.crossJoin(F.broadcast(t.embeddings.where("label = 1").agg(F.min(c("embedding")[0]).alias("a"), F.max(c("embedding")[0]).alias("b")))).where((c("embedding")[0].cast("double") >= c("a") - 0.01) & (c("embedding")[0].cast("double") <= c("b") - 0.3)).select("vec_id")
+)
+query("src_20", "SELECT s_suppkey, CAST(k AS INT) AS layer, round(s_acctbal * k, 6) AS depth FROM supplier, range(1, 4) r(k) WHERE k <= s_nationkey % 3 + 1")(
+    lambda t: text.layers(t.supplier.select("s_suppkey", (c("s_nationkey") % 3 + 1).alias("n"), *[F.round(c("s_acctbal") * k, 6).alias(f"z{k}") for k in (1, 2, 3)]), ["s_suppkey"], "n", {"depth": ["z1", "z2", "z3"]})
+)
+query("src_31", "SELECT min(value) AS low, max(value) AS high, round(avg(value), 8) AS mean, round(stddev_pop(value), 8) AS deviation FROM events")(
+    lambda t: t.events.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.stddev_pop("value"), 8).alias("deviation"))
+)
+query("snk_2", "SELECT CAST(place AS INT) AS place, value FROM (SELECT 0 AS place, lpad('s_suppkey', 10, ' ') || '  ' || rpad('s_name', 20, ' ') || '  ' || lpad('s_acctbal', 14, ' ') AS value UNION ALL SELECT row_number() OVER (ORDER BY s_suppkey), lpad(CAST(s_suppkey AS VARCHAR), 10, ' ') || '  ' || rpad(s_name, 20, ' ') || '  ' || lpad(printf('%.5f', s_acctbal), 14, ' ') FROM supplier)")(
+    lambda t: writers.fixed_lines(t.supplier, [("s_suppkey", "int", 10), ("s_name", "string", 20), ("s_acctbal", "double", 14)], ["s_suppkey"])
+)
+query("snk_9", "SELECT n_nationkey, rtrim(n_nationkey || '  ' || n_name || coalesce((SELECT string_agg('  ' || s_suppkey || '  ' || s_nationkey * 2, '' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), '')) AS value FROM nation")(
+    lambda t: writers.parent_lines(t.nation.select("n_nationkey", "n_name"), t.supplier.select("s_nationkey", "s_suppkey", c("s_suppkey").alias("k"), (c("s_nationkey") * 2).alias("x")), "n_nationkey", "s_nationkey", "s_suppkey")
+)
+query("snk_13", "SELECT 'part' AS name, CAST(count(*) AS BIGINT) AS n FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")(lambda t: writers.counts({"part": t.part, "supplier": t.supplier}))
+query("snk_30", "SELECT CAST(year(o_orderdate) AS INT) AS y, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS f, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS o FROM orders GROUP BY 1")(
+    lambda t: t.orders.groupBy(F.year("o_orderdate").alias("y")).pivot("o_orderstatus", ["F", "O"]).agg(F.round(F.sum("o_totalprice"), 2)).withColumnsRenamed({"F": "f", "O": "o"})
+)
+query("so_24", "SELECT n_nationkey, n_name AS name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, 'x' AS extra FROM nation")(
+    lambda t: schema.migrate(t.nation.select("n_nationkey", "n_name", "n_regionkey"), [("rename", "n_name", "name"), ("alter", "n_regionkey", "string"), ("add", "extra", "string", "x")])
+)
+query("stream_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")(
+    lambda t: daily.window_means(t.events, "ts", "event_type", "value").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
+)
+query("stream_sessions", "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, s")(
+    lambda t: daily.sessions(t.events, "ts", "user_id").select("user_id", "n")
+)
