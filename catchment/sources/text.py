@@ -39,8 +39,13 @@ def read_output(spark: SparkSession, path: str | list[str], schema: T.StructType
 
     Where gis_id is 0, it becomes the digits of name (null if there are none).
     """
+    return parse_output(lines(spark, path), schema, start)
+
+
+def parse_output(rows: DataFrame, schema: T.StructType, start: int | None = None) -> DataFrame:
+    """The same for lines (line, value) from anywhere."""
     start = start or USUAL_START
-    rows = lines(spark, path).where((F.col("line") >= start) & (F.trim("value") != ""))
+    rows = rows.where((F.col("line") >= start) & (F.trim("value") != ""))
     tokens = F.split(F.trim("value"), r"\s+")
     rows = rows.select(*[_typed(F.get(tokens, F.lit(k)), f.dataType).alias(f.name) for k, f in enumerate(schema.fields)])
     if {"gis_id", "name"} <= set(schema.names):
@@ -51,7 +56,11 @@ def read_output(spark: SparkSession, path: str | list[str], schema: T.StructType
 
 def column_units(spark: SparkSession, path: str, start: int = USUAL_START) -> DataFrame:
     """place, name, units from an output file's two header lines; a header ``null`` takes no unit."""
-    rows = lines(spark, path)
+    return parse_units(lines(spark, path), start)
+
+
+def parse_units(rows: DataFrame, start: int = USUAL_START) -> DataFrame:
+    """The same for lines (line, value) from anywhere."""
     head = rows.where(F.col("line") == start - 2).select(F.split(F.trim("value"), r"\s+").alias("names"))
     unit = rows.where(F.col("line") == start - 1).select(F.split(F.trim("value"), r"\s+").alias("units"))
     named = head.select(F.posexplode("names").alias("place", "name"))
@@ -63,9 +72,13 @@ def column_units(spark: SparkSession, path: str, start: int = USUAL_START) -> Da
 
 def manifest(spark: SparkSession, path: str) -> list[str]:
     """Output files that a manifest names: the last token of each line, tables only."""
+    return [r["file"] for r in parse_manifest(spark.read.text(path)).collect()]
+
+
+def parse_manifest(rows: DataFrame) -> DataFrame:
+    """file: the same for lines (value) from anywhere."""
     last = F.element_at(F.split(F.trim("value"), r"\s+"), -1)
-    rows = spark.read.text(path).select(last.alias("file")).where(F.col("file").endswith(".txt") | F.col("file").isin("crop_yld_aa.out", "flow_duration_curve.out"))
-    return [r["file"] for r in rows.collect()]
+    return rows.select(last.alias("file")).where(F.col("file").endswith(".txt") | F.col("file").isin("crop_yld_aa.out", "flow_duration_curve.out"))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, delimiter: str = ",", lower_names: bool = True, decimal_comma: bool = False) -> DataFrame:
@@ -104,7 +117,11 @@ def common_window(series: DataFrame, by: str) -> DataFrame:
 
 def read_dense(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, date, value of dense files: a first line YYYYMMDD, then a value for each day."""
-    rows = lines(spark, paths)
+    return parse_dense(lines(spark, paths))
+
+
+def parse_dense(rows: DataFrame) -> DataFrame:
+    """The same for lines (path, line, value) from anywhere."""
     first = rows.where("line = 1").select("path", F.to_date(F.trim("value"), "yyyyMMdd").alias("start"))
     return rows.where((F.col("line") > 1) & (F.trim("value") != "")).join(first, "path").select("path", F.date_add("start", (F.col("line") - 2).cast("int")).alias("date"), F.trim("value").try_cast("double").alias("value"))
 
