@@ -1 +1,96 @@
-"""Queries."""
+"""Calibration and sensitivity runs, natural breaks, cell networks, and insert reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from catchment.operators import calibration, landunits, network, relational, sampling
+from catchment.plans.landunits import GRID, UNITS, grid, rounded, units
+from catchment.plans.registry import query
+
+
+def c(name):
+    return F.col(name)
+
+
+PARAMS = [("cn2", 35.0, 95.0), ("esco", 0.0, 1.0), ("awc", -0.25, 0.25)]
+
+query("sa_1", "SELECT * FROM (VALUES ('cn2', 35.0, 95.0), ('esco', 0.0, 1.0), ('awc', -0.25, 0.25)) v(param, low, high)")(lambda t: t.spark.createDataFrame(PARAMS, "param string, low double, high double"))
+query("sa_6", "SELECT CAST(count(*) AS BIGINT) AS n, 1000 AS wanted FROM range(1000)")(lambda t: t.spark.range(1000).select(sampling.uniform("id", seed=5).alias("u")).where("u > 0 and u < 1").agg(F.count("*").alias("n")).withColumn("wanted", F.lit(1000)))
+query("sa_19", "SELECT round(regr_r2(y, x), 6) AS r2, round(corr(x, y), 6) AS src FROM (SELECT ln(o_totalprice) AS y, o_custkey AS x FROM orders)")(
+    lambda t: (lambda b, r2: t.spark.createDataFrame([(round(r2, 6), round(b["x"], 6))], "r2 double, src double"))(*sampling.regression_coefficients(t.orders.select(c("o_custkey").cast("double").alias("x"), F.ln("o_totalprice").alias("y")), ["x"], "y"))
+)
+query("sa_21", "SELECT o_orderkey, k AS param, CASE WHEN k = 'a' THEN b ELSE a END AS value FROM (SELECT o_orderkey, o_totalprice AS a, o_custkey * 1.0 AS b FROM orders), (VALUES ('a'), ('b')) v(k)")(
+    lambda t: t.orders.select("o_orderkey", c("o_totalprice").alias("a"), (c("o_custkey") * 1.0).alias("b")).crossJoin(F.broadcast(t.spark.createDataFrame([("a",), ("b",)], "param string"))).select("o_orderkey", "param", F.when(c("param") == "a", c("b")).otherwise(c("a")).alias("value"))
+)
+query("sa_23", "SELECT o_custkey, o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 4) AS mean, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS n FROM orders")(
+    lambda t: (lambda w: t.orders.select("o_custkey", "o_orderkey", F.round(F.avg("o_totalprice").over(w), 4).alias("mean"), F.count("*").over(w).alias("n")))(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+)
+query("sa_24")(lambda t: calibration.morris(t.spark, PARAMS, 40, seed=2))
+query("sa_25")(
+    lambda t: (lambda m: m.alias("a").join(m.alias("b"), (c("a.step") == c("b.step")) & (c("a.name") == c("b.name")) & (c("a.run") < c("b.run"))).groupBy(c("a.run").alias("a"), c("b.run").alias("b")).agg(F.round(F.sqrt(F.sum(F.pow(c("a.value") - c("b.value"), 2))), 8).alias("distance")))(
+        calibration.morris(t.spark, PARAMS, 40, seed=2)
+    ).orderBy(F.desc("distance"), "a", "b").limit(20)
+)
+query("sa_27")(lambda t: t.spark.range(256).select("id", *[(lo + (hi - lo) * sampling.van_der_corput(c("id").bitwiseXOR(k * 37))).alias(n) for k, (n, lo, hi) in enumerate(PARAMS)]))
+for _number in (28, 29):
+    query(f"sa_{_number}")(lambda t: (lambda p, s: t.spark.createDataFrame([(float(p[0]), float(p[1]), s)], "x double, y double, score double"))(*calibration.shuffled_complexes(t.spark, lambda x: sampling.rosenbrock(*x), [-2, -2], [2, 2], rounds=25)))
+query("sa_31", "SELECT o_orderkey AS run, o_totalprice * 2 + 1 AS score FROM orders WHERE o_custkey < 100")(lambda t: calibration.run_models(t.orders.where("o_custkey < 100").select(c("o_orderkey").alias("run"), "o_totalprice"), lambda r: r["o_totalprice"] * 2 + 1, 4))
+query("sa_32", "SELECT p_partkey, rpad(p_name, 14, ' ') || lpad(printf('%.4f', p_retailprice), 14, ' ') AS line FROM part")(lambda t: t.part.select("p_partkey", F.concat(F.rpad("p_name", 14, " "), F.lpad(F.format_string("%.4f", "p_retailprice"), 14, " ")).alias("line")))
+for _number in (23, 24):
+    query(f"wn_{_number}")(lambda t: calibration.natural_breaks(t.part, ["p_type"], "p_size", 4))
+
+# Cells
+
+query("gs_3", f"SELECT a.row, a.col, round(a.value - b.value, 6) AS value FROM {GRID} a JOIN {GRID} b ON a.row = b.row AND a.col = b.col + 1")(
+    lambda t: (lambda g: g.join(g.select("row", (c("col") + 1).alias("col"), c("value").alias("other")), ["row", "col"]).select("row", "col", F.round(c("value") - c("other"), 6).alias("value")))(grid(t))
+)
+query("gs_9", f"WITH {UNITS} SELECT unit, crop, soil, slope, round(area, 4) AS area FROM u")(lambda t: rounded(units(t)))
+query("gs_22", f"WITH {UNITS} SELECT unit, CAST(count(*) AS BIGINT) AS parts, round(sum(area), 4) AS area, round(sum(area) / count(*), 6) AS mean FROM u GROUP BY 1")(lambda t: rounded(units(t).groupBy("unit").agg(F.count("*").alias("parts"), F.sum("area").alias("area"), (F.sum("area") / F.count("*")).alias("mean")).withColumn("mean", F.round("mean", 6)).withColumn("area", F.round("area", 4)), 6))
+query("gs_23", f"WITH {UNITS} SELECT unit, slope, round(sum(area), 4) AS area FROM u GROUP BY 1, 2")(lambda t: rounded(units(t).groupBy("unit", "slope").agg(F.sum("area").alias("area"))))
+
+
+def _flow(t):
+    """Cells that drain west and at column 0 north, as a network of numbers."""
+    g = grid(t)
+    node = c("row") * 100 + c("col")
+    down = F.when(c("col") > 0, node - 1).when(c("row") > 0, node - 100)
+    edges = g.select(node.alias("node"), down.alias("down"))
+    return edges.join(edges.select(c("node").alias("down"), F.lit(True).alias("there")), "down", "left").select("node", F.when(c("there"), c("down")).alias("down"))
+
+
+_CELLS = f"WITH RECURSIVE g AS (SELECT row * 100 + col AS node, CASE WHEN col > 0 THEN row * 100 + col - 1 WHEN row > 0 THEN row * 100 - 100 END AS down FROM {GRID}), e AS (SELECT a.node, a.down FROM g a JOIN g b ON a.down = b.node), r AS (SELECT node, down, 1 AS k FROM e UNION ALL SELECT r.node, e.down, k + 1 FROM r JOIN e ON r.down = e.node)"
+query("gs_28", f"{_CELLS} SELECT node, CAST(1 + coalesce(n, 0) AS BIGINT) AS total FROM g LEFT JOIN (SELECT down AS x, count(*) AS n FROM r GROUP BY 1) ON x = node")(
+    lambda t: (lambda e: network.upstream_sum(e.where("down is not null"), e.select("node", F.lit(1).cast("long").alias("n")), "n"))(_flow(t))
+)
+query("gs_32", f"{_CELLS} SELECT node, CAST(max(k) AS INT) AS steps FROM r GROUP BY 1")(lambda t: network.closure(_flow(t)).groupBy("node").agg(F.max("depth").alias("steps")))
+query("gs_8", f"{_CELLS} SELECT node, min_by(down, k) AS perimeter FROM r WHERE down % 7 = 0 GROUP BY 1")(lambda t: network.closure(_flow(t)).where("down % 7 = 0").groupBy("node").agg(F.min_by("down", "depth").alias("perimeter")))
+query("gs_35", f"{_CELLS} SELECT node, max_by(down, k) AS ridge FROM r GROUP BY 1")(lambda t: network.closure(_flow(t)).groupBy("node").agg(F.max_by("down", "depth").alias("ridge")))
+query("gs_33", f"SELECT row, col, CASE WHEN value > 400 THEN 2 WHEN value > 200 THEN 1 ELSE 0 END AS value FROM {GRID}")(lambda t: landunits.map_one(grid(t), lambda x: F.when(x > 400, 2).when(x > 200, 1).otherwise(0)))
+query("gs_34", f"SELECT row, col, CASE WHEN (CASE WHEN CAST(trunc(value + 10) AS INT) = 0 THEN 0 ELSE value / (value + 10) END) <= 0.95 THEN 1 ELSE 0 END AS value FROM {GRID}")(lambda t: landunits.slope_position(grid(t), grid(t).withColumn("value", F.lit(10.0)), 0.95))
+query("gs_38", f"SELECT a.grid_row, a.grid_col, a.n, b.n AS west FROM (SELECT row // 5 AS grid_row, CAST(col // 5 AS BIGINT) AS grid_col, count(*) AS n FROM {GRID} GROUP BY 1, 2) a LEFT JOIN (SELECT row // 5 AS grid_row, CAST(col // 5 AS BIGINT) + 1 AS grid_col, count(*) AS n FROM {GRID} GROUP BY 1, 2) b USING (grid_row, grid_col)")(
+    lambda t: (lambda g: g.join(g.select("grid_row", (c("grid_col") + 1).alias("grid_col"), c("n").alias("west")), ["grid_row", "grid_col"], "left").select("grid_row", "grid_col", "n", "west"))(
+        grid(t).groupBy(F.expr("row div 5").alias("grid_row"), F.expr("col div 5").alias("grid_col")).agg(F.count("*").alias("n"))
+    )
+)
+
+# Inserts that reports are made from
+
+query("rp_17", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")(
+    lambda t: t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).join(t.region, c("n_regionkey") == c("r_regionkey")).select("s_suppkey", "n_name", "r_name")
+)
+query("rp_22", "SELECT p_partkey, CASE WHEN p_size < 3 THEN 121 WHEN p_size < 8 THEN 60 ELSE 10 END AS length, p_size / sum(p_size) OVER (PARTITION BY p_brand) AS share FROM part")(
+    lambda t: t.part.select("p_partkey", F.when(c("p_size") < 3, 121).when(c("p_size") < 8, 60).otherwise(10).alias("length"), (c("p_size") / F.sum("p_size").over(Window.partitionBy("p_brand"))).alias("share"))
+)
+for _number, _prefix in ((23, "cha"), (24, "res"), (25, "rec")):
+    query(f"rp_{_number}", f"SELECT p_partkey AS id, '{_prefix}' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS name, p_size AS area FROM part WHERE p_size > 40")(
+        lambda t, prefix=_prefix: t.part.where("p_size > 40").select(c("p_partkey").alias("id"), F.concat(F.lit(prefix), F.lpad(c("p_partkey").cast("string"), 6, "0")).alias("name"), c("p_size").alias("area"))
+    )
+query("rp_26", "SELECT s_nationkey AS aquifer, min(s_suppkey) AS outlet, round(sum(s_acctbal), 4) AS area FROM supplier GROUP BY 1")(lambda t: t.supplier.groupBy(c("s_nationkey").alias("aquifer")).agg(F.min("s_suppkey").alias("outlet"), F.round(F.sum("s_acctbal"), 4).alias("area")))
+for _number in (28, 29):
+    query(f"rp_{_number}", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 24 + row_number() OVER (ORDER BY r_regionkey), r_name FROM region")(
+        lambda t: (lambda old: relational.replace(old, t.region.crossJoin(F.broadcast(t.nation.agg(F.max("n_nationkey").alias("top")))).select((c("top") + F.row_number().over(Window.partitionBy("top").orderBy("r_regionkey"))).alias("id"), c("r_name").alias("name")), ["id"]))(
+            t.nation.where("n_regionkey <> 1").select(c("n_nationkey").alias("id"), c("n_name").alias("name"))
+        )
+    )

@@ -184,7 +184,9 @@ query("ag_24", "SELECT sum(d) AS days, round(12 * sum(d / n), 8) AS months, roun
 )
 query("ag_25", "SELECT l_suppkey, round(sum(coalesce(l_quantity, 0)), 4) AS total FROM lineitem GROUP BY 1")(lambda t: t.lineitem.groupBy("l_suppkey").agg(F.round(F.sum(F.coalesce("l_quantity", F.lit(0.0))), 4).alias("total")))
 query("ag_41", f"{PAIRS} SELECT round(1 - sum(r * r) / sum((o - ma) * (o - ma)), 6) AS value FROM q")(lambda t: metrics.fit(monthly_pairs(t), "month", ["NSE"]).select(F.round("NSE", 6).alias("value")))
-query("ag_57")(lambda t: aggregates.table_hash(t.orders))
+query("ag_57", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST('0x' || substr(md5('{\"o_custkey\":\"' || o_custkey || '\",\"o_orderkey\":\"' || o_orderkey || '\",\"o_orderstatus\":\"' || o_orderstatus || '\"}'), 1, 15) AS BIGINT)) AS VARCHAR) AS hash FROM orders")(
+    lambda t: aggregates.table_hash(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"))
+)
 query("wn_15", f"{PAIRS} SELECT round(sum((r - a) * (n - a)) / sum((r - a) * (r - a)), 6) AS value FROM (SELECT r, avg(r) OVER () AS a, lead(r, 3) OVER (ORDER BY month) AS n FROM q)")(lambda t: metrics.residual_autocorrelation(monthly_pairs(t), "month", 3).select(F.round("RFLAUT", 6).alias("value")))
 query("wn_16", f"{PAIRS} SELECT strftime(month, '%Y-%m-%d') AS month, (r < 0) <> (rb < 0) AS flips FROM q")(lambda t: metrics.prepared(monthly_pairs(t), "month").select(c("month").cast("string").alias("month"), ((c("o") - c("m") < 0) != (c("r_before") < 0)).alias("flips")))
 query("wn_17", f"{PAIRS} SELECT CAST(k AS INT) AS rank, round(a.o, 6) AS o, round(b.m, 6) AS m FROM (SELECT o, row_number() OVER (ORDER BY o) AS k FROM p) a JOIN (SELECT m, row_number() OVER (ORDER BY m) AS k FROM p) b USING (k)")(

@@ -58,4 +58,8 @@ query("rp_19", "SELECT DISTINCT lower(p_type) || '_lum' AS name FROM part")(lamb
 query("rp_20", "SELECT CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS INT) AS k, s_suppkey FROM supplier")(lambda t: t.supplier.select(F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("k"), "s_suppkey"))
 query("rp_21", "SELECT s_suppkey, round(s_acctbal / sum(s_acctbal) OVER (PARTITION BY s_nationkey), 8) AS share FROM supplier")(lambda t: t.supplier.select("s_suppkey", F.round(F.try_divide(c("s_acctbal"), F.sum("s_acctbal").over(Window.partitionBy("s_nationkey"))), 8).alias("share")))
 query("rp_27", "SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")(lambda t: t.nation.join(t.supplier.where("s_acctbal < 0"), c("n_nationkey") == c("s_nationkey"), "left_semi").select("n_nationkey"))
-query("rp_18")(lambda t: checks.nested(t.nation, t.supplier.select("s_nationkey", "s_suppkey", "s_name"), "n_nationkey", "s_nationkey", "suppliers"))
+query(
+    "rp_18",
+    """SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey
+       || coalesce(',"suppliers":[' || (SELECT string_agg('{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}', ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) || ']', '') || '}' AS document FROM nation""",
+)(lambda t: checks.nested(t.nation, t.supplier.select("s_nationkey", "s_suppkey", "s_name"), "n_nationkey", "s_nationkey", "suppliers"))

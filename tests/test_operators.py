@@ -173,3 +173,33 @@ def test_stream_matches_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("windows").count() == batch
+
+
+def test_optimiser_and_breaks(spark):
+    from catchment.operators import calibration
+
+    best, score = calibration.shuffled_complexes(spark, lambda x: x[0] * x[0] + (x[1] - 1) * (x[1] - 1), [-2, -2], [2, 2], complexes=2, rounds=25)
+    assert score < 0.05 and abs(best[1] - 1) < 0.3
+    assert calibration.jenks([1, 1, 2, 10, 11, 50], 3) == [2.0, 11.0, 50.0] and calibration.jenks([], 3) == [] and calibration.jenks([4, 4], 3) == [4.0]
+    data = spark.createDataFrame([("a", float(k % 7 + 100 * (k % 3))) for k in range(500)], "k string, v double")
+    few, many = (calibration.natural_breaks(data, ["k"], "v", 3, points).first()["breaks"] for points in (1000, 10))
+    assert few == [6.0, 106.0, 206.0] and many[-1] == 206.0 and len(many) == 3
+
+
+def test_morris_changes_one_parameter_a_step(spark):
+    from catchment.operators import calibration
+
+    walk = calibration.morris(spark, [("a", 0.0, 1.0), ("b", 0.0, 10.0)], 8, seed=1)
+    rows = {(r["run"], r["step"], r["name"]): r for r in walk.collect()}
+    for (run, step, name), r in rows.items():
+        if step:
+            assert (r["value"] != rows[run, step - 1, name]["value"]) == (r["param"] == name)
+
+
+def test_documents(spark):
+    from catchment.functions import documents
+
+    df = spark.createDataFrame([(1, '{"a":{"b":[1,2]},"c":null}'), (2, None)], "id int, d string")
+    row = df.select(documents.patch(F.col("d"), F.lit('{"a":{"b":null,"x":1}}')).alias("p"), documents.holds(F.col("d"), F.lit('{"a":{"b":[2]}}')).alias("h")).collect()
+    assert [tuple(r) for r in row] == [('{"a":{"x":1},"c":null}', True), (None, None)]
+    assert values(documents.tree(df, "id", "d"), "path") == [("$",), ("$.a",), ("$.a.b",), ("$.a.b[0]",), ("$.a.b[1]",), ("$.c",)]
