@@ -31,6 +31,8 @@ MAGIC = b"WVMX0001"
 BLOCK_BITS = 1 << 18
 #: Ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 22
+#: Tasks of the reading stage, at most.
+MOST_TASKS = 20_000
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int = 16) -> bytes:
@@ -45,9 +47,9 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: i
         blocks, before = [], 0
         for k in range(0, len(packed), step):
             raw = packed[k : k + step].tobytes()
-            blob = zlib.compress(raw, 1)
-            if len(blob) > len(raw) * 0.95:
-                blob = raw
+            # A probe tells whether the block can be packed at all: high planes of mixed text can't.
+            probe = raw[:2048]
+            blob = zlib.compress(raw, 1) if len(zlib.compress(probe, 1)) < 0.95 * len(probe) else raw
             blocks.append([at, len(blob), int(blob is raw), before])
             before += int(np.bitwise_count(packed[k : k + step]).sum())
             blobs.append(blob)
@@ -228,7 +230,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(ids[4 * (b - n) : 4 * b]) for b, n in zip(stops.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + stops - lengths), pa.array(lengths), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path", "start").repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # Tiny rows that stand for much work: dealt by number, so that they are not gathered in one task.
+    tasks = min(MOST_TASKS, max(1, manifest.count()))
+    return manifest.select("path", "start").repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
