@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value is pd.NaT or value != value:
         return None
     if isinstance(value, (bool, np.bool_)):
         return str(bool(value))
