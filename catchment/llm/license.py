@@ -187,8 +187,16 @@ def train(background: list[str]) -> Model:
 
 
 def background(docs: DataFrame, limit: int = SAMPLE, size: int = SAMPLE_BYTES) -> list[str]:
-    """At most ``limit`` paragraphs of the corpus, one of each sampled text, picked by hash."""
-    rows = docs.where("text is not null").select(F.xxhash64("text").alias("pick"), F.split("text", "\n").alias("p"))
+    """At most ``limit`` paragraphs of the corpus, one of each sampled text, picked by hash.
+
+    Texts are picked at a rate set by their count, so that tasks send the driver few rows in all.
+    """
+    count = docs.count()
+    if not count:
+        return []
+    spot = F.xxhash64("doc_id", F.length("text"))
+    rows = docs.where("text is not null").where(F.pmod(spot, F.lit(1 << 30)) < int(min(1.0, 1.5 * limit / count) * (1 << 30)))
+    rows = rows.select(spot.alias("pick"), F.split("text", "\n").alias("p"))
     rows = rows.select("pick", F.substring(F.element_at("p", (F.pmod("pick", F.size("p")) + 1).cast("int")), 1, size).alias("text"))
     return [r["text"] for r in rows.orderBy("pick", "text").limit(limit).collect()]
 
