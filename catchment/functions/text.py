@@ -73,11 +73,13 @@ def bm25(docs: DataFrame, key: str, text: str, words: list[str], k: float = 1.2,
     idf is clamped to at least 1e-6. Corpus figures (a row) and document frequencies (a row for each
     word sought) are the only broadcast sides.
     """
-    lengths = docs.select(key, F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))).alias("length"))
-    corpus = lengths.agg(F.count("*").alias("total"), F.avg("length").alias("mean_length"))
-    hits = terms(docs, key, text).where(F.col("term").isin([w.lower() for w in words])).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    found_words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
+    base = docs.select(key, found_words.alias("words"))
+    corpus = base.agg(F.count("*").alias("total"), F.avg(F.size("words")).alias("mean_length"))
+    sought = F.explode(F.filter("words", lambda w: w.isin([x.lower() for x in words])))  # before any shuffle
+    hits = base.select(key, F.size("words").alias("length"), sought.alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     found = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(F.broadcast(found), "term").join(lengths, key).crossJoin(F.broadcast(corpus))
+    rows = hits.join(F.broadcast(found), "term").crossJoin(F.broadcast(corpus))
     idf = F.greatest(F.ln((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("length") / F.col("mean_length")))
     return rows.groupBy(key).agg((-F.sum(idf * part)).alias("score"))
