@@ -35,7 +35,10 @@ def pivots(vectors: DataFrame) -> np.ndarray:
     """Unit pivots, no two closer than ``APART``; all of one length, the most frequent in the sample."""
     count = vectors.count()
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(2 * math.sqrt(count))))
-    rows = vectors.select("embedding", F.xxhash64("rep").alias("pick")).orderBy("pick").limit(SAMPLE * wanted).collect()
+    # A rate set by the count, so that tasks send the driver few rows in all.
+    pick = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
+    rate = int(min(1.0, 1.5 * SAMPLE * wanted / max(1, count)) * (1 << 30))
+    rows = vectors.select("embedding", pick.alias("pick"), "rep").where(F.col("pick") < rate).orderBy("pick", "rep").limit(SAMPLE * wanted).collect()
     sizes = [len(r["embedding"]) for r in rows]
     if not sizes:
         return np.empty((0, 0))
