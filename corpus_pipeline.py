@@ -17,15 +17,15 @@ from catchment.llm.langid import UNKNOWN, fit, identify
 from catchment.llm.queries import tokenizer_path
 from catchment.llm.simhash import simhash_groups
 
-#: Documents whose language is less sure than this are rejected, as are those without a letter.
-LEAST_SCORE = 0.3
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a recognised language; null and letterless texts go."""
+    """Keeps documents with a language; null and letterless texts go.
+
+    No score is too low: very short clean texts are less sure than junk is.
+    """
     short_batches(spark)
     found = identify(docs, fit(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
