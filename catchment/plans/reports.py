@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catchment.operators import checks
+from catchment.operators import checks, model_rules
 from catchment.operators.aggregates import weighted_mean
 from catchment.plans.registry import query
 
@@ -63,3 +63,32 @@ query(
     """SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey
        || coalesce(',"suppliers":[' || (SELECT string_agg('{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}', ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) || ']', '') || '}' AS document FROM nation""",
 )(lambda t: checks.nested(t.nation, t.supplier.select("s_nationkey", "s_suppkey", "s_name"), "n_nationkey", "s_nationkey", "suppliers"))
+
+
+def balances(t):
+    """A balance row for each nation from its suppliers' line items, scaled to plausible figures."""
+    rows = t.lineitem.join(t.supplier, c("l_suppkey") == c("s_suppkey")).groupBy("s_nationkey").agg(
+        F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("x"), F.avg(F.when(c("l_returnflag") == "R", c("l_quantity")).otherwise(0.0)).alias("r")
+    )
+    scale = {"precip": 40 * c("q"), "surq": 9 * c("r"), "latq": 1000 * c("d"), "flo": 2000 * c("x"), "et": 41 * c("q"), "cn": 3 * c("q"), "denit": 10 * c("x"), "fertn": c("q"), "fertp": c("r"), "nplt": 9 * c("r") / 7, "pplnt": c("r") / 2.0,
+             "sedorgn": c("r") * 4, "surqno3": c("d") * 100, "lat3no3": c("x"), "sedorgp": c("q") / 2, "surqsolp": c("x") * 30, "strsp": c("q") * 2.4, "strsn": c("x") * 25, "strsw": c("q") * 3, "yld": c("d") * 10, "bioms": c("x") * 25}
+    return rows.select("s_nationkey", *[v.cast("double").alias(k) for k, v in scale.items()])
+
+
+_BALANCES = """b AS (SELECT s_nationkey, 40 * q AS precip, 9 * r AS surq, 1000 * d AS latq, 2000 * x AS flo, 41 * q AS et, 3 * q AS cn, x * 25 AS strsn, q * 2.4 AS strsp, q * 3 AS strsw, d * 10 AS yld, x * 25 AS bioms
+FROM (SELECT s_nationkey, avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS x, avg(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)),
+m AS (SELECT *, surq + latq + flo AS total, 0.26 * precip AS e FROM b)"""
+
+
+def _messages(pairs):
+    return "concat_ws('; ', " + ", ".join(f"CASE WHEN {test} THEN '{message}' END" for test, message in pairs) + ")"
+
+
+_TESTS = ["precip < 65", "precip > 3400", "surq > 0.78 * total", "surq < 0.31 * total", "flo > 0.69 * total", "flo < 0.22 * total", "latq > flo", "et > precip", "total > 1.5 * e", "total < 0.5 * e", "surq / ((0.0129 * cn - 0.2857) * e) > 1.5", "surq / ((0.0129 * cn - 0.2857) * e) < 0.5"]
+query("rp_2_balance", f"WITH {_BALANCES} SELECT s_nationkey, {_messages(zip(_TESTS, [r[3] for r in model_rules.HYDROLOGY]))} AS hydrology FROM m")(
+    lambda t: model_rules.report(balances(t)).select("s_nationkey", F.array_join("hydrology", "; ").alias("hydrology"))
+)
+query("rp_5_balance", f"WITH {_BALANCES} SELECT s_nationkey, {_messages(zip(['strsp > 60', 'strsn > 60', 'strsw > 80', 'strsp < 1', 'strsn < 1', 'yld < 0.5', 'bioms < 1'], [r[3] for r in model_rules.PLANTS]))} AS plants FROM m")(
+    lambda t: model_rules.report(balances(t)).select("s_nationkey", F.array_join("plants", "; ").alias("plants"))
+)
+query("rp_12")(lambda t: model_rules.report(balances(t)).select("s_nationkey", *[F.array_join(x, "; ").alias(x) for x in ("hydrology", "nitrogen", "phosphorus", "plants", "landscape")]))

@@ -203,3 +203,18 @@ def test_documents(spark):
     row = df.select(documents.patch(F.col("d"), F.lit('{"a":{"b":null,"x":1}}')).alias("p"), documents.holds(F.col("d"), F.lit('{"a":{"b":[2]}}')).alias("h")).collect()
     assert [tuple(r) for r in row] == [('{"a":{"x":1},"c":null}', True), (None, None)]
     assert values(documents.tree(df, "id", "d"), "path") == [("$",), ("$.a",), ("$.a.b",), ("$.a.b[0]",), ("$.a.b[1]",), ("$.c",)]
+
+
+def test_model_report(spark):
+    from catchment.operators import model_rules
+
+    names = "precip surq latq flo et cn denit fertn fertp nplt pplnt sedorgn surqno3 lat3no3 sedorgp surqsolp strsp strsn strsw yld bioms".split()
+    calm = dict(zip(names, (1000.0, 130.0, 30.0, 100.0, 600.0, 60.0, 10.0, 100.0, 10.0, 60.0, 6.0, 10.0, 2.0, 1.0, 1.0, 0.5, 10.0, 10.0, 10.0, 2.0, 5.0)))
+    wild = calm | {"precip": 50.0, "surq": 0.0, "latq": 5.0, "flo": 1.0, "denit": 0.0, "nplt": 40.0, "strsn": 61.0, "sedorgn": 34.0}
+    bare = calm | dict.fromkeys(["surq", "latq", "flo", "precip", "fertn", "fertp"], 0.0)
+    rows = spark.createDataFrame([tuple(x[n] for n in names) for x in (calm, wild, bare)], ", ".join(f"{n} double" for n in names))
+    got = model_rules.report(rows).collect()
+    assert not any(got[0][s] for s in ("hydrology", "nitrogen", "phosphorus", "plants", "landscape"))
+    assert got[1]["hydrology"][0].startswith("Precipitation too small") and "Lateral flow is greater" in " ".join(got[1]["hydrology"])
+    assert len(got[1]["nitrogen"]) == 2 and got[1]["plants"] == ["More than 100 days of nitrogen stress"]
+    assert "Groundwater" not in " ".join(got[2]["hydrology"]) and "Surface runoff ratio may be low (< 0.2)" in got[2]["hydrology"] and not got[2]["nitrogen"]
