@@ -58,6 +58,16 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table dealt anew where its few partitions would leave cores idle.
+
+    Work in Python costs far more than the shuffle. A scan with a partition for every core, as any
+    large table has, isn't shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a per-task function: ``make()`` runs once in each task."""
 

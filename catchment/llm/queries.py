@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catchment.llm.bpe import token_digests
-from catchment.llm.common import short_batches
+from catchment.llm.common import short_batches, spread
 from catchment.llm.decontaminate import leaks
 from catchment.llm.html import extract
 from catchment.llm.langid import fit, held_out, identify
@@ -37,19 +37,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence statements of every document."""
     short_batches(spark)
-    return scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scan(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text, for every document."""
     short_batches(spark)
-    return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_digests(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path())
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by the wrapper of its host."""
     short_batches(spark)
-    return extract(_table(spark, sf_dir, "pages"))
+    return extract(spread(_table(spark, sf_dir, "pages")))
 
 
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document leaks; documents that leak none have no row."""
     short_batches(spark)
-    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     short_batches(spark)
-    groups = simhash_groups(_table(spark, sf_dir, "documents"))
+    groups = simhash_groups(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return groups.select("doc_id", hex_fingerprint(groups.fp).alias("fingerprint"), "component_id")
 
 
@@ -91,7 +91,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document by a network trained on documents not held out."""
     short_batches(spark)
     docs = _table(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text"), fit(docs))
+    found = identify(spread(docs.select("doc_id", "text")), fit(docs))
     return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "lang_pred", "score")
 
 
