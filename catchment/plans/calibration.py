@@ -36,7 +36,10 @@ query("sa_25")(
 query("sa_27")(lambda t: t.spark.range(256).select("id", *[(lo + (hi - lo) * sampling.van_der_corput(c("id").bitwiseXOR(k * 37))).alias(n) for k, (n, lo, hi) in enumerate(PARAMS)]))
 for _number in (28, 29):
     query(f"sa_{_number}")(lambda t: (lambda p, s: t.spark.createDataFrame([(float(p[0]), float(p[1]), s)], "x double, y double, score double"))(*calibration.shuffled_complexes(t.spark, lambda x: sampling.rosenbrock(*x), [-2, -2], [2, 2], rounds=25)))
-query("sa_31", "SELECT o_orderkey AS run, o_totalprice * 2 + 1 AS score FROM orders WHERE o_custkey < 100")(lambda t: calibration.run_models(t.orders.where("o_custkey < 100").select(c("o_orderkey").alias("run"), "o_totalprice"), lambda r: r["o_totalprice"] * 2 + 1, 4))
+for _suffix, _ids in (("", "o_custkey < 100"), ("_whole", "true")):
+    query(f"sa_31{_suffix}", f"SELECT o_orderkey AS run, o_totalprice * 2 + 1 AS score FROM orders WHERE {_ids}")(
+        lambda t, ids=_ids: calibration.run_models(t.orders.where(ids).select(c("o_orderkey").alias("run"), "o_totalprice"), lambda r: r["o_totalprice"] * 2 + 1, t.spark.sparkContext.defaultParallelism)
+    )
 query("sa_32", "SELECT p_partkey, rpad(p_name, 14, ' ') || lpad(printf('%.4f', p_retailprice), 14, ' ') AS line FROM part")(lambda t: t.part.select("p_partkey", F.concat(F.rpad("p_name", 14, " "), F.lpad(F.format_string("%.4f", "p_retailprice"), 14, " ")).alias("line")))
 for _number in (23, 24):
     query(f"wn_{_number}")(lambda t: calibration.natural_breaks(t.part, ["p_type"], "p_size", 4))

@@ -64,23 +64,29 @@ query("snk_20", "SELECT item_id, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS
 query("src_13", "SELECT CAST(o_orderstatus AS VARCHAR) AS kind, strftime(min(o_orderdate), '%Y-%m-%d') AS a, strftime(max(o_orderdate), '%Y-%m-%d') AS b FROM orders GROUP BY 1")(
     lambda t: t.orders.groupBy(c("o_orderstatus").alias("kind")).agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("a"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("b"))
 )
-query("src_14", "SELECT strftime(max(a), '%Y-%m-%d') AS start, strftime(min(b), '%Y-%m-%d') AS finish FROM (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders WHERE o_custkey < 20 GROUP BY 1)")(
-    lambda t: source.common_window(t.orders.where("o_custkey < 20").select("o_custkey", c("o_orderdate").alias("date")), "o_custkey").select(F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("finish", "yyyy-MM-dd").alias("finish"))
-)
-query("src_15", "SELECT c_name, CAST(row_number() OVER (ORDER BY lower(c_name)) AS INT) AS k FROM customer WHERE c_custkey < 50")(lambda t: t.customer.where("c_custkey < 50").select("c_name", F.row_number().over(Window.partitionBy().orderBy(F.lower("c_name"))).alias("k")))
+#: Beside a query over a span of ids, the same over the whole table.
+WHOLE = "_whole"
+for _suffix, _ids in (("", "o_custkey < 20"), (WHOLE, "true")):
+    query(f"src_14{_suffix}", f"SELECT strftime(max(a), '%Y-%m-%d') AS start, strftime(min(b), '%Y-%m-%d') AS finish FROM (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders WHERE {_ids} GROUP BY 1)")(
+        lambda t, ids=_ids: source.common_window(t.orders.where(ids).select("o_custkey", c("o_orderdate").alias("date")), "o_custkey").select(F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("finish", "yyyy-MM-dd").alias("finish"))
+    )
+for _suffix, _ids in (("", "c_custkey < 50"), (WHOLE, "true")):
+    query(f"src_15{_suffix}", f"SELECT c_name, CAST(row_number() OVER (ORDER BY lower(c_name)) AS INT) AS k FROM customer WHERE {_ids}")(lambda t, ids=_ids: writers.numbered(t.customer.where(ids).select("c_name"), [F.lower("c_name")], "k"))
 for _number in (16, 17):
     query(f"src_{_number}", "SELECT strftime(DATE '2000-02-20' + CAST(s_suppkey AS INT), '%Y%j') AS d, round(s_acctbal, 2) AS value FROM supplier")(
         lambda t: source.parse_dense(t.supplier.select(F.lit("f").alias("path"), (c("s_suppkey") + 2).cast("int").alias("line"), F.format_string("%.2f", "s_acctbal").alias("value")).unionByName(t.spark.createDataFrame([("f", 1, "20000220")], "path string, line int, value string"))).select(F.date_format("date", "yyyyDDD").alias("d"), "value")
     )
-query("src_19", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey < 30)")(
-    lambda t: t.lineitem.join(t.orders.where("o_custkey < 30"), c("l_orderkey") == c("o_orderkey"), "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
-)
+for _suffix, _ids in (("", "o_custkey < 30"), (WHOLE, "true")):
+    query(f"src_19{_suffix}", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_ids})")(
+        lambda t, ids=_ids: t.lineitem.join(t.orders.where(ids), c("l_orderkey") == c("o_orderkey"), "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
+    )
 query("src_21", "SELECT vec_id, CAST(k AS INT) AS layer, CAST(embedding[4 * k - 3] AS DOUBLE) AS depth FROM embeddings, range(1, 4) r(k)")(
     lambda t: t.embeddings.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.element_at("embedding", 4 * k + 1).cast("double"))).alias("p", "depth")).select("vec_id", (c("p") + 1).alias("layer"), "depth")
 )
-query("src_22", "SELECT o_custkey, m AS month, n FROM (SELECT o_custkey, CAST(month(o_orderdate) AS INT) AS m, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_custkey < 40 GROUP BY 1, 2)")(
-    lambda t: t.orders.where("o_custkey < 40").withColumn("m", F.month("o_orderdate")).groupBy("o_custkey").pivot("m", list(range(1, 13))).count().unpivot("o_custkey", [str(k) for k in range(1, 13)], "month", "n").where("n is not null").withColumn("month", c("month").cast("int"))
-)
+for _suffix, _ids in (("", "o_custkey < 40"), (WHOLE, "true")):
+    query(f"src_22{_suffix}", f"SELECT o_custkey, m AS month, n FROM (SELECT o_custkey, CAST(month(o_orderdate) AS INT) AS m, CAST(count(*) AS BIGINT) AS n FROM orders WHERE {_ids} GROUP BY 1, 2)")(
+        lambda t, ids=_ids: t.orders.where(ids).withColumn("m", F.month("o_orderdate")).groupBy("o_custkey").pivot("m", list(range(1, 13))).count().unpivot("o_custkey", [str(k) for k in range(1, 13)], "month", "n").where("n is not null").withColumn("month", c("month").cast("int"))
+    )
 query("src_24", "SELECT * FROM (VALUES (0, 'n_nationkey'), (1, 'n_name'), (2, 'n_regionkey')) v(place, name)")(lambda t: schema.describe(t.nation.select("n_nationkey", "n_name", "n_regionkey")).select("place", "name"))
 query("src_26", "SELECT k, a, b FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, o_custkey, o_totalprice AS a FROM orders) x JOIN (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, o_custkey, o_orderkey AS b FROM orders) y USING (o_custkey, k)".replace("SELECT k, a, b", "SELECT CAST(k AS INT) AS k, a, b"))(
     lambda t: t.orders.select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("k"), c("o_totalprice").alias("a"))
@@ -94,9 +100,9 @@ query("src_28", "SELECT 7 AS recall, event_id, value FROM events WHERE event_typ
 query("snk_5", "SELECT p_partkey, lpad(printf('%.3f', p_retailprice), 12, ' ') AS x, lpad(CAST(p_size AS VARCHAR), 8, ' ') AS n, rpad(p_type, 12, ' ') AS s FROM part")(
     lambda t: t.part.select("p_partkey", writers.field(c("p_retailprice"), "double", 12, 3).alias("x"), writers.field(c("p_size"), "int", 8).alias("n"), writers.field(c("p_type"), "string", 12).alias("s"))
 )
-for _number in (3, 4):
-    query(f"snk_{_number}", "SELECT CAST(0 AS INT) AS place, lpad('p_partkey', 10, ' ') || '  ' || rpad('p_type', 12, ' ') AS value UNION ALL SELECT row_number() OVER (ORDER BY p_partkey), lpad(CAST(p_partkey AS VARCHAR), 10, ' ') || '  ' || rpad(p_type, 12, ' ') FROM part WHERE p_partkey < 50".replace("SELECT row_number()", "SELECT CAST(row_number()").replace("(ORDER BY p_partkey),", "(ORDER BY p_partkey) AS INT),"))(
-        lambda t: writers.fixed_lines(t.part.where("p_partkey < 50"), [("p_partkey", "int", 10), ("p_type", "string", 12)], ["p_partkey"])
+for _number, _suffix, _ids in ((3, "", "p_partkey < 50"), (4, "", "p_partkey < 50"), (3, WHOLE, "true"), (4, WHOLE, "true")):
+    query(f"snk_{_number}{_suffix}", "SELECT CAST(0 AS INT) AS place, lpad('p_partkey', 10, ' ') || '  ' || rpad('p_type', 12, ' ') AS value UNION ALL SELECT row_number() OVER (ORDER BY p_partkey), lpad(CAST(p_partkey AS VARCHAR), 10, ' ') || '  ' || rpad(p_type, 12, ' ') FROM part WHERE {ids}".replace("{ids}", _ids).replace("SELECT row_number()", "SELECT CAST(row_number()").replace("(ORDER BY p_partkey),", "(ORDER BY p_partkey) AS INT),"))(
+        lambda t, ids=_ids: writers.fixed_lines(t.part.where(ids), [("p_partkey", "int", 10), ("p_type", "string", 12)], ["p_partkey"])
     )
 query("snk_7", "SELECT p_type, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || ',-' || b END, ',' ORDER BY a) AS elements FROM (SELECT p_type, min(k) AS a, max(k) AS b FROM (SELECT p_type, k, k - row_number() OVER (PARTITION BY p_type ORDER BY k) AS i FROM (SELECT p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_brand = 'Brand#11')) GROUP BY p_type, i) GROUP BY 1")(
     lambda t: landunits.runs(t.part.where("p_brand = 'Brand#11'").select("p_type", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("k")), ["p_type"], "k")

@@ -138,3 +138,21 @@ query("jn_39", "SELECT e.event_id, b.id FROM events e JOIN (SELECT p_partkey AS
     lambda t: t.events.join(F.broadcast(t.part.where("p_partkey < 40").select(c("p_partkey").alias("id"), (c("p_size") * 8.0).alias("lo"), (c("p_size") * 8.0 + 2).alias("hi"))), c("value").between(c("lo"), c("hi"))).select("event_id", "id")
 )
 query("jn_40", "SELECT event_id, CAST(floor(value / 25) AS BIGINT) AS cell FROM events")(lambda t: t.events.select("event_id", F.floor(c("value") / 25).alias("cell")))
+
+# Beside the stations and boxes of some ids, the same with all suppliers as stations and all parts as boxes
+
+_NEAR_WHOLE = "SELECT id, min_by(station, (d2, station)) AS station, round(min(d2), 8) AS d2 FROM (SELECT v.vec_id AS id, s_suppkey AS station, pow(CAST(v.embedding[1] AS DOUBLE) - (s_nationkey - 12) / 12.0, 2) * {} + pow(CAST(v.embedding[2] AS DOUBLE) - (s_acctbal - 4500) / 5500.0, 2) AS d2 FROM embeddings v, supplier) GROUP BY 1"
+
+
+def _all_stations(t):
+    return _points(t)[0], t.supplier.select(c("s_suppkey").alias("station"), ((c("s_nationkey") - 12) / 12.0).alias("sx"), ((c("s_acctbal") - 4500) / 5500.0).alias("sy"))
+
+
+for _name in ("jn_27", "jn_29", "jn_30"):
+    query(f"{_name}_whole", _NEAR_WHOLE.format("1"))(lambda t: nearest(*_all_stations(t)).withColumn("d2", F.round("d2", 8)))
+query("jn_28_whole", _NEAR_WHOLE.format("pow(cos(radians(CAST(v.embedding[2] AS DOUBLE))), 2)"))(lambda t: nearest(*_all_stations(t), weighted=True).withColumn("d2", F.round("d2", 8)))
+query("jn_31_whole", f"SELECT * FROM ({_NEAR_WHOLE.format('1')}) WHERE d2 <= 0.0001")(lambda t: nearest(*_all_stations(t), limit=0.01).withColumn("d2", F.round("d2", 8)))
+# A box begins at a multiple of 8 and is 2 wide, so a value's only box size is its eighth, rounded down.
+query("jn_39_whole", "SELECT e.event_id, b.id FROM events e JOIN (SELECT p_partkey AS id, p_size * 8.0 AS lo, p_size * 8.0 + 2 AS hi FROM part) b ON value BETWEEN lo AND hi")(
+    lambda t: t.events.withColumn("size", F.floor(c("value") / 8)).where(c("value") <= c("size") * 8.0 + 2).join(t.part.select(c("p_partkey").alias("id"), c("p_size").cast("long").alias("size")), "size").select("event_id", "id")
+)

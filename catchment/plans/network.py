@@ -37,9 +37,10 @@ def edges(t):
 
 EDGES = "(SELECT node AS source, CASE WHEN node = 0 THEN 'X' WHEN node % 7 = 0 THEN 'PT' ELSE 'CH' END AS source_cat, down AS sink, CASE WHEN down = 0 THEN 'X' WHEN down % 7 = 0 THEN 'PT' ELSE 'CH' END AS sink_cat, 'sur' AS hyd_typ, CASE WHEN node % 11 = 0 THEN 90.0 ELSE 100.0 END AS percent FROM (SELECT p_partkey AS node, (p_partkey - 1) // 2 AS down FROM part WHERE p_partkey > 0))"
 query("gr_2", f"SELECT source, source_cat, hyd_typ, sum(percent) AS total FROM {EDGES} GROUP BY 1, 2, 3 HAVING floor(sum(percent) + 0.5) <> 100")(lambda t: net.percent_faults(edges(t)))
-query("gr_2_loops", "WITH RECURSIVE e AS (SELECT p_partkey AS node, CASE WHEN p_partkey < 8 THEN (p_partkey + 3) % 8 ELSE (p_partkey - 1) // 2 END AS down FROM part WHERE p_partkey < 100), r(node, down) AS (SELECT node, down FROM e UNION SELECT r.node, e.down FROM r JOIN e ON r.down = e.node) SELECT node FROM r WHERE node = down")(
-    lambda t: net.loops(t.part.where("p_partkey < 100").select(c("p_partkey").alias("node"), F.expr("CASE WHEN p_partkey < 8 THEN (p_partkey + 3) % 8 ELSE (p_partkey - 1) div 2 END").alias("down")))
-)
+for _suffix, _ids in (("", "p_partkey < 100"), ("_whole", "true")):
+    query(f"gr_2_loops{_suffix}", "WITH RECURSIVE e AS (SELECT p_partkey AS node, CASE WHEN p_partkey < 8 THEN (p_partkey + 3) % 8 ELSE (p_partkey - 1) // 2 END AS down FROM part WHERE {ids}), r(node, down) AS (SELECT node, down FROM e UNION SELECT r.node, e.down FROM r JOIN e ON r.down = e.node) SELECT node FROM r WHERE node = down".replace("{ids}", _ids))(
+        lambda t, ids=_ids: net.loops(t.part.where(ids).select(c("p_partkey").alias("node"), F.expr("CASE WHEN p_partkey < 8 THEN (p_partkey + 3) % 8 ELSE (p_partkey - 1) div 2 END").alias("down")))
+    )
 for _number in (3, 4):
     query(f"gr_{_number}", f"WITH RECURSIVE e AS {EDGES}, r AS (SELECT * FROM e WHERE source_cat <> 'PT' UNION ALL SELECT r.source, r.source_cat, e.sink, e.sink_cat, e.hyd_typ, e.percent FROM r JOIN e ON r.sink_cat = 'PT' AND e.source = r.sink AND e.source_cat = 'PT') SELECT source, source_cat, sink, sink_cat, hyd_typ, percent, CAST(row_number() OVER (PARTITION BY source, source_cat ORDER BY sink_cat, sink, hyd_typ) AS INT) AS \"order\" FROM r WHERE sink_cat <> 'PT'")(
         lambda t: net.skip_points(edges(t))
@@ -57,9 +58,10 @@ for _number in (8, 9):
 query("gr_10", TREE + " SELECT node, CAST(sum(p_size) AS BIGINT) AS length FROM r JOIN part ON p_partkey = r.down GROUP BY 1")(
     lambda t: net.closure(tree(t)).join(t.part, c("down") == c("p_partkey")).groupBy("node").agg(F.sum("p_size").alias("length"))
 )
-query("gr_11", TREE + ", z AS (SELECT * FROM r UNION ALL SELECT p_partkey, p_partkey, 0 FROM part) SELECT a, b, min_by(m, (s, m)) AS meet, CAST(min(s) AS INT) AS steps FROM (SELECT x.node AS a, y.node AS b, x.down AS m, x.depth + y.depth AS s FROM z x JOIN z y ON x.down = y.down AND y.node = x.node + 1 WHERE x.node BETWEEN 50 AND 90) GROUP BY 1, 2")(
-    lambda t: net.meeting(tree(t), t.part.where("p_partkey between 50 and 90").select(c("p_partkey").alias("a"), (c("p_partkey") + 1).alias("b")))
-)
+for _suffix, _ids in (("", "{} BETWEEN 50 AND 90"), ("_whole", "{} < (SELECT max(p_partkey) FROM part)")):
+    query(f"gr_11{_suffix}", TREE + ", z AS (SELECT * FROM r UNION ALL SELECT p_partkey, p_partkey, 0 FROM part) SELECT a, b, min_by(m, (s, m)) AS meet, CAST(min(s) AS INT) AS steps FROM (SELECT x.node AS a, y.node AS b, x.down AS m, x.depth + y.depth AS s FROM z x JOIN z y ON x.down = y.down AND y.node = x.node + 1 WHERE {ids}) GROUP BY 1, 2".replace("{ids}", _ids.format("x.node")))(
+        lambda t, whole=bool(_suffix): net.meeting(tree(t), t.part.where("true" if whole else "p_partkey between 50 and 90").select(c("p_partkey").alias("a"), (c("p_partkey") + 1).alias("b")))
+    )
 for _number in (12, 13):
     query(f"gr_{_number}", TREE + " SELECT p_partkey AS node, concat_ws('>', CAST(p_partkey AS VARCHAR), (SELECT string_agg(CAST(down AS VARCHAR), '>' ORDER BY depth) FROM r WHERE r.node = p_partkey)) AS path FROM part")(
         lambda t: net.paths(tree(t)).select("node", F.array_join(c("path").cast("array<string>"), ">").alias("path"))

@@ -47,27 +47,32 @@ query("sa_15")(lambda t: t.spark.range(5000).select("id", F.exp(1 + 0.5 * sa.nor
 query("sa_16", "SELECT p_partkey, p_size / sum(p_size) OVER (PARTITION BY p_brand) AS w FROM part")(lambda t: t.part.select("p_partkey", (c("p_size") / F.sum("p_size").over(Window.partitionBy("p_brand"))).alias("w")))
 
 
-def _base(t):
+def _base(t, ids):
     """Runs from orders with three parameters."""
-    o = t.orders.where("o_orderkey < 3000").select(c("o_orderkey").alias("run"), (c("o_totalprice") / 1000).alias("a"), (c("o_custkey") % 17 + 1.0).alias("b"), (c("o_orderkey") % 5 + 1.0).alias("d"))
+    o = t.orders.where(ids).select(c("o_orderkey").alias("run"), (c("o_totalprice") / 1000).alias("a"), (c("o_custkey") % 17 + 1.0).alias("b"), (c("o_orderkey") % 5 + 1.0).alias("d"))
     return o.unpivot("run", ["a", "b", "d"], "param", "value")
 
 
-_BASE = "b AS (SELECT o_orderkey AS run, unnest(['a', 'b', 'd']) AS param, unnest([o_totalprice / 1000, o_custkey % 17 + 1.0, o_orderkey % 5 + 1.0]) AS value, unnest([1, 2, 3]) AS place FROM orders WHERE o_orderkey < 3000)"
-_OAT = f"{_BASE}, s AS (SELECT run, CAST(step AS INT) AS step, param, CASE WHEN step >= place THEN value * 1.1 ELSE value END AS value FROM b, range(4) r(step))"
-query("sa_17", f"WITH {_OAT} SELECT run, step, param, round(value, 8) AS value FROM s")(lambda t: sa.one_at_a_time(_base(t), 0.1).select("run", "step", "param", F.round("value", 8).alias("value")))
+def _steps(ids):
+    base = "b AS (SELECT o_orderkey AS run, unnest(['a', 'b', 'd']) AS param, unnest([o_totalprice / 1000, o_custkey % 17 + 1.0, o_orderkey % 5 + 1.0]) AS value, unnest([1, 2, 3]) AS place FROM orders WHERE {ids})".replace("{ids}", ids)
+    return f"{base}, s AS (SELECT run, CAST(step AS INT) AS step, param, CASE WHEN step >= place THEN value * 1.1 ELSE value END AS value FROM b, range(4) r(step))"
 
 
-def _outputs(t):
+SPANS = (("", "o_orderkey < 3000"), ("_whole", "true"))
+for _suffix, _ids in SPANS:
+    query(f"sa_17{_suffix}", f"WITH {_steps(_ids)} SELECT run, step, param, round(value, 8) AS value FROM s")(lambda t, ids=_ids: sa.one_at_a_time(_base(t, ids), 0.1).select("run", "step", "param", F.round("value", 8).alias("value")))
+
+
+def _outputs(t, ids):
     """y = a * b + d * d at each step, and the parameter that the step changed."""
-    wide = sa.one_at_a_time(_base(t), 0.1).groupBy("run", "step").pivot("param", ["a", "b", "d"]).agg(F.first("value"))
+    wide = sa.one_at_a_time(_base(t, ids), 0.1).groupBy("run", "step").pivot("param", ["a", "b", "d"]).agg(F.first("value"))
     return wide.select("run", "step", F.element_at(F.array(F.lit("-"), F.lit("a"), F.lit("b"), F.lit("d")), c("step") + 1).alias("param"), (c("a") * c("b") + c("d") * c("d")).alias("y"))
 
 
-_EFFECTS = f"{_OAT}, w AS (SELECT run, step, max(value) FILTER (WHERE param = 'a') AS a, max(value) FILTER (WHERE param = 'b') AS b, max(value) FILTER (WHERE param = 'd') AS d FROM s GROUP BY 1, 2), e AS (SELECT step, (a * b + d * d - lag(a * b + d * d) OVER (PARTITION BY run ORDER BY step)) / 0.1 AS e FROM w)"
-for _name in ("sa_18", "sa_26"):
-    query(_name, f"WITH {_EFFECTS} SELECT ['-', 'a', 'b', 'd'][step + 1] AS param, round(avg(e), 6) AS mu, round(avg(abs(e)), 6) AS mu_star, round(stddev_samp(e), 6) AS sigma FROM e WHERE step > 0 GROUP BY 1")(
-        lambda t: sa.elementary_effects(_outputs(t), 0.1).select("param", *[F.round(x, 6).alias(x) for x in ("mu", "mu_star", "sigma")])
+_EFFECTS = "w AS (SELECT run, step, max(value) FILTER (WHERE param = 'a') AS a, max(value) FILTER (WHERE param = 'b') AS b, max(value) FILTER (WHERE param = 'd') AS d FROM s GROUP BY 1, 2), e AS (SELECT step, (a * b + d * d - lag(a * b + d * d) OVER (PARTITION BY run ORDER BY step)) / 0.1 AS e FROM w)"
+for _name, _ids in (("sa_18", SPANS[0][1]), *(("sa_26" + k, v) for k, v in SPANS)):
+    query(_name, f"WITH {_steps(_ids)}, {_EFFECTS} SELECT ['-', 'a', 'b', 'd'][step + 1] AS param, round(avg(e), 6) AS mu, round(avg(abs(e)), 6) AS mu_star, round(stddev_samp(e), 6) AS sigma FROM e WHERE step > 0 GROUP BY 1")(
+        lambda t, ids=_ids: sa.elementary_effects(_outputs(t, ids), 0.1).select("param", *[F.round(x, 6).alias(x) for x in ("mu", "mu_star", "sigma")])
     )
 query("sa_20", "SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 8) AS p_size FROM part")(lambda t: sa.standardise(t.part.select("p_partkey", c("p_size").cast("double")), ["p_size"]).select("p_partkey", F.round("p_size", 8).alias("p_size")))
 query("sa_22", "WITH o AS (SELECT o_orderkey AS run, ln(o_totalprice) AS ya, ln(o_custkey + 2) * 3 AS yb FROM orders), v AS (SELECT var_pop(y) AS v FROM (SELECT ya AS y FROM o UNION ALL SELECT yb FROM o)) SELECT k AS param, round(avg(yb * (ya * w + yb * (1 - w) - ya)) / min(v), 8) AS first, round(avg(pow(ya - (ya * w + yb * (1 - w)), 2)) / (2 * min(v)), 8) AS total FROM o, v, (VALUES ('p', 0.25), ('q', 0.75)) z(k, w) GROUP BY 1")(

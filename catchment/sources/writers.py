@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchment.operators.iterate import cut
+
 
 def field(value: Column, kind: str, width: int, decimals: int = 5) -> Column:
     """A fixed-width field: numbers to the right, strings to the left; null is the word ``null``."""
@@ -19,11 +21,27 @@ def field(value: Column, kind: str, width: int, decimals: int = 5) -> Column:
     return F.when(F.length(text) >= width, text).otherwise(padded)
 
 
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """``df`` with its rows' places (from 1) in ``order``, which should be unique.
+
+    Rows are dealt by ranges and counted in each; a range's places begin after the counts before it, so
+    that no task holds the whole table.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = cut(dealt.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy().orderBy("_part")) - F.col("_n")
+    starts = F.broadcast(sizes.select("_part", before.alias("_start")))
+    place = F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return dealt.withColumn("_part", part).join(starts, "_part").select(*df.columns, place.alias(name))
+
+
 def fixed_lines(df: DataFrame, columns: list[tuple[str, str, int]], order: list[str]) -> DataFrame:
     """place, value: a header line (place 0), then a line for each row, numbered in order."""
     head = F.concat_ws("  ", *[F.rpad(F.lit(n), w, " ") if k == "string" else F.lpad(F.lit(n), w, " ") for n, k, w in columns])
-    rows = df.select(F.row_number().over(Window.partitionBy().orderBy(*order)).alias("place"), F.concat_ws("  ", *[field(F.col(n), k, w) for n, k, w in columns]).alias("value"))
-    return df.sparkSession.range(1).select(F.lit(0).alias("place"), head.alias("value")).unionByName(rows)
+    rows = numbered(df, order, "place").select("place", F.concat_ws("  ", *[field(F.col(n), k, w) for n, k, w in columns]).alias("value"))
+    return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), head.alias("value")).unionByName(rows)
 
 
 def write_fixed(df: DataFrame, path: str, columns: list[tuple[str, str, int]], order: list[str]) -> None:

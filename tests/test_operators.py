@@ -186,6 +186,26 @@ def test_optimiser_and_breaks(spark):
     assert few == [6.0, 106.0, 206.0] and many[-1] == 206.0 and len(many) == 3
 
 
+def test_lines_are_numbered_in_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id")).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = writers.fixed_lines(df, [("id", "int", 4)], ["id"]).withColumn("task", F.spark_partition_id()).where("place > 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["place"], int(r["value"])) for r in got) == [(k + 1, k) for k in range(1000)]
+    assert len({r["task"] for r in got}) > 1
+    assert [r["place"] for r in writers.fixed_lines(df.limit(0), [("id", "int", 4)], ["id"]).collect()] == [0]
+
+
+def test_whole_tables_beside_spans(spark):
+    import __spark_entry__ as entry
+
+    counts = {n: entry.queries()[n](spark, "/root/testdata/sf0.001").count() for n in ("snk_3_whole", "src_15_whole", "sa_31_whole", "jn_31_whole")}
+    rows = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").count() for n in ("part", "customer", "orders")}
+    assert counts.pop("jn_31_whole") > 0 and counts == {"snk_3_whole": rows["part"] + 1, "src_15_whole": rows["customer"], "sa_31_whole": rows["orders"]}
+
+
 def test_morris_changes_one_parameter_a_step(spark):
     from catchment.operators import calibration
 
