@@ -94,23 +94,40 @@ def morris(spark: SparkSession, params: list[tuple[str, float, float]], trajecto
     return spark.range(trajectories).mapInPandas(work, "run long, step int, param string, name string, value double")
 
 
-def jenks(values: list[float], classes: int) -> list[float]:
-    """Upper limits of the classes with the least variance inside them, of a bounded list of values."""
-    x = np.sort(np.asarray(values, np.float64))
+def jenks(values: list[float], classes: int, weights: list[float] | None = None, points: int = 1000) -> list[float]:
+    """Upper limits of the classes with the least variance inside them, each value counted with its weight (1 by default).
+
+    Breaks lie between distinct values. The best cut never moves down as values are added, so that beyond
+    ``points`` distinct values a row is solved by halves, each between its neighbours' cuts; both are exact.
+    """
+    x, at = np.unique(np.asarray(values, np.float64), return_inverse=True)
     n = len(x)
-    classes = min(classes, len(np.unique(x)))
+    classes = min(classes, n)
     if not classes:
         return []
-    s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-    cost = np.full((classes + 1, n + 1), np.inf)
+    w = np.bincount(at, weights, n).astype(np.float64)
+    y = x - np.average(x, weights=w)
+    count, s, q = (np.concatenate([[0], np.cumsum(v)]) for v in (w, w * y, w * y * y))
+
+    def inside(i, j):
+        return q[j] - q[i] - (s[j] - s[i]) ** 2 / (count[j] - count[i])
+
+    cost = np.concatenate([[np.inf], inside(0, np.arange(1, n + 1))])
     cut = np.zeros((classes + 1, n + 1), int)
-    cost[0, 0] = 0
-    for c in range(1, classes + 1):
-        for j in range(c, n + 1):
-            i = np.arange(c - 1, j)
-            total = cost[c - 1, i] + (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (j - i)
+    for c in range(2, classes + 1):
+        row = np.full(n + 1, np.inf)
+        todo = [(c, n, c - 1, n - 1)]
+        while todo:
+            low, high, first, last = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = np.arange(first, min(last, j - 1) + 1)
+            total = cost[i] + inside(i, j)
             k = int(np.argmin(total))
-            cost[c, j], cut[c, j] = total[k], i[k]
+            row[j], cut[c, j] = total[k], i[k]
+            todo += [(low, j - 1, first, int(i[k]) if n > points else last), (j + 1, high, int(i[k]) if n > points else first, last)]
+        cost = row
     out, j = [], n
     for c in range(classes, 0, -1):
         out.append(float(x[j - 1]))
@@ -119,18 +136,16 @@ def jenks(values: list[float], classes: int) -> list[float]:
 
 
 def natural_breaks(df: DataFrame, by: list[str], value: str, classes: int, points: int = 1000) -> DataFrame:
-    """by, breaks: natural breaks of each group.
+    """by, breaks: natural breaks of each group, every row counted.
 
-    Groups come down to at most ``points`` evenly spaced quantiles by aggregation (exact for groups of
-    fewer distinct values), so the quadratic search has a bounded input.
+    Groups come down to their distinct values and how often each occurs, by aggregation. ``points`` only
+    sets the size from which ``jenks`` searches by halves.
     """
-    shares = F.array(*[F.lit(k / (points - 1)) for k in range(points)])
-    few = df.groupBy(*by).agg(F.count_distinct(value).alias("n"))
-    whole = df.join(few.where(F.col("n") <= points), by).groupBy(*by).agg(F.collect_set(value).alias("v"))
-    many = df.join(few.where(F.col("n") > points), by).groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, shares, 100_000)).alias("v"))
+    often = df.groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").cast("double").alias("_n"))
+    lists = often.groupBy(*by).agg(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_x", "_n"))).alias("_v"))
 
     @F.pandas_udf("array<double>")
-    def run(lists: pd.Series) -> pd.Series:
-        return pd.Series([jenks(list(v), classes) for v in lists])
+    def run(values: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([jenks(list(v), classes, list(w), points) for v, w in zip(values, weights)])
 
-    return whole.unionByName(many).select(*by, run("v").alias("breaks"))
+    return lists.select(*by, run(F.col("_v._x"), F.col("_v._n")).alias("breaks"))

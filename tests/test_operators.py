@@ -206,6 +206,27 @@ def test_whole_tables_beside_spans(spark):
     assert counts.pop("jn_31_whole") > 0 and counts == {"snk_3_whole": rows["part"] + 1, "src_15_whole": rows["customer"], "sa_31_whole": rows["orders"]}
 
 
+def test_breaks_count_every_row(spark):
+    from itertools import combinations, pairwise
+
+    from catchment.operators import calibration
+
+    many = {float(x): 1 + 400 * (x in (1, 9, 39, 60)) for x in (1, 2, 3, 4, 9, 17, 18, 30, 39, 40, 41, 55, 60, 90)}
+    rows = [("a", x) for x, n in many.items() for _ in range(n)] + [("b", None)]
+    keys = sorted(many)
+
+    def spread(part):
+        n, mean = sum(many[x] for x in part), sum(x * many[x] for x in part) / sum(many[x] for x in part)
+        return sum(many[x] * (x - mean) ** 2 for x in part) if n else 0
+
+    ways = [[0, *way, len(keys)] for way in combinations(range(1, len(keys)), 3)]
+    best = min(ways, key=lambda way: sum(spread(keys[i:j]) for i, j in pairwise(way)))
+    data = spark.createDataFrame(rows, "k string, v double")
+    for points in (1000, 5):
+        got = {r["k"]: r["breaks"] for r in calibration.natural_breaks(data, ["k"], "v", 4, points).collect()}
+        assert got == {"a": [keys[j - 1] for j in best[1:]], "b": []} and got["a"] != calibration.jenks(keys, 4)
+
+
 def test_morris_changes_one_parameter_a_step(spark):
     from catchment.operators import calibration
 
