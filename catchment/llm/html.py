@@ -3,8 +3,8 @@
 A page's DOM becomes a skeleton: block elements with their class and id, inline ones left out, runs
 of equal siblings folded into one node. A host's reference is its most frequent skeleton. Every
 skeleton of the host is aligned with it by simple tree matching, which gives each node its slot.
-Over all pages of the host a slot is constant, where its text never changes, and so template, or
-varying, and so a candidate for content. Slots in menus, adverts, footers, forms, notices and
+Over all distinct pages of the host (mirrors counted once) a slot is constant, where its text never
+changes, and so template, or varying, and so a candidate for content; slots of a single page are, too. Slots in menus, adverts, footers, forms, notices and
 comments are never content. Where a host has a main element (article, main), its slots are the
 content, whether constant or not: mirrors and near copies repeat an article, too.
 
@@ -248,36 +248,42 @@ def _host_column():
 
 
 def _slot_texts(pages: DataFrame) -> DataFrame:
-    """host, skeleton and the text hash of each place, for each page."""
-    names = ["host", "skeleton", "hashes"]
+    """host, skeleton, the text hash of each place and that of all that may be content, for each page."""
+    names = ["host", "skeleton", "hashes", "content"]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            skeletons, hashes = [], []
+            skeletons, hashes, contents = [], [], []
             for text in batch.column(1).to_pylist():
                 root, blocks = parse(text or "")
                 skeletons.append(skeleton(root))
                 digests: dict[int, xxhash.xxh64] = {}
+                whole = xxhash.xxh64()
                 for node, block in blocks:
+                    if not node.never:
+                        whole.update(block + "\n")
                     digests.setdefault(node.place, xxhash.xxh64()).update(block + "\n")
                 own = [0] * len(_flags(skeletons[-1]))
                 for place, digest in digests.items():
                     own[place] = digest.intdigest() >> 1
                 hashes.append(own)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(skeletons, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names)
+                contents.append(whole.intdigest() >> 1)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(skeletons, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(contents, pa.int64())], names)
 
         return work
 
-    return map_batches(pages.select("host", "html"), make, "host string, skeleton string, hashes array<long>")
+    return map_batches(pages.select("host", "html"), make, "host string, skeleton string, hashes array<long>, content long")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, reference (skeleton), content (places of the reference that hold content); a row per host.
 
-    ``pages`` has host and html. All pages count; ties between skeletons go to the lesser string.
+    ``pages`` has host and html. Pages of a host that differ at most in what is never content count as
+    one; ties between skeletons go to the lesser string.
     """
+    pages = _slot_texts(pages).groupBy("host", "content").agg(F.min(F.struct("skeleton", "hashes")).alias("page")).select("host", "page.*")
     # Inside a host, pages of one skeleton come down to the least and greatest text hash of each place.
-    texts = _slot_texts(pages).select("host", "skeleton", F.posexplode("hashes").alias("place", "hash"))
+    texts = pages.select("host", "skeleton", F.posexplode("hashes").alias("place", "hash"))
     spread = texts.groupBy("host", "skeleton", "place").agg(F.count("*").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
     shapes = spread.groupBy("host", "skeleton").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "low", "high"))).alias("spread"))
     shapes = stored(shapes, "skeletons")

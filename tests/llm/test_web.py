@@ -38,6 +38,14 @@ def test_wrapper_without_landmarks(spark):
     assert html.extract(table.limit(0)).count() == 0
 
 
+def test_mirrored_pages_keep_their_text(spark):
+    page = "<body><div class=x>Site</div><div class=c>Body {0}</div><div class='cookie-notice'>ok {1}</div><p>tail</p></body>"
+    rows = [(k, f"http://one/{k}", page.format("a", k)) for k in range(3)] + [(9, "http://two/9", page.format("a", 0))]
+    rows += [(10 + k, f"http://two/{k}", page.format("b", k)) for k in range(2)]
+    got = dict((r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {**{k: "Site\nBody a\ntail" for k in range(3)}, 9: "Body a", 10: "Body b", 11: "Body b"}
+
+
 def test_odd_markup():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     for page in (deep, "<" * 10_000, "<a href='" + "q" * 10_000, "<p>" * 5000, "&#xZZ; &amp &copy;"):
