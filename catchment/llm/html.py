@@ -5,8 +5,9 @@ of equal siblings folded into one node. A host's reference is its most frequent
 skeleton of the host is aligned with it by simple tree matching, which gives each node its slot.
 Over all distinct pages of the host (mirrors counted once) a slot is constant, where its text never
 changes, and so template, or varying, and so a candidate for content; slots of a single page are, too. Slots in menus, adverts, footers, forms, notices and
-comments are never content. Where a host has a main element (article, main), its slots are the
-content, whether constant or not: mirrors and near copies repeat an article, too.
+comments are never content. Where a host has a main element (article, main), content lies in its
+slots. Of these, a slot is template where its text is the same on pages of different articles; pages
+whose articles are near copies (least hashes of word triples) count as one, as they repeat content.
 
 All steps are joins and aggregates over hosts: no host's pages come together in a task.
 """
@@ -16,8 +17,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,6 +48,10 @@ _NEVER_WORDS = set("ad ads advert adverts advertisement sponsor sponsored promo
 _DEPTH = 200
 
 
+#: Odd multipliers of word-triple hashes; each gives one least hash that near copies mostly share.
+_MIXERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
+
+
 class Node:
     __slots__ = ("tag", "label", "never", "main", "children", "place")
 
@@ -230,6 +237,20 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
     return out
 
 
+def least_hashes(text: str) -> list[int]:
+    """A least hash of the word triples of ``text`` for each of ``_MIXERS``."""
+    words = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in text.split()] + [0, 0], np.uint64)
+    if len(words) == 2:
+        return [0] * len(_MIXERS)
+    words = words[:-2] * np.uint64(_MIXERS[0]) + words[1:-1] * np.uint64(_MIXERS[1]) + words[2:] * np.uint64(_MIXERS[2])
+    words ^= words >> np.uint64(29)
+    out = []
+    for m in _MIXERS:
+        mixed = words * np.uint64(m)
+        out.append(int((mixed ^ (mixed >> np.uint64(32))).min() >> np.uint64(1)))
+    return out
+
+
 @lru_cache(4096)
 def slots(page: str, reference: str) -> tuple[int, ...]:
     """Slot of each place of a skeleton: its place in the reference, or -1."""
@@ -248,12 +269,15 @@ def _host_column():
 
 
 def _slot_texts(pages: DataFrame) -> DataFrame:
-    """host, skeleton, the text hash of each place and that of all that may be content, for each page."""
-    names = ["host", "skeleton", "hashes", "content"]
+    """host, skeleton, the text hash of each place, that of all that may be content, and ``near``, for each page.
+
+    ``near`` has the least hashes of the main element's text, and is empty where there is none.
+    """
+    names = ["host", "skeleton", "hashes", "content", "near"]
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            skeletons, hashes, contents = [], [], []
+            skeletons, hashes, contents, near = [], [], [], []
             for text in batch.column(1).to_pylist():
                 root, blocks = parse(text or "")
                 skeletons.append(skeleton(root))
@@ -268,11 +292,25 @@ def _slot_texts(pages: DataFrame) -> DataFrame:
                     own[place] = digest.intdigest() >> 1
                 hashes.append(own)
                 contents.append(whole.intdigest() >> 1)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(skeletons, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(contents, pa.int64())], names)
+                inside = " ".join(block for node, block in blocks if node.main)
+                near.append(least_hashes(inside) if inside else [])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(skeletons, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(contents, pa.int64()), pa.array(near, pa.list_(pa.int64()))], names)
 
         return work
 
-    return map_batches(pages.select("host", "html"), make, "host string, skeleton string, hashes array<long>, content long")
+    return map_batches(pages.select("host", "html"), make, "host string, skeleton string, hashes array<long>, content long, near array<long>")
+
+
+def _articles(pages: DataFrame) -> DataFrame:
+    """host, content of one page of each group of near copies among ``pages`` (host, content, near).
+
+    A round for each least hash keeps one page of those that share it. Different articles whose least
+    triple is in the host's template go together, too, which only makes fewer articles.
+    """
+    left = pages.where(F.size("near") > 0).select("host", "content", "near")
+    for k in range(len(_MIXERS)):
+        left = left.groupBy("host", F.col("near")[k].alias("_k")).agg(F.min(F.struct("content", "near")).alias("page")).select("host", "page.*")
+    return left.select("host", "content", F.lit(True).alias("article"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -281,42 +319,49 @@ def wrappers(pages: DataFrame) -> DataFrame:
     ``pages`` has host and html. Pages of a host that differ at most in what is never content count as
     one; ties between skeletons go to the lesser string.
     """
-    pages = _slot_texts(pages).groupBy("host", "content").agg(F.min(F.struct("skeleton", "hashes")).alias("page")).select("host", "page.*")
-    # Inside a host, pages of one skeleton come down to the least and greatest text hash of each place.
-    texts = pages.select("host", "skeleton", F.posexplode("hashes").alias("place", "hash"))
-    spread = texts.groupBy("host", "skeleton", "place").agg(F.count("*").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-    shapes = spread.groupBy("host", "skeleton").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "low", "high"))).alias("spread"))
+    pages = _slot_texts(pages).groupBy("host", "content").agg(F.min(F.struct("skeleton", "hashes", "near")).alias("page")).select("host", "content", "page.*")
+    pages = stored(pages, "pages")
+    pages = pages.join(_articles(pages), ["host", "content"], "left")
+    # Inside a host, pages of one skeleton come down to the least and greatest text hash of each place,
+    # over all pages and over those of different articles.
+    texts = pages.select("host", "skeleton", "article", F.posexplode("hashes").alias("place", "hash"))
+    own = F.when(F.col("article"), F.col("hash"))
+    spread = texts.groupBy("host", "skeleton", "place").agg(F.count("*").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"), F.count(own).alias("articles"), F.min(own).alias("least"), F.max(own).alias("most"))
+    shapes = spread.groupBy("host", "skeleton").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "low", "high", "articles", "least", "most"))).alias("spread"))
     shapes = stored(shapes, "skeletons")
     reference = shapes.groupBy("host").agg(F.max_by("skeleton", F.struct(F.col("n"), F.col("skeleton"))).alias("reference"))
     aligned = shapes.join(reference, "host")
 
     def make():
-        names = ["host", "reference", "slot", "low", "high", "n"]
+        kept = ["low", "high", "articles", "least", "most"]
+        names = ["host", "reference", "slot", *kept, "n"]
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for host, page, reference, n, spread in zip(*(c.to_pylist() for c in batch.columns)):
                 for place, slot in enumerate(slots(page, reference)):
                     if slot >= 0:
-                        rows.append((host, reference, slot, spread[place]["low"], spread[place]["high"], n))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                        rows.append((host, reference, slot, *(spread[place][x] for x in kept), n))
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * 7]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
         return work
 
     narrow = aligned.select("host", "skeleton", "reference", "n", F.col("spread"))
-    found = map_batches(narrow, make, "host string, reference string, slot long, low long, high long, n long")
-    found = found.groupBy("host", "reference", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    found = map_batches(narrow, make, "host string, reference string, slot long, low long, high long, articles long, least long, most long, n long")
+    found = found.groupBy("host", "reference", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("articles").alias("articles"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"))
     varying = (F.col("low") < F.col("high")) | (F.col("n") == 1)
-    per_host = found.groupBy("host", "reference").agg(F.collect_set(F.when(varying, F.col("slot"))).alias("varying"))
+    # In a main element, text that different articles share is template; near copies are one article.
+    shared = (F.col("articles") > 1) & (F.col("least") == F.col("most")) & (F.col("low") == F.col("high"))
+    per_host = found.groupBy("host", "reference").agg(F.collect_set(F.when(varying, F.col("slot"))).alias("varying"), F.collect_set(F.when(shared, F.col("slot"))).alias("shared"))
 
     def decide():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             content = []
-            for reference, varying in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for reference, varying, shared in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 flags = _flags(reference)
                 inside = [k for k, f in enumerate(flags) if f & 2]
-                content.append(inside or sorted(k for k in varying if not flags[k] & 1))
+                content.append(sorted(set(inside) - set(shared)) if inside else sorted(k for k in varying if not flags[k] & 1))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.list_(pa.int64()))], ["host", "reference", "content"])
 
         return work

@@ -46,6 +46,21 @@ def test_mirrored_pages_keep_their_text(spark):
     assert got == {**{k: "Site\nBody a\ntail" for k in range(3)}, 9: "Body a", 10: "Body b", 11: "Body b"}
 
 
+def test_template_inside_the_main_element(spark):
+    from random import Random
+
+    def prose(seed):
+        r = Random(seed)
+        return " ".join(f"w{r.randrange(10_000)}" for _ in range(60))
+
+    page = "<body><main><div class=byline>By the staff of this site</div><h1>{0}</h1><div class=text>{1}</div></main></body>"
+    # Different articles share the byline; near copies of one article share its heading, which stays.
+    rows = [(k, f"http://many/{k}", page.format(f"Heading {k}", prose(k))) for k in range(6)]
+    rows += [(10 + k, f"http://copies/{k}", page.format("Heading", prose(0) + f" end{k}")) for k in range(6)]
+    got = dict((r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {**{k: f"Heading {k}\n{prose(k)}" for k in range(6)}, **{10 + k: f"By the staff of this site\nHeading\n{prose(0)} end{k}" for k in range(6)}}
+
+
 def test_odd_markup():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     for page in (deep, "<" * 10_000, "<a href='" + "q" * 10_000, "<p>" * 5000, "&#xZZ; &amp &copy;"):
