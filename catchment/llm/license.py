@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier with template confirmation.
 
-Each line of a text is a paragraph. Its word 1- to 3-grams that occur in the licence templates are
+Each line of a text is a paragraph; in long ones, overlapping windows of words are, and a notice that
+runs over line ends is judged whole, where template word pairs go on over the end of a line. Its word 1- to 3-grams that occur in the licence templates are
 the features of a multinomial logistic regression over licence families and ``none``. The model is
 trained on statements built from the templates below (every family's names in every frame) against
 a bounded sample of paragraphs from the corpus. Probabilities are calibrated by a temperature on
@@ -98,7 +99,9 @@ class Model:
 
     def judge(self, paragraph: str) -> tuple[str, float, float, bool] | None:
         """(family, probability, similarity, confirmed) of a licence statement; None otherwise."""
-        tokens = words(paragraph)
+        return self.judge_words(words(paragraph))
+
+    def judge_words(self, tokens: list[str]) -> tuple[str, float, float, bool] | None:
         p = self.probabilities(tokens)
         none = self.classes.index(NONE)
         if 1 - p[none] < LICENSE_AT:
@@ -110,28 +113,87 @@ class Model:
         alike = self.similarity(family, tokens)
         return family, sure, alike, alike >= CONFIRM_AT
 
-    def statements(self, text: str | None) -> list[tuple[int, str, float, float, bool]]:
-        """(paragraph, family, probability, similarity, confirmed) of every statement in the whole text."""
+    def statements(self, text: str | None) -> list[tuple[int, int, str, float, float, bool]]:
+        """(paragraph, word, family, probability, similarity, confirmed) of every statement in the whole text."""
         if not text:
             return []
+        lines = [words(line) for line in text.split("\n")]
+        found = {k: rows for k, tokens in enumerate(lines) if (rows := self._runs(tokens))}
+        out = []
+        for first, last, start, end in self._seams(lines):
+            own = [x for k in range(first, last + 1) for x in found.get(k, [])]
+            whole = self.judge_words([w for k in range(first, last + 1) for w in lines[k][start if k == first else 0 : end if k == last else None]])
+            if whole and (not own or whole[2] > max(x[3] for x in own)):
+                # The lines keep what they hold beside the notice that runs over their ends.
+                out.append((first, start, *whole))
+                for k in range(first, last + 1):
+                    rest = self._runs(lines[k][:start]) if k == first else []
+                    if k == last:
+                        rest = rest + [(end + w, *x) for w, *x in self._runs(lines[k][end:])]
+                    found[k] = rest
+        return sorted(out + [(k, *x) for k, rows in found.items() for x in rows])
+
+    def _seams(self, lines: list[list[str]]) -> list[tuple[int, int, int, int]]:
+        """(first line, last line, first word, end word) of template word pairs in a row, at most 40 words, that run over line ends.
+
+        A blank line parts notices.
+        """
         out = []
-        for k, paragraph in enumerate(text.split("\n")):
-            tokens = words(paragraph)
-            # A statement has a word pair of the templates; most paragraphs end here.
-            known = list(map(self.number.get, tokens, repeat(0)))
-            if not any(known):
+        k = 0
+        while k + 1 < len(lines):
+            if not (lines[k] and lines[k + 1] and (lines[k][-1], lines[k + 1][0]) in self.features):
+                k += 1
                 continue
-            pairs = any(a and b and (x, y) in self.features for a, b, x, y in zip(known, known[1:], tokens, tokens[1:]))
-            if (pairs or len(tokens) == 1) and (found := self._near(paragraph, tokens)):
-                out.append((k, *found))
+            start = len(lines[k]) - 1
+            while start and len(lines[k]) - start < 20 and (lines[k][start - 1], lines[k][start]) in self.features:
+                start -= 1
+            size, last, end = len(lines[k]) - start + 1, k + 1, 1
+            while size < 40:
+                if end < len(lines[last]):
+                    if (lines[last][end - 1], lines[last][end]) not in self.features:
+                        break
+                    end += 1
+                elif last + 1 < len(lines) and lines[last + 1] and (lines[last][-1], lines[last + 1][0]) in self.features:
+                    last, end = last + 1, 1
+                else:
+                    break
+                size += 1
+            out.append((k, last, start, end))
+            k = last
         return out
 
-    def _near(self, paragraph: str, tokens: list[str]):
-        """The statement in a paragraph; in long ones, the surest of its overlapping windows of 40 words."""
+    def _pairs(self, tokens: list[str]) -> list[int]:
+        """Places of the word pairs that the templates hold, too; of a single word, 0 if they hold it."""
+        known = list(map(self.number.get, tokens, repeat(0)))
+        if not any(known):
+            return []
+        if len(tokens) == 1:
+            return [0]
+        return [k for k, (a, b, x, y) in enumerate(zip(known, known[1:], tokens, tokens[1:])) if a and b and (x, y) in self.features]
+
+    def _runs(self, tokens: list[str]) -> list[tuple[int, str, float, float, bool]]:
+        """(word, family, ...) of the statements in a line: in long ones, of each run of overlapping windows of 40 words with one family."""
+        # A statement has a word pair of the templates; most lines end here.
+        if not (pairs := self._pairs(tokens)):
+            return []
         if len(tokens) <= 40:
-            return self.judge(paragraph)
-        found = [x for k in range(0, len(tokens) - 20, 20) if (x := self.judge(" ".join(tokens[k : k + 40])))]
-        return max(found, key=lambda x: (x[0] != UNKNOWN, x[3], x[1]), default=None)
+            return [(0, *x)] if (x := self.judge_words(tokens)) else []
+        runs: list[list] = []  # first word, end, verdicts
+        for k in range(0, len(tokens) - 20, 20):
+            if x := self.judge_words(tokens[k : k + 40]):
+                if runs and runs[-1][1] == k + 20 and runs[-1][2][0][0] == x[0]:
+                    runs[-1][1] = k + 40
+                    runs[-1][2].append(x)
+                else:
+                    runs.append([k, k + 40, [x]])
+        known = [(k, end) for k, end, x in runs if x[0][0] != UNKNOWN]
+        out = []
+        for k, end, x in runs:
+            # An unknown window that only holds the edge of a known statement's words tells nothing more.
+            if x[0][0] == UNKNOWN and all(any(a <= p < b for a, b in known) for p in pairs if k <= p < end - 1):
+                continue
+            out.append((k, *max(x, key=lambda v: (v[3], v[1]))))
+        return out
 
 
 def _fit(rows: list[set[int]], target: np.ndarray, classes: int, features: int, epochs: int = 60, rate: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -202,14 +264,15 @@ def background(docs: DataFrame, limit: int = SAMPLE, size: int = SAMPLE_BYTES) -
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph (from 0), family, probability, similarity, confirmed: a row per licence statement.
+    """doc_id, paragraph (from 0), word (from 0), family, probability, similarity, confirmed: a row per licence statement.
 
+    ``word`` is where in the paragraph the statement's window begins: 0 in lines of up to 40 words.
     Null and empty texts have none. Repeated rows are each reported. Other columns are ignored.
     """
     model = model or train(background(docs))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "paragraph", "family", "probability", "similarity", "confirmed"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+    names = ["doc_id", "paragraph", "word", "family", "probability", "similarity", "confirmed"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
 
     def make():
         own = held.value
@@ -221,4 +284,4 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return work
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(narrow, make, "doc_id long, paragraph long, family string, probability double, similarity double, confirmed boolean")
+    return map_batches(narrow, make, "doc_id long, paragraph long, word long, family string, probability double, similarity double, confirmed boolean")

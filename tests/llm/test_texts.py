@@ -135,6 +135,17 @@ def test_licences(spark, docs, odd_docs, no_docs):
     assert license.train([]).judge("Released under the MIT License.")[0] == "MIT"
 
 
+def test_license_long_lines_and_wrapped_notices():
+    model = license.train([])
+    filler = " ".join(["water flows down the old river to the quiet sea"] * 12)
+    line = f"{filler} Released under the MIT License. {filler} Licensed under the Apache License, Version 2.0. {filler}"
+    got = model.statements(line)
+    assert [x[2] for x in got] == ["MIT", "Apache"] and all(x[0] == 0 and x[5] for x in got) and 60 < got[0][1] < 121 < got[1][1]
+    for notice, family in (("it under the terms of the GNU General\nPublic License as published by the Free Software\nFoundation", "GPL"), ("Licensed under the GNU Affero\nGeneral Public License, version 3", "AGPL")):
+        assert [(x[2], x[5]) for x in model.statements(f"Some words here\n\n{notice}\n\nmore words")] == [(family, True)]
+    assert [x[2] for x in model.statements("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")] == ["MIT", "Apache"]
+
+
 def test_pipeline(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     from tests.llm.test_near_duplicates import brute_fingerprint, brute_groups
