@@ -6,27 +6,31 @@ Seeds on one diagonal form maximal matches; the longest match of unmarked tokens
 and again, so passages count in any order and no token counts twice. An item is leaked where the
 marked share of its tokens reaches ``COVERAGE``.
 
-The benchmark is dealt into blocks of at most about ``BLOCK_BYTES`` of text, each of which is
-broadcast to one scan of the texts, so a benchmark of any size is handled with bounded memory.
+A benchmark of at most ``BLOCK_BYTES`` of text (counted first) is broadcast, and texts are tiled in
+one scan, without a shuffle. A larger one stays a table: the texts' seeds are joined with its own,
+and the pairs of texts and items whose joined seeds reach the coverage come together and are tiled.
+A bitmap of the benchmark's seeds, ``BITMAP_BITS`` at most, keeps most other seeds from the join.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 import re
 from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catchment.llm.common import map_batches
+from catchment.llm.common import map_batches, stored
 
 MIN_MATCH, COVERAGE = 5, 0.5
 BLOCK_BYTES = 16 << 20
+#: Bits of the seed bitmap, at most: 64 MB.
+BITMAP_BITS = 1 << 29
 
 _TOKENS = re.compile(r"\w+").findall
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -136,16 +140,120 @@ class Items:
         return out
 
 
-def _blocks(benchmark: DataFrame, min_match: int, block_bytes: int) -> list:
-    """Broadcast ``Items``, one for each block of the benchmark."""
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, math.ceil(size / block_bytes))
-    deal = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    for k in range(count):
-        block = [(r["item_id"], r["text"]) for r in rows.where(deal == k).collect()]
-        yield spark.sparkContext.broadcast(Items(block, min_match))
+def _narrow(table: DataFrame, key: str) -> DataFrame:
+    return table.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
+
+
+def _small(benchmark: DataFrame, block_bytes: int) -> bool:
+    """Whether the benchmark's text, 64 bytes a row added, has at most ``block_bytes``."""
+    return (benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0) <= block_bytes
+
+
+def _broadcast(benchmark: DataFrame, min_match: int):
+    """Broadcast ``Items`` of a small benchmark."""
+    rows = [(r["item_id"], r["text"]) for r in benchmark.collect()]
+    return benchmark.sparkSession.sparkContext.broadcast(Items(rows, min_match))
+
+
+def _codes(words: list[str], width: int) -> np.ndarray:
+    """A hash of every run of ``width`` words; it needs no table of word numbers."""
+    return rolling(np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64), width)
+
+
+def item_seeds(items: DataFrame, min_match: int) -> DataFrame:
+    """item, size, width, code, place: every seed of every row of ``items`` (item, text)."""
+    names = ["item", "size", "width", "code", "place"]
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [[], [], [], [], []]
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = tokens(text)
+                width = min(min_match, len(words))
+                codes = _codes(words, width).view(np.int64) if words else []
+                for column, values in zip(columns, ([item] * len(codes), [len(words)] * len(codes), [width] * len(codes), codes, range(len(codes)))):
+                    column.extend(values)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(x, pa.int64()) for x in columns[1:]]], names)
+
+        return work
+
+    return map_batches(items.select("item", "text"), make, "item string, size long, width long, code long, place long")
+
+
+def seed_bitmap(seeds: DataFrame) -> np.ndarray:
+    """Bits, 16 for each distinct code or ``BITMAP_BITS`` in all, in which the codes' last bits are set."""
+    count = seeds.agg(F.approx_count_distinct("code")).first()[0]
+    size = min(BITMAP_BITS, 1 << max(18, (16 * count).bit_length()))
+    bits = seeds.select(F.col("code").bitwiseAND(F.lit(size - 1)).alias("spot")).selectExpr("shiftright(spot, 3) AS at", "shiftleft(1, CAST(spot & 7 AS INT)) AS bit")
+    bytes_ = bits.groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    # A row for each 4 KB of the bitmap.
+    rows = bytes_.groupBy(F.shiftright("at", 12).alias("block")).agg(F.collect_list(F.struct("at", "bits")).alias("own")).toLocalIterator()
+    bitmap = np.zeros(size // 8, np.uint8)
+    for row in rows:
+        at, bits = np.array(row["own"], np.int64).T
+        bitmap[at] = bits
+    return bitmap
+
+
+def _text_seeds(texts: DataFrame, widths: list[int], bitmap) -> DataFrame:
+    """key, width, code: the distinct seeds of each text whose bits are set in the bitmap."""
+    names = ["key", "width", "code"]
+
+    def make():
+        bits = bitmap.value
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [[], [], []]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = tokens(text)
+                for width in widths:
+                    codes = np.unique(_codes(words, width))
+                    spot = codes & np.uint64(8 * len(bits) - 1)
+                    codes = codes[(bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1].view(np.int64)
+                    for column, values in zip(columns, ([key] * len(codes), [width] * len(codes), codes)):
+                        column.extend(values)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(x, pa.int64()) for x in columns[1:]]], names)
+
+        return work
+
+    return map_batches(texts.select("key", "text"), make, "key string, width long, code long")
+
+
+_FOUND = "coverage double, marked long, item_tokens long, tiles long"
+
+
+def _joined(texts: DataFrame, benchmark: DataFrame, min_match: int, coverage: float) -> DataFrame:
+    """key, item and what ``leaks`` tells of them: each distinct text with each distinct item it leaks.
+
+    ``texts`` has key and text, ``benchmark`` item and text; equal keys have equal texts.
+    """
+    seeds = stored(item_seeds(benchmark, min_match), "seeds")
+    widths = [r["width"] for r in seeds.select("width").distinct().collect()]  # at most ``min_match``
+    bitmap = texts.sparkSession.sparkContext.broadcast(seed_bitmap(seeds))
+    met = _text_seeds(texts, widths, bitmap).join(seeds, ["width", "code"])
+    # Seeds of one item cover no more of it than all tiles can mark.
+    spans = F.explode(F.sequence(F.col("place"), F.col("place") + F.col("width") - 1))
+    reach = met.select("key", "item", "size", spans.alias("token")).groupBy("key", "item", "size").agg(F.count_distinct("token").alias("reach"))
+    pairs = stored(reach.where(F.col("reach") >= coverage * F.col("size")).select("key", "item"), "pairs")
+    both = pairs.join(texts, "key").join(benchmark.withColumnRenamed("text", "item_text"), "item").select("key", "item", "text", "item_text")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for key, item, text, own in zip(*(c.to_pylist() for c in batch.columns)):
+                items = Items([(item, own)], min_match)
+                rows += [(key, item, marked / items.sizes[0], marked, items.sizes[0], n) for _, marked, n in items.leaks(text, coverage)]
+            kinds = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["key", "item", "coverage", "marked", "item_tokens", "tiles"])
+
+        return work
+
+    return map_batches(both, make, "key string, item string, " + _FOUND)
+
+
+def _keyed(table: DataFrame, key: str) -> DataFrame:
+    """``table`` with a key that equal texts share: a null or empty one has none."""
+    return table.where("text is not null and text <> ''").withColumn(key, F.sha2("text", 256))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -155,40 +263,46 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, cov
     table are each reported. Other columns are ignored.
     """
     names = ["doc_id", "item_id", "coverage", "marked", "item_tokens", "tiles"]
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
-    for block in _blocks(benchmark, min_match, block_bytes):
+    docs, benchmark = _narrow(docs, "doc_id"), _narrow(benchmark, "item_id")
+    if not _small(benchmark, block_bytes):
+        texts, items = _keyed(docs, "key"), _keyed(benchmark, "item")
+        found = _joined(texts.select("key", "text").distinct(), items.select("item", "text").distinct(), min_match, coverage)
+        return found.join(texts.select("key", "doc_id"), "key").join(items.select("item", "item_id"), "item").select(names)
+    held = _broadcast(benchmark, min_match)
 
-        def make(block=block):
-            items = block.value
+    def make():
+        items = held.value
 
-            def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-                rows = [
-                    (key, items.keys[k], marked / items.sizes[k], marked, items.sizes[k], n)
-                    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                    for k, marked, n in items.leaks(text, coverage)
-                ]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [
+                (key, items.keys[k], marked / items.sizes[k], marked, items.sizes[k], n)
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for k, marked, n in items.leaks(text, coverage)
+            ]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-            return work
+        return work
 
-        part = map_batches(narrow, make, "doc_id long, item_id long, coverage double, marked long, item_tokens long, tiles long")
-        found = part if found is None else found.unionByName(part)
-    return found
+    return map_batches(docs, make, "doc_id long, item_id long, " + _FOUND)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that leak an item; all columns are kept, and nothing is shuffled."""
-    for block in _blocks(benchmark, min_match, block_bytes):
+    """``docs`` without the rows that leak an item; all columns are kept."""
+    benchmark = _narrow(benchmark, "item_id")
+    if not _small(benchmark, block_bytes):
+        texts, items = _keyed(docs.select(F.col(text).cast("string").alias("text")), "key"), _keyed(benchmark, "item")
+        found = _joined(texts.distinct(), items.select("item", "text").distinct(), min_match, coverage)
+        dirty = found.select(F.col("key").alias("_leak")).distinct()
+        return docs.join(dirty, F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("_leak"), "left_anti")
+    held = _broadcast(benchmark, min_match)
 
-        def make(block=block, at=docs.columns.index(text)):
-            items = block.value
+    def make(at=docs.columns.index(text)):
+        items = held.value
 
-            def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-                return batch.filter(pa.array([not items.leaks(x, coverage) for x in batch.column(at).to_pylist()], pa.bool_()))
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array([not items.leaks(x, coverage) for x in batch.column(at).to_pylist()], pa.bool_()))
 
-            return work
+        return work
 
-        docs = map_batches(docs, make, docs.schema)
-    return docs
+    return map_batches(docs, make, docs.schema)

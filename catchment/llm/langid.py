@@ -3,13 +3,18 @@
 Every byte of a text gets a label distribution from a forward and a backward state; a document's
 prediction is the mean over its positions. The network is trained in numpy by backpropagation
 through time on a bounded sample of labelled rows (``SAMPLE_DOCS`` for each language, a window of
-``SAMPLE_BYTES`` from a place in the text that its hash picks). Prediction reads every byte of
-every text: texts are cut into stretches that run side by side.
+``SAMPLE_BYTES`` from a place in the text that its hash picks). One more class, learned from drawn
+noise (codes, random characters, scripts that no learned language uses), stands for text in no
+learned language; its mean over a document's words is the document's ``foreign``.
+
+Prediction reads every byte of every text: texts are cut into stretches that run side by side, each
+with some bytes of its neighbours before and after, whose labels don't count.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,9 +25,13 @@ from pyspark.sql import types as T
 
 from catchment.llm.common import map_batches
 
-#: Labelled documents of each language, bytes of each, and languages, that training uses at most.
-SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 250, 512, 64
-HIDDEN, STRETCH, EPOCHS, SEED = 6, 64, 10, 7
+#: Labelled documents of each language, and bytes of each, that training uses at most.
+SAMPLE_DOCS, SAMPLE_BYTES = 250, 512
+HIDDEN, STRETCH, EPOCHS, SEED = 8, 64, 10, 7
+#: Bytes of a stretch in prediction, and of its neighbours on either side.
+WIDE, CONTEXT = 128, 16
+#: A document is in no learned language from this mean probability of the noise class on.
+FOREIGN_AT = 0.8
 #: Stretches that a task runs side by side, at most.
 LANES = 4096
 UNKNOWN = "und"
@@ -32,7 +41,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass
 class Network:
-    """Weights: for each direction the input table (256 x 3H), recurrent matrix (3H x H), bias of the candidate; then the output layer."""
+    """Weights: for each direction the input table (256 x 3H) and recurrent matrix (3H x H); then the output layer.
+
+    The output layer has a row for each label and a last one for text in none of these languages.
+    """
 
     labels: list[str]
     table: list[np.ndarray]
@@ -48,8 +60,8 @@ class Network:
             labels,
             [draw(256, 3 * hidden, s=0.4) for _ in range(2)],
             [draw(3 * hidden, hidden, s=hidden**-0.5) for _ in range(2)],
-            draw(len(labels), 2 * hidden, s=hidden**-0.5),
-            np.zeros((len(labels), 1), np.float32),
+            draw(len(labels) + 1, 2 * hidden, s=hidden**-0.5),
+            np.zeros((len(labels) + 1, 1), np.float32),
         )
 
     def parameters(self) -> list[np.ndarray]:
@@ -142,15 +154,46 @@ def stretches(texts: list[bytes], width: int = STRETCH) -> tuple[np.ndarray, np.
     return np.lib.stride_tricks.sliding_window_view(flat, width)[begin] if len(owner) else np.empty((0, width), np.uint8), real, owner
 
 
+#: First and last code points of scripts that noise is drawn from.
+_SCRIPTS = [(0x370, 0x3FF), (0x400, 0x4FF), (0x590, 0x5FF), (0x600, 0x6FF), (0x900, 0x97F), (0xE00, 0xE7F), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+
+
+def noise(count: int, size: int, seed: int, known: list[bytes] = ()) -> list[bytes]:
+    """``count`` texts of up to ``size`` bytes in no language.
+
+    In turn: hexadecimal and base-64 codes, printable ASCII, keys hit at random, digits and signs,
+    scripts of which ``known`` texts hold no letter.
+    """
+    r = np.random.default_rng(seed)
+    used = {c for x in known for c in set(x.decode("utf-8", "ignore"))}
+    scripts = [(a, b) for a, b in _SCRIPTS if not any(a <= ord(c) <= b for c in used)]
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=", "".join(map(chr, range(33, 127))), "asdfghjklqwxzvbnm", "0123456789.,:;-+%#*/()[]{}<>|=_"]
+    out = []
+    for k in range(count):
+        n = int(r.integers(size // 8, size))
+        kind = k % (len(alphabets) + 2 * bool(scripts))
+        if kind < len(alphabets):
+            letters = np.array(list(alphabets[kind]))
+        else:
+            low, high = scripts[int(r.integers(len(scripts)))]
+            letters = np.array([chr(c) for c in r.integers(low, high + 1, 40)])
+        drawn = r.choice(letters, n)
+        if k % 2 or kind >= len(alphabets):
+            drawn[r.random(n) < 0.12] = " "
+        out.append("".join(drawn).encode()[:size])
+    return out
+
+
 def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Fits the network by Adam on stretches of the texts; every position has its text's label."""
+    """Fits the network by Adam on stretches of the texts and of noise; every position has its text's label."""
     names = sorted(set(labels))
-    net = Network.new(names or [UNKNOWN], hidden, seed)
-    data, real, owner = stretches(texts)
-    if len(names) < 2 or not len(data):
-        return net
+    net = Network.new(names, hidden, seed)
     place = {name: k for k, name in enumerate(names)}
-    target = np.array([place[x] for x in labels])[owner]
+    drawn = noise(max(1, len(texts) // max(1, len(names))), SAMPLE_BYTES, seed, texts) if texts else []
+    data, real, owner = stretches([*texts, *drawn])
+    if not len(data):
+        return net
+    target = np.array([place[x] for x in labels] + [len(names)] * len(drawn))[owner]
     r = np.random.default_rng(seed)
     weights = net.parameters()
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
@@ -170,29 +213,63 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: i
     return net
 
 
+def in_words(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which bytes are in words: runs of letters (any byte beyond ASCII is one) that hold no digit or underscore.
+
+    ``starts`` are the places where texts begin, so that no run goes on into the next text.
+    """
+    letter = (flat >= 0x80) | ((flat | 0x20) - np.uint8(ord("a")) < 26)
+    other = (flat - np.uint8(ord("0")) < 10) | (flat == ord("_"))
+    edge = np.ones(len(flat), bool)
+    edge[1:] = (letter | other)[1:] != (letter | other)[:-1]
+    edge[starts] = True
+    begin = np.flatnonzero(edge)
+    mixed = np.add.reduceat(other, begin) > 0
+    return letter & ~np.repeat(mixed, np.diff(np.append(begin, len(flat))))
+
+
 def predict(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Mean label distribution over all positions of each text (texts x labels); zero for empty ones."""
-    data, real, owner = stretches(texts)
-    total = np.zeros((len(texts), len(net.labels)))
+    """Mean distribution over the positions of each text (texts x labels and one more for no language); zero for empty ones.
+
+    The last column is the mean over the bytes in words, as numbers and codes are in no language;
+    over all bytes, where a text has no word.
+    """
+    sizes = np.array([len(x) for x in texts], np.int64)
+    counts = -(-sizes // WIDE)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    core = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * WIDE
+    # A stretch's bytes in its text: its own from ``core`` on, and those around it.
+    begin = np.maximum(core - CONTEXT, 0)
+    low = core - begin
+    high = np.minimum(core + WIDE, sizes[owner]) - begin
+    real = np.minimum(core + WIDE + CONTEXT, sizes[owner]) - begin
+    flat = np.frombuffer(b"".join(texts) + bytes(WIDE + 2 * CONTEXT), np.uint8)
+    firsts = np.cumsum(sizes) - sizes
+    begin += firsts[owner]
+    worded = in_words(flat, firsts)
+    lone = np.add.reduceat(worded, firsts, dtype=np.int64) * (sizes > 0) if len(sizes) else sizes
+    worded |= np.repeat(np.append(lone == 0, True), np.append(sizes, WIDE + 2 * CONTEXT))
+    total = np.zeros((len(texts), len(net.labels) + 1))
     order = np.argsort(-real, kind="stable")  # full stretches first, so that lanes end together
     for k in range(0, len(order), LANES):
         own = order[k : k + LANES]
         width = int(real[own].max())
-        steps = np.ascontiguousarray(data[own, :width].T)
-        mask = np.arange(width)[:, None] < real[own]
-        forward, _ = _run(net, 0, steps)
+        places = np.arange(width)[:, None]
+        steps = flat[begin[own] + places]
         # The backward pass begins at each stretch's last byte.
-        turned = np.where(mask, real[own] - 1 - np.arange(width)[:, None], np.arange(width)[:, None])
-        short = not mask.all()
+        short = int(real[own].min()) < width
+        turned = np.where(places < real[own], real[own] - 1 - places, places) if short else None
+        forward, _ = _run(net, 0, steps)
         back = np.take_along_axis(steps, turned, 0) if short else steps[::-1]
         backward, _ = _run(net, 1, np.ascontiguousarray(back))
         backward = np.take_along_axis(backward, turned[:, None, :], 0) if short else backward[::-1]
         p = _probabilities(net, forward, backward)
-        if short:
-            p *= mask[:, None]
+        p *= ((places >= low[own]) & (places < high[own]))[:, None]
+        p[:, -1] *= worded[begin[own] + places]
         np.add.at(total, owner[own], p.sum(0).T)
-    sizes = np.array([len(x) for x in texts])[:, None]
-    return total / np.maximum(sizes, 1)
+    total[:, :-1] /= np.maximum(sizes, 1)[:, None]
+    total[:, -1] /= np.where(lone > 0, lone, np.maximum(sizes, 1))
+    return total
 
 
 def held_out(doc_id: Column) -> Column:
@@ -201,21 +278,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, docs_each: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> tuple[list[bytes], list[str]]:
-    """A bounded labelled sample: windows of ``size`` bytes, about ``docs_each`` texts of each language.
+    """A bounded labelled sample: windows of ``size`` bytes, at most ``docs_each`` texts of each language.
 
-    Rows are picked by a hash of the text, at a rate set by their language's count; at most
-    ``docs_each`` of each of the ``LANGUAGES`` largest languages come to the driver's model.
+    Rows are picked by a hash of doc_id and length, at a rate set by their language's count. Every
+    language has its rows, so the sample grows with the number of languages only.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return [], []
     pick = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.lit(0.0)
-    for row in counts:
-        rate = F.when(F.col("lang") == row["lang"], min(1.0, 1.5 * docs_each / row["count"])).otherwise(rate)
+    rates = F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], min(1.0, 1.5 * docs_each / row["count"]))])
     spot = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.greatest(F.lit(1), F.length("text") - size + 1)).cast("int") + 1
-    rows = known.where(pick < rate).select("lang", F.substring("text", spot, F.lit(size)).alias("text"), pick.alias("pick"), "doc_id")
+    rows = known.where(pick < rates[F.col("lang")]).select("lang", F.substring("text", spot, F.lit(size)).alias("text"), pick.alias("pick"), "doc_id")
     seen: dict[str, int] = {}
     texts, labels = [], []
     for row in rows.orderBy("pick", "doc_id").limit(2 * docs_each * len(counts)).collect():
@@ -231,26 +306,53 @@ def fit(docs: DataFrame, **options) -> Network:
     return train(*training_rows(docs), **options)
 
 
+def judged(net: Network, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and foreign of each whole text; see ``identify``."""
+    good = [bool(net.labels and x and _LETTER.search(x)) for x in texts]
+    p = predict(net, [x.encode() if ok else b"" for x, ok in zip(texts, good)])
+    best = p[:, :-1].argmax(1) if net.labels else [0] * len(texts)
+    lang = [net.labels[k] if ok else UNKNOWN for k, ok in zip(best, good)]
+    score = [min(1.0, float(row[k])) if ok else 0.0 for row, k, ok in zip(p, best, good)]
+    return lang, score, [min(1.0, float(row[-1])) if ok else 1.0 for row, ok in zip(p, good)]
+
+
 def identify(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to ``docs``; columns of those names are replaced, all others kept.
+    """Adds lang_pred, score and foreign to ``docs``; columns of those names are replaced, all others kept.
 
-    Null texts and texts without a letter are ``und`` with score 0. Repeated rows get the same
-    prediction. The score is the mean probability of the predicted language over all bytes.
+    Null texts and texts without a letter are ``und`` with score 0 and foreign 1, as are all texts
+    where the network has learned no language. Repeated rows get the same prediction. The score is
+    the mean probability of the predicted language over all bytes, foreign that of none of them over
+    the bytes in words.
     """
-    docs = docs.drop("lang_pred", "score")
+    added = ["lang_pred", "score", "foreign"]
+    docs = docs.drop(*added)
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("foreign", T.DoubleType())])
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(names.index(text)).to_pylist()
-            good = [bool(x and _LETTER.search(x)) for x in texts]
-            p = predict(net, [x.encode() if ok else b"" for x, ok in zip(texts, good)])
-            best = p.argmax(1)
-            lang = [net.labels[k] if ok else UNKNOWN for k, ok in zip(best, good)]
-            score = [min(1.0, float(row[k])) if ok else 0.0 for row, k, ok in zip(p, best, good)]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            lang, score, foreign = judged(net, batch.column(names.index(text)).to_pylist())
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(foreign, pa.float64())], [*names, *added])
 
         return work
 
     return map_batches(docs, make, schema)
+
+
+def in_languages(docs: DataFrame, net: Network, languages: Collection[str] | None = None, foreign_at: float = FOREIGN_AT, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text is in no learned language, or in none of ``languages``.
+
+    A row goes where the network gives no language the mean probability ``foreign_at`` or more over
+    its words, where its predicted language isn't wanted, and where its text is null or letterless.
+    Columns are kept as they are.
+    """
+    wanted = set(net.labels if languages is None else languages)
+
+    def make(at=docs.columns.index(text)):
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lang, _, foreign = judged(net, batch.column(at).to_pylist())
+            return batch.filter(pa.array([x in wanted and f < foreign_at for x, f in zip(lang, foreign)], pa.bool_()))
+
+        return work
+
+    return map_batches(docs, make, docs.schema)
