@@ -7,37 +7,48 @@ table that is written as Parquet and read again for the next. All but the last r
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchment.llm.bpe import encode_documents
 from catchment.llm.common import short_batches, stored
 from catchment.llm.decontaminate import without_leaks
-from catchment.llm.langid import UNKNOWN, fit, identify
+from catchment.llm.langid import fit, in_languages
 from catchment.llm.queries import tokenizer_path
 from catchment.llm.simhash import simhash_groups
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language; null and letterless texts go.
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: Collection[str] | None = None) -> DataFrame:
+    """Keeps documents that the network finds to be in a language: any learned one, or one of ``languages``.
 
-    No score is too low: very short clean texts are less sure than junk is.
+    Texts whose words the network gives to no language (codes, random letters, other scripts), and
+    null and letterless texts, go.
     """
     short_batches(spark)
-    found = identify(docs, fit(docs))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    return in_languages(docs, fit(docs), languages)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each near-duplicate group.
 
-    Rows that repeat a doc_id count as one document. Rows without doc_id can't be told apart and stay.
+    Rows that repeat a doc_id are documents of their own, as are rows without one, which come last;
+    ties go to the lesser text, and of equal rows any one stays.
     """
     short_batches(spark)
-    groups = simhash_groups(docs)
-    keepers = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if odd.isEmpty():
+        keepers = simhash_groups(docs).where("doc_id = component_id").select("doc_id")
+        return docs.join(keepers, "doc_id", "left_semi").select(docs.columns)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    groups = simhash_groups(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"), F.col(row))
+    keepers = keyed.select(row, order.alias("order")).join(groups, row).groupBy("component_id").agg(F.min_by(row, "order").alias(row))
+    return keyed.join(keepers, row, "left_semi").select(docs.columns)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
