@@ -3,13 +3,16 @@
 Each vector is described by the ordered numbers of its nearest pivots (reference vectors). Inverted
 lists, one for each label and pivot, gather the vectors that name the pivot among their ``NEAREST``;
 pairs in a list that share at least ``SHARED`` pivots are candidates, and each candidate is verified
-by its cosine in double precision, in the list of the smallest pivot that both name. Lists longer
-than a tile are cut into tiles, and each pair of tiles is one unit of work, so no list is too long
-for a task. Pairs stay inside the tasks: they give counts and spanning edges only.
-
-Pivots are drawn from a bounded sample of ``SAMPLE`` times their number and kept well apart; their
-number grows with the root of the vectors', up to ``MOST_PIVOTS``. Every vector is indexed. Vectors
-of a length that no pivot has share one list for each label.
+by its cosine in double precision, in the list of the smallest pivot that both name. A list longer
+than a tile is split by the second pivot that a candidate of it must share, so that lists stay
+short as the vectors grow in number. What is still longer than a tile, as vectors that are all
+alike, is cut into tiles, and each pair of tiles is one unit of work, so no list is too long for a
+task. Pairs stay inside the tasks: they give counts and spanning edges only.
+
+Pivots are drawn from a bounded sample of ``SAMPLE`` times their number and kept well apart, seen
+from the sample's mean, so that vectors in a narrow cone have as many; their number grows with the
+root of the vectors', up to ``MOST_PIVOTS``. Every vector is indexed. Vectors of a length that no
+pivot has share one list for each label.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ TILE = 1024
 
 
 def pivots(vectors: DataFrame) -> np.ndarray:
-    """Unit pivots, no two closer than ``APART``; all of one length, the most frequent in the sample."""
+    """Unit pivots, all of one length, the most frequent in the sample; seen from its mean, no two have a cosine over ``APART``."""
     count = vectors.count()
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(2 * math.sqrt(count))))
     # A rate set by the count, so that tasks send the driver few rows in all.
@@ -43,14 +46,15 @@ def pivots(vectors: DataFrame) -> np.ndarray:
     if not sizes:
         return np.empty((0, 0))
     common = max(sorted(set(sizes)), key=sizes.count)
-    chosen = np.empty((0, common))
-    for r in rows:
-        if len(r["embedding"]) == common and len(chosen) < wanted:
-            x = np.asarray(r["embedding"], float)
-            x /= np.linalg.norm(x)
-            if not len(chosen) or (chosen @ x).max() < APART:
-                chosen = np.vstack([chosen, x])
-    return chosen
+    x = np.array([r["embedding"] for r in rows if len(r["embedding"]) == common], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    around = x - x.mean(0)
+    around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-12)
+    chosen: list[int] = []
+    for k in range(len(x)):
+        if len(chosen) < wanted and (not chosen or (around[chosen] @ around[k]).max() < APART):
+            chosen.append(k)
+    return x[chosen]
 
 
 def permutations(vectors: DataFrame, chosen: np.ndarray, nearest: int = NEAREST) -> DataFrame:
@@ -81,14 +85,17 @@ def permutations(vectors: DataFrame, chosen: np.ndarray, nearest: int = NEAREST)
     return map_batches(vectors.select("rep", "label", "times", "embedding"), make, "rep long, label int, size long, times long, embedding array<float>, near array<long>")
 
 
-def _tile_links(rep: np.ndarray, times: np.ndarray, x: np.ndarray, near: np.ndarray, side: np.ndarray, pivot: int, shared: int, cosine: float):
-    """(rep, links, root) of the vectors linked in one pair of tiles; side tells the tiles apart (all 0: one tile)."""
+def _tile_links(rep: np.ndarray, times: np.ndarray, x: np.ndarray, near: np.ndarray, side: np.ndarray, pivot: int, second: int, shared: int, cosine: float):
+    """(rep, links, root) of the vectors linked in one pair of tiles; side tells the tiles apart (all 0: one tile).
+
+    Pairs that share a smaller pivot than ``pivot``, or one between it and ``second`` (-1: none), are another list's.
+    """
     n, width = near.shape
     x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     names, local = np.unique(near, return_inverse=True)
     member = np.zeros((n, len(names)), np.float32)
     member[np.arange(n)[:, None], local.reshape(n, width)] = 1
-    low = member[:, names < pivot]
+    low = member[:, (names < pivot) | ((names > pivot) & (names < second))]
     links, u, v = np.zeros(n, np.int64), [], []
     a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(n), np.arange(n))
     for k in range(0, len(a), TILE):
@@ -116,10 +123,17 @@ def _tile_links(rep: np.ndarray, times: np.ndarray, x: np.ndarray, near: np.ndar
 def candidate_links(indexed: DataFrame, shared: int = SHARED, cosine: float = COSINE, tile: int = TILE) -> DataFrame:
     """rep, links, root: from every inverted list, what it found for a vector."""
     lists = indexed.withColumn("pivot", F.explode("near"))
-    keys = ["label", "size", "pivot"]
-    # Only long lists need tiles; their sizes come from the keys alone.
-    long = stored(lists.groupBy(*keys).count().where(F.col("count") > tile).select(*keys, F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "tiles")
-    rows = lists.join(long, keys, "left")
+    # Only long lists are split, and only what is long then needs tiles; sizes come from the keys alone.
+    if shared > 1:
+        key = ["label", "size", "pivot"]
+        long = stored(lists.groupBy(*key).count().where((F.col("count") > tile) & (F.col("pivot") >= 0)).select(*key, F.lit(True).alias("long")), "long")
+        later = F.filter("near", lambda q: q > F.col("pivot"))
+        lists = lists.join(long, key, "left").withColumn("next", F.explode(F.when(F.col("long"), later).otherwise(F.array(F.lit(-1).cast("long")))))
+    else:
+        lists = lists.withColumn("next", F.lit(-1).cast("long"))
+    keys = ["label", "size", "pivot", "next"]
+    tiled = stored(lists.groupBy(*keys).count().where(F.col("count") > tile).select(*keys, F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "tiles")
+    rows = lists.join(tiled, keys, "left")
     own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     other = F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
@@ -133,7 +147,7 @@ def candidate_links(indexed: DataFrame, shared: int = SHARED, cosine: float = CO
 
         def done():
             part = [np.concatenate(x) for x in zip(*held)]
-            found = _tile_links(part[0], part[1], part[2], part[3], part[4], key[2], shared, cosine)
+            found = _tile_links(part[0], part[1], part[2], part[3], part[4], key[2], key[3], shared, cosine)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
 
         for batch in batches:

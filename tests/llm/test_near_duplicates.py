@@ -107,6 +107,28 @@ def brute_vectors(rows):
     return out
 
 
+@pytest.mark.parametrize("centre, least", [(0.0, 0.97), (4.0, 0.9)])
+def test_recall_of_pairs_near_the_threshold(spark, centre, least):
+    """Planted pairs of cosine 0.98 to 0.985, in all directions and in a cone of mean cosine 0.94; long lists are split."""
+    r = np.random.default_rng(8)
+    n, width = 3000, 48
+    base = r.standard_normal((n, width))
+    base[:, 0] += centre * width**0.5
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turn = r.standard_normal((n, width))
+    turn -= (turn * base).sum(1, keepdims=True) * base
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    cosine = r.uniform(0.9801, 0.985, (n, 1))
+    pairs = cosine * base + np.sqrt(1 - cosine**2) * turn
+    data = np.concatenate([base, pairs]).astype(np.float32)
+    unit = data.astype(float) / np.linalg.norm(data.astype(float), axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(data)], "vec_id long, embedding array<float>, label int")
+    got = {x["vec_id"]: x["n_links"] for x in neardup_vectors.near_vectors(table).collect()}
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert want.sum() >= 2 * n and all(got[k] <= want[k] for k in range(2 * n))
+    assert sum(got.values()) / want.sum() > least
+
+
 @pytest.mark.parametrize("tile", [1024, 16])
 def test_vectors_against_brute_force(spark, tile, monkeypatch):
     monkeypatch.setattr(neardup_vectors, "TILE", tile)
