@@ -7,7 +7,8 @@ domains (``domain``), and the host with each leading run of path segments (``pre
 join is an equi-join on kind and key with the fetch time inside the interval.
 
 Only built-in functions and joins are used. Captures are reduced to distinct (url, fetched_at)
-before the join, and the join carries keys only.
+before the join, and keys are only made of the kinds and depths that the list has; so a top-level
+domain is a key only where the list names one. The join carries keys only.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from catchment.llm.common import stored
+
 
 def host_of(url: Column) -> Column:
     """Lower-cased host without user, port and final dot; "" if there is none."""
@@ -41,17 +44,37 @@ def intervals(entries: DataFrame) -> DataFrame:
     return log.where("action = 'add'").select("kind", "key", "category", F.col("listed_at").alias("valid_from"), "valid_to")
 
 
-def capture_keys(captures: DataFrame) -> DataFrame:
-    """url, fetched_at, kind, key for each distinct capture."""
+def capture_keys(captures: DataFrame, depths: dict[str, list[int]] | None = None) -> DataFrame:
+    """url, fetched_at, kind, key for each distinct capture.
+
+    ``depths`` names, for each kind, the numbers of labels or segments of the keys to make; all, if
+    it is left out.
+    """
     rows = captures.select("url", "fetched_at").distinct().where("url is not null and fetched_at is not null")
     rows = rows.withColumn("host", host_of(F.col("url"))).where("host <> ''")
-    labels = F.split("host", r"\.")
-    rows = rows.withColumn("labels", labels).withColumn("segments", F.filter(F.split(path_of(F.col("url")), "/"), lambda x: x != ""))
-    domains = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice("labels", k, F.size("labels")), ".").alias("key")))
-    steps = F.when(F.size("segments") > 0, F.sequence(F.lit(1), F.size("segments"))).otherwise(F.expr("cast(array() as array<int>)"))
-    prefixes = F.transform(steps, lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat("host", F.lit("/"), F.array_join(F.slice("segments", F.lit(1), k), "/")).alias("key")))
-    hosts = F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("key")))
-    return rows.select("url", "fetched_at", F.explode(F.concat(hosts, domains, prefixes)).alias("k")).select("url", "fetched_at", "k.kind", "k.key")
+    rows = rows.withColumn("labels", F.split("host", r"\.")).withColumn("segments", F.filter(F.split(path_of(F.col("url")), "/"), lambda x: x != ""))
+
+    def steps(kind: str, size: Column) -> Column:
+        every = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.expr("cast(array() as array<int>)"))
+        return every if depths is None else F.filter(F.array(*map(F.lit, depths.get(kind, []))).cast("array<int>"), lambda k: (k >= 1) & (k <= size))
+
+    n = F.size("labels")
+    domains = F.transform(steps("domain", n), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice("labels", n - k + 1, k), ".").alias("key")))
+    prefixes = F.transform(steps("prefix", F.size("segments")), lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat("host", F.lit("/"), F.array_join(F.slice("segments", F.lit(1), k), "/")).alias("key")))
+    kinds = [domains, prefixes]
+    if depths is None or "host" in depths:
+        kinds.append(F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("key"))))
+    return rows.select("url", "fetched_at", F.explode(F.concat(*kinds)).alias("k")).select("url", "fetched_at", "k.kind", "k.key")
+
+
+def listed_depths(spans: DataFrame) -> dict[str, list[int]]:
+    """For each kind in the list, how many labels or segments its keys have, each number once.
+
+    The numbers are few: a host has at most 127 labels, a path as many segments as a URL can hold.
+    """
+    size = F.when(F.col("kind") == "domain", F.size(F.split("key", r"\."))).when(F.col("kind") == "prefix", F.size(F.split("key", "/")) - 1).otherwise(0)
+    rows = spans.where("kind in ('host', 'domain', 'prefix')").select("kind", size.alias("depth")).groupBy("kind").agg(F.collect_set("depth").alias("depths"))
+    return {r["kind"]: sorted(r["depths"]) for r in rows.collect()}
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -61,7 +84,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     urls or times, and urls without a host, match nothing: false, 0, "" and null.
     """
     captures = captures.drop("blocked", "n_entries", "categories", "first_listed")
-    keys, spans = capture_keys(captures), intervals(entries)
+    spans = stored(intervals(entries), "spans")
+    keys = capture_keys(captures, listed_depths(spans))
     active = keys.join(spans, ["kind", "key"]).where("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     verdict = active.groupBy("url", "fetched_at").agg(
         F.count("*").alias("n_entries"),
