@@ -3,11 +3,15 @@
 Each line of a text is a paragraph; in long ones, overlapping windows of words are, and a notice that
 runs over line ends is judged whole, where template word pairs go on over the end of a line. Its word 1- to 3-grams that occur in the licence templates are
 the features of a multinomial logistic regression over licence families and ``none``. The model is
-trained on statements built from the templates below (every family's names in every frame) against
-a bounded sample of paragraphs from the corpus. Probabilities are calibrated by a temperature on
-statements and paragraphs kept out of training; a paragraph that is surely some licence, but no
-family surely enough, is ``unknown``. A prediction is confirmed where the paragraph holds most of
-the word n-grams of one of the family's templates.
+trained on statements built from the templates below (every family's names in every frame, and
+paragraphs of the licences' own texts) against a bounded sample of paragraphs from the corpus.
+Probabilities are calibrated by a temperature on paragraphs, frames and licence names kept out of
+training; a paragraph that is surely some licence, but no family surely enough, is ``unknown``. A
+prediction is confirmed where the paragraph holds most of the word n-grams of one of the family's
+templates, or most of its own are in one of the family's texts.
+
+A statement holds a word pair of the templates or is one word of them; a line that has neither is
+not judged.
 """
 
 from __future__ import annotations
@@ -47,6 +51,32 @@ FAMILIES = {
     "CC0": ["CC0 1.0", "CC0 1.0 Universal Public Domain Dedication"],
     "proprietary": ["All rights reserved", "All rights reserved. Unauthorized copying of this file is strictly prohibited", "proprietary and confidential, all rights reserved"],
 }
+#: Paragraphs of the licences' own texts and of the notices that they ask for.
+NOTICES = {
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "Apache": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "GPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "CC0": ["To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."],
+    "CC-BY": ["You are free to share and adapt the material for any purpose, even commercially, under the Creative Commons Attribution licence, as long as you give appropriate credit."],
+}
 FRAMES = [
     "{}", "Licensed under {}.", "Released under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.",
     "Distributed under the terms of the {}.", "This file is part of the project and available under {}.", "This software is licensed under the {}. See LICENSE for details.", "SPDX-License-Identifier: {}",
@@ -82,6 +112,7 @@ class Model:
     def __post_init__(self):
         self.number = {w: k for k, w in enumerate(sorted({w for g in self.features for w in g}), 1)}
         self.templates = {f: [set(zip(*(words(name)[k:] for k in range(n)))) for name in names for n in [min(2, len(words(name)))]] for f, names in FAMILIES.items()}
+        self.notices = {f: [set(zip(words(x), words(x)[1:])) for x in texts] for f, texts in NOTICES.items()}
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         found = [self.features[g] for g in grams(tokens) if g in self.features]
@@ -93,9 +124,11 @@ class Model:
         return p / p.sum()
 
     def similarity(self, family: str, tokens: list[str]) -> float:
-        """Largest share of a template's word n-grams that the paragraph holds."""
+        """Largest share of a name's word n-grams that the paragraph holds, or of its own that one of the family's texts holds."""
         own = {n: set(zip(*(tokens[k:] for k in range(n)))) for n in (1, 2)}
-        return max((len(t & own[len(next(iter(t)))]) / len(t) for t in self.templates.get(family, []) if t), default=0.0)
+        named = max((len(t & own[len(next(iter(t)))]) / len(t) for t in self.templates.get(family, []) if t), default=0.0)
+        pairs = own[2]
+        return max([named, *(len(t & pairs) / min(len(t), len(pairs)) for t in self.notices.get(family, []) if len(pairs) >= 8)])
 
     def judge(self, paragraph: str) -> tuple[str, float, float, bool] | None:
         """(family, probability, similarity, confirmed) of a licence statement; None otherwise."""
@@ -221,19 +254,34 @@ def _fit(rows: list[set[int]], target: np.ndarray, classes: int, features: int,
     return weights, bias
 
 
-def train(background: list[str]) -> Model:
-    """Fits the model on the templates and ``background`` paragraphs, a fifth of both kept for calibration."""
-    named = [(frame.format(name), family) for family, names in FAMILIES.items() for name in names for frame in FRAMES]
-    named += [(frame.format(name), UNKNOWN) for name in OTHERS for frame in FRAMES]
+def examples(background: list[str]) -> tuple[list[str], list[str], np.ndarray]:
+    """Paragraphs, their classes, and which are kept for calibration.
+
+    Kept are every fifth frame with all names, every fourth name of the other licences in all frames,
+    and a fifth of the background; so calibration sees no frame, no unknown licence and no paragraph
+    that training sees.
+    """
+    rows = [(frame.format(name), family, k % 5 == 4) for family, names in FAMILIES.items() for name in names for k, frame in enumerate(FRAMES)]
+    rows += [(frame.format(name), UNKNOWN, j % 4 == 3) for j, name in enumerate(OTHERS) for frame in FRAMES]
+    # A licence's own text, and the two windows of 40 words at its ends.
+    for family, texts in NOTICES.items():
+        for text in texts:
+            own = text.split()
+            rows += [(x, family, False) for x in {text, " ".join(own[:40]), " ".join(own[-40:])} for _ in range(4)]
     plain = [x for x in background if not re.search(r"licen[sc]e|copyright|rights reserved", x, re.I)]
-    named += [(x, NONE) for x in MENTIONS * 3 + plain]
-    tokens = [words(x) for x, _ in named]
+    rows += [(x, NONE, False) for x in MENTIONS * 3] + [(x, NONE, k % 5 == 4) for k, x in enumerate(plain)]
+    return [x for x, _, _ in rows], [c for _, c, _ in rows], np.array([h for _, _, h in rows])
+
+
+def train(background: list[str]) -> Model:
+    """Fits the model on the templates and ``background`` paragraphs; see ``examples`` for what calibrates it."""
+    paragraphs, named, held = examples(background)
+    tokens = [words(x) for x in paragraphs]
     classes = [*FAMILIES, UNKNOWN, NONE]
-    vocabulary = sorted({g for t, (_, c) in zip(tokens, named) if c != NONE for g in grams(t)})
+    vocabulary = sorted({g for t, c in zip(tokens, named) if c != NONE for g in grams(t)})
     features = {g: k for k, g in enumerate(vocabulary)}
     rows = [{features[g] for g in grams(t) if g in features} for t in tokens]
-    target = np.array([classes.index(c) for _, c in named])
-    held = np.arange(len(rows)) % 5 == 4
+    target = np.array([classes.index(c) for c in named])
     weights, bias = _fit([r for r, h in zip(rows, held) if not h], target[~held], len(classes), len(features))
     model = Model(classes, features, weights, bias, 1.0)
     out = np.array([model.scores(t) for t, h in zip(tokens, held) if h])
@@ -248,6 +296,14 @@ def train(background: list[str]) -> Model:
     return model
 
 
+def calibration_error(model: Model, paragraphs: list[str], classes: list[str], bins: int = 10) -> float:
+    """Mean gap between how sure the model is of its best class and how often that is right, over bins of sureness."""
+    p = np.array([model.probabilities(words(x)) for x in paragraphs])
+    sure, right = p.max(1), np.array([model.classes[k] == c for k, c in zip(p.argmax(1), classes)])
+    place = np.minimum((sure * bins).astype(int), bins - 1)
+    return float(sum(abs(sure[place == k].mean() - right[place == k].mean()) * (place == k).mean() for k in set(place.tolist())))
+
+
 def background(docs: DataFrame, limit: int = SAMPLE, size: int = SAMPLE_BYTES) -> list[str]:
     """At most ``limit`` paragraphs of the corpus, one of each sampled text, picked by hash.
 

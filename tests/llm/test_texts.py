@@ -167,6 +167,46 @@ def test_licences(spark, docs, odd_docs, no_docs):
     assert license.train([]).judge("Released under the MIT License.")[0] == "MIT"
 
 
+def test_licence_calibration(docs):
+    """On frames, unknown licences and corpus paragraphs that training did not see."""
+    background = license.background(docs)
+    model = license.train(background)
+    paragraphs, classes, held = license.examples(background)
+    own = [(x, c) for x, c, h in zip(paragraphs, classes, held) if h]
+    assert license.calibration_error(model, [x for x, _ in own], [c for _, c in own]) < 0.05
+    found = [(x[0] if (x := model.judge(p)) else license.NONE) for p, _ in own]
+    assert np.mean([a == c for a, (_, c) in zip(found, own)]) > 0.95
+    assert not [p for (p, c), a in zip(own, found) if c == license.NONE and a != c]
+
+
+def test_licence_scan_against_every_line(docs):
+    """Lines of at most 40 words: the scan finds what judging every single line finds.
+
+    A statement holds a word pair of the templates, or is a single word of them; no line of the table without one names a licence.
+    """
+    model = license.train(license.background(docs))
+    gated = lambda t: bool(set(zip(t, t[1:])) & set(model.features)) or (len(t) == 1 and (t[0],) in model.features)
+    for r in docs.collect():
+        lines = [license.words(x) for x in r["text"].split("\n")]
+        judged = {k for k, t in enumerate(lines) if t and len(t) <= 40 and model.judge_words(t)}
+        want = {k for k in judged if gated(lines[k])}
+        assert not any({"license", "licence", "cc", "rights"} & set(lines[k]) for k in judged - want)
+        got = {k for k, *_ in model.statements(r["text"])}
+        assert want <= got and all(len(lines[k]) > 40 or k in want or model._seams(lines) for k in got)
+
+
+def test_licence_texts():
+    model = license.train([])
+    for family, texts in license.NOTICES.items():
+        for text in texts:
+            found = model.statements(text)
+            # The three GNU licences share the end of their notice.
+            siblings = {"GPL", "LGPL", "AGPL"} if family in ("LGPL", "AGPL") else set()
+            assert {x[2] for x in found} <= {family, license.UNKNOWN} | siblings and any(x[2] == family and x[5] for x in found), (family, text, found)
+    wrapped = license.NOTICES["MIT"][0].replace("charge, to", "charge,\nto").replace("without limitation", "without\nlimitation")
+    assert {x[2] for x in model.statements(wrapped)} == {"MIT"}
+
+
 def test_license_long_lines_and_wrapped_notices():
     model = license.train([])
     filler = " ".join(["water flows down the old river to the quiet sea"] * 12)
