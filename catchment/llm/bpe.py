@@ -57,12 +57,41 @@ class Seen:
         self.young[key] = value
 
 
+#: The pre-token pattern and the normaliser that a file must have.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+
+def check_file(spec: dict) -> None:
+    """Raises ValueError for a tokenizer file that asks for anything that the encoder doesn't do."""
+    model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    normalizers = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers") or []]
+    ids = [*model.get("vocab", {}).values(), *(t["id"] for t in spec.get("added_tokens", []))]
+    faults = {
+        "a model that is not BPE": model.get("type") != "BPE",
+        "options of the model": any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")),
+        "no end of word": not model.get("end_of_word_suffix"),
+        "another normaliser": normalizers != _NORMALIZERS or spec["normalizer"]["normalizers"][1].get("pattern") != {"Regex": r"\s+"},
+        "other pre-tokens": [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[0]["pattern"] != {"Regex": _PATTERN} or steps[1].get("use_regex") or steps[1].get("add_prefix_space"),
+        "a decoder or post-processor": bool(spec.get("decoder") or spec.get("post_processor")),
+        "added tokens that strip or normalise": any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        "ids over 16 bits": max(ids, default=0) >= 1 << 16,
+    }
+    found = [name for name, wrong in faults.items() if wrong]
+    if found:
+        raise ValueError("the tokenizer file has " + ", ".join(found))
+
+
 class ForcedBoundaryBPE:
-    """Encoder and decoder for a byte-level BPE file with word ends (``tokenizers`` JSON)."""
+    """Encoder and decoder for a byte-level BPE file with word ends (``tokenizers`` JSON).
+
+    Files that ask for another normaliser, pattern or decoder, or for ids over 16 bits, are rejected.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_file(spec)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]

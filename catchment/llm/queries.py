@@ -20,7 +20,7 @@ from catchment.llm.warc import SQL as WARC_SQL
 from catchment.llm.warc import archive_pages
 from catchment.llm.wavelet import token_files
 
-#: The tokenizer file of the queries; the operators take any path.
+#: The tokenizer file of the queries; the operators take the path of any file of its kind.
 TOKENIZER = "word_bpe_49k.json"
 
 

@@ -173,7 +173,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     """Encodes ``docs`` (doc_id, text), writes the shards, returns their manifest (a stored table).
 
     Documents are dealt by ranges of doc_id and sorted, so shards follow each other in ascending
-    doc_id order: (part, shard). Null doc_ids come first; repeated ones are kept side by side. A
+    doc_id order: (part, shard). Null doc_ids come first; repeated ones lie in the order of their texts. A
     task writes each file under another name first, so a task run again replaces the same files.
     Manifest: part, shard, path, docs, tokens, start (ids in all shards before).
     """
@@ -208,7 +208,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], columns)
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     shards = stored(dealt.mapInArrow(run, "part long, shard long, path string, docs long, tokens long"), "manifest")
     # Starts in two steps: over the parts (a row each), then inside each part.
     parts = shards.groupBy("part").agg(F.sum("tokens").alias("part_tokens"))

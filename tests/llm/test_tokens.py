@@ -32,6 +32,17 @@ def test_same_ids_as_the_library(spark, library):
         assert mine.decode(ids).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_other_files_are_rejected():
+    with pytest.raises(ValueError, match="normaliser"):
+        bpe.ForcedBoundaryBPE(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_rows_that_repeat_a_doc_id_have_an_order(spark):
+    rows = [(7, "b c d"), (7, "a"), (7, None), (7, "b c d"), (1, "z")]
+    got = [{(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.token_files(spark.createDataFrame(x, "doc_id long, text string"), PATH).collect()} for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and sorted(x[1] for x in got[0]) == [0, 2, 3, 5, 9]
+
+
 def test_forced_boundaries_are_certain():
     mine = bpe.ForcedBoundaryBPE(PATH)
     letters = bpe.byte_letters()
