@@ -18,6 +18,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ from catchment.llm.common import map_batches, stored
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>"
-    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]{0,5000}\"|'[^']{0,5000}')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>",
     re.S,
 )
@@ -45,6 +46,7 @@ _SCOPE = {"article", "aside", "body", "div", "footer", "form", "header", "main",
 _NEVER = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", *_RAW}
 _NEVER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
 _NEVER_WORDS = set("ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices newsletter subscribe popup modal sidebar widget related breadcrumb breadcrumbs menu nav navbar navigation share social comment comments respond disqus footer masthead".split())
+#: Levels of a skeleton. Elements below keep their own flags, but lie in the slot of what encloses them.
 _DEPTH = 200
 
 
@@ -53,10 +55,15 @@ _MIXERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB
 
 
 class Node:
-    __slots__ = ("tag", "label", "never", "main", "children", "place")
+    __slots__ = ("tag", "label", "never", "main", "children", "number", "anchor")
 
     def __init__(self, tag: str, label: str, never: bool, main: bool):
-        self.tag, self.label, self.never, self.main, self.children, self.place = tag, label, never, main, [], 0
+        self.tag, self.label, self.never, self.main, self.children, self.number, self.anchor = tag, label, never, main, [], 0, self
+
+    @property
+    def place(self) -> int:
+        """The place in the skeleton of the element, or of the one around it that the skeleton has."""
+        return self.anchor.number
 
 
 def _node(tag: str, attributes: str, parent: Node) -> Node:
@@ -78,11 +85,12 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     """Root of the block elements and the text blocks in page order, each with its element.
 
     White space inside a block is one space; character references are decoded; empty blocks go.
-    Unclosed elements end with what encloses them; elements nested over ``_DEPTH`` deep are taken
-    as inline. An unclosed comment or script lasts to the end.
+    Unclosed elements end with what encloses them; elements nested over ``_DEPTH`` deep are no nodes
+    of the tree. An unclosed comment or script lasts to the end.
     """
     root = Node("#", "#", False, False)
     stack, blocks, parts, at = [root], [], [], 0
+    opened: Counter[str] = Counter()
 
     def flush():
         if parts:
@@ -93,6 +101,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
 
     def pop_to(k: int):
         flush()
+        opened.subtract(x.tag for x in stack[k:])
         del stack[k:]
 
     while found := _TAG.search(html, at):
@@ -115,6 +124,8 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         if tag in _INLINE:
             continue
         if closing:
+            if opened[tag] < 1:
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     pop_to(k)
@@ -131,10 +142,13 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         flush()
         if tag in _VOID or attributes.endswith("/"):
             continue
+        node = _node(tag, attributes, stack[-1])
         if len(stack) < _DEPTH:
-            node = _node(tag, attributes, stack[-1])
             stack[-1].children.append(node)
-            stack.append(node)
+        else:
+            node.anchor = stack[-1].anchor
+        opened[tag] += 1
+        stack.append(node)
     parts.append(html[at:])
     flush()
     return root, blocks
@@ -162,10 +176,10 @@ def skeleton(root: Node) -> str:
     while todo:  # preorder, with equal neighbours at one place
         node, same = todo.pop()
         if same is None:
-            node.place, count = count, count + 1
+            node.number, count = count, count + 1
             first = None
         else:
-            node.place = same.place
+            node.number = same.number
         last, before, below = None, None, []
         twins = iter(_folded(same.children, shape)) if same is not None else None
         for child in node.children:
@@ -389,7 +403,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 has_main = any(f & 2 for f in flags)
                 slot = slots(own, reference) if reference else (-1,) * len(flags)
                 keep = [s in chosen if s >= 0 and (flags[k] & 2 or not has_main) else bool(flags[k] & 2) or not (has_main or flags[k] & 1) for k, s in enumerate(slot)]
-                texts.append("\n".join(text for node, text in blocks if keep[node.place]))
+                texts.append("\n".join(text for node, text in blocks if (keep[node.place] or node.main > node.anchor.main) and not node.never))
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         return work

@@ -68,6 +68,14 @@ def test_odd_markup():
         assert html.skeleton(root)
 
 
+def test_deep_elements_and_long_attributes_count(spark):
+    deep = "<div>" * 400
+    pages = [deep + "<article><p>kept {0}</p><nav>menu {0}</nav></article>", f"<div title='{'>' * 9000}'><nav data-x=\"{'a>' * 9000}\">menu {{0}}</nav><article><p>kept {{0}}</p></article></div>"]
+    rows = [(10 * j + k, f"http://h{j}/{k}", p.replace("{0}", str(k))) for j, p in enumerate(pages) for k in range(3)]
+    got = dict((r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {10 * j + k: f"kept {k}" for j in range(2) for k in range(3)}
+
+
 def test_matching_is_the_best_in_order():
     a, b = html.Tree('["r",0,["x",0],["y",0,["z",0]],["w",0]]'), html.Tree('["r",0,["y",0,["z",0],["q",0]],["x",0],["w",0]]')
     assert html.match(a, b) == {0: 0, 2: 1, 3: 2, 4: 5}
