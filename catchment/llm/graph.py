@@ -28,8 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b: long); root is the smallest node reachable.
 
     Each round hooks every node to its smallest neighbour, follows the hooks to their ends, and
-    replaces each edge by the edge between the ends; at least half of the nodes that still have
-    edges vanish. The driver sees counts only. Rounds are cut by written tables. Loops, repeated
+    replaces each edge by the edge between the ends. A round joins whole chains of hooks; a hub whose
+    number is above its leaves' takes one more round, as it hooks to one leaf and the others then to
+    that. The driver sees counts only. Rounds are cut by written tables. Loops, repeated
     edges and both directions are fine; an empty table gives an empty one.
     """
     clean = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
