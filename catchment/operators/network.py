@@ -1,12 +1,19 @@
 """Routing networks: edges (node, down[, percent, ...]) as tables.
 
-Closures grow by doubling: reach of length up to k joined with itself gives up to 2k, so the number
-of rounds is the logarithm of the depth. Each round is checkpointed.
+Where each node has one way down, sums, targets and lengths come by pointer doubling: a row for each
+node holds where 2^k steps lead and what lies on them, and joined with itself gives 2^(k+1) steps. So
+a round handles as many rows as there are nodes, and the rounds are the logarithm of the depth. Only
+what asks for all pairs, or branches downwards, builds closures. Each round is checkpointed.
+
+Null ends are outlets. A node that drains into a loop has no outlet, and the rounds end once they
+are the logarithm of the number of nodes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchment.operators.iterate import cut
@@ -31,16 +38,92 @@ def closure(edges: DataFrame, node: str = "node", down: str = "down") -> DataFra
         size = grown
 
 
+def _ways(edges: DataFrame, node: str = "node", down: str = "down") -> tuple[DataFrame, int, bool]:
+    """Distinct edges that lead somewhere, their number, and whether each node has one at most."""
+    ways = cut(edges.where(F.col(down).isNotNull() & F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(down).alias("down")).distinct())
+    row = ways.groupBy("node").count().agg(F.sum("count").alias("edges"), F.max("count").alias("most")).first()
+    return ways, row["edges"] or 0, (row["most"] or 0) <= 1
+
+
+def _rounds(nodes: int) -> int:
+    """Doublings after which every way of at most ``nodes`` steps has ended."""
+    return max(1, nodes).bit_length() + 1
+
+
+def _jumped(state: DataFrame, onward: dict[str, Column]) -> DataFrame:
+    """``state`` (node, jump, ...) after the jump's own jump; ``onward`` gives its other columns, those of the jump as ``_name``."""
+    ahead = state.select(*[F.col(x).alias("jump" if x == "node" else f"_{x}") for x in state.columns])
+    return state.join(ahead, "jump", "left").select("node", F.col("_jump").alias("jump"), *[x.alias(name) for name, x in onward.items()])
+
+
 def loops(edges: DataFrame, node: str = "node", down: str = "down") -> DataFrame:
-    """Nodes that reach themselves."""
-    return closure(edges, node, down).where("node = down").select("node")
+    """Nodes that reach themselves: of one way down each, where ways of over as many steps as there are nodes end."""
+    ways, count, single = _ways(edges, node, down)
+    if not single:
+        return closure(ways).where("node = down").select("node")
+    state = ways.select("node", F.col("down").alias("jump"))
+    for _ in range(_rounds(count)):
+        state = cut(_jumped(state.where("jump is not null"), {}))
+        if state.where("jump is not null").isEmpty():
+            break
+    return state.where("jump is not null").select(F.col("jump").alias("node")).distinct()
+
+
+def descend(edges: DataFrame, stop: Callable[[Column], Column] | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """node, target, steps, length: where the way down from each node ends, each node with one way down.
+
+    A way ends at the outlet or, if ``stop`` is given, at the first node for which it holds; ways
+    that don't meet such a node have no row, nor have those that end in a loop. ``lengths`` (node,
+    length) are summed over the nodes after the first; missing ones count 0.
+    """
+    ways, count, single = _ways(edges)
+    if not single:
+        raise ValueError("a node has several ways down")
+    state = ways
+    if lengths is not None:
+        state = state.join(lengths.select(F.col("node").alias("down"), "length"), "down", "left")
+    else:
+        state = state.withColumn("length", F.lit(0))
+    halt = stop(F.col("down")) if stop else F.lit(False)
+    state = cut(state.select("node", F.when(~halt, F.col("down")).alias("jump"), F.col("down").alias("target"), F.lit(1).alias("steps"), F.coalesce("length", F.lit(0)).alias("length")))
+    for _ in range(_rounds(count)):
+        if state.where("jump is not null").isEmpty():
+            break
+        more = {"target": F.coalesce("_target", "target"), "steps": F.col("steps") + F.coalesce("_steps", F.lit(0)), "length": F.col("length") + F.coalesce("_length", F.lit(0))}
+        state = cut(_jumped(state, more))
+    found = state.where("jump is null").drop("jump")
+    return found.where(stop(F.col("target"))) if stop else found
+
+
+def upstream(edges: DataFrame, own: DataFrame, values: list[str]) -> DataFrame:
+    """node, each of ``values``, depth: a node's values summed with those of all nodes above it, and the steps to the farthest.
+
+    ``own`` has a row for each node with its values. A node in a loop has nulls; each node has one
+    way down. Where one has several, use ``closure``.
+    """
+    ways, count, single = _ways(edges)
+    if not single:
+        raise ValueError("a node has several ways down")
+    nodes = own.select("node").unionByName(ways.select("node")).unionByName(ways.select(F.col("down").alias("node"))).distinct()
+    state = nodes.join(own.select("node", *values), "node", "left").join(ways.withColumnRenamed("down", "jump"), "node", "left")
+    state = cut(state.select("node", "jump", *[F.coalesce(v, F.lit(0)).alias(v) for v in values], F.lit(0).alias("depth")))
+    for k in range(_rounds(count)):
+        if state.where("jump is not null").isEmpty():
+            break
+        # What lies 2^k steps above, with all that it has gathered so far.
+        gained = state.where("jump is not null").groupBy(F.col("jump").alias("node")).agg(*[F.sum(v).alias(f"_{v}") for v in values], (F.max("depth") + 2**k).alias("_depth"))
+        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"))
+        sums = [(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values]
+        state = cut(state.join(gained, "node", "left").join(ahead, "jump", "left").select("node", F.col("_jump").alias("jump"), *sums, F.greatest("depth", "_depth").alias("depth")))
+    ring = state.where("jump is not null").select(F.col("jump").alias("node"), F.lit(True).alias("ring")).distinct()
+    state = state.join(ring, "node", "left")
+    return state.select("node", *[F.when(F.col("ring").isNull(), F.col(v)).alias(v) for v in [*values, "depth"]])
 
 
 def upstream_sum(edges: DataFrame, own: DataFrame, value: str) -> DataFrame:
-    """node, total: a node's value and those of all nodes above it. ``own`` has node and value."""
-    reach = closure(edges)
-    above = reach.join(own, "node").groupBy(F.col("down").alias("node")).agg(F.sum(value).alias("above"))
-    return own.join(above, "node", "left").select("node", (F.col(value) + F.coalesce("above", F.lit(0))).alias("total"))
+    """node, total: a node's value and those of all nodes above it. ``own`` has node and value; a node in a loop has null."""
+    sums = upstream(edges, own, [value]).select("node", F.col(value).alias("total"))
+    return own.join(sums, "node").select("node", F.when(F.col(value).isNotNull(), F.col("total")).alias("total"))
 
 
 def strahler(edges: DataFrame) -> DataFrame:
@@ -74,44 +157,71 @@ def paths(edges: DataFrame) -> DataFrame:
 
 
 def meeting(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, meet, steps: where the ways down from a and b first meet, and the steps of both together."""
-    nodes = edges.select("node").union(edges.where("down is not null").select(F.col("down").alias("node"))).distinct()
-    reach = closure(edges).unionByName(nodes.select("node", F.col("node").alias("down"), F.lit(0).alias("depth")))
-    reach = cut(reach)
-    left = pairs.join(reach.select(F.col("node").alias("a"), F.col("down").alias("meet"), F.col("depth").alias("da")), "a")
-    both = left.join(reach.select(F.col("node").alias("b"), F.col("down").alias("meet"), F.col("depth").alias("db")), ["b", "meet"])
-    steps = F.col("da") + F.col("db")
-    return both.groupBy("a", "b").agg(F.min_by("meet", F.struct(steps, F.col("meet"))).alias("meet"), F.min(steps).alias("steps"))
+    """a, b, meet, steps: where the ways down from a and b first meet, and the steps of both together.
+
+    Each node has one way down. Tables of where 1, 2, 4, ... steps lead lift the deeper of a pair to
+    the other's depth, and then both to just above where they meet. Pairs that don't meet, and those
+    with a node that drains into a loop, have no row.
+    """
+    ways, count, single = _ways(edges)
+    if not single:
+        raise ValueError("a node has several ways down")
+    depths = descend(ways).select("node", "steps")
+    outlets = ways.select(F.col("down").alias("node")).join(ways, "node", "left_anti").distinct()
+    depths = cut(depths.unionByName(outlets.select("node", F.lit(0).alias("steps"))))
+    jumps = [ways.select("node", F.col("down").alias("jump"))]
+    while not (state := jumps[-1]).isEmpty() and len(jumps) <= _rounds(count):
+        jumps.append(cut(_jumped(state, {}).where("jump is not null")))
+
+    def lifted(rows: DataFrame, k: int, *ends: str) -> DataFrame:
+        for end in ends:
+            rows = rows.join(jumps[k].select(F.col("node").alias(f"at_{end}"), F.col("jump").alias(f"far_{end}")), f"at_{end}", "left")
+        return rows
+
+    rows = pairs.select("a", "b").distinct()
+    for end in ("a", "b"):
+        rows = rows.join(depths.select(F.col("node").alias(end), F.col("steps").alias(f"deep_{end}")), end)
+    rows = rows.select("a", "b", F.col("a").alias("at_a"), F.col("b").alias("at_b"), "deep_a", "deep_b", (F.col("deep_a") - F.col("deep_b")).alias("gap"))
+    for k in range(len(jumps)):
+        set_ = F.shiftright(F.abs("gap"), k).bitwiseAND(1) == 1
+        rows = lifted(rows, k, "a", "b").withColumn("at_a", F.when(set_ & (F.col("gap") > 0), F.col("far_a")).otherwise(F.col("at_a")))
+        rows = cut(rows.withColumn("at_b", F.when(set_ & (F.col("gap") < 0), F.col("far_b")).otherwise(F.col("at_b"))).drop("far_a", "far_b"))
+    for k in reversed(range(len(jumps))):
+        apart = F.col("far_a") != F.col("far_b")
+        rows = lifted(rows, k, "a", "b").withColumn("at_a", F.when(apart, F.col("far_a")).otherwise(F.col("at_a")))
+        rows = cut(rows.withColumn("at_b", F.when(apart, F.col("far_b")).otherwise(F.col("at_b"))).drop("far_a", "far_b"))
+    rows = lifted(rows, 0, "a", "b").withColumn("meet", F.when(F.col("at_a") == F.col("at_b"), F.col("at_a")).when(F.col("far_a") == F.col("far_b"), F.col("far_a")))
+    rows = rows.where("meet is not null").join(depths.select(F.col("node").alias("meet"), "steps"), "meet")
+    return rows.select("a", "b", "meet", (F.col("deep_a") + F.col("deep_b") - 2 * F.col("steps")).alias("steps"))
 
 
 def final_target(moves: DataFrame) -> DataFrame:
-    """node, target: the end of each chain of moves (node, down); chains must not loop."""
-    ends = cut(moves.select("node", F.col("down").alias("target")))
-    while True:
-        onward = ends.select(F.col("node").alias("target"), F.col("target").alias("next"))
-        jumped = cut(ends.join(onward, "target", "left").select("node", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved")))
-        ends = jumped.select("node", "target")
-        if jumped.where("moved").isEmpty():
-            return ends
+    """node, target: the end of each chain of moves (node, down); null for chains that end in a loop."""
+    ends = descend(moves).select("node", "target")
+    return moves.where("node is not null").select("node").distinct().join(ends, "node", "left")
 
 
 def skip_points(edges: DataFrame, category: str = "PT") -> DataFrame:
     """Edges from real sources to real sinks: sinks of a pass-through category are followed on.
 
     ``edges``: source, source_cat, sink, sink_cat, hyd_typ, percent. The last step's hyd_typ and
-    percent count. ``order`` numbers the sinks of each source.
+    percent count. ``order`` numbers the sinks of each source. Ways that only lead round a loop of
+    points have no sink. Points are followed by doubling, as many steps as there are points.
     """
-    real = edges.where(F.col("source_cat") != category)
-    done = real.where(F.col("sink_cat") != category)
-    open_ = cut(real.where(F.col("sink_cat") == category))
-    hops = edges.where(F.col("source_cat") == category).select(F.col("source").alias("sink"), F.col("sink").alias("_s"), F.col("sink_cat").alias("_c"), F.col("hyd_typ").alias("_h"), F.col("percent").alias("_p"))
-    limit = edges.count()
-    while limit > 0 and not open_.isEmpty():
-        next_ = open_.select("source", "source_cat", "sink").join(hops, "sink").select("source", "source_cat", F.col("_s").alias("sink"), F.col("_c").alias("sink_cat"), F.col("_h").alias("hyd_typ"), F.col("_p").alias("percent"))
-        next_ = cut(next_)
-        done = done.unionByName(next_.where(F.col("sink_cat") != category))
-        open_ = next_.where(F.col("sink_cat") == category)
-        limit -= 1
+    columns = ["sink", "sink_cat", "hyd_typ", "percent"]
+    real = edges.where(~F.col("source_cat").eqNullSafe(category))
+    # Where each point leads: to real sinks, or on to the points that are 2^k steps away.
+    onward = cut(edges.where(F.col("source_cat") == category).select(F.col("source").alias("point"), *columns))
+    passed = F.col("sink_cat") == category
+    for _ in range(_rounds(onward.select("point").distinct().count())):
+        open_ = onward.where(passed)
+        if open_.isEmpty():
+            break
+        further = open_.select(F.col("point").alias("_point"), F.col("sink").alias("point")).join(onward, "point").drop("point").withColumnRenamed("_point", "point")
+        onward = cut(onward.where(~F.coalesce(passed, F.lit(False))).unionByName(further.select("point", *columns)))
+    sinks = onward.where(~F.coalesce(passed, F.lit(False))).select(F.col("point").alias("_point"), *[F.col(x).alias(f"_{x}_") for x in columns])
+    through = real.where(passed).join(sinks, F.col("sink") == F.col("_point")).select("source", "source_cat", *[F.col(f"_{x}_").alias(x) for x in columns])
+    done = real.where(~F.coalesce(passed, F.lit(False))).select("source", "source_cat", *columns).unionByName(through)
     w = Window.partitionBy("source", "source_cat").orderBy("sink_cat", "sink", "hyd_typ")
     return done.withColumn("order", F.row_number().over(w))
 

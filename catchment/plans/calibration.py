@@ -67,9 +67,9 @@ _CELLS = f"WITH RECURSIVE g AS (SELECT row * 100 + col AS node, CASE WHEN col >
 query("gs_28", f"{_CELLS} SELECT node, CAST(1 + coalesce(n, 0) AS BIGINT) AS total FROM g LEFT JOIN (SELECT down AS x, count(*) AS n FROM r GROUP BY 1) ON x = node")(
     lambda t: (lambda e: network.upstream_sum(e.where("down is not null"), e.select("node", F.lit(1).cast("long").alias("n")), "n"))(_flow(t))
 )
-query("gs_32", f"{_CELLS} SELECT node, CAST(max(k) AS INT) AS steps FROM r GROUP BY 1")(lambda t: network.closure(_flow(t)).groupBy("node").agg(F.max("depth").alias("steps")))
-query("gs_8", f"{_CELLS} SELECT node, min_by(down, k) AS perimeter FROM r WHERE down % 7 = 0 GROUP BY 1")(lambda t: network.closure(_flow(t)).where("down % 7 = 0").groupBy("node").agg(F.min_by("down", "depth").alias("perimeter")))
-query("gs_35", f"{_CELLS} SELECT node, max_by(down, k) AS ridge FROM r GROUP BY 1")(lambda t: network.closure(_flow(t)).groupBy("node").agg(F.max_by("down", "depth").alias("ridge")))
+query("gs_32", f"{_CELLS} SELECT node, CAST(max(k) AS INT) AS steps FROM r GROUP BY 1")(lambda t: network.descend(_flow(t)).select("node", "steps"))
+query("gs_8", f"{_CELLS} SELECT node, min_by(down, k) AS perimeter FROM r WHERE down % 7 = 0 GROUP BY 1")(lambda t: network.descend(_flow(t), lambda down: down % 7 == 0).select("node", c("target").alias("perimeter")))
+query("gs_35", f"{_CELLS} SELECT node, max_by(down, k) AS ridge FROM r GROUP BY 1")(lambda t: network.descend(_flow(t)).select("node", c("target").alias("ridge")))
 query("gs_33", f"SELECT row, col, CASE WHEN value > 400 THEN 2 WHEN value > 200 THEN 1 ELSE 0 END AS value FROM {GRID}")(lambda t: landunits.map_one(grid(t), lambda x: F.when(x > 400, 2).when(x > 200, 1).otherwise(0)))
 query("gs_34", f"SELECT row, col, CASE WHEN (CASE WHEN CAST(trunc(value + 10) AS INT) = 0 THEN 0 ELSE value / (value + 10) END) <= 0.95 THEN 1 ELSE 0 END AS value FROM {GRID}")(lambda t: landunits.slope_position(grid(t), grid(t).withColumn("value", F.lit(10.0)), 0.95))
 query("gs_38", f"SELECT a.grid_row, a.grid_col, a.n, b.n AS west FROM (SELECT row // 5 AS grid_row, CAST(col // 5 AS BIGINT) AS grid_col, count(*) AS n FROM {GRID} GROUP BY 1, 2) a LEFT JOIN (SELECT row // 5 AS grid_row, CAST(col // 5 AS BIGINT) + 1 AS grid_col, count(*) AS n FROM {GRID} GROUP BY 1, 2) b USING (grid_row, grid_col)")(

@@ -16,11 +16,15 @@ def tree(t):
     return t.part.where("p_partkey > 0").select(c("p_partkey").alias("node"), F.expr("(p_partkey - 1) div 2").alias("down"))
 
 
+def sizes(t):
+    return t.part.select(c("p_partkey").alias("node"), c("p_size").cast("long").alias("length"))
+
+
 TREE = "WITH RECURSIVE e AS (SELECT p_partkey AS node, (p_partkey - 1) // 2 AS down FROM part WHERE p_partkey > 0), r(node, down, depth) AS (SELECT node, down, 1 FROM e UNION ALL SELECT r.node, e.down, depth + 1 FROM r JOIN e ON r.down = e.node)"
 
 query("so_8", TREE + " SELECT node, down, CAST(depth AS INT) AS depth FROM r")(lambda t: net.closure(tree(t)))
 query("so_11", TREE + " SELECT down AS root, CAST(count(*) AS BIGINT) AS descendants, CAST(max(depth) AS INT) AS depth FROM r GROUP BY 1")(
-    lambda t: net.closure(tree(t)).groupBy(c("down").alias("root")).agg(F.count("*").alias("descendants"), F.max("depth").alias("depth"))
+    lambda t: net.upstream(tree(t), t.part.select(c("p_partkey").alias("node"), F.lit(1).cast("long").alias("n")), ["n"]).where("depth > 0").select(c("node").alias("root"), (c("n") - 1).alias("descendants"), "depth")
 )
 query("gr_1", "SELECT p_partkey AS source, (p_partkey - 1) // 2 AS sink, 'tot' AS hyd_typ, 100.0 AS percent FROM part WHERE p_partkey > 0")(
     lambda t: tree(t).select(c("node").alias("source"), c("down").alias("sink"), F.lit("tot").alias("hyd_typ"), F.lit(100.0).alias("percent"))
@@ -48,7 +52,7 @@ for _number in (3, 4):
 query("gr_5", "SELECT a.p_partkey AS channel, b.p_size AS below FROM part a JOIN part b ON b.p_partkey = (a.p_partkey - 1) // 2 WHERE a.p_partkey > 0")(
     lambda t: tree(t).join(t.part, c("down") == c("p_partkey")).select(c("node").alias("channel"), c("p_size").alias("below"))
 )
-query("gr_6", TREE + " SELECT node FROM r WHERE down = 5")(lambda t: net.closure(tree(t)).where("down = 5").select("node"))
+query("gr_6", TREE + " SELECT node FROM r WHERE down = 5")(lambda t: net.descend(tree(t), lambda down: down == 5).select("node"))
 query("gr_7", TREE + " SELECT p_partkey AS node, CAST(p_size + coalesce((SELECT sum(q.p_size) FROM r JOIN part q ON q.p_partkey = r.node WHERE r.down = part.p_partkey), 0) AS BIGINT) AS total FROM part")(
     lambda t: net.upstream_sum(tree(t), t.part.select(c("p_partkey").alias("node"), c("p_size").cast("long").alias("area")), "area")
 )
@@ -56,7 +60,7 @@ query("gr_7", TREE + " SELECT p_partkey AS node, CAST(p_size + coalesce((SELECT
 for _number in (8, 9):
     query(f"gr_{_number}")(lambda t: net.strahler(tree(t)))
 query("gr_10", TREE + " SELECT node, CAST(sum(p_size) AS BIGINT) AS length FROM r JOIN part ON p_partkey = r.down GROUP BY 1")(
-    lambda t: net.closure(tree(t)).join(t.part, c("down") == c("p_partkey")).groupBy("node").agg(F.sum("p_size").alias("length"))
+    lambda t: net.descend(tree(t), lengths=sizes(t)).select("node", "length")
 )
 for _suffix, _ids in (("", "{} BETWEEN 50 AND 90"), ("_whole", "{} < (SELECT max(p_partkey) FROM part)")):
     query(f"gr_11{_suffix}", TREE + ", z AS (SELECT * FROM r UNION ALL SELECT p_partkey, p_partkey, 0 FROM part) SELECT a, b, min_by(m, (s, m)) AS meet, CAST(min(s) AS INT) AS steps FROM (SELECT x.node AS a, y.node AS b, x.down AS m, x.depth + y.depth AS s FROM z x JOIN z y ON x.down = y.down AND y.node = x.node + 1 WHERE {ids}) GROUP BY 1, 2".replace("{ids}", _ids.format("x.node")))(
@@ -66,7 +70,7 @@ for _number in (12, 13):
     query(f"gr_{_number}", TREE + " SELECT p_partkey AS node, concat_ws('>', CAST(p_partkey AS VARCHAR), (SELECT string_agg(CAST(down AS VARCHAR), '>' ORDER BY depth) FROM r WHERE r.node = p_partkey)) AS path FROM part")(
         lambda t: net.paths(tree(t)).select("node", F.array_join(c("path").cast("array<string>"), ">").alias("path"))
     )
-query("gr_14", TREE + " SELECT node FROM r WHERE down = 12 UNION ALL SELECT 12")(lambda t: net.closure(tree(t)).where("down = 12").select("node").union(t.spark.range(12, 13)))
+query("gr_14", TREE + " SELECT node FROM r WHERE down = 12 UNION ALL SELECT 12")(lambda t: net.descend(tree(t), lambda down: down == 12).select("node").union(t.spark.range(12, 13)))
 query("gr_15", "SELECT a.p_partkey AS channel, a.p_brand AS sub FROM part a LEFT JOIN part b ON b.p_partkey = (a.p_partkey - 1) // 2 AND a.p_partkey > 0 WHERE b.p_partkey IS NULL OR b.p_brand <> a.p_brand")(
     lambda t: t.part.alias("a").join(tree(t), c("a.p_partkey") == c("node"), "left").join(t.part.alias("b"), c("down") == c("b.p_partkey"), "left")
     .where("b.p_partkey is null or b.p_brand <> a.p_brand").select(c("a.p_partkey").alias("channel"), c("a.p_brand").alias("sub"))
@@ -78,6 +82,6 @@ for _number in (16, 17, 20):
     )
 query("gr_18", f"SELECT sink AS source, sink_cat AS source_cat FROM {EDGES} e WHERE sink_cat <> 'X' AND NOT EXISTS (SELECT 1 FROM {EDGES} f WHERE f.source = e.sink AND f.source_cat = e.sink_cat) GROUP BY 1, 2")(lambda t: net.dead_ends(edges(t), ["X"]))
 query("wn_22", TREE + " SELECT p_brand, CAST(max(length) AS BIGINT) AS longest FROM (SELECT node, sum(p_size) AS length FROM r JOIN part ON p_partkey = r.down GROUP BY 1) x JOIN part ON p_partkey = node GROUP BY 1")(
-    lambda t: net.closure(tree(t)).join(t.part.select(c("p_partkey").alias("down"), "p_size"), "down").groupBy("node").agg(F.sum("p_size").alias("length"))
+    lambda t: net.descend(tree(t), lengths=sizes(t))
     .join(t.part, c("node") == c("p_partkey")).groupBy("p_brand").agg(F.max("length").alias("longest"))
 )

@@ -259,3 +259,34 @@ def test_model_report(spark):
     assert got[1]["hydrology"][0].startswith("Precipitation too small") and "Lateral flow is greater" in " ".join(got[1]["hydrology"])
     assert len(got[1]["nitrogen"]) == 2 and got[1]["plants"] == ["More than 100 days of nitrogen stress"]
     assert "Groundwater" not in " ".join(got[2]["hydrology"]) and "Surface runoff ratio may be low (< 0.2)" in got[2]["hydrology"] and not got[2]["nitrogen"]
+
+
+def test_long_chain_of_nodes(spark):
+    """A chain of 100,000 nodes, on which all pairs would be five thousand million."""
+    n = 100_000
+    chain = spark.range(1, n).select(F.col("id").alias("node"), (F.col("id") - 1).alias("down"))
+    own = spark.range(n).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("x"))
+    assert network.upstream_sum(chain, own, "x").where(F.col("total") != n - F.col("node")).isEmpty()
+    found = network.descend(chain, lengths=own.withColumnRenamed("x", "length"))
+    assert found.where((F.col("target") != 0) | (F.col("steps") != F.col("node")) | (F.col("length") != F.col("node"))).isEmpty() and found.count() == n - 1
+    pairs = spark.createDataFrame([(7, 90_000), (99_999, 99_998), (5, 5)], "a long, b long")
+    assert sorted(map(tuple, network.meeting(chain, pairs).collect())) == [(5, 5, 5, 0), (7, 90_000, 7, 89_993), (99_999, 99_998, 99_998, 1)]
+
+
+def test_networks_with_loops(spark):
+    """1, 2, 3 is a loop, 4 drains into it and 5 into 4; 7 drains to the outlet 6, and 8 has none."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (7, 6), (8, None), (None, 1), (7, 6)], "node long, down long")
+    own = spark.createDataFrame([(k, 1) for k in range(1, 9)], "node long, x long")
+    assert sorted(r["node"] for r in network.loops(edges).collect()) == [1, 2, 3]
+    assert dict(network.upstream_sum(edges, own, "x").collect()) == {1: None, 2: None, 3: None, 4: 2, 5: 1, 6: 2, 7: 1, 8: 1}
+    assert dict(network.final_target(edges).collect()) == {1: None, 2: None, 3: None, 4: None, 5: None, 7: 6, 8: None}
+    assert [tuple(r) for r in network.descend(edges, lambda x: x == 2).collect() if r["node"] != 2] and {r["node"] for r in network.descend(edges, lambda x: x == 2).collect()} == {1, 2, 3, 4, 5}
+    split = edges.unionByName(spark.createDataFrame([(7, 8)], "node long, down long"))
+    assert sorted(r["node"] for r in network.loops(split).collect()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        network.upstream_sum(split, own, "x")
+    points = [("a", "CH", "p", "PT", "h", 100.0), ("p", "PT", "q", "PT", "h", 100.0), ("q", "PT", "p", "PT", "h", 50.0), ("q", "PT", "z", "X", "s", 50.0), ("b", "CH", "r", "PT", "h", 1.0), ("r", "PT", "r", "PT", "h", 1.0)]
+    got = network.skip_points(spark.createDataFrame(points, "source string, source_cat string, sink string, sink_cat string, hyd_typ string, percent double")).collect()
+    assert {(r["source"], r["sink"], r["percent"]) for r in got} == {("a", "z", 50.0)}
+    empty = spark.createDataFrame([], "node long, down long")
+    assert network.descend(empty).count() == 0 and network.loops(empty).count() == 0 and network.upstream_sum(empty, own, "x").count() == 8
