@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stations up to which their table is broadcast.
-SMALL = 10_000
+from catchment.operators.iterate import cut
+
+#: Distinct places of stations up to which their table is broadcast and each point meets all of them.
+SMALL = 256
+#: Stations that the fullest cell of the finest grid has at most, and halvings of the cells at most.
+FULL, HALVINGS = 64, 24
 
 
 def distance2(x: Column, y: Column, sx: Column, sy: Column, weighted: bool) -> Column:
@@ -17,41 +19,66 @@ def distance2(x: Column, y: Column, sx: Column, sy: Column, weighted: bool) -> C
     return east + F.pow(y - sy, 2)
 
 
+def _placed(table: DataFrame, x: str, y: str) -> DataFrame:
+    """``table`` without the rows whose place is null, not a number or infinite."""
+    known = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in (x, y)]
+    return table.where(known[0] & known[1])
+
+
 def nearest(points: DataFrame, stations: DataFrame, weighted: bool = False, limit: float | None = None, small: int = SMALL) -> DataFrame:
     """id, station, d2: each point's nearest station; ties go to the smallest station.
 
-    points: id, x, y; stations: station, sx, sy. A station table of at most ``small`` rows (counted)
-    is broadcast. A larger one is met cell by cell: rings of cells around a point are searched until
-    the nearest station found lies nearer than any cell beyond the ring.
+    points: id, x, y; stations: station, sx, sy. Rows without a finite place are left out, as are
+    points without a station within ``limit``; without stations there is no row. Stations at one
+    place count as the smallest of them. A table of at most ``small`` places (counted) is broadcast.
+    In a larger one each point meets the stations of its cell and the eight around it; where none is
+    surely the nearest, the cells double in size for the next round.
     """
-    near = lambda joined: joined.groupBy("id").agg(F.min_by("station", F.struct(F.col("d2"), F.col("station"))).alias("station"), F.min("d2").alias("d2"))
+    points = _placed(points, "x", "y")
+    stations = cut(_placed(stations.where("station is not null"), "sx", "sy").groupBy("sx", "sy").agg(F.min("station").alias("station")))
     d2 = distance2(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"), weighted)
-    count = stations.count()
-    if count <= small:
-        found = near(points.crossJoin(F.broadcast(stations)).withColumn("d2", d2))
+    if stations.count() <= small:
+        found = _best(points.crossJoin(F.broadcast(stations)).withColumn("d2", d2))
     else:
-        found = _by_cells(points, stations, d2, weighted, near, count)
+        found = _by_cells(points, stations, d2, weighted)
     return found.where(F.col("d2") <= limit * limit) if limit is not None else found
 
 
-def _by_cells(points: DataFrame, stations: DataFrame, d2: Column, weighted: bool, near, count: int) -> DataFrame:
-    from catchment.operators.iterate import cut
+def _best(joined: DataFrame) -> DataFrame:
+    return joined.groupBy("id").agg(F.min_by("station", F.struct(F.col("d2"), F.col("station"))).alias("station"), F.min("d2").alias("d2"))
+
 
+def _by_cells(points: DataFrame, stations: DataFrame, d2: Column, weighted: bool) -> DataFrame:
     box = stations.agg(F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1")).first()
-    size = max((box["x1"] - box["x0"]), (box["y1"] - box["y0"]), 1e-9) / max(1.0, math.sqrt(count))
-    cells = stations.withColumn("cx", F.floor(F.col("sx") / size)).withColumn("cy", F.floor(F.col("sy") / size))
-    todo, done, reach = cut(points), None, 1
-    while not todo.isEmpty():
-        rows = todo.withColumn("dx", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("dy", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-        rows = rows.withColumn("cx", F.floor(F.col("x") / size) + F.col("dx")).withColumn("cy", F.floor(F.col("y") / size) + F.col("dy")).drop("dx", "dy")
-        found = near(rows.join(cells, ["cx", "cy"]).withColumn("d2", d2))
-        scale = F.pow(F.cos(F.radians("y")), 2) if weighted else F.lit(1.0)
-        sure = found.join(todo, "id").where(F.col("d2") <= F.least(F.lit(1.0), scale) * (reach * size) ** 2).select("id", "station", "d2")
-        sure = cut(sure)
-        done = sure if done is None else done.unionByName(sure)
-        todo = cut(todo.join(sure, "id", "left_anti"))
-        reach *= 2
-        if reach > 4096:  # far outside the stations' box
-            rest = near(todo.crossJoin(stations).withColumn("d2", d2))
-            return done.unionByName(rest)
-    return done
+    width = max(float(box["x1"] or 0) - float(box["x0"] or 0), float(box["y1"] or 0) - float(box["y0"] or 0), 1e-9)
+    cell = lambda c, low, size: F.floor((F.col(c) - F.lit(float(low or 0))) / size).cast("long")
+    level = 0
+    while level < HALVINGS:
+        size = width / 2**level
+        cells = stations.groupBy(cell("sx", box["x0"], size).alias("cx"), cell("sy", box["y0"], size).alias("cy")).count()
+        if (cells.agg(F.max("count")).first()[0] or 0) <= FULL:
+            break
+        level += 1
+    # Points outside the stations' box are sought from its edge: no station is nearer than that way.
+    edge = lambda c, a, b: F.least(F.greatest(F.col(c), F.lit(float(a or 0))), F.lit(float(b or 0)))
+    todo = points.select("id", "x", "y", edge("x", box["x0"], box["x1"]).alias("qx"), edge("y", box["y0"], box["y1"]).alias("qy"))
+    todo = cut(todo.withColumn("off", distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"), weighted)))
+    scale = F.least(F.lit(1.0), F.pow(F.cos(F.radians("y")), 2)) if weighted else F.lit(1.0)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    done = None
+    while True:
+        size = width / 2**level
+        rows = todo.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+        rows = rows.select("id", "x", "y", "off", (cell("qx", box["x0"], size) + F.col("dx")).alias("cx"), (cell("qy", box["y0"], size) + F.col("dy")).alias("cy"))
+        own = stations.withColumn("cx", cell("sx", box["x0"], size)).withColumn("cy", cell("sy", box["y0"], size))
+        met = rows.join(own, ["cx", "cy"]).withColumn("d2", d2).withColumn("sure", F.col("off") + scale * size * size)
+        # All that isn't met lies over a cell away from where the search began.
+        found = met.groupBy("id").agg(F.min_by("station", F.struct(F.col("d2"), F.col("station"))).alias("station"), F.min("d2").alias("d2"), F.min("sure").alias("sure"))
+        found = cut((found if level == 0 else found.where("d2 < sure")).select("id", "station", "d2"))
+        done = found if done is None else done.unionByName(found)
+        if level == 0:
+            return done
+        todo = cut(todo.join(found, "id", "left_anti"))
+        if todo.isEmpty():
+            return done
+        level -= 1

@@ -290,3 +290,20 @@ def test_networks_with_loops(spark):
     assert {(r["source"], r["sink"], r["percent"]) for r in got} == {("a", "z", 50.0)}
     empty = spark.createDataFrame([], "node long, down long")
     assert network.descend(empty).count() == 0 and network.loops(empty).count() == 0 and network.upstream_sum(empty, own, "x").count() == 8
+
+
+def test_nearest_of_odd_rows(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, 1e9, -1e9), (5, 3.0, 4.0), (5, 3.0, 4.0), (6, float("inf"), 0.0), (7, 50.0, 2.0)], "id long, x double, y double")
+    rows = [(k, float(k % 7), float(k // 7 % 5)) for k in range(70)] + [(900, None, 1.0), (901, float("nan"), 0.0), (902, 100.0, 2.0)]
+    stations = spark.createDataFrame(rows, "station long, sx double, sy double")
+    want = [(1, 0, 0.0), (4, 902, pytest.approx(2e18)), (5, 31, 0.0), (7, 6 + 14, 44.0**2)]
+    for weighted in (False, True):
+        ways = [values(nearest(points, stations, weighted, small=k), "id", "station", "d2") for k in (1000, 0)]
+        assert [r[:2] for r in ways[0]] == [r[:2] for r in ways[1]] and (weighted or ways[0] == want)
+    for small in (1000, 0):
+        assert nearest(points.limit(0), stations, small=small).count() == 0 and nearest(points, stations.limit(0), small=small).count() == 0
+        assert values(nearest(points, stations, limit=0.5, small=small), "id") == [(1,), (5,)]
+    # A crowd of stations at one place and far single ones.
+    crowd = spark.range(3000).selectExpr("id AS station", "IF(id < 2500, 1.0, id * 1.0) AS sx", "IF(id < 2900, 1.0 + id % 3, id * 7.0) AS sy")
+    some = spark.range(300).selectExpr("id", "id * 13.7 % 3100 - 50 AS x", "id * 211.3 % 22000 AS y")
+    assert values(nearest(some, crowd, small=0), "id", "station") == values(nearest(some, crowd, small=5000), "id", "station")
