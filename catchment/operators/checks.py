@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TESTS = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y, "=": lambda x, y: x == y}
+TESTS = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y, "=": lambda x, y: x == y}
 
 
 def ratio(a: str | Column, b: str | Column) -> Column:
@@ -20,7 +20,7 @@ def ratio(a: str | Column, b: str | Column) -> Column:
 
 def warn(summary: DataFrame, rules: list[tuple[str, str, float, str]], column: str = "warnings") -> DataFrame:
     """Adds the array of messages of the broken rules; a null value breaks none."""
-    found = [F.when(_TESTS[op](F.expr(x), F.lit(limit)), F.lit(message)) for x, op, limit, message in rules]
+    found = [F.when(TESTS[op](F.expr(x), F.lit(limit)), F.lit(message)) for x, op, limit, message in rules]
     return summary.withColumn(column, F.array_compact(F.array(*found)))
 
 
@@ -34,16 +34,6 @@ def expected_runoff(curve_number: Column) -> Column:
     return 0.0129 * curve_number - 0.2857
 
 
-def trap_efficiency(df: DataFrame, by: list[str], inflow: str, outflow: str) -> DataFrame:
-    return df.groupBy(*by).agg(in_out_percent(F.sum(inflow), F.sum(outflow)).alias("trapped"))
-
-
-def storage_change(df: DataFrame, by: list[str], year: str, volume: str) -> DataFrame:
-    """First and last year's volume, their ratio, and the share of years below 1."""
-    first, last = F.min_by(volume, year), F.max_by(volume, year)
-    return df.groupBy(*by).agg(first.alias("first"), last.alias("last"), ratio(last, first).alias("ratio"), (F.count_if(F.col(volume) < 1) / F.count("*")).alias("empty"))
-
-
 def nested(parents: DataFrame, children: DataFrame, key: str, foreign: str, name: str) -> DataFrame:
     """Parents as JSON documents with their children in an array."""
     lists = children.groupBy(F.col(foreign).alias(key)).agg(F.sort_array(F.collect_list(F.struct(*[c for c in children.columns if c != foreign]))).alias(name))
