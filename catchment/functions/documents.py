@@ -86,6 +86,40 @@ def tree(df: DataFrame, key: str, document: str) -> DataFrame:
     return df.select(key, document).mapInPandas(run, f"{key} {kind}, path string, kind string, atom string")
 
 
+def at_path(document: Column, *path: str | int) -> Column:
+    """The value at a path of keys and places, as JSON text; null where the path leads nowhere."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(document), _path(path), "variant"))
+
+
+def text_at(document: Column, *path: str | int) -> Column:
+    """The value at a path as plain text."""
+    return F.try_variant_get(F.try_parse_json(document), _path(path), "string")
+
+
+def _path(path: tuple[str | int, ...]) -> str:
+    return "$" + "".join(f"[{p}]" if isinstance(p, int) else "['" + p.replace("'", "\\'") + "']" for p in path)
+
+
+def has_keys(document: Column, keys: list[str], every: bool = True) -> Column:
+    """Whether the object has all of ``keys`` at its top, or any; a document that is no object has none."""
+    own = F.coalesce(F.json_object_keys(document), F.array().cast("array<string>"))
+    test = F.size(F.array_intersect(own, F.array(*map(F.lit, keys)))) == len(set(keys)) if every else F.arrays_overlap(own, F.array(*map(F.lit, keys)))
+    return F.when(document.isNotNull(), test)
+
+
+def without_path(document: Column, *path: str) -> Column:
+    """The document without the key at a path of keys, by a merge patch."""
+    change: dict | None = None
+    for key in reversed(path):
+        change = {key: change}
+    return patch(document, F.lit(json.dumps(change)))
+
+
+def same_document(a: Column, b: Column) -> Column:
+    """Whether two JSON texts are the same document, whatever their white space and order of keys."""
+    return F.to_json(F.try_parse_json(a)) == F.to_json(F.try_parse_json(b))
+
+
 def pack(text: Column) -> Column:
     """zlib-compressed UTF-8."""
     return _packer()(text)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catchment.operators.iterate import cut
+
 
 def evaluate(spark: SparkSession, points: np.ndarray, score: Callable[[list[Column]], Column]) -> np.ndarray:
     """Scores of parameter sets (rows of ``points``), worked out as a column expression."""
@@ -94,6 +96,37 @@ def morris(spark: SparkSession, params: list[tuple[str, float, float]], trajecto
     return spark.range(trajectories).mapInPandas(work, "run long, step int, param string, name string, value double")
 
 
+def trajectory_distances(points: DataFrame) -> DataFrame:
+    """a, b, distance: the sum of the distances of all points of one trajectory to all of the other, in both directions.
+
+    ``points``: run, step, x (array of coordinates). Of trajectories with the same points only the
+    first counts. All pairs are compared: their number is the square of a setting, not of the data.
+    """
+    shape = points.groupBy("run").agg(F.sort_array(F.collect_list("x")).alias("shape"))
+    kept = shape.groupBy("shape").agg(F.min("run").alias("run")).select("run")
+    own = points.join(kept, "run", "left_semi")
+    pairs = own.select(F.col("run").alias("a"), F.col("x").alias("xa")).join(own.select(F.col("run").alias("b"), F.col("x").alias("xb")), F.col("a") != F.col("b"))
+    apart = F.sqrt(F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    return pairs.groupBy("a", "b").agg(F.sum(apart).alias("distance"))
+
+
+def spread_group(points: DataFrame, size: int) -> DataFrame:
+    """place (from 0), run: the ``size`` trajectories chosen for their joint spread.
+
+    From every trajectory a group grows: each time by the one with the greatest root of summed squared
+    distances to those chosen; ties go to the smallest. The group with the greatest sum of these wins.
+    """
+    distances = cut(trajectory_distances(points).withColumn("distance", F.round("distance", 9)))
+    chosen = distances.select(F.col("a").alias("start"), F.lit(0).alias("place"), F.col("a").alias("run"), F.lit(0.0).alias("gain")).distinct()
+    for place in range(1, size):
+        reach = chosen.join(distances, F.col("run") == F.col("a")).groupBy("start", F.col("b").alias("next")).agg(F.sqrt(F.sum(F.pow("distance", 2))).alias("far"))
+        open_ = reach.join(chosen.select("start", F.col("run").alias("next")), ["start", "next"], "left_anti")
+        best = open_.groupBy("start").agg(F.max_by("next", F.struct(F.round("far", 6), -F.col("next"))).alias("run"), F.max("far").alias("gain"))
+        chosen = cut(chosen.unionByName(best.select("start", F.lit(place).alias("place"), "run", "gain")))
+    winner = chosen.groupBy("start").agg(F.sum("gain").alias("total")).agg(F.max_by("start", F.struct(F.round("total", 6), -F.col("start"))).alias("start"))
+    return chosen.join(F.broadcast(winner), "start").select("place", "run")
+
+
 def jenks(values: list[float], classes: int, weights: list[float] | None = None, points: int = 1000) -> list[float]:
     """Upper limits of the classes with the least variance inside them, each value counted with its weight (1 by default).
 

@@ -44,6 +44,15 @@ def nearest(points: DataFrame, stations: DataFrame, weighted: bool = False, limi
     return found.where(F.col("d2") <= limit * limit) if limit is not None else found
 
 
+def nearest_of_list(points: DataFrame, listed: DataFrame, by: str) -> DataFrame:
+    """id, station, d2: the nearest of each point's own list (column ``by`` of both tables); ties go to the smallest station.
+
+    Every pair in a list is compared, as that is what is asked for; rows without a finite place are left out.
+    """
+    d2 = distance2(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"), False)
+    return _best(_placed(points, "x", "y").join(_placed(listed, "sx", "sy"), by).withColumn("d2", d2))
+
+
 def _best(joined: DataFrame) -> DataFrame:
     return joined.groupBy("id").agg(F.min_by("station", F.struct(F.col("d2"), F.col("station"))).alias("station"), F.min("d2").alias("d2"))
 

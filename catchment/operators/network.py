@@ -236,3 +236,53 @@ def dead_ends(edges: DataFrame, exits: list[str]) -> DataFrame:
     """Sinks that are neither exits nor sources."""
     sinks = edges.where(~F.col("sink_cat").isin(exits)).select(F.col("sink").alias("source"), F.col("sink_cat").alias("source_cat")).distinct()
     return sinks.join(edges, ["source", "source_cat"], "left_anti")
+
+
+def without_common_prefix(a: Column, b: Column) -> tuple[Column, Column]:
+    """Two arrays after the elements with which both begin; null elements are equal to each other."""
+    shorter = F.least(F.size(a), F.size(b))
+    steps = F.when(shorter > 0, F.sequence(F.lit(0), shorter - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.array_min(F.filter(steps, lambda k: ~F.get(a, k).eqNullSafe(F.get(b, k))))
+    common = F.coalesce(first, shorter)
+    return F.slice(a, common + 1, F.greatest(F.size(a) - common, F.lit(0))), F.slice(b, common + 1, F.greatest(F.size(b) - common, F.lit(0)))
+
+
+def merge_channels(channels: DataFrame, threshold: float) -> DataFrame:
+    """channel, target, area: channels merged downstream until no small one can be, and the area of each target.
+
+    ``channels``: channel, down, area, basin, kind. A channel merges into the next one down in its
+    basin where either is below ``threshold``; not where it holds or gets a body of water or a point
+    source (kind ``water``), nor into or out of a lake (kind ``lake``). Each merge adds the areas, so
+    rounds go on until none is left. In a round a channel merges where the one below doesn't, so
+    targets are never merged away in the same round.
+    """
+    state = cut(channels.select("channel", "down", F.col("area").cast("double").alias("area"), "basin", "kind"))
+    moves = cut(channels.select("channel", F.col("channel").alias("target")))
+    while True:
+        below = state.select(F.col("channel").alias("down"), F.col("area").alias("_area"), F.col("basin").alias("_basin"), F.col("kind").alias("_kind"))
+        fit = F.col("kind").isNull() & ~F.col("_kind").eqNullSafe("lake") & (F.col("basin") == F.col("_basin")) & ((F.col("area") < threshold) | (F.col("_area") < threshold))
+        want = cut(state.join(below, "down").where(fit).select("channel", "down", "area"))
+        if want.isEmpty():
+            return moves.join(state.select(F.col("channel").alias("target"), "area"), "target").select("channel", "target", "area")
+        # Chains of wishes end in a channel that stays; all of a chain merge into that.
+        ends = descend(want.select(F.col("channel").alias("node"), "down")).select(F.col("node").alias("channel"), F.col("target").alias("into"))
+        gained = ends.join(state.select("channel", "area"), "channel").groupBy(F.col("into").alias("channel")).agg(F.sum("area").alias("_gain"))
+        left = state.join(ends, "channel", "left_anti").join(gained, "channel", "left")
+        # What stays and drained into a merged channel drains into its target now.
+        ahead = ends.select(F.col("channel").alias("down"), F.col("into").alias("_into"))
+        state = cut(left.join(ahead, "down", "left").select("channel", F.coalesce("_into", "down").alias("down"), (F.col("area") + F.coalesce("_gain", F.lit(0.0))).alias("area"), "basin", "kind"))
+        moves = cut(moves.join(ends.withColumnRenamed("channel", "target"), "target", "left").select("channel", F.coalesce("into", "target").alias("target")))
+
+
+def spread_labels(cells: DataFrame) -> DataFrame:
+    """node, label: a label passed up from the cells that have one, over flooded cells that drain to them.
+
+    ``cells``: node, down, label, flooded. The first labelled cell on the way down counts, where all
+    cells before it are flooded; labelled cells keep their own.
+    """
+    flooded = cells.where(F.col("flooded") & F.col("label").isNull())
+    # A labelled cell ends the way: below it nothing is looked for.
+    steps = flooded.select("node", "down").join(cells.where(F.col("label").isNotNull() | F.col("flooded")).select(F.col("node").alias("down")), "down", "left_semi").select("node", "down")
+    own = cells.where("label is not null").select("node", "label")
+    ends = descend(steps).join(own.select(F.col("node").alias("target"), "label"), "target").select("node", "label")
+    return own.unionByName(ends)

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fixed values of the inverse normal approximation, in order of the polynomials' terms.
-_A = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
-_B = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572]
-_C = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
-_D = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416]
+# Coefficients of Acklam's approximation of the inverse normal distribution, in order of the polynomials' terms.
+_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
+_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
 
 
 def uniform(*keys: str | Column, seed: int = 0) -> Column:
@@ -68,6 +68,22 @@ def lognormal_density(x: Column, mean: float, deviation: float) -> Column:
     return F.when(x > 0, normal_density(F.ln(x), mean, deviation) / x).otherwise(0.0)
 
 
+def quantile(u: Column, kind: str, settings: list[float]) -> Column:
+    """A parameter's value at probability ``u``: uniform (low, high), triangular, trapezoidal, normal or lognormal (mean, deviation)."""
+    if kind == "uniform":
+        low, high = settings
+        return low + (high - low) * u
+    if kind == "triangular":
+        return triangular_inverse(u, *settings)
+    if kind == "trapezoidal":
+        return trapezoidal_inverse(u, *settings)
+    if kind not in ("normal", "lognormal"):
+        raise ValueError(f"no such distribution: {kind}")
+    mean, deviation = settings
+    z = mean + deviation * normal_inverse(u)
+    return z if kind == "normal" else F.exp(z)
+
+
 def runs(spark: SparkSession, n: int, params: list[tuple[str, float, float]]) -> DataFrame:
     """run, param, low, high."""
     grid = spark.createDataFrame(params, "param string, low double, high double")
@@ -94,6 +110,68 @@ def van_der_corput(index: Column, bits: int = 31) -> Column:
     return out
 
 
+# A Sobol sequence's primitive polynomials, bits of their coefficients, one for each dimension.
+SOBOL_POLYNOMIALS = [
+    1, 3, 7, 11, 13, 19, 25, 37, 59, 47, 61, 55, 41, 67, 97, 91, 109, 103, 115, 131,
+    193, 137, 145, 143, 241, 157, 185, 167, 229, 171, 213, 191, 253, 203, 211, 239, 247, 285, 369, 299,
+]
+# The second to eighth initial direction numbers of the last dimensions; the first is always 1.
+SOBOL_STARTS = [
+    [1, 3, 1, 3, 1, 3, 3, 1, 3, 1, 3, 1, 3, 1, 1, 3, 1, 3, 1, 3, 1, 3, 3, 1, 3, 1, 3, 1, 3, 1, 1, 3, 1, 3, 1, 3, 1, 3],
+    [7, 5, 1, 3, 3, 7, 5, 5, 7, 7, 1, 3, 3, 7, 5, 1, 1, 5, 3, 3, 1, 7, 5, 1, 3, 3, 7, 5, 1, 1, 5, 7, 7, 5, 1, 3, 3],
+    [1, 7, 9, 13, 11, 1, 3, 7, 9, 5, 13, 13, 11, 3, 15, 5, 3, 15, 7, 9, 13, 9, 1, 11, 7, 5, 15, 1, 15, 11, 5, 3, 1, 7, 9],
+    [9, 3, 27, 15, 29, 21, 23, 19, 11, 25, 7, 13, 17, 1, 25, 29, 3, 31, 11, 5, 23, 27, 19, 21, 5, 1, 17, 13, 7, 15, 9, 31, 9],
+    [37, 33, 7, 5, 11, 39, 63, 27, 17, 15, 23, 29, 3, 21, 13, 31, 25, 9, 49, 33, 19, 29, 11, 19, 27, 15, 25],
+    [13, 33, 115, 41, 79, 17, 29, 119, 75, 73, 105, 7, 59, 65, 21, 3, 113, 61, 89, 45, 107],
+    [7, 23, 39],
+]
+SOBOL_BITS = 30
+
+
+def sobol_directions(dimension: int) -> list[int]:
+    """The numbers that the bits of a point's index are combined from, in one dimension (from 0)."""
+    if not dimension:
+        return [1 << (SOBOL_BITS - k - 1) for k in range(SOBOL_BITS)]
+    polynomial = SOBOL_POLYNOMIALS[dimension]
+    degree = polynomial.bit_length() - 1
+    m = [1] + [row[dimension - len(SOBOL_POLYNOMIALS)] for row in SOBOL_STARTS[: degree - 1]]
+    for k in range(degree, SOBOL_BITS):
+        new = m[k - degree]
+        for j in range(1, degree + 1):
+            if polynomial >> (degree - j) & 1:
+                new ^= m[k - j] << j
+        m.append(new)
+    return [x << (SOBOL_BITS - k - 1) for k, x in enumerate(m)]
+
+
+def sobol(index: Column, dimension: int) -> Column:
+    """A point's coordinate in [0, 1); points come in the order of the Gray code of their index."""
+    gray = index.bitwiseXOR(F.shiftright(index, 1))
+    numbers = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).cast("long").alias("v")) for k, v in enumerate(sobol_directions(dimension))])
+    used = F.filter(numbers, lambda x: F.call_function("shiftright", gray, x["k"]).bitwiseAND(1) == 1)
+    return F.aggregate(used, F.lit(0).cast("long"), lambda out, x: out.bitwiseXOR(x["v"])) / float(1 << SOBOL_BITS)
+
+
+def sobol_sample(spark: SparkSession, n: int, params: list[tuple[str, float, float]], start: int = 1) -> DataFrame:
+    """run, param, value: ``n`` points of the sequence from ``start`` on, each parameter in its range."""
+    if len(params) > len(SOBOL_POLYNOMIALS):
+        raise ValueError(f"at most {len(SOBOL_POLYNOMIALS)} parameters")
+    values = [F.struct(F.lit(name).alias("param"), (low + (high - low) * sobol(F.col("id") + start, k)).alias("value")) for k, (name, low, high) in enumerate(params)]
+    return spark.range(n).select(F.col("id").alias("run"), F.inline(F.array(*values)))
+
+
+def next_seed(seed: Column) -> Column:
+    """The multiplicative generator with modulus 2^31 - 1 and factor 16807; seeds 1 to 2^31 - 2."""
+    return F.pmod(seed.cast("long") * 16807, F.lit((1 << 31) - 1))
+
+
+def uniform_integer(low: int, high: int, seed: Column) -> Column:
+    """An integer from ``low`` to ``high``, rounded from the number that follows ``seed``."""
+    r = next_seed(seed).cast("double") / float((1 << 31) - 1)
+    value = F.floor((1 - r) * (low - 0.5) + r * (high + 0.5) + 0.5)
+    return F.least(F.lit(high), F.greatest(F.lit(low), value)).cast("long")
+
+
 def one_at_a_time(base: DataFrame, factor: float) -> DataFrame:
     """run, step, param, value: step 0 is the base; step j also changes the first j parameters by ``factor``."""
     order = F.dense_rank().over(Window.partitionBy("run").orderBy("param"))
@@ -109,6 +187,19 @@ def elementary_effects(outputs: DataFrame, delta: float) -> DataFrame:
     return effects.groupBy("param").agg(F.avg("effect").alias("mu"), F.avg(F.abs("effect")).alias("mu_star"), F.stddev_samp("effect").alias("sigma"))
 
 
+def perturbation_sensitivities(outputs: DataFrame, factor: float) -> DataFrame:
+    """param, cas, ctrs, pe: mean sensitivities over the base runs, from outputs (run, step, param, base, y).
+
+    Each step changes one parameter of value ``base`` by ``factor``. cas is the change of y for a
+    unit of the parameter, ctrs the same relative to parameter and mean output, pe the absolute
+    change in per cent of the mean output for the factor. Where a divisor is 0 the run doesn't count.
+    """
+    before = F.lag("y").over(Window.partitionBy("run").orderBy("step"))
+    rows = outputs.withColumn("change", F.col("y") - before).withColumn("mean", (F.col("y") + before) / 2).where("step > 0")
+    cas = F.try_divide(F.col("change"), factor * F.col("base"))
+    return rows.groupBy("param").agg(F.avg(cas).alias("cas"), F.avg(F.try_divide(cas * F.col("base"), F.col("mean"))).alias("ctrs"), F.avg(F.abs(F.try_divide(100 * F.col("change"), F.col("mean")) / factor)).alias("pe"))
+
+
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """z-scores by the population deviation."""
     stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])

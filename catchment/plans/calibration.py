@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catchment.operators import calibration, landunits, network, relational, sampling
 from catchment.plans.landunits import GRID, UNITS, grid, rounded, units
 from catchment.plans.registry import query
+from catchment.plans.sampling import normal_inverse_sql
 
 
 def c(name):
@@ -16,8 +17,32 @@ def c(name):
 
 PARAMS = [("cn2", 35.0, 95.0), ("esco", 0.0, 1.0), ("awc", -0.25, 0.25)]
 
-query("sa_1", "SELECT * FROM (VALUES ('cn2', 35.0, 95.0), ('esco', 0.0, 1.0), ('awc', -0.25, 0.25)) v(param, low, high)")(lambda t: t.spark.createDataFrame(PARAMS, "param string, low double, high double"))
-query("sa_6", "SELECT CAST(count(*) AS BIGINT) AS n, 1000 AS wanted FROM range(1000)")(lambda t: t.spark.range(1000).select(sampling.uniform("id", seed=5).alias("u")).where("u > 0 and u < 1").agg(F.count("*").alias("n")).withColumn("wanted", F.lit(1000)))
+#: A parameter of each distribution: name, kind and its settings.
+DISTRIBUTIONS = [("cn2", "uniform", [35.0, 95.0]), ("esco", "triangular", [0.1, 0.3, 0.9]), ("awc", "trapezoidal", [0.1, 0.3, 0.6, 0.9]), ("k", "normal", [0.5, 0.2]), ("slope", "lognormal", [-1.0, 0.5])]
+_DRAWS = {
+    "uniform": "35 + 60 * u", "triangular": "CASE WHEN u < 0.25 THEN 0.1 + sqrt(u * 0.8 * 0.2) ELSE 0.9 - sqrt((1 - u) * 0.8 * 0.6) END",
+    "trapezoidal": "CASE WHEN u < 0.2 / 1.1 THEN 0.1 + sqrt(u * 1.1 * 0.2) WHEN u <= 0.8 / 1.1 THEN (u * 1.1 + 0.4) / 2 ELSE 0.9 - sqrt((1 - u) * 1.1 * 0.3) END", "normal": f"0.5 + 0.2 * ({normal_inverse_sql()})", "lognormal": f"exp(-1 + 0.5 * ({normal_inverse_sql()}))",
+}
+query("sa_1", "WITH x AS (SELECT o_orderkey, (o_totalprice + 1) / (max(o_totalprice) OVER () + 2) AS u FROM orders) " + " UNION ALL ".join(f"SELECT o_orderkey, '{name}' AS param, round({_DRAWS[kind]}, 7) AS value FROM x" for name, kind, _ in DISTRIBUTIONS))(
+    lambda t: (lambda x: x.select("o_orderkey", F.inline(F.array(*[F.struct(F.lit(name).alias("param"), F.round(sampling.quantile(c("u"), kind, settings), 7).alias("value")) for name, kind, settings in DISTRIBUTIONS]))))(
+        t.orders.crossJoin(F.broadcast(t.orders.agg(F.max("o_totalprice").alias("top")))).select("o_orderkey", ((c("o_totalprice") + 1) / (c("top") + 2)).alias("u"))
+    )
+)
+_NEXT = "((p_partkey + 1) * 16807) % 2147483647"
+query("sa_6", f"SELECT p_partkey, {_NEXT} AS seed, CAST(greatest(3, least(40, floor((1 - r) * 2.5 + r * 40.5 + 0.5))) AS BIGINT) AS value FROM (SELECT p_partkey, {_NEXT} / 2147483647 AS r FROM part)")(
+    lambda t: t.part.select("p_partkey", sampling.next_seed(c("p_partkey") + 1).alias("seed"), sampling.uniform_integer(3, 40, c("p_partkey") + 1).alias("value"))
+)
+_SOBOL = "list_reduce([(xor(i, i >> 1) >> k & 1) * v[k + 1] FOR k IN range(30)], lambda a, b: xor(a, b))"
+
+
+def _sobol_sql(dimensions):
+    return ", ".join(f"({k}, {sampling.sobol_directions(k)})" for k in range(dimensions))
+
+
+query("sa_5", f"SELECT i, CAST(d AS INT) AS dimension, {_SOBOL} / 1073741824 AS u FROM (SELECT p_partkey AS i FROM part), (VALUES {_sobol_sql(40)}) z(d, v)")(
+    lambda t: t.part.select(c("p_partkey").alias("i"), F.posexplode(F.array(*[sampling.sobol(c("p_partkey"), k) for k in range(40)])).alias("dimension", "u"))
+)
+query("sa_27", "SELECT i - 1 AS run, param, low + (high - low) * " + _SOBOL + f" / 1073741824 AS value FROM range(1, 257) r(i), (VALUES {_sobol_sql(3)}) z(d, v) JOIN (VALUES (0, 'cn2', 35.0, 95.0), (1, 'esco', 0.0, 1.0), (2, 'awc', -0.25, 0.25)) p(d, param, low, high) USING (d)")(lambda t: sampling.sobol_sample(t.spark, 256, PARAMS))
 query("sa_19", "SELECT round(regr_r2(y, x), 6) AS r2, round(corr(x, y), 6) AS src FROM (SELECT ln(o_totalprice) AS y, o_custkey AS x FROM orders)")(
     lambda t: (lambda b, r2: t.spark.createDataFrame([(round(r2, 6), round(b["x"], 6))], "r2 double, src double"))(*sampling.regression_coefficients(t.orders.select(c("o_custkey").cast("double").alias("x"), F.ln("o_totalprice").alias("y")), ["x"], "y"))
 )
@@ -28,18 +53,36 @@ query("sa_23", "SELECT o_custkey, o_orderkey, round(avg(o_totalprice) OVER (PART
     lambda t: (lambda w: t.orders.select("o_custkey", "o_orderkey", F.round(F.avg("o_totalprice").over(w), 4).alias("mean"), F.count("*").over(w).alias("n")))(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
 )
 query("sa_24")(lambda t: calibration.morris(t.spark, PARAMS, 40, seed=2))
-query("sa_25")(
-    lambda t: (lambda m: m.alias("a").join(m.alias("b"), (c("a.step") == c("b.step")) & (c("a.name") == c("b.name")) & (c("a.run") < c("b.run"))).groupBy(c("a.run").alias("a"), c("b.run").alias("b")).agg(F.round(F.sqrt(F.sum(F.pow(c("a.value") - c("b.value"), 2))), 8).alias("distance")))(
-        calibration.morris(t.spark, PARAMS, 40, seed=2)
-    ).orderBy(F.desc("distance"), "a", "b").limit(20)
-)
-query("sa_27")(lambda t: t.spark.range(256).select("id", *[(lo + (hi - lo) * sampling.van_der_corput(c("id").bitwiseXOR(k * 37))).alias(n) for k, (n, lo, hi) in enumerate(PARAMS)]))
+
+
+def _walks(t):
+    """A trajectory of four points in three dimensions for each nation."""
+    k = c("n_nationkey")
+    start = [(k * m) % 4 / 3.0 for m in (7, 5, 3)]
+    points = [F.array(*[start[d] + F.when(F.pmod(k + d, F.lit(3)) < step, 2 / 3.0).otherwise(0.0) for d in range(3)]) for step in range(4)]
+    return t.nation.select(k.alias("run"), F.posexplode(F.array(*points)).alias("step", "x"))
+
+
+_START = ", ".join(f"(n_nationkey * {m}) % 4 / 3.0 + CASE WHEN (n_nationkey + {d}) % 3 < s THEN 2 / 3.0 ELSE 0 END" for d, m in enumerate((7, 5, 3)))
+_WALKS = f"w AS (SELECT n_nationkey AS run, s AS step, [{_START}] AS x FROM nation, range(4) r(s))"
+_APART = _WALKS + ", f AS (SELECT min(run) AS run FROM (SELECT run, list_sort(list(x)) AS shape FROM w GROUP BY 1) GROUP BY shape), u AS (SELECT w.* FROM w JOIN f USING (run)), d AS (SELECT a.run AS a, b.run AS b, round(sum(list_distance(a.x, b.x)), 9) AS distance FROM u a JOIN u b ON a.run <> b.run GROUP BY 1, 2)"
+
+
+def _greedy_sql(size):
+    """The groups as they grow, one step after the other."""
+    parts = ["s0 AS (SELECT DISTINCT a AS start, [a] AS own, 0.0 AS total FROM d)"]
+    for k in range(1, size):
+        parts.append(f"s{k} AS (SELECT start, list_append(own, next) AS own, total + far AS total FROM (SELECT start, own, total, b AS next, sqrt(sum(distance * distance)) AS far FROM s{k - 1} JOIN d ON list_contains(own, a) WHERE NOT list_contains(own, b) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY start ORDER BY round(far, 6) DESC, next) = 1)")
+    return ", ".join(parts)
+
+
+query("sa_25", f"WITH {_APART}, {_greedy_sql(5)}, o AS (SELECT own FROM s4 ORDER BY round(total, 6) DESC, start LIMIT 1) SELECT CAST(k AS INT) AS place, own[k + 1] AS run FROM o, range(5) r(k)")(lambda t: calibration.spread_group(_walks(t), 5))
+query("sa_25_distances", f"WITH {_APART} SELECT a, b, round(distance, 6) AS distance FROM d")(lambda t: calibration.trajectory_distances(_walks(t)).select("a", "b", F.round("distance", 6).alias("distance")))
 for _number in (28, 29):
     query(f"sa_{_number}")(lambda t: (lambda p, s: t.spark.createDataFrame([(float(p[0]), float(p[1]), s)], "x double, y double, score double"))(*calibration.shuffled_complexes(t.spark, lambda x: sampling.rosenbrock(*x), [-2, -2], [2, 2], rounds=25)))
-for _suffix, _ids in (("", "o_custkey < 100"), ("_whole", "true")):
-    query(f"sa_31{_suffix}", f"SELECT o_orderkey AS run, o_totalprice * 2 + 1 AS score FROM orders WHERE {_ids}")(
-        lambda t, ids=_ids: calibration.run_models(t.orders.where(ids).select(c("o_orderkey").alias("run"), "o_totalprice"), lambda r: r["o_totalprice"] * 2 + 1, t.spark.sparkContext.defaultParallelism)
-    )
+query("sa_31", "SELECT o_orderkey AS run, o_totalprice * 2 + 1 AS score FROM orders")(
+    lambda t: calibration.run_models(t.orders.select(c("o_orderkey").alias("run"), "o_totalprice"), lambda r: r["o_totalprice"] * 2 + 1, t.spark.sparkContext.defaultParallelism)
+)
 query("sa_32", "SELECT p_partkey, rpad(p_name, 14, ' ') || lpad(printf('%.4f', p_retailprice), 14, ' ') AS line FROM part")(lambda t: t.part.select("p_partkey", F.concat(F.rpad("p_name", 14, " "), F.lpad(F.format_string("%.4f", "p_retailprice"), 14, " ")).alias("line")))
 for _number in (23, 24):
     query(f"wn_{_number}")(lambda t: calibration.natural_breaks(t.part, ["p_type"], "p_size", 4))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catchment.operators import landunits as lu
 from catchment.operators.aggregates import dominant
-from catchment.operators.nearest import nearest
+from catchment.operators.nearest import nearest, nearest_of_list
 from catchment.plans.registry import query
 
 
@@ -121,38 +122,28 @@ query("gs_37", f"SELECT row // 5 AS grid_row, CAST(col // 5 AS BIGINT) AS grid_c
 
 # Nearest stations: vectors give coordinates
 
-_NEAR = "SELECT id, min_by(station, (d2, station)) AS station, round(min(d2), 8) AS d2 FROM (SELECT v.vec_id AS id, s.vec_id AS station, pow(CAST(v.embedding[1] AS DOUBLE) - CAST(s.embedding[1] AS DOUBLE), 2) * {} + pow(CAST(v.embedding[2] AS DOUBLE) - CAST(s.embedding[2] AS DOUBLE), 2) AS d2 FROM embeddings v, embeddings s WHERE s.vec_id % 5 = 0) GROUP BY 1"
+_NEAR = "SELECT id, min_by(station, (d2, station)) AS station, round(min(d2), 8) AS d2 FROM (SELECT v.vec_id AS id, s_suppkey AS station, pow(CAST(v.embedding[1] AS DOUBLE) - (s_nationkey - 12) / 12.0, 2) * {} + pow(CAST(v.embedding[2] AS DOUBLE) - (s_acctbal - 4500) / 5500.0, 2) AS d2 FROM embeddings v, supplier) GROUP BY 1"
 
 
 def _points(t):
-    x, y = c("embedding")[0].cast("double"), c("embedding")[1].cast("double")
-    return t.embeddings.select(c("vec_id").alias("id"), x.alias("x"), y.alias("y")), t.embeddings.where("vec_id % 5 = 0").select(c("vec_id").alias("station"), x.alias("sx"), y.alias("sy"))
+    points = t.embeddings.select(c("vec_id").alias("id"), c("embedding")[0].cast("double").alias("x"), c("embedding")[1].cast("double").alias("y"))
+    return points, t.supplier.select(c("s_suppkey").alias("station"), ((c("s_nationkey") - 12) / 12.0).alias("sx"), ((c("s_acctbal") - 4500) / 5500.0).alias("sy"))
 
 
-for _name in ("jn_27", "jn_29", "jn_30"):
-    query(_name, _NEAR.format("1"))(lambda t: nearest(*_points(t)).withColumn("d2", F.round("d2", 8)))
+query("jn_27", _NEAR.format("1"))(lambda t: nearest(*_points(t)).withColumn("d2", F.round("d2", 8)))
 query("jn_27_cells", _NEAR.format("1"))(lambda t: nearest(*_points(t), small=0).withColumn("d2", F.round("d2", 8)))
 query("jn_28", _NEAR.format("pow(cos(radians(CAST(v.embedding[2] AS DOUBLE))), 2)"))(lambda t: nearest(*_points(t), weighted=True).withColumn("d2", F.round("d2", 8)))
-query("jn_31", f"SELECT * FROM ({_NEAR.format('1')}) WHERE d2 <= 0.0001")(lambda t: nearest(*_points(t), limit=0.01).withColumn("d2", F.round("d2", 8)))
-query("jn_39", "SELECT e.event_id, b.id FROM events e JOIN (SELECT p_partkey AS id, p_size * 8.0 AS lo, p_size * 8.0 + 2 AS hi FROM part WHERE p_partkey < 40) b ON value BETWEEN lo AND hi")(
-    lambda t: t.events.join(F.broadcast(t.part.where("p_partkey < 40").select(c("p_partkey").alias("id"), (c("p_size") * 8.0).alias("lo"), (c("p_size") * 8.0 + 2).alias("hi"))), c("value").between(c("lo"), c("hi"))).select("event_id", "id")
+# Nearest vertex: of lines, each a nation's suppliers in order, the vertex's place in its line and the line.
+query("jn_29", f"SELECT id, s_nationkey AS line, CAST(k AS INT) AS vertex, d2 FROM ({_NEAR.format('1')}) JOIN (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) ON s_suppkey = station")(
+    lambda t: nearest(*_points(t)).join(t.supplier.select("s_suppkey", c("s_nationkey").alias("line"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("vertex")), c("station") == c("s_suppkey")).select("id", "line", "vertex", F.round("d2", 8).alias("d2"))
 )
-query("jn_40", "SELECT event_id, CAST(floor(value / 25) AS BIGINT) AS cell FROM events")(lambda t: t.events.select("event_id", F.floor(c("value") / 25).alias("cell")))
-
-# Beside the stations and boxes of some ids, the same with all suppliers as stations and all parts as boxes
-
-_NEAR_WHOLE = "SELECT id, min_by(station, (d2, station)) AS station, round(min(d2), 8) AS d2 FROM (SELECT v.vec_id AS id, s_suppkey AS station, pow(CAST(v.embedding[1] AS DOUBLE) - (s_nationkey - 12) / 12.0, 2) * {} + pow(CAST(v.embedding[2] AS DOUBLE) - (s_acctbal - 4500) / 5500.0, 2) AS d2 FROM embeddings v, supplier) GROUP BY 1"
-
-
-def _all_stations(t):
-    return _points(t)[0], t.supplier.select(c("s_suppkey").alias("station"), ((c("s_nationkey") - 12) / 12.0).alias("sx"), ((c("s_acctbal") - 4500) / 5500.0).alias("sy"))
-
-
-for _name in ("jn_27", "jn_29", "jn_30"):
-    query(f"{_name}_whole", _NEAR_WHOLE.format("1"))(lambda t: nearest(*_all_stations(t)).withColumn("d2", F.round("d2", 8)))
-query("jn_28_whole", _NEAR_WHOLE.format("pow(cos(radians(CAST(v.embedding[2] AS DOUBLE))), 2)"))(lambda t: nearest(*_all_stations(t), weighted=True).withColumn("d2", F.round("d2", 8)))
-query("jn_31_whole", f"SELECT * FROM ({_NEAR_WHOLE.format('1')}) WHERE d2 <= 0.0001")(lambda t: nearest(*_all_stations(t), limit=0.01).withColumn("d2", F.round("d2", 8)))
+# Nearest of a point list: each point's own list are the suppliers of the nation of its number.
+query("jn_30", "SELECT id, min_by(station, (d2, station)) AS station, round(min(d2), 8) AS d2 FROM (SELECT v.vec_id AS id, s_suppkey AS station, pow(CAST(v.embedding[1] AS DOUBLE) - (s_nationkey - 12) / 12.0, 2) + pow(CAST(v.embedding[2] AS DOUBLE) - (s_acctbal - 4500) / 5500.0, 2) AS d2 FROM embeddings v JOIN supplier ON s_nationkey = vec_id % 25) GROUP BY 1")(
+    lambda t: nearest_of_list(_points(t)[0].withColumn("list", c("id") % 25), _points(t)[1].join(t.supplier.select(c("s_suppkey").alias("station"), c("s_nationkey").alias("list")), "station"), "list").withColumn("d2", F.round("d2", 8))
+)
+query("jn_31", f"SELECT * FROM ({_NEAR.format('1')}) WHERE d2 <= 0.0001")(lambda t: nearest(*_points(t), limit=0.01).withColumn("d2", F.round("d2", 8)))
 # A box begins at a multiple of 8 and is 2 wide, so a value's only box size is its eighth, rounded down.
-query("jn_39_whole", "SELECT e.event_id, b.id FROM events e JOIN (SELECT p_partkey AS id, p_size * 8.0 AS lo, p_size * 8.0 + 2 AS hi FROM part) b ON value BETWEEN lo AND hi")(
+query("jn_39", "SELECT e.event_id, b.id FROM events e JOIN (SELECT p_partkey AS id, p_size * 8.0 AS lo, p_size * 8.0 + 2 AS hi FROM part) b ON value BETWEEN lo AND hi")(
     lambda t: t.events.withColumn("size", F.floor(c("value") / 8)).where(c("value") <= c("size") * 8.0 + 2).join(t.part.select(c("p_partkey").alias("id"), c("p_size").cast("long").alias("size")), "size").select("event_id", "id")
 )
+query("jn_40", "SELECT event_id, CAST(floor(value / 25) AS BIGINT) AS cell FROM events")(lambda t: t.events.select("event_id", F.floor(c("value") / 25).alias("cell")))

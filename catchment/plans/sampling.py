@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,18 @@ def c(name):
     return F.col(name)
 
 
+def normal_inverse_sql():
+    """The approximation of the inverse normal distribution written out in SQL over ``u``."""
+
+    def poly(x, terms):
+        return reduce(lambda out, term: f"({out}) * {x} + ({term!r})", terms[1:], repr(terms[0]))
+
+    tail = lambda q: f"({poly(q, sa._C)}) / (({poly(q, sa._D)}) * {q} + 1)"
+    r = "((u - 0.5) * (u - 0.5))"
+    middle = f"({poly(r, sa._A)}) * (u - 0.5) / (({poly(r, sa._B)}) * {r} + 1)"
+    return f"CASE WHEN u < 0.02425 THEN {tail('sqrt(-2 * ln(u))')} WHEN u > 0.97575 THEN -({tail('sqrt(-2 * ln(1 - u))')}) ELSE {middle} END"
+
+
 def _x(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (c("l_quantity") / 50).alias("x"))
 
@@ -38,42 +52,44 @@ _column("sa_30_goldstein", "(1 + pow(2 * x + 1, 2) * (19 - 28 * x + 12 * x * x))
 _column("sa_30_camel", "(4 - 2.1 * x * x + pow(x, 4) / 3) * x * x + x * x + (4 * x * x - 4) * x * x", lambda x: sa.camel(x, x))
 _column("sa_30_rastrigin", "2 * x * x - 2 * cos(18 * x)", lambda x: sa.rastrigin(x, x))
 _column("sa_30_griewank", "x * x / 100 - cos(x) * cos(x / sqrt(2)) + 1", lambda x: sa.griewank(x, x))
-query("fn_55")(lambda t: t.spark.range(1, 1000).select((c("id") / 1000).alias("p")).select("p", sa.normal_inverse(c("p")).alias("z")))
+query("fn_55", "SELECT u AS p, round(" + normal_inverse_sql() + ", 9) AS z FROM (SELECT i / 1000 AS u FROM range(1, 1000) r(i))")(lambda t: t.spark.range(1, 1000).select((c("id") / 1000).alias("p")).select("p", F.round(sa.normal_inverse(c("p")), 9).alias("z")))
 query("sa_2")(lambda t: sa.monte_carlo(t.spark, 1000, PARAMS, 7))
 query("sa_3")(lambda t: sa.latin_hypercube(t.spark, 500, PARAMS, 7))
-query("sa_4", "SELECT CAST(i AS BIGINT) AS i, list_sum([(i >> k & 1) * pow(2.0, -(k + 1)) FOR k IN range(31)]) AS u FROM range(512) r(i)")(lambda t: t.spark.range(512).select(c("id").alias("i"), sa.van_der_corput(c("id")).alias("u")))
+query("sa_4_first", "SELECT CAST(i AS BIGINT) AS i, list_sum([(i >> k & 1) * pow(2.0, -(k + 1)) FOR k IN range(31)]) AS u FROM range(512) r(i)")(lambda t: t.spark.range(512).select(c("id").alias("i"), sa.van_der_corput(c("id")).alias("u")))
+query("sa_4", "SELECT i AS run, param, round(low + (high - low) * list_reduce([(xor(i + 1, (i + 1) >> 1) >> k & 1) * v[k + 1] FOR k IN range(30)], lambda a, b: xor(a, b)) / 1073741824, 10) AS value FROM range(512) r(i), (VALUES " + ", ".join(f"('{n}', {a}, {b}, {sa.sobol_directions(k)})" for k, (n, a, b) in enumerate(PARAMS)) + ") z(param, low, high, v)")(lambda t: sa.sobol_sample(t.spark, 512, PARAMS).withColumn("value", F.round("value", 10)))
 query("sa_14")(lambda t: t.spark.range(5000).select("id", (3 + 2 * sa.normal_inverse(sa.uniform("id", seed=3))).alias("x")))
 query("sa_15")(lambda t: t.spark.range(5000).select("id", F.exp(1 + 0.5 * sa.normal_inverse(sa.uniform("id", seed=4))).alias("x")))
 query("sa_16", "SELECT p_partkey, p_size / sum(p_size) OVER (PARTITION BY p_brand) AS w FROM part")(lambda t: t.part.select("p_partkey", (c("p_size") / F.sum("p_size").over(Window.partitionBy("p_brand"))).alias("w")))
 
 
-def _base(t, ids):
+def _base(t):
     """Runs from orders with three parameters."""
-    o = t.orders.where(ids).select(c("o_orderkey").alias("run"), (c("o_totalprice") / 1000).alias("a"), (c("o_custkey") % 17 + 1.0).alias("b"), (c("o_orderkey") % 5 + 1.0).alias("d"))
+    o = t.orders.select(c("o_orderkey").alias("run"), (c("o_totalprice") / 1000).alias("a"), (c("o_custkey") % 17 + 1.0).alias("b"), (c("o_orderkey") % 5 + 1.0).alias("d"))
     return o.unpivot("run", ["a", "b", "d"], "param", "value")
 
 
-def _steps(ids):
-    base = "b AS (SELECT o_orderkey AS run, unnest(['a', 'b', 'd']) AS param, unnest([o_totalprice / 1000, o_custkey % 17 + 1.0, o_orderkey % 5 + 1.0]) AS value, unnest([1, 2, 3]) AS place FROM orders WHERE {ids})".replace("{ids}", ids)
-    return f"{base}, s AS (SELECT run, CAST(step AS INT) AS step, param, CASE WHEN step >= place THEN value * 1.1 ELSE value END AS value FROM b, range(4) r(step))"
+_BASE = "b AS (SELECT o_orderkey AS run, unnest(['a', 'b', 'd']) AS param, unnest([o_totalprice / 1000, o_custkey % 17 + 1.0, o_orderkey % 5 + 1.0]) AS value, unnest([1, 2, 3]) AS place FROM orders)"
+_STEPS = f"{_BASE}, s AS (SELECT run, CAST(step AS INT) AS step, param, CASE WHEN step >= place THEN value * 1.1 ELSE value END AS value FROM b, range(4) r(step))"
 
 
-SPANS = (("", "o_orderkey < 3000"), ("_whole", "true"))
-for _suffix, _ids in SPANS:
-    query(f"sa_17{_suffix}", f"WITH {_steps(_ids)} SELECT run, step, param, round(value, 8) AS value FROM s")(lambda t, ids=_ids: sa.one_at_a_time(_base(t, ids), 0.1).select("run", "step", "param", F.round("value", 8).alias("value")))
+query("sa_17", f"WITH {_STEPS} SELECT run, step, param, round(value, 8) AS value FROM s")(lambda t: sa.one_at_a_time(_base(t), 0.1).select("run", "step", "param", F.round("value", 8).alias("value")))
 
 
-def _outputs(t, ids):
-    """y = a * b + d * d at each step, and the parameter that the step changed."""
-    wide = sa.one_at_a_time(_base(t, ids), 0.1).groupBy("run", "step").pivot("param", ["a", "b", "d"]).agg(F.first("value"))
-    return wide.select("run", "step", F.element_at(F.array(F.lit("-"), F.lit("a"), F.lit("b"), F.lit("d")), c("step") + 1).alias("param"), (c("a") * c("b") + c("d") * c("d")).alias("y"))
+def _outputs(t):
+    """y = a * b + d * d at each step, the parameter that the step changed, and its value before."""
+    wide = sa.one_at_a_time(_base(t), 0.1).groupBy("run", "step").pivot("param", ["a", "b", "d"]).agg(F.first("value"))
+    changed = F.element_at(F.array(F.lit("-"), F.lit("a"), F.lit("b"), F.lit("d")), c("step") + 1)
+    base = F.when(c("step") == 1, c("a") / 1.1).when(c("step") == 2, c("b") / 1.1).when(c("step") == 3, c("d") / 1.1)
+    return wide.select("run", "step", changed.alias("param"), base.alias("base"), (c("a") * c("b") + c("d") * c("d")).alias("y"))
 
 
-_EFFECTS = "w AS (SELECT run, step, max(value) FILTER (WHERE param = 'a') AS a, max(value) FILTER (WHERE param = 'b') AS b, max(value) FILTER (WHERE param = 'd') AS d FROM s GROUP BY 1, 2), e AS (SELECT step, (a * b + d * d - lag(a * b + d * d) OVER (PARTITION BY run ORDER BY step)) / 0.1 AS e FROM w)"
-for _name, _ids in (("sa_18", SPANS[0][1]), *(("sa_26" + k, v) for k, v in SPANS)):
-    query(_name, f"WITH {_steps(_ids)}, {_EFFECTS} SELECT ['-', 'a', 'b', 'd'][step + 1] AS param, round(avg(e), 6) AS mu, round(avg(abs(e)), 6) AS mu_star, round(stddev_samp(e), 6) AS sigma FROM e WHERE step > 0 GROUP BY 1")(
-        lambda t, ids=_ids: sa.elementary_effects(_outputs(t, ids), 0.1).select("param", *[F.round(x, 6).alias(x) for x in ("mu", "mu_star", "sigma")])
-    )
+_WIDE = "w AS (SELECT run, step, max(value) FILTER (WHERE param = 'a') AS a, max(value) FILTER (WHERE param = 'b') AS b, max(value) FILTER (WHERE param = 'd') AS d FROM s GROUP BY 1, 2), y AS (SELECT *, a * b + d * d AS y, lag(a * b + d * d) OVER (PARTITION BY run ORDER BY step) AS y0 FROM w)"
+query("sa_18", f"WITH {_STEPS}, {_WIDE}, e AS (SELECT ['-', 'a', 'b', 'd'][step + 1] AS param, [a, b, d][step] / 1.1 AS v, y - y0 AS change, (y + y0) / 2 AS mean FROM y WHERE step > 0) SELECT param, round(avg(change / (0.1 * v)), 6) AS cas, round(avg(change / 0.1 / mean), 6) AS ctrs, round(avg(abs(100 * change / mean / 0.1)), 6) AS pe FROM e GROUP BY 1")(
+    lambda t: sa.perturbation_sensitivities(_outputs(t), 0.1).select("param", *[F.round(x, 6).alias(x) for x in ("cas", "ctrs", "pe")])
+)
+query("sa_26", f"WITH {_STEPS}, {_WIDE} SELECT ['-', 'a', 'b', 'd'][step + 1] AS param, round(avg((y - y0) / 0.1), 6) AS mu, round(avg(abs((y - y0) / 0.1)), 6) AS mu_star, round(stddev_samp((y - y0) / 0.1), 6) AS sigma FROM y WHERE step > 0 GROUP BY 1")(
+    lambda t: sa.elementary_effects(_outputs(t), 0.1).select("param", *[F.round(x, 6).alias(x) for x in ("mu", "mu_star", "sigma")])
+)
 query("sa_20", "SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 8) AS p_size FROM part")(lambda t: sa.standardise(t.part.select("p_partkey", c("p_size").cast("double")), ["p_size"]).select("p_partkey", F.round("p_size", 8).alias("p_size")))
 query("sa_22", "WITH o AS (SELECT o_orderkey AS run, ln(o_totalprice) AS ya, ln(o_custkey + 2) * 3 AS yb FROM orders), v AS (SELECT var_pop(y) AS v FROM (SELECT ya AS y FROM o UNION ALL SELECT yb FROM o)) SELECT k AS param, round(avg(yb * (ya * w + yb * (1 - w) - ya)) / min(v), 8) AS first, round(avg(pow(ya - (ya * w + yb * (1 - w)), 2)) / (2 * min(v)), 8) AS total FROM o, v, (VALUES ('p', 0.25), ('q', 0.75)) z(k, w) GROUP BY 1")(
     lambda t: (lambda o: sa.sobol_indices(o.crossJoin(F.broadcast(t.spark.createDataFrame([("p", 0.25), ("q", 0.75)], "param string, w double"))).withColumn("yc", c("ya") * c("w") + c("yb") * (1 - c("w")))).select("param", F.round("first", 8).alias("first"), F.round("total", 8).alias("total")))(
