@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +92,15 @@ def simple_rank(docs: DataFrame, key: str, text: str, words: list[str]) -> DataF
     hits = inverted_index(docs, key, text).where(F.col("term").isin([w.lower() for w in words]))
     total = hits.groupBy("term").agg(F.sum("tf").alias("all"))
     return hits.join(F.broadcast(total), "term").groupBy(key).agg((-F.sum(F.col("tf") / F.col("all"))).alias("score"))
+
+
+def search(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """rank (from 1), key, score to five decimals of the documents that hold any word of ``query``, best first; ties by key.
+
+    The rows found are dealt by ranges of their score and numbered there.
+    """
+    from catchment.sources.writers import numbered
+
+    words = sorted({w for w in re.findall(r"[a-z0-9_]+", query.lower())})
+    scored = bm25(docs, key, text, words).select(key, F.round("score", 5).alias("score"))
+    return numbered(scored, ["score", key], "rank")

@@ -204,3 +204,14 @@ def grid_cells(cells: DataFrame, size: int) -> DataFrame:
     )
 
 
+
+
+def zonal(rasters: dict[str, DataFrame], zones: list[str], value: str) -> DataFrame:
+    """zones, cells, the sum of ``value``, lowest and highest over the cells that all rasters have.
+
+    Each raster has row, col and a column of its name; they meet cell by cell in equi-joins.
+    """
+    joined = rasters[value]
+    for zone in zones:
+        joined = joined.join(rasters[zone], ["row", "col"])
+    return joined.groupBy(*zones).agg(F.count("*").alias("cells"), F.sum(value).alias(f"{value}_sum"), F.min(value).alias("lowest"), F.max(value).alias("highest"))

@@ -147,9 +147,9 @@ def sobol_directions(dimension: int) -> list[int]:
 def sobol(index: Column, dimension: int) -> Column:
     """A point's coordinate in [0, 1); points come in the order of the Gray code of their index."""
     gray = index.bitwiseXOR(F.shiftright(index, 1))
-    numbers = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).cast("long").alias("v")) for k, v in enumerate(sobol_directions(dimension))])
-    used = F.filter(numbers, lambda x: F.call_function("shiftright", gray, x["k"]).bitwiseAND(1) == 1)
-    return F.aggregate(used, F.lit(0).cast("long"), lambda out, x: out.bitwiseXOR(x["v"])) / float(1 << SOBOL_BITS)
+    numbers = F.expr("array(" + ", ".join(f"{v}L" for v in sobol_directions(dimension)) + ")")
+    used = F.transform(numbers, lambda v, k: F.call_function("shiftright", gray, k).bitwiseAND(1) * v)
+    return F.aggregate(used, F.lit(0).cast("long"), lambda out, v: out.bitwiseXOR(v)) / float(1 << SOBOL_BITS)
 
 
 def sobol_sample(spark: SparkSession, n: int, params: list[tuple[str, float, float]], start: int = 1) -> DataFrame:

@@ -86,15 +86,41 @@ query("sa_31", "SELECT o_orderkey AS run, o_totalprice * 2 + 1 AS score FROM ord
 query("sa_32", "SELECT p_partkey, rpad(p_name, 14, ' ') || lpad(printf('%.4f', p_retailprice), 14, ' ') AS line FROM part")(lambda t: t.part.select("p_partkey", F.concat(F.rpad("p_name", 14, " "), F.lpad(F.format_string("%.4f", "p_retailprice"), 14, " ")).alias("line")))
 for _number in (23, 24):
     query(f"wn_{_number}")(lambda t: calibration.natural_breaks(t.part, ["p_type"], "p_size", 4))
+# With two classes, every cut can be tried in SQL.
+query("wn_23_two", "WITH v AS (SELECT p_type, p_size AS x, count(*) AS n FROM part GROUP BY 1, 2), s AS (SELECT a.p_type, a.x AS cut, sum(b.n) FILTER (WHERE b.x <= a.x) AS n1, sum(b.n * b.x) FILTER (WHERE b.x <= a.x) AS s1, sum(b.n) FILTER (WHERE b.x > a.x) AS n2, sum(b.n * b.x) FILTER (WHERE b.x > a.x) AS s2, max(b.x) AS top FROM v a JOIN v b USING (p_type) GROUP BY 1, 2) SELECT p_type, CAST(max_by(cut, (s1 * s1 / n1 + s2 * s2 / n2, -cut)) AS DOUBLE) AS lower, CAST(max(top) AS DOUBLE) AS upper FROM s WHERE n2 > 0 GROUP BY 1")(
+    lambda t: calibration.natural_breaks(t.part, ["p_type"], "p_size", 2).select("p_type", c("breaks")[0].alias("lower"), c("breaks")[1].alias("upper"))
+)
 
 # Cells
 
 query("gs_3", f"SELECT a.row, a.col, round(a.value - b.value, 6) AS value FROM {GRID} a JOIN {GRID} b ON a.row = b.row AND a.col = b.col + 1")(
     lambda t: (lambda g: g.join(g.select("row", (c("col") + 1).alias("col"), c("value").alias("other")), ["row", "col"]).select("row", "col", F.round(c("value") - c("other"), 6).alias("value")))(grid(t))
 )
-query("gs_9", f"WITH {UNITS} SELECT unit, crop, soil, slope, round(area, 4) AS area FROM u")(lambda t: rounded(units(t)))
-query("gs_22", f"WITH {UNITS} SELECT unit, CAST(count(*) AS BIGINT) AS parts, round(sum(area), 4) AS area, round(sum(area) / count(*), 6) AS mean FROM u GROUP BY 1")(lambda t: rounded(units(t).groupBy("unit").agg(F.count("*").alias("parts"), F.sum("area").alias("area"), (F.sum("area") / F.count("*")).alias("mean")).withColumn("mean", F.round("mean", 6)).withColumn("area", F.round("area", 4)), 6))
-query("gs_23", f"WITH {UNITS} SELECT unit, slope, round(sum(area), 4) AS area FROM u GROUP BY 1, 2")(lambda t: rounded(units(t).groupBy("unit", "slope").agg(F.sum("area").alias("area"))))
+
+
+def _rasters(t):
+    """Rasters of elevation, land use, soil, slope and sub-basin over the grid's cells; some cells lack a soil."""
+    g = grid(t)
+    return {
+        "elevation": g.select("row", "col", c("value").alias("elevation")), "landuse": g.select("row", "col", F.floor(c("value") % 4).cast("int").alias("landuse")), "soil": g.where((c("row") + c("col")) % 9 != 0).select("row", "col", ((c("row") * 3 + c("col")) % 5).cast("int").alias("soil")),
+        "slope": g.select("row", "col", F.when(c("value") > 200, 2).otherwise(1).alias("slope")), "subbasin": g.select("row", "col", F.expr("row div 10").cast("int").alias("subbasin")),
+    }
+
+
+_ZONES = f"SELECT row // 10 AS subbasin, CAST(floor(value % 4) AS INT) AS landuse, (row * 3 + col) % 5 AS soil, CASE WHEN value > 200 THEN 2 ELSE 1 END AS slope, value AS elevation FROM {GRID} WHERE (row + col) % 9 <> 0"
+query("gs_9", f"SELECT subbasin, landuse, soil, slope, CAST(count(*) AS BIGINT) AS cells, round(sum(elevation), 4) AS elevation_sum, round(min(elevation), 4) AS lowest, round(max(elevation), 4) AS highest FROM ({_ZONES}) GROUP BY ALL")(
+    lambda t: rounded(landunits.zonal(_rasters(t), ["subbasin", "landuse", "soil", "slope"], "elevation"))
+)
+query("gs_22", f"SELECT subbasin, CAST(count(*) AS BIGINT) AS cells, CAST(count(DISTINCT (landuse, soil, slope)) AS BIGINT) AS units, round(avg(elevation), 8) AS mean, round(min(elevation), 4) AS lowest, round(max(elevation), 4) AS highest, round(avg(CASE WHEN slope = 2 THEN 1.0 ELSE 0 END), 6) AS steep FROM ({_ZONES}) GROUP BY 1")(
+    lambda t: (lambda z: rounded(z.groupBy("subbasin").agg(F.sum("cells").alias("cells"), F.count("*").alias("units"), (F.sum("elevation_sum") / F.sum("cells")).alias("mean"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"), (F.sum(F.when(c("slope") == 2, c("cells")).otherwise(0)) / F.sum("cells")).alias("s")), 8)
+    .join(z.groupBy("subbasin").agg(F.round(F.sum(F.when(c("slope") == 2, c("cells")).otherwise(0)) / F.sum("cells"), 6).alias("steep")), "subbasin").drop("s"))(landunits.zonal(_rasters(t), ["subbasin", "landuse", "soil", "slope"], "elevation"))
+)
+# Aquifers: one for each sub-basin and slope class, and a deep one for each sub-basin.
+query("gs_23", f"SELECT subbasin, slope AS kind, CAST(count(*) AS BIGINT) AS cells, round(avg(elevation), 8) AS elevation FROM ({_ZONES}) GROUP BY 1, 2 UNION ALL SELECT subbasin, 0, count(*), round(avg(elevation), 8) FROM ({_ZONES}) GROUP BY 1")(
+    lambda t: rounded(
+        landunits.zonal(_rasters(t), ["subbasin", "slope", "soil"], "elevation").select("subbasin", F.explode(F.array(c("slope"), F.lit(0))).alias("kind"), "cells", "elevation_sum").groupBy("subbasin", "kind").agg(F.sum("cells").alias("cells"), (F.sum("elevation_sum") / F.sum("cells")).alias("elevation")), 8
+    )
+)
 
 
 def _flow(t):
@@ -134,9 +160,14 @@ for _number, _prefix in ((23, "cha"), (24, "res"), (25, "rec")):
         lambda t, prefix=_prefix: t.part.where("p_size > 40").select(c("p_partkey").alias("id"), F.concat(F.lit(prefix), F.lpad(c("p_partkey").cast("string"), 6, "0")).alias("name"), c("p_size").alias("area"))
     )
 query("rp_26", "SELECT s_nationkey AS aquifer, min(s_suppkey) AS outlet, round(sum(s_acctbal), 4) AS area FROM supplier GROUP BY 1")(lambda t: t.supplier.groupBy(c("s_nationkey").alias("aquifer")).agg(F.min("s_suppkey").alias("outlet"), F.round(F.sum("s_acctbal"), 4).alias("area")))
-for _number in (28, 29):
-    query(f"rp_{_number}", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 24 + row_number() OVER (ORDER BY r_regionkey), r_name FROM region")(
-        lambda t: (lambda old: relational.replace(old, t.region.crossJoin(F.broadcast(t.nation.agg(F.max("n_nationkey").alias("top")))).select((c("top") + F.row_number().over(Window.partitionBy("top").orderBy("r_regionkey"))).alias("id"), c("r_name").alias("name")), ["id"]))(
-            t.nation.where("n_regionkey <> 1").select(c("n_nationkey").alias("id"), c("n_name").alias("name"))
-        )
+query("rp_28", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 24 + row_number() OVER (ORDER BY r_regionkey), r_name FROM region")(
+    lambda t: (lambda old: relational.replace(old, t.region.crossJoin(F.broadcast(t.nation.agg(F.max("n_nationkey").alias("top")))).select((c("top") + F.row_number().over(Window.partitionBy("top").orderBy("r_regionkey"))).alias("id"), c("r_name").alias("name")), ["id"]))(
+        t.nation.where("n_regionkey <> 1").select(c("n_nationkey").alias("id"), c("n_name").alias("name"))
     )
+)
+# Reservoirs: suppliers; those with a rule for their nation get it, those in debt a drained one, all others keep theirs.
+query("rp_29", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'drawdown' WHEN s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) THEN 'rule_' || s_nationkey ELSE 'default' END AS release FROM supplier")(
+    lambda t: (lambda res: relational.update_where(relational.update_from(res, t.nation.where("n_regionkey = 2").select(c("n_nationkey").alias("s_nationkey"), F.concat(F.lit("rule_"), c("n_nationkey").cast("string")).alias("release")), ["s_nationkey"], ["release"]), c("s_acctbal") < 0, release="drawdown").select("s_suppkey", "release"))(
+        t.supplier.withColumn("release", F.lit("default"))
+    )
+)

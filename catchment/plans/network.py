@@ -55,9 +55,11 @@ query("gr_6", TREE + " SELECT node FROM r WHERE down = 5")(lambda t: net.descend
 query("gr_7", TREE + " SELECT p_partkey AS node, CAST(p_size + coalesce((SELECT sum(q.p_size) FROM r JOIN part q ON q.p_partkey = r.node WHERE r.down = part.p_partkey), 0) AS BIGINT) AS total FROM part")(
     lambda t: net.upstream_sum(tree(t), t.part.select(c("p_partkey").alias("node"), c("p_size").cast("long").alias("area")), "area")
 )
-# On the binary tree the order is the height that a channel's fully grown part has.
+# Level by level from the leaves: on this tree both children of a channel lie in the next level.
+_LEVELS = "l AS (SELECT p_partkey AS node, (p_partkey - 1) // 2 AS down, CAST(floor(log2(p_partkey + 1)) AS INT) AS level FROM part), top AS (SELECT max(level) AS level FROM l)"
+_STRAHLER = f"WITH RECURSIVE {_LEVELS}, s(node, down, level, strahler) AS (SELECT node, down, level, 1 FROM l WHERE level = (SELECT level FROM top) UNION ALL SELECT l.node, l.down, l.level, CASE WHEN count(x.node) = 0 THEN 1 WHEN count(x.node) = 2 AND min(x.strahler) = max(x.strahler) THEN max(x.strahler) + 1 ELSE max(x.strahler) END FROM (SELECT DISTINCT level FROM s) p JOIN l ON l.level = p.level - 1 LEFT JOIN s x ON x.down = l.node AND x.node > 0 GROUP BY 1, 2, 3) SELECT node, CAST(strahler AS INT) AS strahler FROM s"
 for _number in (8, 9):
-    query(f"gr_{_number}")(lambda t: net.strahler(tree(t)))
+    query(f"gr_{_number}", _STRAHLER)(lambda t: net.strahler(tree(t)))
 query("gr_10", TREE + " SELECT node, CAST(sum(p_size) AS BIGINT) AS length FROM r JOIN part ON p_partkey = r.down GROUP BY 1")(
     lambda t: net.descend(tree(t), lengths=sizes(t)).select("node", "length")
 )

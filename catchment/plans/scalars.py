@@ -61,8 +61,12 @@ _TERMS = "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z
 _BM25 = _TERMS + """, len AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS l FROM documents), corpus AS (SELECT count(*) AS n, avg(l) AS a FROM len),
 df AS (SELECT term, count(*) AS df FROM tf WHERE term IN ('license', 'the', 'von') GROUP BY 1)
 SELECT doc_id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 8) AS score FROM tf JOIN df USING (term) JOIN len USING (doc_id), corpus GROUP BY 1"""
-for _number in (42, 44, 45):
+for _number in (44, 45):
     query(f"fn_{_number}", _BM25)(lambda t: text.bm25(t.documents, "doc_id", "text", ["license", "the", "von"]).select("doc_id", F.round("score", 8).alias("score")))
+# Scores to five decimals, so that ties are ties in both; equal ones are ordered by document.
+query("fn_42", f"SELECT CAST(row_number() OVER (ORDER BY s, doc_id) AS INT) AS rank, doc_id, s AS score FROM (SELECT doc_id, round(score, 5) AS s FROM ({_BM25}))")(
+    lambda t: text.search(t.documents, "doc_id", "text", "the LICENSE, von!").select("rank", "doc_id", "score")
+)
 query("fn_43", _TERMS + ", g AS (SELECT term, sum(tf) AS g FROM tf GROUP BY 1) SELECT doc_id, round(-sum(tf / g), 10) AS score FROM tf JOIN g USING (term) WHERE term IN ('license', 'von') GROUP BY 1")(
     lambda t: text.simple_rank(t.documents, "doc_id", "text", ["license", "von"]).select("doc_id", F.round("score", 10).alias("score"))
 )
