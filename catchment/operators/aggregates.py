@@ -5,12 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchment.operators.iterate import cut
+
 
 def weighted_mean(value: str, weight: str) -> Column:
     """Sum of products over the sum of weights; where that is zero, the raw sum of values."""
     return F.coalesce(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.when(F.sum(weight) != 0, F.sum(weight))), F.sum(value))
 
 
+def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and, for each name of ``shares``, the percentile at that share, interpolated between neighbours.
+
+    Rows come down to counts of distinct values, which are dealt by ranges; places are counted inside
+    a range and begin after those before it, so no group's values meet in a task. Null values don't
+    count, groups without others have no row; null keys are a group.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(F.count("*").alias("_n"))
+    rows = cut(rows.repartitionByRange(*by, "_x").withColumn("_part", F.spark_partition_id()))
+    parts = rows.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_size")
+    parts = parts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at"), before.alias("_before"), F.sum("_size").over(Window.partitionBy(*by)).alias("_all"))
+    same = F.col("_part") == F.col("_at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = F.sum("_n").over(Window.partitionBy("_part", *by).orderBy("_x")) - F.col("_n")
+    placed = rows.withColumn("_first", inside).join(parts, same).withColumn("_first", F.col("_first") + F.col("_before"))
+    out = []
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("_all") - 1)
+        # A value takes the places from _first on; each of the two neighbours of the place is in one value.
+        holds = lambda k: (F.col("_first") <= k) & (k < F.col("_first") + F.col("_n"))
+        low, high = F.max(F.when(holds(F.floor(at)), F.col("_x"))), F.max(F.when(holds(F.ceil(at)), F.col("_x")))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
 def gaps(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Least and mean gap between neighbours in order of value, and the range, for each key.
 

@@ -185,7 +185,7 @@ query("ag_16", "SELECT coalesce(nullif(p_type, 'ECONOMY'), 'NA') AS land, round(
     lambda t: t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).groupBy(F.coalesce(F.nullif(c("p_type"), F.lit("ECONOMY")), F.lit("NA")).alias("land"))
     .agg(F.round(agg.weighted_mean("l_extendedprice", "l_quantity"), 6).alias("mean"), F.round(agg.weighted_mean("l_discount", "l_quantity"), 6).alias("rate"))
 )
-query("ag_27", "SELECT event_type, round(quantile_cont(value, 0.85), 6) AS p85, round(quantile_cont(value, 0.1), 6) AS p10 FROM events GROUP BY 1")(lambda t: t.events.groupBy("event_type").agg(F.round(F.percentile("value", 0.85), 6).alias("p85"), F.round(F.percentile("value", 0.1), 6).alias("p10")))
+query("ag_27", "SELECT event_type, round(quantile_cont(value, 0.85), 6) AS p85, round(quantile_cont(value, 0.1), 6) AS p10 FROM events GROUP BY 1")(lambda t: agg.exact_percentiles(t.events, ["event_type"], "value", {"p85": 0.85, "p10": 0.1}).select("event_type", F.round("p85", 6).alias("p85"), F.round("p10", 6).alias("p10")))
 _EPOCH = "epoch_us(ts) / 1e6"
 _TIMES = f"SELECT user_id, round(min(gap), 6) AS least_gap, round(CASE WHEN count(*) = 1 THEN 0 ELSE (max(s) - min(s)) / (count(*) - 1) END, 6) AS mean_gap, round(max(s) - min(s), 6) AS duration FROM (SELECT user_id, {_EPOCH} AS s, {_EPOCH} - lag({_EPOCH}) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) GROUP BY 1"
 query("ag_30", f"SELECT user_id, least_gap FROM ({_TIMES})")(lambda t: agg.time_gaps(t.events, ["user_id"], "ts").select("user_id", F.round("least_gap", 6).alias("least_gap")))
@@ -195,7 +195,7 @@ query("ag_33", "SELECT user_id, arg_max(event_type, (n, -f)) AS mode FROM (SELEC
 _GAPS = "SELECT user_id, round(coalesce(min(gap), 0), 6) AS least_gap, round(CASE WHEN count(*) = 1 THEN 0 ELSE (max(value) - min(value)) / (count(*) - 1) END, 6) AS mean_gap, round(max(value) - min(value), 6) AS span FROM (SELECT user_id, value, value - lag(value) OVER (PARTITION BY user_id ORDER BY value) AS gap FROM events) GROUP BY 1"
 for _number, _name in ((34, "least_gap"), (35, "mean_gap"), (36, "span")):
     query(f"ag_{_number}", f"SELECT user_id, {_name} FROM ({_GAPS})")(lambda t, name=_name: agg.gaps(t.events, ["user_id"], "value").select("user_id", F.round(name, 6).alias(name)))
-query("ag_37", "SELECT event_type, round(median(value), 6) AS m FROM events GROUP BY 1")(lambda t: t.events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("m")))
+query("ag_37", "SELECT event_type, round(median(value), 6) AS m FROM events GROUP BY 1")(lambda t: agg.exact_percentiles(t.events, ["event_type"], "value", {"m": 0.5}).select("event_type", F.round("m", 6).alias("m")))
 query("ag_38", "SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_name, b.n_name) AS INT) AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")(
     lambda t: t.nation.alias("a").join(t.nation.alias("b"), c("a.n_nationkey") < c("b.n_nationkey")).select(c("a.n_name").alias("a"), c("b.n_name").alias("b"), F.levenshtein("a.n_name", "b.n_name").alias("d"))
 )

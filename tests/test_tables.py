@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from catchment.functions import documents
-from catchment.operators import calibration, model_rules, network, sampling, stored
+from catchment.operators import aggregates, calibration, model_rules, network, sampling, stored
 from catchment.sources import delimited
 
 
@@ -193,3 +193,15 @@ def test_queries_that_sql_cannot_express(spark):
     assert abs(x.mean() - 3) < 0.15 and abs(x.std() - 2) < 0.15
     logs = np.log([r["x"] for r in queries["sa_15"](spark, folder).collect()])
     assert abs(logs.mean() - 1) < 0.05 and abs(logs.std() - 0.5) < 0.05
+
+
+def test_exact_percentiles(spark):
+    r = np.random.default_rng(1)
+    rows = [(str(k % 3) if k % 3 else None, float(x)) for k, x in enumerate(r.integers(0, 40, 700))] + [("lone", 5.0), ("none", None), ("0", None)]
+    table = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.85, "e": 1.0}
+    got = {r["g"]: [r[n] for n in shares] for r in aggregates.exact_percentiles(table, ["g"], "x", shares).collect()}
+    groups = {g: [x for h, x in rows if h == g and x is not None] for g in {g for g, _ in rows}}
+    assert got == {g: pytest.approx(np.quantile(x, list(shares.values())).tolist()) for g, x in groups.items() if x}
+    assert aggregates.exact_percentiles(table, [], "x", {"m": 0.5}).first()["m"] == np.median([x for _, x in rows if x is not None])
+    assert aggregates.exact_percentiles(table.limit(0), ["g"], "x", shares).count() == 0
