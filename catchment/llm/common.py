@@ -51,6 +51,13 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def drop_folder(uri: str) -> None:
+    """Deletes a folder of the shared folder with all its files; one that isn't there is fine."""
+    store, path = filesystem(uri)
+    if store.get_file_info(path).type == pafs.FileType.Directory:
+        store.delete_dir(path)
+
+
 def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bounds the rows of an Arrow batch for the plans made from now on in this session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
