@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchment.llm.bpe import encode_documents
-from catchment.llm.common import short_batches, stored
+from catchment.llm.common import drop_folder, new_folder, short_batches, stored
 from catchment.llm.decontaminate import without_leaks
 from catchment.llm.langid import fit, in_languages
 from catchment.llm.queries import tokenizer_path
@@ -75,10 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. A stage's table goes once the next one's is written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, "stage")
+            path, schema = new_folder(spark, "stage"), docs.schema
+            docs.write.parquet(path)
+            if held:
+                drop_folder(held)
+            docs, held = spark.read.schema(schema).parquet(path), path
     return docs
