@@ -65,7 +65,10 @@ def holds(document: Column, part: Column) -> Column:
 
 
 def tree(df: DataFrame, key: str, document: str) -> DataFrame:
-    """key, path, kind, atom for every node of the documents."""
+    """key, path, kind, atom for every node of the documents; null documents have none.
+
+    Keys that are no plain words are quoted in paths; atoms are written as in JSON, texts without quotes.
+    """
 
     def run(frames):
         for frame in frames:
@@ -75,9 +78,9 @@ def tree(df: DataFrame, key: str, document: str) -> DataFrame:
                 while todo:
                     path, node = todo.pop()
                     kind = {dict: "object", list: "array", str: "text", bool: "boolean", int: "integer", float: "real"}.get(type(node), "null")
-                    rows.append((k, path, kind, None if isinstance(node, (dict, list)) or node is None else str(node)))
+                    rows.append((k, path, kind, None if isinstance(node, (dict, list)) or node is None else node if isinstance(node, str) else json.dumps(node)))
                     if isinstance(node, dict):
-                        todo += [(f"{path}.{n}", v) for n, v in node.items()]
+                        todo += [(f"{path}.{n}" if n.isidentifier() else f"{path}.{json.dumps(n)}", v) for n, v in node.items()]
                     elif isinstance(node, list):
                         todo += [(f"{path}[{n}]", v) for n, v in enumerate(node)]
             yield pd.DataFrame(rows, columns=[key, "path", "kind", "atom"])

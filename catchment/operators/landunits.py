@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchment.operators.iterate import cut
+
 KEYS = ["crop", "soil", "slope"]
 
 
@@ -105,8 +107,8 @@ def remove_to_target(units: DataFrame, target: int, exempt: list[str] | None = N
     The cut is found by a sort-and-limit on the areas; no rank over the whole table is needed.
     """
     spared = F.col("crop").isin(exempt) if exempt else F.lit(False)
-    count = units.count()
-    out = max(0, count - target)
+    units = cut(units)
+    out = max(0, units.count() - target)
     smallest = units.where(~spared).orderBy("area", "unit", *KEYS).limit(out)
     kept = units.join(smallest.select("unit", *KEYS), ["unit", *KEYS], "left_anti")
     total = units.groupBy("unit").agg(F.sum("area").alias("total"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -35,9 +36,22 @@ query("src_2", "SELECT CAST(s_nationkey AS INT) AS unit, CAST(s_suppkey AS INT)
 query("src_1", "SELECT 'part' || p_partkey || '.txt' AS file FROM part WHERE p_partkey % 3 = 0")(
     lambda t: source.parse_manifest(t.part.select(F.concat(F.lit("x  y "), F.lit("part"), c("p_partkey").cast("string"), F.when(c("p_partkey") % 3 == 0, ".txt").otherwise(".out")).alias("value")))
 )
-query("src_3", "SELECT * FROM (VALUES ('hru_wb_day', 4), ('crop_yld_aa', 6), ('hru_pest_aa', 3), ('flow_duration_curve', 3)) v(name, line)")(
-    lambda t: t.spark.createDataFrame([(n, source.start_line(n)) for n in ("hru_wb_day", "crop_yld_aa", "hru_pest_aa", "flow_duration_curve")], "name string, line int")
-)
+#: Tables whose files begin at different lines.
+_STARTS = {"hru_wb_day": 4, "crop_yld_aa": 6, "hru_pest_aa": 3, "flow_duration_curve": 3}
+
+
+def _files(t):
+    """The suppliers as an output file of each table, with as many title lines before them as it has."""
+    out = []
+    for name, first in _STARTS.items():
+        titles = t.spark.createDataFrame([(k, f"{k} of no use here 9 9 x 9") for k in range(1, first)], "line int, value string")
+        body = t.supplier.select((c("s_suppkey") + first).cast("int").alias("line"), F.concat_ws(" ", F.lit("1 1 1 2000"), c("s_nationkey").cast("string"), (c("s_suppkey") + 1).cast("string"), F.lit("n"), F.format_string("%.2f", "s_acctbal")).alias("value"))
+        parsed = source.parse_output(titles.unionByName(body), _FORM, source.start_line(name))
+        out.append(parsed.select(F.lit(name).alias("name"), "unit", "gis_id", "flow"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+query("src_3", "SELECT name, CAST(s_nationkey AS INT) AS unit, CAST(s_suppkey + 1 AS INT) AS gis_id, round(s_acctbal, 2) AS flow FROM supplier, (VALUES " + ", ".join(f"('{n}')" for n in _STARTS) + ") v(name)")(_files)
 query("src_4", "SELECT * FROM (VALUES (0, 'jday', 'none'), (1, 'mon', 'none'), (2, 'day', 'none'), (3, 'yr', 'none'), (4, 'unit', 'none'), (5, 'gis_id', 'none'), (6, 'name', 'none'), (7, 'null', NULL), (8, 'flow', 'mm')) v(place, name, units)")(
     lambda t: source.parse_units(_file(t))
 )
@@ -269,7 +283,19 @@ def _scenarios(t):
 query("prj_36", "SELECT p_partkey, CASE WHEN p_name LIKE '%1' THEN 'deep' ELSE 'shallow' END AS kind FROM part UNION ALL SELECT p_partkey, 'copy' FROM part WHERE p_name LIKE '%1'")(
     lambda t: t.part.select("p_partkey", F.when(c("p_name").like("%1"), "deep").otherwise("shallow").alias("kind")).unionByName(t.part.where(c("p_name").like("%1")).select("p_partkey", F.lit("copy").alias("kind")))
 )
-query("prj_38", "SELECT * FROM (VALUES ('hru_wb_day'), ('basin_wb_day')) v(name)")(lambda t: t.spark.createDataFrame([("hru_wb_day",), ("hru_wb_mon",), ("basin_wb_day",), ("gis_lsus",)], "name string").where(c("name").endswith("_day")))
+
+
+def _daily_tables(t):
+    """Those of some new tables whose names end in the wanted period; the names' common part is cut off again."""
+    base = stored.fresh_name("p")
+    names = [stored.create(t.region.limit(0), f"{base}_{x}") for x in ("hru_wb_day", "hru_wb_mon", "basin_wb_day", "gis_lsus", "hru_wb_aa")]
+    found = [(r["name"].removeprefix(f"{base}_"),) for r in stored.tables(t.spark, "_day").where(F.startswith("name", F.lit(base))).collect()]
+    for name in names:
+        stored.drop(t.spark, name)
+    return t.spark.createDataFrame(found, "name string")
+
+
+query("prj_38", "SELECT * FROM (VALUES ('hru_wb_day'), ('basin_wb_day')) v(name)")(_daily_tables)
 #: Sand, silt and clay ranges (closed) of texture classes, first match wins; fixed values.
 TEXTURES = [("clay", 0, 45, 0, 40, 40, 100), ("silty_clay", 0, 20, 40, 60, 40, 60), ("sandy_clay", 45, 65, 0, 20, 35, 55), ("clay_loam", 20, 45, 15, 52, 27, 40), ("loam", 23, 52, 28, 50, 7, 27)]
 

@@ -71,7 +71,7 @@ def parse_units(rows: DataFrame, start: int = USUAL_START) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> list[str]:
-    """Output files that a manifest names: the last token of each line, tables only."""
+    """Output files that a manifest names: the last token of each line, tables only. A model has some hundreds."""
     return [r["file"] for r in parse_manifest(spark.read.text(path)).collect()]
 
 
