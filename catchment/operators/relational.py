@@ -100,9 +100,9 @@ def page(df: DataFrame, number: int, size: int, order: list[Column]) -> DataFram
 
 def paged(df: DataFrame, text: str, columns: list[str], order: list[Column], number: int, size: int) -> DataFrame:
     """The page of the rows of which any column contains ``text``, with total and matching counts."""
-    hits = df.where(any_of(*[contains(F.col(c), text) for c in columns])) if text else df
-    counts = df.agg(F.count("*").alias("total")).crossJoin(F.broadcast(hits.agg(F.count("*").alias("matches"))))
-    return page(hits, number, size, order).crossJoin(F.broadcast(counts))
+    test = any_of(*[contains(F.col(c), text) for c in columns]) if text else F.lit(True)
+    counts = df.agg(F.count("*").alias("total"), F.count_if(test).alias("matches"))
+    return page(df.where(test), number, size, order).crossJoin(F.broadcast(counts))
 
 
 def complete(df: DataFrame, column: str, text: str, limit: int) -> DataFrame:

@@ -84,13 +84,12 @@ def base_flow(df: DataFrame, day: str, value: str, month: int, longest: int = 10
     """Qb: mean over years of the least i-day mean at its greatest relative rise from i - 1 to i."""
     rows = _complete(hydrological_years(df, day, month), month)
     w = Window.partitionBy("hydro").orderBy(day)
-    sums = rows.select("hydro", F.row_number().over(w).alias("k"), F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    # Totals of i rows are differences of running sums; each row meets the i rows before it, i <= longest.
-    starts = sums.unionByName(sums.groupBy("hydro").agg(F.lit(0).alias("k"), F.lit(0.0).alias("s")))
-    spans = sums.withColumn("i", F.explode(F.sequence(F.lit(1), F.least(F.col("k"), F.lit(longest)))))
-    spans = spans.withColumn("from", F.col("k") - F.col("i"))
-    before = starts.select("hydro", F.col("k").alias("from"), F.col("s").alias("s0"))
-    means = spans.join(before, ["hydro", "from"]).groupBy("hydro", "i").agg(F.min((F.col("s") - F.col("s0")) / F.col("i")).alias("a"))
+    sums = rows.select("hydro", day, F.row_number().over(w).alias("k"), F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    # Totals of i rows are differences of running sums; each row has those of the rows before it, the nearest first.
+    before = sums.withColumn("before", F.reverse(F.collect_list("s").over(w.rowsBetween(-longest, -1))))
+    before = before.withColumn("before", F.when(F.col("k") <= longest, F.concat("before", F.array(F.lit(0.0)))).otherwise(F.col("before")))
+    spans = before.select("hydro", F.posexplode(F.transform("before", lambda s0, i: (F.col("s") - s0) / (i + 1))).alias("i", "a"))
+    means = spans.groupBy("hydro", "i").agg(F.min("a").alias("a"))
     prior = F.lag("a").over(Window.partitionBy("hydro").orderBy("i"))
     rises = means.withColumn("rise", F.when(prior > 0, (F.col("a") - prior) / prior))
     best = rises.groupBy("hydro").agg(F.max_by("a", F.when(F.col("rise") > 0, F.struct(F.col("rise"), -F.col("i")))).alias("a"))
