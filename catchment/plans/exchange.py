@@ -73,9 +73,9 @@ query("src_5", "SELECT s_suppkey, lower(s_name) AS name, CASE WHEN s_suppkey % 4
 query("src_6", "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS INT) END AS size, p_type AS kind FROM part")(
     lambda t: delimited.read_lines(t.spark, _written(t, t.part.select(F.concat_ws("   ", c("p_partkey").cast("string"), F.when(c("p_size") % 3 == 0, "null").otherwise(c("p_size").cast("string")), "p_type", F.lit("more")).alias("value"))), "p_partkey long, size int, kind string", start=1)
 )
-query("src_7", "SELECT CAST(n_nationkey AS INT) AS LANDUSE_ID, n_name AS SWAT_CODE, 'use of ' || n_name AS DESCRIPTION FROM nation")(
+query("src_7", "SELECT CAST(n_nationkey AS INT) AS LANDUSE_ID, n_name AS CODE, 'use of ' || n_name AS DESCRIPTION FROM nation")(
     lambda t: delimited.import_kind(
-        t.spark, _written(t, t.nation.select(F.lit(0).alias("k"), F.lit("LANDUSE_ID,SWAT_CODE,DESCRIPTION").alias("value")).limit(1).union(t.nation.select(c("n_nationkey") + 1, F.concat_ws(",", c("n_nationkey").cast("string"), "n_name", F.concat(F.lit("use of "), c("n_name"))))).coalesce(1).sortWithinPartitions("k")), "landuse"
+        t.spark, _written(t, t.nation.select(F.lit(0).alias("k"), F.lit("LANDUSE_ID,CODE,DESCRIPTION").alias("value")).limit(1).union(t.nation.select(c("n_nationkey") + 1, F.concat_ws(",", c("n_nationkey").cast("string"), "n_name", F.concat(F.lit("use of "), c("n_name"))))).coalesce(1).sortWithinPartitions("k")), "landuse"
     )
 )
 query("src_8", "SELECT p_partkey AS file, base || CASE WHEN k > 1 THEN CAST(k - 2 AS VARCHAR) ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS k FROM (SELECT p_partkey, CASE WHEN contains(lower(stem), 'small') THEN stem ELSE 'small_lookup' END AS base FROM (SELECT p_partkey, p_type || '_' || p_size AS stem FROM part)))")(

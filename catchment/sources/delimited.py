@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 HEAD = 8192
 #: Columns of the kinds of user tables.
 KINDS = {
-    "landuse": "LANDUSE_ID int, SWAT_CODE string",
+    "landuse": "LANDUSE_ID int, CODE string",
     "soil": "SOIL_ID int, SNAM string",
     "urban": "id int, name string, description string, frac_imp double, frac_dc_imp double, curb_den double, urb_wash double, dirt_max double, t_halfmax double, conc_totn double, conc_totp double, conc_no3n double, urb_cn double",
 }

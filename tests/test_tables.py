@@ -68,7 +68,7 @@ def test_delimited_files(spark, tmp_path):
     assert values(delimited.read_lines(spark, plain, "id int, name string")) == [(1, "a"), (2, None)]
     with pytest.raises(Exception):
         delimited.read_lines(spark, plain, "a int, b string, c int, d int").collect()
-    two, three = written(tmp_path, "d.csv", "LANDUSE_ID,SWAT_CODE\n1,AGRL\n"), written(tmp_path, "e.csv", "1\tAGRL\tfields\n2\tFRST\twoods\n")
+    two, three = written(tmp_path, "d.csv", "LANDUSE_ID,CODE\n1,AGRL\n"), written(tmp_path, "e.csv", "1\tAGRL\tfields\n2\tFRST\twoods\n")
     assert values(delimited.import_kind(spark, two, "landuse")) == [(1, "AGRL")]
     assert values(delimited.import_kind(spark, three, "landuse")) == [(1, "AGRL", "fields"), (2, "FRST", "woods")]
 
