@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     replaces each edge by the edge between the ends. A round joins whole chains of hooks; a hub whose
     number is above its leaves' takes one more round, as it hooks to one leaf and the others then to
     that. The driver sees counts only. Rounds are cut by written tables. Loops, repeated
-    edges and both directions are fine; an empty table gives an empty one.
+    edges and both directions are fine, edges with a null end are none; an empty table gives an empty one.
     """
     clean = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = stored(clean, "edges")

@@ -85,6 +85,7 @@ def test_components(spark):
     want = graph.local_components(1001, a, b)
     assert got == {n: int(want[n]) for n in {x for e in edges if e[0] != e[1] for x in e}}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([(None, 1), (2, None), (None, None)], "a long, b long")).count() == 0
 
 
 def brute_vectors(rows):
