@@ -1,4 +1,8 @@
-"""Aggregates beyond the built-in ones."""
+"""Aggregates beyond the built-in ones.
+
+Null keys are a group of their own; null values don't count, as in the built-in ones; empty tables give
+no groups.
+"""
 
 from __future__ import annotations
 

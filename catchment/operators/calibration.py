@@ -38,36 +38,46 @@ def run_models(sets: DataFrame, model: Callable[[dict], float], tasks: int) -> D
     return sets.repartition(tasks).mapInPandas(work, "run long, score double")
 
 
+def evolve(spark: SparkSession, score, points: np.ndarray, scores: np.ndarray, low: np.ndarray, high: np.ndarray, complexes: int, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """One round: sets are dealt to complexes by rank, and in each the worst of a random simplex is replaced.
+
+    It is reflected at the centre of the others (drawn anew, if that is out of bounds); if that is no
+    better, contracted half-way to the centre; if that isn't either, drawn from the range of all sets.
+    The tries of all complexes are scored together.
+    """
+    order = np.argsort(scores, kind="stable")
+    points, scores = points[order], scores[order]
+    k, size = points.shape[1], len(points) // complexes
+    weight = np.arange(size, 0, -1) / (size * (size + 1) / 2)
+    worst, tries = [], []
+    for c in range(complexes):
+        own = np.arange(c, len(points), complexes)
+        simplex = np.sort(r.choice(own, k + 1, replace=False, p=weight))
+        centre = points[simplex[:-1]].mean(0)
+        out = points[simplex[-1]]
+        reflected = 2 * centre - out
+        if ((reflected < low) | (reflected > high)).any():
+            reflected = low + (high - low) * r.random(k)
+        worst.append(simplex[-1])
+        tries += [reflected, (centre + out) / 2, points.min(0) + (points.max(0) - points.min(0)) * r.random(k)]
+    got = evaluate(spark, np.array(tries), score).reshape(complexes, 3)
+    for c, w in enumerate(worst):
+        for t in range(3):
+            if got[c, t] < scores[w] or t == 2:
+                points[w], scores[w] = tries[3 * c + t], got[c, t]
+                break
+    return points, scores
+
+
 def shuffled_complexes(spark: SparkSession, score, low: list[float], high: list[float], complexes: int = 4, rounds: int = 40, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Least score by shuffled complex evolution: sets are dealt to complexes by rank, and in each the
-    worst of a random simplex is reflected, else contracted, else drawn anew. Every complex's
-    candidates of a round are scored together."""
+    """Least score by shuffled complex evolution: ``rounds`` of ``evolve`` from sets drawn at random."""
     r = np.random.default_rng(seed)
     low, high = np.array(low), np.array(high)
     k, size = len(low), 2 * len(low) + 1
     points = low + (high - low) * r.random((complexes * size, k))
     scores = evaluate(spark, points, score)
     for _ in range(rounds):
-        order = np.argsort(scores, kind="stable")
-        points, scores = points[order], scores[order]
-        weight = np.arange(size, 0, -1) / (size * (size + 1) / 2)
-        worst, tries = [], []
-        for c in range(complexes):
-            own = np.arange(c, len(points), complexes)
-            simplex = np.sort(r.choice(own, k + 1, replace=False, p=weight))
-            centre = points[simplex[:-1]].mean(0)
-            out = points[simplex[-1]]
-            reflected = 2 * centre - out
-            if ((reflected < low) | (reflected > high)).any():
-                reflected = low + (high - low) * r.random(k)
-            worst.append(simplex[-1])
-            tries += [reflected, (centre + out) / 2, points.min(0) + (points.max(0) - points.min(0)) * r.random(k)]
-        got = evaluate(spark, np.array(tries), score).reshape(complexes, 3)
-        for c, w in enumerate(worst):
-            for t in range(3):
-                if got[c, t] < scores[w] or t == 2:
-                    points[w], scores[w] = tries[3 * c + t], got[c, t]
-                    break
+        points, scores = evolve(spark, score, points, scores, low, high, complexes, r)
     best = int(np.argmin(scores))
     return points[best], float(scores[best])
 

@@ -35,7 +35,7 @@ def expected_runoff(curve_number: Column) -> Column:
 
 
 def nested(parents: DataFrame, children: DataFrame, key: str, foreign: str, name: str) -> DataFrame:
-    """Parents as JSON documents with their children in an array."""
+    """Parents as JSON documents with their children, all in one row, in an array; without any the key is left out."""
     lists = children.groupBy(F.col(foreign).alias(key)).agg(F.sort_array(F.collect_list(F.struct(*[c for c in children.columns if c != foreign]))).alias(name))
     joined = parents.join(lists, key, "left")
     return joined.select(key, F.to_json(F.struct(*parents.columns, name)).alias("document"))

@@ -117,7 +117,10 @@ def complete(df: DataFrame, column: str, text: str, limit: int) -> DataFrame:
 
 
 def prefetch(parents: DataFrame, children: DataFrame, key: str, foreign: str, name: str, order: list[str]) -> DataFrame:
-    """Parents with their children as an ordered array; those without have an empty one."""
+    """Parents with their children as an ordered array; those without have an empty one.
+
+    All children of a parent lie in one row, which is what is asked for; null keys have none.
+    """
     rest = [c for c in children.columns if c not in order and c != foreign]
     shape = F.struct(*order, *rest)
     lists = children.groupBy(F.col(foreign).alias(key)).agg(F.sort_array(F.collect_list(shape)).alias(name))

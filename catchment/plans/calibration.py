@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -78,8 +79,18 @@ def _greedy_sql(size):
 
 query("sa_25", f"WITH {_APART}, {_greedy_sql(5)}, o AS (SELECT own FROM s4 ORDER BY round(total, 6) DESC, start LIMIT 1) SELECT CAST(k AS INT) AS place, own[k + 1] AS run FROM o, range(5) r(k)")(lambda t: calibration.spread_group(_walks(t), 5))
 query("sa_25_distances", f"WITH {_APART} SELECT a, b, round(distance, 6) AS distance FROM d")(lambda t: calibration.trajectory_distances(_walks(t)).select("a", "b", F.round("distance", 6).alias("distance")))
-for _number in (28, 29):
-    query(f"sa_{_number}")(lambda t: (lambda p, s: t.spark.createDataFrame([(float(p[0]), float(p[1]), s)], "x double, y double, score double"))(*calibration.shuffled_complexes(t.spark, lambda x: sampling.rosenbrock(*x), [-2, -2], [2, 2], rounds=25)))
+query("sa_28")(lambda t: (lambda p, s: t.spark.createDataFrame([(float(p[0]), float(p[1]), s)], "x double, y double, score double"))(*calibration.shuffled_complexes(t.spark, lambda x: sampling.rosenbrock(*x), [-2, -2], [2, 2], rounds=25)))
+
+
+def _evolved(t):
+    """A population of 20 sets on a lattice after one round of evolution."""
+    points = np.array([(-2 + k % 5, -2 + k // 5) for k in range(20)], float)
+    score = lambda x: sampling.rosenbrock(*x)
+    after, scores = calibration.evolve(t.spark, score, points, calibration.evaluate(t.spark, points, score), np.array([-2.0, -2.0]), np.array([2.0, 2.0]), 4, np.random.default_rng(1))
+    return t.spark.createDataFrame([(k, *map(float, p), float(s)) for k, (p, s) in enumerate(zip(after, scores))], "k int, x double, y double, score double")
+
+
+query("sa_29")(_evolved)
 query("sa_31", "SELECT o_orderkey AS run, o_totalprice * 2 + 1 AS score FROM orders")(
     lambda t: calibration.run_models(t.orders.select(c("o_orderkey").alias("run"), "o_totalprice"), lambda r: r["o_totalprice"] * 2 + 1, t.spark.sparkContext.defaultParallelism)
 )

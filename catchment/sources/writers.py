@@ -59,7 +59,7 @@ def export(df: DataFrame, path: str, kind: str, header: bool = True) -> None:
 
 
 def parent_lines(parents: DataFrame, children: DataFrame, key: str, foreign: str, order: str) -> DataFrame:
-    """A line for each parent, its children's fields after its own, in order."""
+    """A line for each parent, its children's fields after its own, in order; the children of a parent lie in one row, as in the line."""
     fields = [c for c in children.columns if c not in (foreign, order)]
     lists = children.groupBy(F.col(foreign).alias(key)).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("_c"))
     tail = F.array_join(F.transform("_c", lambda x: F.concat_ws("  ", *[x[f].cast("string") for f in fields])), "  ")
@@ -67,12 +67,6 @@ def parent_lines(parents: DataFrame, children: DataFrame, key: str, foreign: str
     return parents.join(lists, key, "left").select(key, F.rtrim(F.concat_ws("  ", own, tail)).alias("value"))
 
 
-def plot_table(df: DataFrame, time: str, label: str, value: str, labels: list[str]) -> DataFrame:
-    """A column for each label over the dates, values with three significant digits."""
-    wide = df.groupBy(time).pivot(label, labels).agg(F.first(value))
-    return wide.select(time, *[F.format_string("%.3g", F.col(f"`{x}`")).alias(x) for x in labels])
-
-
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """name, n for each table."""
     out = None

@@ -205,3 +205,13 @@ def test_exact_percentiles(spark):
     assert got == {g: pytest.approx(np.quantile(x, list(shares.values())).tolist()) for g, x in groups.items() if x}
     assert aggregates.exact_percentiles(table, [], "x", {"m": 0.5}).first()["m"] == np.median([x for _, x in rows if x is not None])
     assert aggregates.exact_percentiles(table.limit(0), ["g"], "x", shares).count() == 0
+
+
+def test_one_round_of_evolution(spark):
+    rows = entry.queries()["sa_29"](spark, "/root/testdata/sf0.001").collect()
+    start = [(-2 + k % 5, -2 + k // 5) for k in range(20)]
+    rosenbrock = lambda x, y: 100 * (y - x * x) ** 2 + (1 - x) ** 2
+    old = sorted(start, key=lambda p: rosenbrock(*p))
+    assert len(rows) == 20 and all(r["score"] == pytest.approx(rosenbrock(r["x"], r["y"])) and max(abs(r["x"]), abs(r["y"])) <= 2 for r in rows)
+    changed = [r["k"] for r in rows if (r["x"], r["y"]) not in start]
+    assert 0 < len(changed) <= 4 and sum((r["x"], r["y"]) in start for r in rows) >= 16 and old[0] in [(r["x"], r["y"]) for r in rows]
