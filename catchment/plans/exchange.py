@@ -70,6 +70,18 @@ query("src_5", "SELECT s_suppkey, lower(s_name) AS name, CASE WHEN s_suppkey % 4
         "s_suppkey long, name string, x double", header=False, lower_names=True,
     )
 )
+
+
+def _named(t):
+    """A table of brands, some with a number behind them, and new rows of brands and types."""
+    table = t.part.groupBy(c("p_brand").alias("name")).agg(F.sum("p_size").alias("x")).unionByName(t.part.where("p_size % 3 = 0").groupBy(F.concat("p_brand", F.pmod("p_size", F.lit(4)).cast("string")).alias("name")).agg(F.count("*").alias("x")))
+    rows = t.part.groupBy(c("p_brand").alias("name")).agg(F.max("p_size").cast("long").alias("x")).unionByName(t.part.groupBy(c("p_type").alias("name")).agg(F.min("p_size").cast("long").alias("x")))
+    return table, rows
+
+
+_NAMED = "o AS (SELECT p_brand AS name, CAST(sum(p_size) AS BIGINT) AS x FROM part GROUP BY 1 UNION ALL SELECT p_brand || p_size % 4, count(*) FROM part WHERE p_size % 3 = 0 GROUP BY 1), r AS (SELECT p_brand AS name, CAST(max(p_size) AS BIGINT) AS x FROM part GROUP BY 1 UNION ALL SELECT p_type, CAST(min(p_size) AS BIGINT) FROM part GROUP BY 1)"
+query("src_5_replace", f"WITH {_NAMED} SELECT * FROM o WHERE name NOT IN (SELECT name FROM r) UNION ALL SELECT * FROM r")(lambda t: delimited.add_rows(*_named(t), "replace"))
+query("src_5_rename", f"WITH {_NAMED} SELECT * FROM o UNION ALL SELECT CASE WHEN name IN (SELECT name FROM o) THEN name || (SELECT min(k) FROM range(1, 200) s(k) WHERE r.name || k NOT IN (SELECT name FROM o)) ELSE name END, x FROM r")(lambda t: delimited.add_rows(*_named(t), "rename"))
 query("src_6", "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS INT) END AS size, p_type AS kind FROM part")(
     lambda t: delimited.read_lines(t.spark, _written(t, t.part.select(F.concat_ws("   ", c("p_partkey").cast("string"), F.when(c("p_size") % 3 == 0, "null").otherwise(c("p_size").cast("string")), "p_type", F.lit("more")).alias("value"))), "p_partkey long, size int, kind string", start=1)
 )

@@ -92,6 +92,32 @@ def thaw(table: DataFrame, new: DataFrame, strict: bool) -> DataFrame:
     return table.unionByName(new.select(*picked), allowMissingColumns=True)
 
 
+def add_rows(table: DataFrame, rows: DataFrame, overwrite: str = "ignore") -> DataFrame:
+    """``table`` with ``rows``; what becomes of those whose name it has already is told by ``overwrite``.
+
+    ``ignore``: they are added all the same. ``replace``: they take the place of the old rows; of
+    several new ones with one such name the greatest. ``rename``: they are added with the first number
+    from 1 behind their name that makes a name which the table hasn't. Null names are new.
+    """
+    if overwrite == "ignore":
+        return table.unionByName(rows)
+    names = table.where("name is not null").select("name").distinct()
+    old, new = rows.join(names, "name", "left_semi").select(table.columns), rows.join(names, "name", "left_anti").select(table.columns)
+    if overwrite == "replace":
+        best = old.groupBy("name").agg(F.max(F.struct(*table.columns)).alias("r")).select("r.*")
+        return table.join(best, "name", "left_anti").select(table.columns).unionByName(best).unionByName(new)
+    if overwrite != "rename":
+        raise ValueError(f"no such way: {overwrite}")
+    # Each way to read a name as another with a number behind it.
+    digits = F.length(F.regexp_extract("name", r"(\d*)$", 1))
+    ends = F.explode(F.when(digits > 0, F.sequence(F.lit(1), digits)))
+    split = names.withColumn("n", ends).select(F.expr("substring(name, 1, length(name) - n)").alias("name"), F.expr("right(name, n)").alias("k")).where("k not like '0%'")
+    used = split.groupBy("name").agg(F.collect_set(F.col("k").try_cast("long")).alias("used"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1).cast("long"), F.size(F.coalesce("used", F.array().cast("array<long>"))) + 1), F.coalesce("used", F.array().cast("array<long>"))))
+    renamed = old.join(used, "name", "left").withColumn("name", F.concat("name", free.cast("string"))).select(table.columns)
+    return table.unionByName(new).unionByName(renamed)
+
+
 FORMATS = ("csv", "tsv", "json")
 
 

@@ -73,6 +73,17 @@ def test_delimited_files(spark, tmp_path):
     assert values(delimited.import_kind(spark, three, "landuse")) == [(1, "AGRL", "fields"), (2, "FRST", "woods")]
 
 
+def test_rows_whose_names_are_taken(spark):
+    table = spark.createDataFrame([("a", 1), ("a1", 2), ("a3", 3), ("b1", 4), ("a01", 5), (None, 6)], "name string, x int")
+    rows = spark.createDataFrame([("a", 10), ("a", 11), ("b", 12), ("a1", 13), (None, 14)], "name string, x int")
+    added = sorted([("a2", 10), ("a2", 11), ("b", 12), ("a11", 13), (None, 14)], key=str)
+    assert values(delimited.add_rows(table, rows, "rename").where("x > 9")) == added
+    assert values(delimited.add_rows(table, rows, "replace")) == sorted([("a", 11), ("a1", 13), ("a3", 3), ("b1", 4), ("a01", 5), (None, 6), ("b", 12), (None, 14)], key=str)
+    assert delimited.add_rows(table, rows).count() == 11 and delimited.add_rows(table.limit(0), rows, "rename").count() == 5
+    with pytest.raises(ValueError):
+        delimited.add_rows(table, rows, "other")
+
+
 def test_strict_and_widening_imports(spark, tmp_path):
     table = spark.createDataFrame([(1, 1.5)], "id int, x double")
     path = written(tmp_path, "a.json", json.dumps({"id": 2, "more": "m"}) + "\n")
