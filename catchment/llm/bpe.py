@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,9 @@ def byte_letters() -> tuple[str, ...]:
 #: The file's word pattern where all characters are lower-case ASCII, in the faster engine.
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+").findall
 
+#: The same for Latin-1: its letters, digits and spaces. NFC changes none of its characters, and lower case keeps to it.
+_LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+").findall
+
 #: Fragments up to this many bytes are merged many at a time; the few longer ones one by one.
 _SHORT = 32
 
@@ -49,12 +53,25 @@ class Seen:
     """A bounded look-up table of two halves: what the old half still serves moves to the young one."""
 
     def __init__(self, entries: int):
-        self.entries, self.young, self.old = entries, {}, {}
+        self.entries, self.young, self.old, self.long = entries, {}, {}, []
 
-    def put(self, key: str, value: bytes) -> None:
+    def serve(self, words: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A table that has all of ``words``; those in neither half are made. ``forget`` the long ones afterwards."""
         if len(self.young) >= self.entries:
             self.old, self.young = self.young, {}
-        self.young[key] = value
+        new = words.difference(self.young)
+        known = {w: ids for w in new if (ids := self.old.get(w)) is not None}
+        self.young.update(known)
+        if todo := list(new.difference(known)):
+            self.young.update(zip(todo, make(todo)))
+            self.long = [w for w in todo if len(w) > 64]
+        return self.young
+
+    def forget(self) -> None:
+        """Long words aren't kept for the next texts."""
+        for w in self.long:
+            del self.young[w]
+        self.long = []
 
 
 #: The pre-token pattern and the normaliser that a file must have.
@@ -204,43 +221,29 @@ class ForcedBoundaryBPE:
         return [flat[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
 
     def _words(self, text: str) -> list[str]:
-        if not text.isascii():
+        if text.isascii():
+            return _ASCII_WORDS(text.lower())
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter: no final sigma
             return self.words.findall(text.lower())
-        return _ASCII_WORDS(text.lower())
+        return _LATIN_WORDS(text.lower())
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (uint16) of each whole text; null and empty texts have none."""
-        plan = []
+        plan, words = [], set()
         for text in texts:
             if text and any([m in text for m in self.marks]):
                 plan.append([np.asarray([self.special[p]], "<u2").tobytes() if p in self.special else self._words(p) for p in self.specials.split(text)])
             else:
                 plan.append([self._words(text)] if text else [])
-        young, old, new = self.seen.young, self.seen.old, {}
-        for parts in plan:
-            for k, words in enumerate(parts):
-                if isinstance(words, list):
-                    found = list(map(young.get, words))
-                    if None in found:
-                        new.update(dict.fromkeys([w for w, ids in zip(words, found) if ids is None]))
-                    parts[k] = words, found
-        made = [old.get(w) for w in new]
-        todo = [w for w, ids in zip(new, made) if ids is None]
-        fresh = dict(zip(todo, self.merge_words(todo))) if todo else {}
-        fresh.update((w, ids) for w, ids in zip(new, made) if ids is not None)
-        out = []
-        for parts in plan:
-            ids = []
-            for x in parts:
-                if isinstance(x, bytes):
-                    ids.append(x)
-                else:
-                    ids += [fresh[w] if i is None else i for w, i in zip(*x)] if None in x[1] else x[1]
-            out.append(np.frombuffer(b"".join(ids), "<u2"))
-        for w, ids in fresh.items():
-            if len(w) <= 64:
-                self.seen.put(w, ids)
+            for part in plan[-1]:
+                if isinstance(part, list):
+                    words.update(part)
+        ids = self.seen.serve(words, self.merge_words).__getitem__
+        out = [np.frombuffer(b"".join([x if isinstance(x, bytes) else b"".join(map(ids, x)) for x in parts]), "<u2") for parts in plan]
+        self.seen.forget()
         return out
 
     def encode(self, text: str | None) -> np.ndarray:

@@ -25,7 +25,7 @@ def library():
 
 
 def test_same_ids_as_the_library(spark, library):
-    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [x or "" for _, x in TEXTS] + ["don't WE'LL I'd a's", "x" * 3000, "日本語 テキスト", "🙂🙂 a🙂b", "ǅ ﬁ ß", "<|startoftext|><|endoftext|> <|end"]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [x or "" for _, x in TEXTS] + ["don't WE'LL I'd a's", "x" * 3000, "日本語 テキスト", "🙂🙂 a🙂b", "ǅ ﬁ ß", "".join(map(chr, range(1, 256))) * 2, "Éa²³ ½ü\xa0ª_×÷ÿ\x85ß\x1cx\x1fy µm ¿Qué?", "naïve œuvre — Ça", "<|startoftext|><|endoftext|> <|end"]
     mine = bpe.ForcedBoundaryBPE(PATH)
     for text, ids in zip(texts, mine.encode_all(texts)):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
