@@ -42,7 +42,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: i
     values = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     step = BLOCK_BITS // 8
     for level in range(bits):
-        ones = (values >> (bits - 1 - level) & 1).astype(bool)
+        ones = (values & values.dtype.type(1 << (bits - 1 - level))) != 0
         packed = np.packbits(ones, bitorder="little")
         blocks, before = [], 0
         for k in range(0, len(packed), step):
@@ -55,7 +55,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: i
             blobs.append(blob)
             at += len(blob)
         planes.append({"zeros": len(values) - before, "blocks": blocks})
-        values = np.concatenate([values[~ones], values[ones]])
+        values = np.concatenate([values[np.flatnonzero(~ones)], values[np.flatnonzero(ones)]])
     header = json.dumps({"bits": bits, "tokens": len(ids), "docs": len(doc_ids), "directory": len(directory), "planes": planes}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, directory, *blobs])
 
