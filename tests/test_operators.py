@@ -198,12 +198,12 @@ def test_lines_are_numbered_in_ranges(spark):
     assert [r["place"] for r in writers.fixed_lines(df.limit(0), [("id", "int", 4)], ["id"]).collect()] == [0]
 
 
-def test_whole_tables_beside_spans(spark):
+def test_whole_tables(spark):
     import __spark_entry__ as entry
 
-    counts = {n: entry.queries()[n](spark, "/root/testdata/sf0.001").count() for n in ("snk_3_whole", "src_15_whole", "sa_31_whole", "jn_31_whole")}
-    rows = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").count() for n in ("part", "customer", "orders")}
-    assert counts.pop("jn_31_whole") > 0 and counts == {"snk_3_whole": rows["part"] + 1, "src_15_whole": rows["customer"], "sa_31_whole": rows["orders"]}
+    counts = {n: entry.queries()[n](spark, "/root/testdata/sf0.001").count() for n in ("snk_3", "src_15", "sa_31", "jn_27", "jn_31")}
+    rows = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").count() for n in ("part", "customer", "orders", "embeddings")}
+    assert counts.pop("jn_31") > 0 and counts == {"snk_3": rows["part"] + 1, "src_15": rows["customer"], "sa_31": rows["orders"], "jn_27": rows["embeddings"]}
 
 
 def test_breaks_count_every_row(spark):
