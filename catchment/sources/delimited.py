@@ -18,14 +18,27 @@ KINDS = {
 }
 
 
-def dialect(spark: SparkSession, path: str) -> tuple[str, bool, int]:
-    """Delimiter of a file, whether it has a header, and its columns, from the lines in its first ``HEAD`` bytes."""
+def dialect(spark: SparkSession, path: str) -> tuple[str, bool, list[str]]:
+    """Delimiter of a file, whether it looks as if it had a header, and its first line, from its first ``HEAD`` bytes."""
     head = spark.read.format("binaryFile").load(path).where("length > 0").select(F.substring(F.col("content"), 1, HEAD).cast("string").alias("t")).first()
     text = head["t"] if head else ""
     if len(text.encode()) >= HEAD:
         text = text[: text.rfind("\n")]
     found = csv.Sniffer().sniff(text, delimiters=",;\t|")
-    return found.delimiter, csv.Sniffer().has_header(text), len(next(csv.reader(text.splitlines(), found)))
+    return found.delimiter, csv.Sniffer().has_header(text), next(csv.reader(text.splitlines(), found))
+
+
+def _is_header(first: list[str], schema: T.StructType) -> bool:
+    """Whether a first line has words where the schema has numbers."""
+
+    def number(x: str) -> bool:
+        try:
+            float(x.replace(",", ".", 1))
+        except ValueError:
+            return x.strip() in ("", "null")
+        return True
+
+    return any(isinstance(f.dataType, T.NumericType) and not number(x) for x, f in zip(first, schema.fields))
 
 
 def _value(token: Column, kind: T.DataType, comma: bool) -> Column:
@@ -39,13 +52,14 @@ def _value(token: Column, kind: T.DataType, comma: bool) -> Column:
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, delimiter: str | None = None, header: bool | None = None, lower_names: bool = False) -> DataFrame:
     """Rows of delimited files by position; a line with other columns than the first, or too few for ``schema``, is an error.
 
-    Delimiter and header are found out from the first file, unless given. With another delimiter than
+    Delimiter and header are found out from the first file, unless given; a line with words in columns
+    of numbers is a header, too. With another delimiter than
     a comma, a first decimal comma in a number is a point. Columns beyond the schema's are dropped.
     """
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    found, headed, width = dialect(spark, path)
-    delimiter, header = delimiter or found, headed if header is None else header
-    columns = T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(max(width, len(schema.fields)))])
+    found, headed, first = dialect(spark, path)
+    delimiter, header = delimiter or found, headed or _is_header(first, schema) if header is None else header
+    columns = T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(max(len(first), len(schema.fields)))])
     rows = spark.read.csv(path, sep=delimiter, header=header, schema=columns, enforceSchema=True, mode="FAILFAST")
     return rows.select(*_columns(F.array(*columns.names), schema, delimiter != ",", lower_names))
 
@@ -75,11 +89,10 @@ def _columns(tokens: Column, schema: T.StructType, comma: bool, lower_names: boo
 
 def import_kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A user table of one of the ``KINDS``; a land-use file with a third column has descriptions, too."""
-    delimiter, header, width = dialect(spark, path)
     schema = T._parse_datatype_string(KINDS[kind])
-    if kind == "landuse" and width == 3:
+    if kind == "landuse" and len(dialect(spark, path)[2]) == 3:
         schema = schema.add("DESCRIPTION", T.StringType())
-    return read_delimited(spark, path, schema, delimiter, header)
+    return read_delimited(spark, path, schema)
 
 
 def thaw(table: DataFrame, new: DataFrame, strict: bool) -> DataFrame:

@@ -59,7 +59,7 @@ def test_names_and_order_of_tables(spark):
 
 def test_delimited_files(spark, tmp_path):
     semi = written(tmp_path, "a.csv", "id;name;x\n1;One;2,5\n2;TWO;null\n3;three;1,2,3\n")
-    assert delimited.dialect(spark, semi) == (";", True, 3)
+    assert delimited.dialect(spark, semi) == (";", True, ["id", "name", "x"])
     assert values(delimited.read_delimited(spark, semi, "id int, name string, x double", lower_names=True)) == [(1, "one", 2.5), (2, "two", None), (3, "three", None)]
     assert values(delimited.read_delimited(spark, semi, "id int")) == [(1,), (2,), (3,)]
     with pytest.raises(Exception):
