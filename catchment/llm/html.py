@@ -18,7 +18,6 @@ import html as entities
 import json
 import re
 import zlib
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -90,7 +89,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     """
     root = Node("#", "#", False, False)
     stack, blocks, parts, at = [root], [], [], 0
-    opened: Counter[str] = Counter()
+    opened: dict[str, int] = {}
 
     def flush():
         if parts:
@@ -101,7 +100,8 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
 
     def pop_to(k: int):
         flush()
-        opened.subtract(x.tag for x in stack[k:])
+        for x in stack[k:]:
+            opened[x.tag] -= 1
         del stack[k:]
 
     while found := _TAG.search(html, at):
@@ -124,7 +124,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         if tag in _INLINE:
             continue
         if closing:
-            if opened[tag] < 1:
+            if not opened.get(tag):
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -147,7 +147,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             stack[-1].children.append(node)
         else:
             node.anchor = stack[-1].anchor
-        opened[tag] += 1
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append(node)
     parts.append(html[at:])
     flush()
