@@ -70,9 +70,10 @@ def vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
     A row's words are told apart inside the row: one shuffle, of counts that are summed before it.
     A document is a row of ``docs``.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
-    rows = docs.select(words.alias("w")).select(F.explode(F.concat(F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(0).alias("d"))), F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("d"))))).alias("x"))
-    return rows.groupBy("x.term").agg(F.sum("x.d").alias("docs"), F.sum(1 - F.col("x.d")).alias("n"))
+    words = F.sort_array(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0)))
+    first = lambda x, k: F.when((k == 0) | (F.get("w", k - 1) != x), 1).otherwise(0)
+    rows = docs.select(words.alias("w")).select(F.explode(F.transform("w", lambda x, k: F.struct(x.alias("term"), first(x, k).alias("d")))).alias("x"))
+    return rows.groupBy("x.term").agg(F.sum("x.d").alias("docs"), F.count("*").alias("n"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, words: list[str], k: float = 1.2, b: float = 0.75) -> DataFrame:
