@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catchment.llm.bpe import token_digests
+from catchment.llm.centroids import SQL as CLUSTER_SQL
+from catchment.llm.centroids import cluster
 from catchment.llm.common import short_batches, spread
 from catchment.llm.decontaminate import leaks
 from catchment.llm.html import extract
 from catchment.llm.langid import fit, held_out, identify
 from catchment.llm.license import scan
 from catchment.llm.neardup_vectors import near_vectors
+from catchment.llm.resample import SQL as RESAMPLE_SQL
+from catchment.llm.resample import resample
 from catchment.llm.simhash import hex_fingerprint, simhash_groups
 from catchment.llm.urlfilter import SQL as URL_SQL
 from catchment.llm.urlfilter import filter_pages
@@ -95,6 +99,17 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "lang_pred", "score")
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after five rounds from 40 centroids."""
+    short_batches(spark, 10_000)
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark and its place in the draw of 5 %."""
+    return resample(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_license": (op1_license, None),
     "op2_bpe": (op2_bpe, None),
@@ -106,4 +121,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_warc": (op8_warc, WARC_SQL),
     "op9_simhash": (op9_simhash, None),
     "op10_langid": (op10_langid, None),
+    "op12_centroids": (op12_centroids, CLUSTER_SQL),
+    "op13_resample": (op13_resample, RESAMPLE_SQL),
 }
