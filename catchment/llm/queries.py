@@ -15,6 +15,7 @@ from catchment.llm.html import extract
 from catchment.llm.langid import fit, held_out, identify
 from catchment.llm.license import scan
 from catchment.llm.neardup_vectors import near_vectors
+from catchment.llm.pii import personal_data
 from catchment.llm.resample import SQL as RESAMPLE_SQL
 from catchment.llm.resample import resample
 from catchment.llm.simhash import hex_fingerprint, simhash_groups
@@ -99,6 +100,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "lang_pred", "score")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans, and what contexts add."""
+    return personal_data(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's cluster after five rounds from 40 centroids."""
     short_batches(spark, 10_000)
@@ -121,6 +127,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_warc": (op8_warc, WARC_SQL),
     "op9_simhash": (op9_simhash, None),
     "op10_langid": (op10_langid, None),
+    "op11_pii": (op11_pii, None),
     "op12_centroids": (op12_centroids, CLUSTER_SQL),
     "op13_resample": (op13_resample, RESAMPLE_SQL),
 }
