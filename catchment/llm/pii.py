@@ -19,6 +19,7 @@ Edges are distinct (pattern, instance) pairs, so a thousand copies of a document
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,22 +49,39 @@ ROUNDS, CONFIDENT, SUPPORT, BELIEVED, UNKNOWN = 3, 0.8, 5, 0.95, 0.5
 CONTEXT, LONGEST = 60, 64
 
 
-def placed(rows: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
-    """``rows`` with ``name`` (the matches of ``pattern`` in ``text``), ``name_gaps`` (what lies around them) and ``name_at`` (their starts, in code points from 0).
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a column named in a lambda may be computed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    A start is a running sum over the lengths before it. It is taken in blocks of the root of the
-    number of matches, as a fold that appends to an array would copy it every time.
-    """
-    gaps, steps, block, before, at = (f"{name}_{x}" for x in ("gaps", "steps", "block", "before", "at"))
+
+def running(lengths: Column) -> Column:
+    """Running sums of an array of integers, in blocks of the root of its size, as each step of a fold that appends copies the array."""
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
-    step = lambda m, k: F.length(F.get(gaps, k)) + F.when(k > 0, F.length(F.get(name, k - 1))).otherwise(0)
-    rows = rows.withColumn(name, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    rows = rows.withColumn(gaps, F.when(F.size(name) > 0, F.split(text, pattern, -1)))
-    rows = rows.withColumn(steps, F.transform(name, step)).withColumn(block, F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(name))).cast("int")))
-    rows = rows.withColumn(before, F.transform(F.sequence(F.lit(0), F.col(block) - 1), lambda i: total(F.slice(steps, 1, i * F.col(block)))))
-    inside = lambda k: total(F.slice(steps, (k - k % F.col(block)) + 1, k % F.col(block) + 1))
-    rows = rows.withColumn(at, F.transform(steps, lambda _, k: F.get(before, ((k - k % F.col(block)) / F.col(block)).cast("int")) + inside(k)))
-    return rows.drop(steps, block, before)
+    edge = lambda x: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+    blocks = lambda x: F.transform(F.sequence(F.lit(0), edge(x) - 1), lambda i: F.slice(x, i * edge(x) + 1, edge(x)))
+    before = lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, 1, i)))
+    inside = lambda block, offset: F.transform(block, lambda _, k: offset + total(F.slice(block, 1, k + 1)))
+    return F.flatten(let(let(lengths, blocks), lambda all_: F.zip_with(all_, let(F.transform(all_, total), before), inside)))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Array of at, match, before, after for every match: its start in code points from 0, and what lies between it and its neighbours."""
+
+    def placed(found: Column) -> Column:
+        n = F.size(found)
+
+        def zipped(gaps: Column) -> Column:
+            before, after = F.slice(gaps, 1, n), F.slice(gaps, 2, n)
+            previous = F.concat(F.array(F.lit("")), F.slice(found, 1, n - 1))
+            at = running(F.zip_with(before, previous, lambda g, m: F.length(g) + F.length(m)))
+            first = F.zip_with(at, found, lambda a, m: F.struct(a.alias("at"), m.alias("match")))
+            second = F.zip_with(before, after, lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+            return F.zip_with(first, second, lambda x, y: F.struct(x["at"].alias("at"), x["match"].alias("match"), y["before"].alias("before"), y["after"].alias("after")))
+
+        none = F.array().cast("array<struct<at:int,match:string,before:string,after:string>>")
+        return F.when(n > 0, let(F.split(text, pattern, -1), zipped)).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def digits(text: Column) -> Column:
@@ -92,14 +110,8 @@ def _valid(kind: str, match: Column) -> Column:
 def runs_of(docs: DataFrame) -> DataFrame:
     """row, doc_id, runs of every document: array of start, text and the context on both sides."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = placed(texts, "text", RUN, "run")
-    one = lambda x, k: F.struct(
-        F.get("run_at", k).alias("start"),
-        x.alias("text"),
-        F.substring(F.get("run_gaps", k), -CONTEXT, CONTEXT).alias("left"),
-        F.substring(F.get("run_gaps", k + 1), 1, CONTEXT).alias("right"),
-    )
-    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform("run", one).alias("runs"))
+    near = lambda x: F.struct(x["at"].alias("start"), x["match"].alias("text"), F.substring(x["before"], -CONTEXT, CONTEXT).alias("left"), F.substring(x["after"], 1, CONTEXT).alias("right"))
+    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform(matches(F.col("text"), RUN), near).alias("runs"))
 
 
 def _context(before: Column, after: Column) -> Column:
@@ -123,35 +135,40 @@ def occurrences(runs: DataFrame) -> DataFrame:
     or more; ``fits`` has a bit for each kind that it looks like.
     """
     each = runs.where(F.size("runs") > 0).select("row", F.explode("runs").alias("run")).select("row", F.col("run.start").alias("from"), "run.text", "run.left", "run.right")
-    rows = each
-    for kind, pattern in BASE.items():
-        rows = placed(rows, "text", pattern, kind)
-    def hits(kind: str, number: int) -> Column:
-        def one(match: Column, k: Column) -> Column:
-            # What lies between two matches of the kind is context of both.
-            before = F.concat(F.when(k == 0, F.col("left")).otherwise(""), F.substring(F.get(f"{kind}_gaps", k), -CONTEXT, CONTEXT))
-            after = F.concat(F.substring(F.get(f"{kind}_gaps", k + 1), 1, CONTEXT), F.when(k == F.size(kind) - 1, F.col("right")).otherwise(""))
-            return F.struct(F.lit(number).alias("kind"), F.get(f"{kind}_at", k).alias("at"), match.alias("match"), before.alias("before"), after.alias("after"))
-
-        return F.filter(F.transform(kind, one), lambda s: _valid(kind, s["match"]))
-
-    rows = rows.select("row", "from", "text", "left", "right", F.concat(*[hits(kind, n) for n, kind in enumerate(BASE)]).alias("hits"))
-    base = rows.select("row", "from", F.explode("hits").alias("hit")).select("row", "from", "hit.*")
-    # Words are cut at single blanks where every one has seven digits; else the run is one unit.
-    free = placed(rows.where(F.size("hits") == 0).select("row", "from", "text", "left", "right"), "text", r"[^\x20]++", "word")
-    apart = F.forall("word_gaps", lambda g: F.length(g) <= 1) & F.forall("word", lambda w: F.length(digits(w)) >= 7)
-
-    def unit(word: Column, k: Column) -> Column:
+
+    def hit(kind: Column, at: Column, match: Column, before: Column, after: Column) -> Column:
+        return F.struct(kind.alias("kind"), at.alias("at"), match.alias("match"), F.substring(before, -CONTEXT, CONTEXT).alias("before"), F.substring(after, 1, CONTEXT).alias("after"))
+
+    def hits(name: str, number: int) -> Column:
+        def all_(found: Column) -> Column:
+            def one(x: Column, k: Column) -> Column:
+                # What lies between two matches of the kind is context of both.
+                before = F.concat(F.when(k == 0, F.col("left")).otherwise(""), F.substring(x["before"], -CONTEXT, CONTEXT))
+                after = F.concat(F.substring(x["after"], 1, CONTEXT), F.when(k == F.size(found) - 1, F.col("right")).otherwise(""))
+                return hit(F.lit(number), x["at"], x["match"], before, after)
+
+            return F.filter(F.transform(found, one), lambda s: _valid(name, s["match"]))
+
+        return let(matches(F.col("text"), BASE[name]), all_)
+
+    def unit(word: Column, at: Column, before: Column, after: Column) -> Column:
         skipped = F.length(F.regexp_extract(word, r"^[^0-9A-Za-z+(]*+", 0))
         match = F.regexp_extract(word, r"(?s)[0-9A-Za-z+(].*[0-9A-Za-z)]|[0-9A-Za-z]", 0)
-        before = F.concat(F.when(k == 0, F.col("left")).otherwise(F.concat(F.get("unit", k - 1), F.lit(" "))), F.substring(word, 1, skipped))
-        after = F.concat(F.substring(word, skipped + F.length(match) + 1, F.lit(CONTEXT)), F.when(k == F.size("unit") - 1, F.col("right")).otherwise(F.concat(F.lit(" "), F.get("unit", k + 1))))
-        at = F.get("unit_at", k) + skipped
-        return F.struct(F.lit(None).cast("int").alias("kind"), at.alias("at"), match.alias("match"), F.substring(before, -CONTEXT, CONTEXT).alias("before"), F.substring(after, 1, CONTEXT).alias("after"))
-
-    free = free.select("row", "from", "left", "right", F.when(apart, F.col("word")).otherwise(F.array("text")).alias("unit"), F.when(apart, F.col("word_at")).otherwise(F.array(F.lit(0))).alias("unit_at"))
-    units = free.select("row", "from", F.explode(F.transform("unit", unit)).alias("hit")).select("row", "from", "hit.*").where("match <> ''")
-    spans = base.unionByName(units).withColumn("long", F.length("match"))
+        rest = F.substring(word, skipped + F.length(match) + 1, F.lit(CONTEXT))
+        return hit(F.lit(None).cast("int"), at + skipped, match, F.concat(before, F.substring(word, F.lit(1), skipped)), F.concat(rest, after))
+
+    def units(words: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            before = F.when(k == 0, F.col("left")).otherwise(F.concat(F.get(words, k - 1)["match"], F.lit(" ")))
+            after = F.when(k == F.size(words) - 1, F.col("right")).otherwise(F.concat(F.lit(" "), F.get(words, k + 1)["match"]))
+            return unit(x["match"], x["at"], before, after)
+
+        apart = F.forall(words, lambda x: (F.length(x["before"]) <= 1) & (F.length(digits(x["match"])) >= 7))
+        return F.when(apart, F.transform(words, one)).otherwise(F.array(unit(F.col("text"), F.lit(0), F.col("left"), F.col("right"))))
+
+    every = F.concat(*[hits(name, n) for n, name in enumerate(BASE)])
+    either = let(every, lambda found: F.when(F.size(found) > 0, found).otherwise(let(matches(F.col("text"), r"[^\x20]++"), units)))
+    spans = each.select("row", "from", F.explode(either).alias("hit")).select("row", "from", "hit.*").where("match <> ''").withColumn("long", F.length("match"))
     fits = _bits([(F.col("long") <= LONGEST) & F.col("match").rlike(form) & F.length(digits(F.col("match"))).between(least, most) for form, least, most in FORMS.values()])
     start = F.col("from") + F.col("at")
     instance = F.md5(F.lower("match").cast("binary"))
