@@ -9,6 +9,12 @@ short as the vectors grow in number. What is still longer than a tile, as vector
 alike, is cut into tiles, and each pair of tiles is one unit of work, so no list is too long for a
 task. Pairs stay inside the tasks: they give counts and spanning edges only.
 
+How many pivots describe a vector is fitted to the data: copies of the sample's vectors, turned by the
+threshold's angle, and the sample's own links tell the recall of each setting (``SETTINGS``), and of those that reach ``RECALL`` the one with
+the fewest candidates is taken, the first one where it reaches it. Where none does, all vectors of a
+label and length share one list, which is cut into tiles: exact, and quadratic, as in a cone so narrow
+that the pivots tell nothing apart.
+
 Pivots are drawn from a bounded sample of ``SAMPLE`` times their number and kept well apart, seen
 from the sample's mean, so that vectors in a narrow cone have as many; their number grows with the
 root of the vectors', up to ``MOST_PIVOTS``. Every vector is indexed. Vectors of a length that no
@@ -30,31 +36,76 @@ from catchment.llm.graph import components, local_components
 
 COSINE = 0.98
 NEAREST, SHARED = 6, 2
+#: (share of the pivots, nearest ones named), the usual one first; the recall asked for; vectors that are turned; linked pairs of the sample that tell a recall.
+SETTINGS = [(1, NEAREST), (1, 8), (1, 12), (1, 16), (0.25, 6), (0.25, 8), (0.25, 12), (0.0625, 6), (0.0625, 8)]
+RECALL, TURNED, LEAST_NEAR = 0.99, 2048, 10
 LEAST_PIVOTS, MOST_PIVOTS, SAMPLE, APART = 32, 1024, 4, 0.7
 TILE = 1024
 
 
-def pivots(vectors: DataFrame) -> np.ndarray:
-    """Unit pivots, all of one length, the most frequent in the sample; seen from its mean, no two have a cosine over ``APART``."""
+def sampled(vectors: DataFrame) -> tuple[np.ndarray, int]:
+    """Unit vectors of a bounded sample, all of one length, the most frequent in it, and the number of pivots wanted."""
     count = vectors.count()
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(2 * math.sqrt(count))))
     # A rate set by the count, so that tasks send the driver few rows in all.
     pick = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
-    rate = int(min(1.0, 1.5 * SAMPLE * wanted / max(1, count)) * (1 << 30))
-    rows = vectors.select("embedding", pick.alias("pick"), "rep").where(F.col("pick") < rate).orderBy("pick", "rep").limit(SAMPLE * wanted).collect()
+    size = max(TURNED, SAMPLE * wanted)
+    rate = int(min(1.0, 1.5 * size / max(1, count)) * (1 << 30))
+    rows = vectors.select("embedding", pick.alias("pick"), "rep").where(F.col("pick") < rate).orderBy("pick", "rep").limit(size).collect()
     sizes = [len(r["embedding"]) for r in rows]
     if not sizes:
-        return np.empty((0, 0))
+        return np.empty((0, 0)), wanted
     common = max(sorted(set(sizes)), key=sizes.count)
     x = np.array([r["embedding"] for r in rows if len(r["embedding"]) == common], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    around = x - x.mean(0)
+    return x / np.linalg.norm(x, axis=1, keepdims=True), wanted
+
+
+def pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """At most ``wanted`` rows of the sample: seen from its mean, no two have a cosine over ``APART``."""
+    if not len(sample):
+        return sample
+    around = sample - sample.mean(0)
     around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-12)
     chosen: list[int] = []
-    for k in range(len(x)):
+    for k in range(len(sample)):
         if len(chosen) < wanted and (not chosen or (around[chosen] @ around[k]).max() < APART):
             chosen.append(k)
-    return x[chosen]
+    return sample[chosen]
+
+
+def fitted(sample: np.ndarray, chosen: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, int, int]:
+    """(pivots, nearest, shared): the setting with the fewest candidates in the sample among those with recall for turned copies; one list where there is none."""
+    if not len(chosen):
+        return chosen, NEAREST, SHARED
+    x = sample[:TURNED]
+    r = np.random.default_rng(0)
+    turn = r.standard_normal(x.shape)
+    turn -= (turn * x).sum(1, keepdims=True) * x
+    turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-12)
+    copies = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * turn
+    near = np.triu(x @ x.T >= cosine, 1)
+
+    def members(rows: np.ndarray, pivot: np.ndarray, nearest: int) -> np.ndarray:
+        top = np.argpartition(-(rows @ pivot.T), nearest - 1, axis=1)[:, :nearest]
+        out = np.zeros((len(rows), len(pivot)), np.float32)
+        np.put_along_axis(out, top, 1, 1)
+        return out
+
+    best = None
+    for share, nearest in SETTINGS:
+        pivot = chosen[: max(1, math.ceil(len(chosen) * share))]
+        nearest = min(nearest, len(pivot))
+        own, other = members(x, pivot, nearest), members(copies, pivot, nearest)
+        shared = min(SHARED, nearest)
+        together = own @ own.T >= shared
+        turned, met = ((own * other).sum(1) >= shared).mean(), together[near].mean() if near.sum() >= LEAST_NEAR else 1.0
+        if min(turned, met) >= RECALL:
+            candidates = together.mean()
+            if best is None or candidates < best[0]:
+                best = (candidates, pivot, nearest, shared)
+            if (share, nearest) == SETTINGS[0]:
+                break
+    return best[1:] if best else (chosen[:1], 1, 1)
 
 
 def permutations(vectors: DataFrame, chosen: np.ndarray, nearest: int = NEAREST) -> DataFrame:
@@ -185,8 +236,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = rows.withColumn("good", good)
     distinct = rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"))
     distinct = stored(distinct, "vectors")
-    indexed = stored(permutations(distinct, pivots(distinct)), "permutations")
-    found = stored(candidate_links(indexed, cosine=cosine), "links")
+    sample, wanted = sampled(distinct)
+    pivot, nearest, shared = fitted(sample, pivots(sample, wanted), cosine)
+    indexed = stored(permutations(distinct, pivot, nearest), "permutations")
+    found = stored(candidate_links(indexed, shared, cosine, TILE), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = distinct.select("label", "embedding", "rep", "times").join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")

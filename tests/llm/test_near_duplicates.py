@@ -108,11 +108,11 @@ def brute_vectors(rows):
     return out
 
 
-@pytest.mark.parametrize("centre, least", [(0.0, 0.97), (4.0, 0.9)])
-def test_recall_of_pairs_near_the_threshold(spark, centre, least):
-    """Planted pairs of cosine 0.98 to 0.985, in all directions and in a cone of mean cosine 0.94; long lists are split."""
+@pytest.mark.parametrize("centre, width, least", [(0.0, 48, 0.97), (4.0, 48, 0.95), (5.0, 64, 0.95), (6.0, 64, 0.95), (6.0, 256, 0.95)])
+def test_recall_of_pairs_near_the_threshold(spark, centre, width, least):
+    """Planted pairs of cosine 0.98 to 0.985, in all directions and in cones of mean cosine 0.94 to 0.974; long lists are split."""
     r = np.random.default_rng(8)
-    n, width = 3000, 48
+    n = 3000 if width < 64 else 1200
     base = r.standard_normal((n, width))
     base[:, 0] += centre * width**0.5
     base /= np.linalg.norm(base, axis=1, keepdims=True)
@@ -128,12 +128,22 @@ def test_recall_of_pairs_near_the_threshold(spark, centre, least):
     want = (unit @ unit.T >= 0.98).sum(1) - 1
     assert want.sum() >= 2 * n and all(got[k] <= want[k] for k in range(2 * n))
     assert sum(got.values()) / want.sum() > least
+    assert sum(got[k] == 0 for k in range(2 * n)) <= 0.02 * 2 * n
+
+
+def test_vectors_that_pivots_cannot_tell_apart():
+    """A cone with a mean cosine of 0.9995 needs one list; vectors in all directions keep the usual setting."""
+    r = np.random.default_rng(1)
+    for centre, setting in ((40.0, (1, 1)), (0.0, (neardup_vectors.NEAREST, neardup_vectors.SHARED))):
+        x = r.standard_normal((600, 32))
+        x[:, 0] += centre * 32**0.5
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert neardup_vectors.fitted(x, neardup_vectors.pivots(x, 100))[1:] == setting
 
 
 @pytest.mark.parametrize("tile", [1024, 16])
 def test_vectors_against_brute_force(spark, tile, monkeypatch):
     monkeypatch.setattr(neardup_vectors, "TILE", tile)
-    monkeypatch.setattr(neardup_vectors.candidate_links, "__defaults__", (neardup_vectors.SHARED, neardup_vectors.COSINE, tile))
     r = np.random.default_rng(2)
     base = r.standard_normal((30, 16))
     data = np.concatenate([r.standard_normal((60, 16)), np.repeat(base[:4], 20, 0) + 0.03 * r.standard_normal((80, 16)), base[4:6], base[4:6], base[4:5]]).astype(np.float32)
