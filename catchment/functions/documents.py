@@ -1,4 +1,8 @@
-"""JSON documents: paths, edits, containment, trees. Compression and hashes of values."""
+"""JSON documents: paths, edits, containment, trees. Compression and hashes of values.
+
+Null documents and arguments give null, and so do malformed ones: text that is no JSON, an edit of what is no
+object, bytes that are no compressed UTF-8. A tree of such a document has no rows.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +24,23 @@ def remove_key(document: Column, key: str) -> Column:
     return F.to_json(F.map_filter(F.from_json(document, "map<string,string>"), lambda k, _: k != key))
 
 
+#: Stands for text that is no JSON (a singleton also where a task unpickles it).
+_BROKEN = ...
+
+
+def _loaded(text: str | None):
+    try:
+        return _BROKEN if text is None else json.loads(text)
+    except (ValueError, RecursionError):
+        return _BROKEN
+
+
+def _of_both(f, a: pd.Series, b: pd.Series) -> pd.Series:
+    """``f`` of two documents, null where either is null or malformed."""
+    pairs = ((_loaded(x), _loaded(y)) for x, y in zip(a, b))
+    return pd.Series([None if x is _BROKEN or y is _BROKEN else f(x, y) for x, y in pairs], dtype=object)
+
+
 def _patched(old, new):
     if not isinstance(new, dict):
         return new
@@ -45,27 +66,27 @@ def _holds(whole, part) -> bool:
 
 
 def patch(document: Column, change: Column) -> Column:
-    """Merge patch: objects are merged key by key, null removes, anything else replaces."""
+    """Merge patch: objects are merged key by key, null removes, anything else replaces; null where either is null or malformed."""
 
     @F.pandas_udf("string")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else json.dumps(_patched(json.loads(x), json.loads(y)), separators=(",", ":")) for x, y in zip(a, b)])
+        return _of_both(lambda x, y: json.dumps(_patched(x, y), separators=(",", ":")), a, b)
 
     return run(document, change)
 
 
 def holds(document: Column, part: Column) -> Column:
-    """Deep containment: every key and element of the part is in the document."""
+    """Deep containment: every key and element of the part is in the document; null where either is null or malformed."""
 
     @F.pandas_udf("boolean")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else _holds(json.loads(x), json.loads(y)) for x, y in zip(a, b)])
+        return _of_both(_holds, a, b)
 
     return run(document, part)
 
 
 def tree(df: DataFrame, key: str, document: str) -> DataFrame:
-    """key, path, kind, atom for every node of the documents; null documents have none.
+    """key, path, kind, atom for every node of the documents; null and malformed documents have none.
 
     Keys that are no plain words are quoted in paths; atoms are written as in JSON, texts without quotes.
     """
@@ -74,7 +95,8 @@ def tree(df: DataFrame, key: str, document: str) -> DataFrame:
         for frame in frames:
             rows = []
             for k, text in zip(frame[key], frame[document]):
-                todo = [] if text is None else [("$", json.loads(text))]
+                whole = _loaded(text)
+                todo = [] if whole is _BROKEN else [("$", whole)]
                 while todo:
                     path, node = todo.pop()
                     kind = {dict: "object", list: "array", str: "text", bool: "boolean", int: "integer", float: "real"}.get(type(node), "null")
@@ -141,9 +163,15 @@ def _packer():
 
 
 def _unpacker():
+    def text(data: bytes | None) -> str | None:
+        try:
+            return None if data is None else zlib.decompress(data).decode()
+        except (zlib.error, UnicodeDecodeError):
+            return None
+
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else zlib.decompress(v).decode() for v in values])
+        return pd.Series([text(v) for v in values], dtype=object)
 
     return run
 

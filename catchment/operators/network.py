@@ -254,9 +254,12 @@ def merge_channels(channels: DataFrame, threshold: float) -> DataFrame:
     basin where either is below ``threshold``; not where it holds or gets a body of water or a point
     source (kind ``water``), nor into or out of a lake (kind ``lake``). Each merge adds the areas, so
     rounds go on until none is left. In a round a channel merges where the one below doesn't, so
-    targets are never merged away in the same round.
+    targets are never merged away in the same round. Channels on a ring, which drain into themselves, neither merge nor
+    are merged into. Channels with a null basin or area don't merge either.
     """
-    state = cut(channels.select("channel", "down", F.col("area").cast("double").alias("area"), "basin", "kind"))
+    rings = loops(channels, "channel", "down").select(F.col("node").alias("channel"), F.lit("lake").alias("_ring"))
+    rows = channels.join(rings, "channel", "left").select("channel", "down", F.col("area").cast("double").alias("area"), "basin", F.coalesce("_ring", "kind").alias("kind"))
+    state = cut(rows)
     moves = cut(channels.select("channel", F.col("channel").alias("target")))
     while True:
         below = state.select(F.col("channel").alias("down"), F.col("area").alias("_area"), F.col("basin").alias("_basin"), F.col("kind").alias("_kind"))

@@ -214,3 +214,22 @@ def move_to_streams(points: DataFrame, cells: DataFrame, streams: DataFrame) ->
     ends = descend(dry).join(wet.select(F.col("node").alias("target")), "target", "left_semi").select("node", F.col("target").alias("moved"), "steps")
     reached = ends.unionByName(wet.select("node", F.col("node").alias("moved"), F.lit(0).alias("steps")))
     return points.select("point", "node").join(reached, "node", "left").select("point", "node", "moved", "steps")
+
+
+def rasterise(sides: DataFrame) -> DataFrame:
+    """row, col, value of every cell whose centre lies inside a polygon, by the even-odd rule over all its rings.
+
+    ``sides``: polygon, value, x1, y1, x2, y2, in cells (the centre of row r and column c is c + 0.5, r + 0.5). A side gives a crossing with each
+    row whose centre line it crosses, its lower end counted and its upper end not; ordered crossings open and
+    close spans in turn, and a span holds the centres from its first crossing up to, not with, its last. Where
+    polygons overlap the greatest ``polygon`` counts. Sides with a null end are left out.
+    """
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    first, last = F.ceil(low - 0.5).cast("int"), (F.ceil(high - 0.5) - 1).cast("int")
+    crossed = sides.where(F.col("x1").isNotNull() & F.col("x2").isNotNull() & (first <= last)).withColumn("row", F.explode(F.sequence(first, last)))
+    x = F.col("x1") + (F.col("row") + 0.5 - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    line = Window.partitionBy("polygon", "row").orderBy("x")
+    spans = crossed.select("polygon", "value", "row", x.alias("x")).select("polygon", "value", "row", "x", F.lead("x").over(line).alias("to"), (F.row_number().over(line) % 2).alias("opens")).where("opens = 1")
+    start, end = F.ceil(F.col("x") - 0.5).cast("int"), (F.ceil(F.col("to") - 0.5) - 1).cast("int")
+    cells = spans.where(start <= end).select("polygon", "value", "row", F.explode(F.sequence(start, end)).alias("col"))
+    return cells.groupBy("row", "col").agg(F.max_by("value", "polygon").alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catchment.functions import dates, text
+from catchment.operators import bloom
 from catchment.plans.registry import query
 
 
@@ -81,3 +82,23 @@ query("fn_53", "SELECT p_partkey, (p_size & 4) <> 0 AS flag, CAST(p_size | 64 AS
 )
 query("fn_56", "SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{2,}')) AS hit FROM documents")(lambda t: t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{2,}"), F.lit(0))).alias("hit")))
 query("fn_57", "SELECT strftime(unnest(generate_series(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 3 DAY)), '%Y-%m-%d') AS d")(lambda t: t.spark.sql("SELECT cast(d AS string) AS d FROM (SELECT explode(sequence(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 3 DAYS)) AS d)"))
+
+# Bloom filters: customers with urgent orders, five bits of md5 each in 4,096 (few, so that some answers are false)
+
+_SPOTS = "[(CAST('0x' || substr(md5(k), 1, 15) AS BIGINT) % 4096 + i * (CAST('0x' || substr(md5(k), 16, 15) AS BIGINT) % 4096)) % 4096 FOR i IN range(5)]"
+_BLOOM = f"f AS (SELECT DISTINCT unnest({_SPOTS}) AS p FROM (SELECT CAST(o_custkey AS VARCHAR) AS k FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000))"
+
+
+def urgent(t):
+    return t.orders.where((c("o_orderpriority") == "1-URGENT") & (c("o_totalprice") > 400000))
+
+
+query("fn_50_bloom", f"WITH {_BLOOM}, w AS (SELECT p // 62 AS word, CAST(bit_or(CAST(1 AS BIGINT) << CAST(p % 62 AS INT)) AS BIGINT) AS bits FROM f GROUP BY 1) SELECT CAST(word AS INT) AS word, bits FROM w")(
+    lambda t: bloom.build(urgent(t), c("o_custkey"), 4096, 5)
+)
+query("fn_50_probe", f"WITH {_BLOOM}, s AS (SELECT c_custkey, unnest({_SPOTS}) AS p FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS k FROM customer)) SELECT c_custkey, bool_and(f.p IS NOT NULL) AS maybe FROM s LEFT JOIN f USING (p) GROUP BY 1")(
+    lambda t: bloom.probe(t.customer.select("c_custkey"), c("c_custkey"), bloom.build(urgent(t), c("o_custkey"), 4096, 5), 4096, 5)
+)
+query("fn_50_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)")(
+    lambda t: bloom.reduce_join(t.customer.select("c_custkey", "c_name"), "c_custkey", urgent(t), "o_custkey")
+)

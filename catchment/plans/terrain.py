@@ -101,3 +101,14 @@ query(
       UNION ALL SELECT point, t.node, e.down, steps + 1 FROM t JOIN e ON e.node = t.pos WHERE e.down IS NOT NULL AND t.pos NOT IN (SELECT node FROM wet))
     SELECT o.point, o.node, pos AS moved, steps FROM o LEFT JOIN (SELECT point, pos, steps FROM t WHERE pos IN (SELECT node FROM wet)) USING (point)""",
 )(lambda t: terrain.move_to_streams(outlets(t), *(lambda d: (d, terrain.stream_links(d, 3)[0]))(drained(t))))
+
+
+def outlined(t):
+    """The regions' outlines as sides of polygons."""
+    points = terrain.outlines(terrain.regions(classes(t)).select("row", "col", "region"))
+    ends = {"x1": "col", "y1": "row", "x2": "next_col", "y2": "next_row"}
+    return points.select(c("region").alias("polygon"), c("region").alias("value"), *[c(v).cast("double").alias(k) for k, v in ends.items()])
+
+
+# Regions drawn from their outlines are the regions again.
+query("snk_31", f"WITH RECURSIVE {_CLASSES}, {_SAME}, {_LABELS} SELECT row, col, root AS value FROM g JOIN r USING (k)")(lambda t: terrain.rasterise(outlined(t)))

@@ -19,13 +19,25 @@ KINDS = {
 
 
 def dialect(spark: SparkSession, path: str) -> tuple[str, bool, list[str]]:
-    """Delimiter of a file, whether it looks as if it had a header, and its first line, from its first ``HEAD`` bytes."""
+    """Delimiter of a file, whether it looks as if it had a header, and its first line, from its first ``HEAD`` bytes.
+
+    A file in which no delimiter shows, as one of a single column, is taken for one with commas; an empty one has no columns and no header.
+    """
     head = spark.read.format("binaryFile").load(path).where("length > 0").select(F.substring(F.col("content"), 1, HEAD).cast("string").alias("t")).first()
     text = head["t"] if head else ""
     if len(text.encode()) >= HEAD:
         text = text[: text.rfind("\n")]
-    found = csv.Sniffer().sniff(text, delimiters=",;\t|")
-    return found.delimiter, csv.Sniffer().has_header(text), next(csv.reader(text.splitlines(), found))
+    if not text.strip():
+        return ",", False, []
+    try:
+        found = csv.Sniffer().sniff(text, delimiters=",;\t|")
+    except csv.Error:
+        found = csv.excel
+    try:
+        headed = csv.Sniffer().has_header(text)
+    except csv.Error:
+        headed = False
+    return found.delimiter, headed, next(csv.reader(text.splitlines(), found), [])
 
 
 def _is_header(first: list[str], schema: T.StructType) -> bool:
