@@ -1,7 +1,7 @@
 """Parameter samples, distributions and sensitivity measures.
 
 Samples are long tables: run, param, value. Random draws come from hashes of (seed, run, param), so
-a lost task redraws the same numbers.
+a lost task redraws the same numbers, and other engines can.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from catchment.operators.iterate import cut
+
 # Coefficients of Acklam's approximation of the inverse normal distribution, in order of the polynomials' terms.
 _A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
 _B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
@@ -17,8 +19,10 @@ _D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.7544
 
 
 def uniform(*keys: str | Column, seed: int = 0) -> Column:
-    """A number in (0, 1) for each combination of keys."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit((1 << 52) - 1)) + 0.5) / float((1 << 52) - 1)
+    """A number in (0, 1) for each combination of keys: 52 bits of the md5 of the seed and the keys' texts, joined by colons; a null counts as no text."""
+    texts = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys]
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *texts).cast("binary")), 1, 13), 16, 10).cast("long")
+    return (bits + 0.5) / float(1 << 52)
 
 
 def _poly(x: Column, terms: list[float]) -> Column:
@@ -84,21 +88,36 @@ def quantile(u: Column, kind: str, settings: list[float]) -> Column:
     return z if kind == "normal" else F.exp(z)
 
 
-def runs(spark: SparkSession, n: int, params: list[tuple[str, float, float]]) -> DataFrame:
-    """run, param, low, high."""
+def runs(spark: SparkSession, n: int | DataFrame, params: list[tuple[str, float, float]]) -> DataFrame:
+    """run, param, low, high for the runs 0 to n - 1, or for those of a table with a column ``run``."""
     grid = spark.createDataFrame(params, "param string, low double, high double")
-    return spark.range(n).withColumnRenamed("id", "run").crossJoin(F.broadcast(grid))
+    own = spark.range(n).withColumnRenamed("id", "run") if isinstance(n, int) else n.select("run")
+    return own.crossJoin(F.broadcast(grid))
 
 
-def monte_carlo(spark: SparkSession, n: int, params: list[tuple[str, float, float]], seed: int = 0) -> DataFrame:
+def monte_carlo(spark: SparkSession, n: int | DataFrame, params: list[tuple[str, float, float]], seed: int = 0) -> DataFrame:
+    """run, param, value: independent draws between the bounds of each parameter."""
     return runs(spark, n, params).select("run", "param", (F.col("low") + (F.col("high") - F.col("low")) * uniform("run", "param", seed=seed)).alias("value"))
 
 
-def latin_hypercube(spark: SparkSession, n: int, params: list[tuple[str, float, float]], seed: int = 0) -> DataFrame:
-    """One draw from each of n equal strata of every parameter, in random order."""
-    w = Window.partitionBy("param").orderBy(uniform("run", "param", seed=seed), "run")
-    rows = runs(spark, n, params).withColumn("stratum", F.row_number().over(w) - 1)
-    u = (F.col("stratum") + uniform("run", "param", seed=seed + 1)) / n
+def ranks(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, the place from 0 inside each ``by`` in the order of ``order``, which has no ties.
+
+    Rows are dealt by ranges and numbered inside these; the sizes of the ranges tell where each begins, so no group lies in one task.
+    """
+    dealt = cut(rows.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(by, "_part").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order)) - 1
+    return dealt.withColumn("_inside", inside).join(starts, [by, "_part"]).withColumn(name, F.col("_inside") + F.col("_start")).drop("_inside", "_part", "_start")
+
+
+def latin_hypercube(spark: SparkSession, n: int | DataFrame, params: list[tuple[str, float, float]], seed: int = 0) -> DataFrame:
+    """run, param, stratum, value: one draw from each of as many equal strata of every parameter as there are runs, in random order."""
+    count = n if isinstance(n, int) else n.count()
+    rows = runs(spark, n, params).withColumn("_draw", uniform("run", "param", seed=seed))
+    rows = ranks(rows, "param", ["_draw", "run"], "stratum")
+    u = (F.col("stratum") + uniform("run", "param", seed=seed + 1)) / count
     return rows.select("run", "param", "stratum", (F.col("low") + (F.col("high") - F.col("low")) * u).alias("value"))
 
 

@@ -14,6 +14,7 @@ from catchment.operators import aggregates, landunits, metrics, network, relatio
 from catchment.operators.iterate import fresh_path
 from catchment.plans.fit import PAIRS, monthly_pairs
 from catchment.plans.registry import query
+from catchment.plans.sampling import normal_inverse_sql, uniform_sql
 from catchment.sources import delimited, writers
 from catchment.sources import text as source
 
@@ -486,8 +487,12 @@ query("fn_54", "SELECT p_brand, CAST(count(DISTINCT p_size) AS BIGINT) AS n FROM
     lambda t: t.part.groupBy("p_brand").agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(c("p_size")))).alias("n"))
 )
 query("fn_50")(lambda t: t.part.select("p_partkey", F.xxhash64("p_name").alias("x"), F.crc32("p_name").alias("c")))
-query("fn_9")(lambda t: t.part.select("p_partkey", (F.floor(sampling.uniform("p_partkey", seed=3) * 10) * 5).alias("x")))
-query("fn_10")(lambda t: t.part.select("p_partkey", (sampling.normal_inverse(sampling.uniform("p_partkey", seed=3)) * 2 + 1).alias("x")))
+query("fn_9", f"SELECT p_partkey, CAST(floor({uniform_sql(3, 'p_partkey')} * 10) * 5 AS BIGINT) AS x FROM part")(
+    lambda t: t.part.select("p_partkey", (F.floor(sampling.uniform("p_partkey", seed=3) * 10) * 5).alias("x"))
+)
+query("fn_10", f"SELECT p_partkey, round(({normal_inverse_sql()}) * 2 + 1, 7) AS x FROM (SELECT p_partkey, {uniform_sql(3, 'p_partkey')} AS u FROM part)")(
+    lambda t: t.part.select("p_partkey", F.round(sampling.normal_inverse(sampling.uniform("p_partkey", seed=3)) * 2 + 1, 7).alias("x"))
+)
 
 
 def _sql(t, statement, **tables):

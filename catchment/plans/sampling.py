@@ -53,12 +53,30 @@ _column("sa_30_camel", "(4 - 2.1 * x * x + pow(x, 4) / 3) * x * x + x * x + (4 *
 _column("sa_30_rastrigin", "2 * x * x - 2 * cos(18 * x)", lambda x: sa.rastrigin(x, x))
 _column("sa_30_griewank", "x * x / 100 - cos(x) * cos(x / sqrt(2)) + 1", lambda x: sa.griewank(x, x))
 query("fn_55", "SELECT u AS p, round(" + normal_inverse_sql() + ", 9) AS z FROM (SELECT i / 1000 AS u FROM range(1, 1000) r(i))")(lambda t: t.spark.range(1, 1000).select((c("id") / 1000).alias("p")).select("p", F.round(sa.normal_inverse(c("p")), 9).alias("z")))
-query("sa_2")(lambda t: sa.monte_carlo(t.spark, 1000, PARAMS, 7))
-query("sa_3")(lambda t: sa.latin_hypercube(t.spark, 500, PARAMS, 7))
+_PARAMS = "p(param, low, high) AS (VALUES " + ", ".join(f"('{n}', {lo}::DOUBLE, {hi}::DOUBLE)" for n, lo, hi in PARAMS) + ")"
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    """The draw of ``sa.uniform`` in SQL."""
+    return "((CAST('0x' || substr(md5('" + str(seed) + "'" + "".join(f" || ':' || {k}" for k in keys) + "), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496)"
+
+
+query("sa_2", f"WITH {_PARAMS} SELECT o_orderkey AS run, param, round(low + (high - low) * {uniform_sql(7, 'o_orderkey', 'param')}, 9) AS value FROM orders, p")(
+    lambda t: sa.monte_carlo(t.spark, t.orders.select(c("o_orderkey").alias("run")), PARAMS, 7).withColumn("value", F.round("value", 9))
+)
+query(
+    "sa_3",
+    f"""WITH {_PARAMS}, r AS (SELECT c_custkey AS run, param, low, high, row_number() OVER (PARTITION BY param ORDER BY {uniform_sql(7, 'c_custkey', 'param')}, c_custkey) - 1 AS stratum FROM customer, p)
+    SELECT run, param, CAST(stratum AS BIGINT) AS stratum, round(low + (high - low) * (stratum + {uniform_sql(8, 'run', 'param')}) / (SELECT count(*) FROM customer), 9) AS value FROM r""",
+)(lambda t: sa.latin_hypercube(t.spark, t.customer.select(c("c_custkey").alias("run")), PARAMS, 7).withColumn("value", F.round("value", 9)))
 query("sa_4_first", "SELECT CAST(i AS BIGINT) AS i, list_sum([(i >> k & 1) * pow(2.0, -(k + 1)) FOR k IN range(31)]) AS u FROM range(512) r(i)")(lambda t: t.spark.range(512).select(c("id").alias("i"), sa.van_der_corput(c("id")).alias("u")))
 query("sa_4", "SELECT i AS run, param, round(low + (high - low) * list_reduce([(xor(i + 1, (i + 1) >> 1) >> k & 1) * v[k + 1] FOR k IN range(30)], lambda a, b: xor(a, b)) / 1073741824, 10) AS value FROM range(512) r(i), (VALUES " + ", ".join(f"('{n}', {a}, {b}, {sa.sobol_directions(k)})" for k, (n, a, b) in enumerate(PARAMS)) + ") z(param, low, high, v)")(lambda t: sa.sobol_sample(t.spark, 512, PARAMS).withColumn("value", F.round("value", 10)))
-query("sa_14")(lambda t: t.spark.range(5000).select("id", (3 + 2 * sa.normal_inverse(sa.uniform("id", seed=3))).alias("x")))
-query("sa_15")(lambda t: t.spark.range(5000).select("id", F.exp(1 + 0.5 * sa.normal_inverse(sa.uniform("id", seed=4))).alias("x")))
+query("sa_14", f"SELECT o_orderkey AS id, round(3 + 2 * ({normal_inverse_sql()}), 7) AS x FROM (SELECT o_orderkey, {uniform_sql(3, 'o_orderkey')} AS u FROM orders)")(
+    lambda t: t.orders.select(c("o_orderkey").alias("id"), F.round(3 + 2 * sa.normal_inverse(sa.uniform("o_orderkey", seed=3)), 7).alias("x"))
+)
+query("sa_15", f"SELECT o_orderkey AS id, round(exp(1 + 0.5 * ({normal_inverse_sql()})), 7) AS x FROM (SELECT o_orderkey, {uniform_sql(4, 'o_orderkey')} AS u FROM orders)")(
+    lambda t: t.orders.select(c("o_orderkey").alias("id"), F.round(F.exp(1 + 0.5 * sa.normal_inverse(sa.uniform("o_orderkey", seed=4))), 7).alias("x"))
+)
 query("sa_16", "SELECT p_partkey, p_size / sum(p_size) OVER (PARTITION BY p_brand) AS w FROM part")(lambda t: t.part.select("p_partkey", (c("p_size") / F.sum("p_size").over(Window.partitionBy("p_brand"))).alias("w")))
 
 
