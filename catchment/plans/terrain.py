@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from catchment.operators import landunits as lu
 from catchment.operators import terrain
+from catchment.operators.iterate import fresh_path
 from catchment.plans.landunits import GRID, grid
 from catchment.plans.registry import query
+from catchment.sources import raster
 
 
 def c(name):
@@ -112,3 +114,17 @@ def outlined(t):
 
 # Regions drawn from their outlines are the regions again.
 query("snk_31", f"WITH RECURSIVE {_CLASSES}, {_SAME}, {_LABELS} SELECT row, col, root AS value FROM g JOIN r USING (k)")(lambda t: terrain.rasterise(outlined(t)))
+
+
+def stored_raster(t):
+    """The grid written as a raster of as many rows as there are users, and read back, missing cells as nulls."""
+    size = t.events.agg(F.coalesce(F.max("user_id") + 1, F.lit(0)).alias("rows")).first()["rows"]
+    path = fresh_path(t.spark, "raster")
+    raster.write_raster(grid(t), path, size, 24)
+    return raster.read_raster(t.spark, path).select("row", "col", F.round(c("value").cast("double"), 3).alias("value"))
+
+
+query(
+    "src_30",
+    f"SELECT CAST(r AS INT) AS row, CAST(q AS INT) AS col, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3) AS value FROM range((SELECT max(user_id) + 1 FROM events)) a(r), range(24) b(q) LEFT JOIN {GRID} ON row = r AND col = q",
+)(stored_raster)
