@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catchment.operators import schema
 from catchment.plans.registry import query
 from catchment.sources import text, writers
-from catchment.streaming import daily
+from catchment.streaming import daily, lowflow
 
 
 def c(name):
@@ -44,3 +44,9 @@ query("stream_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS s
 query("stream_sessions", "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, s")(
     lambda t: daily.sessions(t.events, "ts", "user_id").select("user_id", "n")
 )
+
+_FLOWS = "d AS (SELECT o_orderpriority AS unit, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS value FROM orders GROUP BY 1, 2), y AS (SELECT *, year(day) - CASE WHEN month(day) < 4 THEN 1 ELSE 0 END AS hydro FROM d)"
+_TOTALS = "t AS (SELECT unit, hydro, CASE WHEN count(*) OVER w = 7 THEN sum(value) OVER w END AS total FROM y WINDOW w AS (PARTITION BY unit, hydro ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))"
+query("stream_low_flow", f"WITH {_FLOWS}, {_TOTALS} SELECT unit, CAST(hydro AS INT) AS hydro, round(min(total), 4) AS least, CAST(count(*) AS INT) AS rows FROM t GROUP BY 1, 2")(
+    lambda t: lowflow.yearly_low_flows(t.orders, "o_orderpriority", "o_orderdate", "o_totalprice", 7, 4).withColumn("least", F.round("least", 4))
+)
