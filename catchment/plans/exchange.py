@@ -151,13 +151,6 @@ query("snk_19", "SELECT * FROM (VALUES ('s_suppkey', 0), ('s_name', 1), ('s_nati
     lambda t: t.spark.read.text(_exported(t, t.supplier, "csv")).where(F.startswith("value", F.lit("s_suppkey"))).distinct().select(F.posexplode(F.split("value", ",")).alias("place", "name"))
 )
 query("snk_20", "SELECT item_id, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text FROM benchmark")(lambda t: _again(t, t.benchmark, "csv"))
-query("src_13", "SELECT CAST(o_orderstatus AS VARCHAR) AS kind, strftime(min(o_orderdate), '%Y-%m-%d') AS a, strftime(max(o_orderdate), '%Y-%m-%d') AS b FROM orders GROUP BY 1")(
-    lambda t: t.orders.groupBy(c("o_orderstatus").alias("kind")).agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("a"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("b"))
-)
-query("src_14", "SELECT strftime(max(a), '%Y-%m-%d') AS start, strftime(min(b), '%Y-%m-%d') AS finish FROM (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1)")(
-    lambda t: source.common_window(t.orders.select("o_custkey", c("o_orderdate").alias("date")), "o_custkey").select(F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("finish", "yyyy-MM-dd").alias("finish"))
-)
-query("src_15", "SELECT c_name, CAST(row_number() OVER (ORDER BY lower(c_name)) AS INT) AS k FROM customer")(lambda t: writers.numbered(t.customer.select("c_name"), [F.lower("c_name")], "k"))
 for _number in (16, 17):
     query(f"src_{_number}", "SELECT strftime(DATE '2000-02-20' + CAST(s_suppkey AS INT), '%Y%j') AS d, round(s_acctbal, 2) AS value FROM supplier")(
         lambda t: source.parse_dense(t.supplier.select(F.lit("f").alias("path"), (c("s_suppkey") + 2).cast("int").alias("line"), F.format_string("%.2f", "s_acctbal").alias("value")).unionByName(t.spark.createDataFrame([("f", 1, "20000220")], "path string, line int, value string"))).select(F.date_format("date", "yyyyDDD").alias("d"), "value")
@@ -180,13 +173,6 @@ def _catalogued(t):
 
 
 query("src_24", "SELECT * FROM (VALUES (0, 'n_nationkey', true), (1, 'n_name', true), (2, 'n_regionkey', true)) v(place, name, listed)")(_catalogued)
-query("src_26", "SELECT k, a, b FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, o_custkey, o_totalprice AS a FROM orders) x JOIN (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, o_custkey, o_orderkey AS b FROM orders) y USING (o_custkey, k)".replace("SELECT k, a, b", "SELECT CAST(k AS INT) AS k, a, b"))(
-    lambda t: t.orders.select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("k"), c("o_totalprice").alias("a"))
-    .join(t.orders.select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("k"), c("o_orderkey").alias("b")), ["o_custkey", "k"]).select("k", "a", "b")
-)
-query("src_27", "SELECT p_partkey, TRY_CAST(substr(p_brand, 7) AS DOUBLE) AS x FROM part")(lambda t: t.part.select("p_partkey", F.substring("p_brand", 7, 9).try_cast("double").alias("x")))
-query("src_28", "SELECT 7 AS recall, event_id, value FROM events WHERE event_type = 'click'")(lambda t: t.events.where("event_type = 'click'").select(F.lit(7).alias("recall"), "event_id", "value"))
-
 # Writers
 
 query("snk_5", "SELECT p_partkey, lpad(printf('%.3f', p_retailprice), 12, ' ') AS x, lpad(CAST(p_size AS VARCHAR), 8, ' ') AS n, rpad(p_type, 12, ' ') AS s FROM part")(

@@ -41,5 +41,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly_fit(spark, sf_dir)
 
 
-for _module in ("fit", "relational", "scalars", "series", "network", "landunits", "terrain", "reports", "sampling", "storage", "exchange", "calibration"):
+for _module in ("fit", "relational", "scalars", "series", "network", "landunits", "terrain", "reports", "sampling", "storage", "exchange", "files", "calibration"):
     importlib.import_module(f"catchment.plans.{_module}")
