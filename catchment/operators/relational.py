@@ -199,3 +199,23 @@ def average_rank(column: str, by: list[str] | None = None) -> Column:
     """Rank with ties averaged."""
     w = Window.partitionBy(*(by or []))
     return F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*(by or []), column)) - 1) / 2
+
+
+#: Columns of a soil table that tell a soil, by the option of the lookup.
+SOIL_KEYS = {"name": ["snam"], "ssurgo": ["muid"], "stmuid": ["muid"], "stmuid+seqnum": ["muid", "seqn"], "stmuid+name": ["muid", "name"], "s5id": ["s5id"]}
+
+
+def soil_layers(wanted: DataFrame, soils: DataFrame, layers: DataFrame, option: str) -> DataFrame:
+    """The columns of ``wanted``, soil_id, place and the layer's columns, for every wanted soil found by the keys of ``option``.
+
+    ``place`` numbers a soil's layers from 1 by ``layer_num``. ``wanted`` and ``soils`` have the option's columns, ``layers`` has soil_id and layer_num.
+    Null keys find nothing; a soil without layers has no row; keys that several soils have find all of these.
+    """
+    if option not in SOIL_KEYS:
+        raise ValueError(f"no soil option {option}: {', '.join(SOIL_KEYS)}")
+    keys = SOIL_KEYS[option]
+    found = wanted.select(*keys).distinct().join(soils.select("soil_id", *keys), keys)
+    # A soil's layers are few, and only layers of soils that are asked for are numbered.
+    own = layers.join(found.select("soil_id").distinct(), "soil_id", "left_semi")
+    placed = own.withColumn("place", F.row_number().over(Window.partitionBy("soil_id").orderBy("layer_num")))
+    return found.join(placed, "soil_id").select(*keys, "soil_id", "place", *[x for x in layers.columns if x != "soil_id"])

@@ -353,7 +353,19 @@ query("jn_33", "SELECT y, k, a, b FROM (SELECT CAST(year(o_orderdate) AS INT) AS
 query("jn_35", "SELECT s_suppkey, q, p FROM supplier JOIN (SELECT l_suppkey AS s_suppkey, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1) USING (s_suppkey) JOIN (SELECT l_suppkey AS s_suppkey, round(max(l_extendedprice), 2) AS p FROM lineitem GROUP BY 1) USING (s_suppkey)")(
     lambda t: t.supplier.join(t.lineitem.groupBy(c("l_suppkey").alias("s_suppkey")).agg(F.round(F.sum("l_quantity"), 2).alias("q"), F.round(F.max("l_extendedprice"), 2).alias("p")), "s_suppkey").select("s_suppkey", "q", "p")
 )
-query("jn_38", "SELECT p_partkey, l_orderkey, l_linenumber FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_brand = 'Brand#23'")(lambda t: t.part.where("p_brand = 'Brand#23'").join(t.lineitem, c("l_partkey") == c("p_partkey")).select("p_partkey", "l_orderkey", "l_linenumber"))
+def _soil_tables(t):
+    """Parts as soils, the distinct lines of their orders as layers."""
+    soils = t.part.select(c("p_partkey").alias("soil_id"), c("p_name").alias("snam"), c("p_brand").alias("muid"), c("p_size").alias("seqn"), c("p_type").alias("name"), F.concat("p_brand", F.lit("x")).alias("s5id"))
+    layers = t.lineitem.select(c("l_partkey").alias("soil_id"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("layer_num")).distinct()
+    return soils, layers
+
+
+for _option, _keys in (("stmuid+seqnum", ["muid", "seqn"]), ("stmuid+name", ["muid", "name"])):
+    query(
+        "jn_38" if "seqn" in _keys else "jn_38_name",
+        f"""WITH s AS (SELECT p_partkey AS soil_id, p_brand AS muid, p_size AS seqn, p_type AS name FROM part), l AS (SELECT DISTINCT l_partkey AS soil_id, l_orderkey * 10 + l_linenumber AS layer_num FROM lineitem)
+        SELECT {', '.join(_keys)}, soil_id, CAST(row_number() OVER (PARTITION BY soil_id ORDER BY layer_num) AS INT) AS place, layer_num FROM s JOIN l USING (soil_id) WHERE muid LIKE '%2%'""",
+    )(lambda t, option=_option: relational.soil_layers(_soil_tables(t)[0].where("muid like '%2%'"), *_soil_tables(t), option))
 
 # Aggregates and windows
 

@@ -32,9 +32,17 @@ query("snk_9", "SELECT n_nationkey, rtrim(n_nationkey || '  ' || n_name || coale
     lambda t: writers.parent_lines(t.nation.select("n_nationkey", "n_name"), t.supplier.select("s_nationkey", "s_suppkey", c("s_suppkey").alias("k"), (c("s_nationkey") * 2).alias("x")), "n_nationkey", "s_nationkey", "s_suppkey")
 )
 query("snk_13", "SELECT 'part' AS name, CAST(count(*) AS BIGINT) AS n FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")(lambda t: writers.counts({"part": t.part, "supplier": t.supplier}))
-query("snk_30", "SELECT CAST(year(o_orderdate) AS INT) AS y, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS f, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS o FROM orders GROUP BY 1")(
-    lambda t: t.orders.groupBy(F.year("o_orderdate").alias("y")).pivot("o_orderstatus", ["F", "O"]).agg(F.round(F.sum("o_totalprice"), 2)).withColumnsRenamed({"F": "f", "O": "o"})
-)
+def monthly(t):
+    months = t.orders.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count("*").cast("double").alias("orders"), F.avg("o_totalprice").alias("flow"), (F.max("o_totalprice") / 1e9).alias("share"))
+    return months.unpivot(["year", "month"], ["orders", "flow", "share"], "label", "value")
+
+
+# The years that all tables have whole.
+query(
+    "snk_30",
+    """WITH m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) - 1 AS p, count(*)::DOUBLE AS orders, avg(o_totalprice) AS flow, max(o_totalprice) / 1e9 AS share FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY 1)
+    SELECT CAST(p - 1995 * 12 + 1 AS INT) AS place, (p // 12) || '/' || (p % 12 + 1) AS "Date", format('{:.3g}', orders) AS orders, format('{:.3g}', flow) AS flow, format('{:.3g}', share) AS share FROM m""",
+)(lambda t: writers.plot_table(monthly(t), ["orders", "flow", "share"], (1995, 1), (2000, 12)))
 query("so_24", "SELECT n_nationkey, n_name AS name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, 'x' AS extra FROM nation")(
     lambda t: schema.migrate(t.nation.select("n_nationkey", "n_name", "n_regionkey"), [("rename", "n_name", "name"), ("alter", "n_regionkey", "string"), ("add", "extra", "string", "x")])
 )

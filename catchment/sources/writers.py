@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,31 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
         row = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def three_digits(value: Column) -> Column:
+    """A number with three significant digits, as ``{:.3g}`` writes it: plain from 1e-4 to below 1000, else with an exponent; no zeros at the end."""
+    parts = F.split(F.format_string("%.2e", value.cast("double")), "e")
+    power = F.get(parts, F.lit(1)).cast("int")
+    plain = F.concat(F.get(parts, F.lit(0)), F.lit("e"), F.get(parts, F.lit(1))).cast("double").cast("decimal(12,6)").cast("string")
+    stripped = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(power.between(-4, 2), stripped(plain)).otherwise(F.concat(stripped(F.get(parts, F.lit(0))), F.lit("e"), F.get(parts, F.lit(1))))
+
+
+def plot_table(values: DataFrame, labels: list[str], first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+    """place, Date (year/month) and a column for each of ``labels``, for every month from ``first`` to ``last``; numbers have three digits.
+
+    ``values``: year, month, label, value, one row for each. A month that a label lacks, or in which it is null, is an error. Months
+    outside and other labels are left out.
+    """
+    at = F.col("year") * 12 + F.col("month") - 1
+    low, high = first[0] * 12 + first[1] - 1, last[0] * 12 + last[1] - 1
+    wide = values.withColumn("_at", at).where(F.col("_at").between(low, high)).groupBy("_at").pivot("label", labels).agg(F.first("value", ignorenulls=True))
+    calendar = values.sparkSession.range(low, high + 1).select(F.col("id").alias("_at"))
+    dense = cut(calendar.join(wide, "_at", "left"))
+    gap = dense.where(reduce(lambda a, b: a | b, [F.col(f"`{x}`").isNull() for x in labels])).orderBy("_at").first()
+    if gap:
+        lacking = [x for x in labels if gap[x] is None]
+        raise ValueError(f"no data for month {gap['_at'] % 12 + 1} of {gap['_at'] // 12}: {', '.join(lacking)}")
+    date = F.concat((F.col("_at") / 12).cast("int").cast("string"), F.lit("/"), (F.col("_at") % 12 + 1).cast("string"))
+    return dense.select((F.col("_at") - low + 1).cast("int").alias("place"), date.alias("Date"), *[three_digits(F.col(f"`{x}`")).alias(x) for x in labels])

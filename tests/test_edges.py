@@ -73,3 +73,36 @@ def test_polygons_drawn_by_the_even_odd_rule(spark):
                 if crossed % 2:
                     want[(row, col)] = polygon * 10
     assert got == want and terrain.rasterise(table.limit(0)).count() == 0
+
+
+def test_three_digits(spark):
+    from catchment.sources import writers
+
+    numbers = [0.0, 1.0, -1.0, 999.4, 999.6, 1000.0, 123456.0, 0.00012345, 0.000099996, 0.00001234, 12.0, 100.0, -45.678, 1e300, 2.5e-300]
+    table = spark.createDataFrame([(x,) for x in numbers] + [(None,)], "x double")
+    got = [(r["x"], r["t"]) for r in table.select("x", writers.three_digits(F.col("x")).alias("t")).collect()]
+    assert got == [(x, f"{x:.3g}") for x in numbers] + [(None, None)]
+
+
+def test_plots_need_every_month(spark):
+    from catchment.sources import writers
+
+    rows = [(2000, 11, "a", 1.0), (2000, 12, "a", 2.0), (2001, 1, "a", 1234.0), (2000, 11, "b c", 0.5), (2000, 12, "b c", 0.25), (2001, 1, "b c", 3.0), (2001, 2, "a", 9.0), (2000, 12, "z", 9.0)]
+    table = spark.createDataFrame(rows, "year int, month int, label string, value double")
+    got = writers.plot_table(table, ["b c", "a"], (2000, 11), (2001, 1)).orderBy("place")
+    assert [tuple(r) for r in got.collect()] == [(1, "2000/11", "0.5", "1"), (2, "2000/12", "0.25", "2"), (3, "2001/1", "3", "1.23e+03")]
+    with pytest.raises(ValueError, match="month 2 of 2001: b c"):
+        writers.plot_table(table, ["b c", "a"], (2000, 11), (2001, 2))
+
+
+def test_soil_lookup(spark):
+    from catchment.operators import relational
+
+    soils = spark.createDataFrame([(1, "m", 1, "x"), (2, "m", 2, "x"), (3, None, 1, "x"), (4, "n", 1, "y")], "soil_id int, muid string, seqn int, name string")
+    layers = spark.createDataFrame([(1, 3, 0.3), (1, 1, 0.1), (2, 1, 0.2), (4, 1, 0.4), (3, 1, 0.5)], "soil_id int, layer_num int, depth double")
+    look = lambda rows, option: sorted(tuple(r) for r in relational.soil_layers(spark.createDataFrame(rows, "muid string, seqn int, name string"), soils, layers, option).collect())
+    assert look([("m", 1, "q"), ("m", 1, "q"), (None, 1, "x")], "stmuid+seqnum") == [("m", 1, 1, 1, 1, 0.1), ("m", 1, 1, 2, 3, 0.3)]
+    assert look([("m", 9, "x")], "stmuid+name") == [("m", "x", 1, 1, 1, 0.1), ("m", "x", 1, 2, 3, 0.3), ("m", "x", 2, 1, 1, 0.2)]
+    assert len(look([("m", 9, "q"), ("n", 9, "q")], "stmuid")) == 4
+    with pytest.raises(ValueError):
+        look([("m", 1, "x")], "other")
