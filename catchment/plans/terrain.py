@@ -113,7 +113,7 @@ def outlined(t):
 
 
 # Regions drawn from their outlines are the regions again.
-query("snk_31", f"WITH RECURSIVE {_CLASSES}, {_SAME}, {_LABELS} SELECT row, col, root AS value FROM g JOIN r USING (k)")(lambda t: terrain.rasterise(outlined(t)))
+query("snk_31", f"WITH RECURSIVE {_CLASSES}, {_SAME}, {_LABELS} SELECT CAST(row AS INT) AS row, CAST(col AS INT) AS col, root AS value FROM g JOIN r USING (k)")(lambda t: terrain.rasterise(outlined(t)))
 
 
 def stored_raster(t):
