@@ -1,12 +1,13 @@
-"""Terrain of the events' grid (user by hour of day): regions of value classes, filled pits, streams."""
+"""Terrain of the events' grid (user by hour of day): regions of value classes, filled pits, streams, lakes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catchment.operators import lakes, terrain
 from catchment.operators import landunits as lu
-from catchment.operators import terrain
 from catchment.operators.iterate import fresh_path
+from catchment.operators.network import upstream
 from catchment.plans.landunits import GRID, grid
 from catchment.plans.registry import query
 from catchment.sources import raster
@@ -128,3 +129,80 @@ query(
     "src_30",
     f"SELECT CAST(r AS INT) AS row, CAST(q AS INT) AS col, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3) AS value FROM range((SELECT max(user_id) + 1 FROM events)) a(r), range(24) b(q) LEFT JOIN {GRID} ON row = r AND col = q",
 )(stored_raster)
+
+
+def lake_table(t):
+    """node, lake, playa: a lake of three by four cells for each supplier, every fifth nation's playas."""
+    box = t.supplier.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    key = terrain.cell_key(F.expr("s_suppkey * 3 div 2") + c("r"), c("s_suppkey") * 7 % 21 + c("q"))
+    return box.select(key.alias("node"), c("s_suppkey").alias("lake"), (c("s_nationkey") % 5 == 0).alias("playa"))
+
+
+def network_with_areas(t):
+    """node, down, link, place, z, area: the stream cells with what drains through them."""
+    cells = drained(t)
+    areas = upstream(cells.select("node", "down"), cells.select("node", F.lit(1).cast("long").alias("area")), ["area"]).select("node", "area")
+    return terrain.stream_links(cells, 3)[0].join(cells.select("node", "down", "z"), "node").join(areas, "node")
+
+
+_LAKES = f"""{_DRAINED},
+  lt AS MATERIALIZED (SELECT (s_suppkey * 3 // 2 + r) * 2147483648 + s_suppkey * 7 % 21 + q AS node, s_suppkey AS lake, s_nationkey % 5 = 0 AS playa FROM supplier, range(3) a(r), range(4) b(q)),
+  lk AS MATERIALIZED (SELECT node, max(lake) AS lake FROM lt WHERE NOT playa GROUP BY 1),
+  areas AS (SELECT pos AS node, count(*) AS area FROM walk GROUP BY 1),
+  x AS (SELECT m.link, m.node, place, w.down, w.z, area, lake, place - row_number() OVER (PARTITION BY m.link, lake ORDER BY place) AS run
+    FROM m JOIN wet w USING (node) JOIN areas USING (node) LEFT JOIN lk USING (node)),
+  y AS MATERIALIZED (SELECT *, first_value(node) OVER (PARTITION BY link, lake, run ORDER BY place) AS reach FROM x),
+  n AS MATERIALIZED (SELECT r.*, y.reach AS nxt, y.lake AS nlake
+    FROM (SELECT reach, link, lake, area, z, node AS last, down, count(*) OVER (PARTITION BY reach) AS cells FROM y QUALIFY row_number() OVER (PARTITION BY reach ORDER BY place DESC) = 1) r LEFT JOIN y ON y.node = r.down),
+  main AS MATERIALIZED (SELECT * FROM n WHERE lake IS NOT NULL AND nlake IS DISTINCT FROM lake QUALIFY row_number() OVER (PARTITION BY lake ORDER BY area DESC, last) = 1),
+  size AS (SELECT lake, count(*) AS size FROM lk GROUP BY 1),
+  taken AS MATERIALIZED (SELECT n.reach, min(main.lake) AS taker, min(n.nxt) AS onward FROM main JOIN size ON size.lake = main.lake JOIN n ON n.reach = main.nxt
+    LEFT JOIN (SELECT nxt, sum(area) AS inflow FROM n GROUP BY 1) i ON i.nxt = n.reach
+    WHERE n.lake IS NULL AND n.nxt IS NOT NULL AND n.nlake IS NULL GROUP BY n.reach HAVING count(*) = 1 AND min(n.area - coalesce(inflow, 0)) < 0.5 * max(size)),
+  fin AS MATERIALIZED (SELECT n.*, coalesce(n.lake, a.taker) AS inside, coalesce(nlake, b.taker) AS ninside FROM n LEFT JOIN taken a ON a.reach = n.reach LEFT JOIN taken b ON b.reach = n.nxt),
+  outs AS MATERIALIZED (SELECT main.lake, main.last, main.z, coalesce(a.onward, main.nxt) AS nxt, f.inside AS ninside FROM main LEFT JOIN taken a ON a.reach = main.nxt LEFT JOIN fin f ON f.reach = coalesce(a.onward, main.nxt))"""
+_SINK = "CASE WHEN nxt IS NULL THEN 'X' WHEN ninside IS NOT NULL THEN 'RES' ELSE 'CH' END AS sink_cat, CASE WHEN nxt IS NULL THEN last ELSE coalesce(ninside, nxt) END AS sink, CAST(100 AS DOUBLE) AS percent"
+# Few cells drain to one link here, so half of a lake's cells is the share.
+query(
+    "gs_24",
+    f"WITH RECURSIVE {_LAKES} SELECT 'CH' AS source_cat, reach AS source, {_SINK} FROM fin WHERE inside IS NULL UNION ALL SELECT 'RES', lake, {_SINK} FROM outs",
+)(lambda t: lakes.add_lakes(network_with_areas(t), lake_table(t), 0.5)[1])
+query("gs_24_reaches", f"WITH RECURSIVE {_LAKES} SELECT reach, link, lake, inside, CAST(cells AS BIGINT) AS cells, last, CAST(area AS BIGINT) AS area, round(z, 4) AS z FROM fin")(
+    lambda t: lakes.add_lakes(network_with_areas(t), lake_table(t), 0.5)[0].select("reach", "link", "lake", "inside", "cells", "last", "area", F.round("z", 4).alias("z"))
+)
+query(
+    "gs_24_lakes",
+    f"""WITH RECURSIVE {_LAKES},
+    a AS (SELECT lake, min(playa) AS playa, count(DISTINCT node) AS n FROM lt GROUP BY 1),
+    i AS (SELECT ninside AS lake, count(*) AS inlets, avg(z) AS high FROM fin WHERE inside IS NULL AND ninside IS NOT NULL GROUP BY 1),
+    p AS (SELECT inside AS lake, count(*) AS within FROM fin WHERE inside IS NOT NULL GROUP BY 1),
+    o AS (SELECT fin.lake, count(*) AS others FROM fin JOIN outs ON outs.lake = fin.lake WHERE fin.ninside IS DISTINCT FROM fin.lake AND fin.last <> outs.last GROUP BY 1)
+    SELECT lake, playa, CAST(CASE WHEN playa THEN n ELSE coalesce(size, 0) END AS BIGINT) AS cells, CAST(coalesce(inlets, 0) AS BIGINT) AS inlets, CAST(coalesce(within, 0) AS BIGINT) AS within, outs.last AS outlet, nxt AS next,
+      CAST(coalesce(others, 0) AS BIGINT) AS others, round(coalesce(high, z), 4) AS z
+    FROM a LEFT JOIN size USING (lake) LEFT JOIN i USING (lake) LEFT JOIN p USING (lake) LEFT JOIN outs USING (lake) LEFT JOIN o USING (lake)""",
+)(lambda t: lakes.add_lakes(network_with_areas(t), lake_table(t), 0.5)[2].withColumn("z", F.round("z", 4)))
+
+
+def channel_basins(t):
+    """node, basin: for every cell the link of the first stream cell on its way down."""
+    cells = drained(t)
+    wet = terrain.stream_links(cells, 3)[0]
+    moved = terrain.move_to_streams(cells.select(c("node").alias("point"), "node"), cells, wet)
+    return moved.join(wet.select(c("node").alias("moved"), c("link").alias("basin")), "moved", "left").select("node", "basin")
+
+
+query(
+    "gs_24_basins",
+    f"""WITH RECURSIVE {_LAKES}, b AS (SELECT walk.node, min_by(m.link, areas.area) AS basin FROM walk JOIN m ON m.node = walk.pos JOIN areas ON areas.node = m.node GROUP BY 1)
+    SELECT basin, CAST(count(*) AS BIGINT) AS cells, CAST(count(lake) AS BIGINT) AS in_lakes FROM e LEFT JOIN b USING (node) LEFT JOIN lk USING (node) GROUP BY 1""",
+)(lambda t: lakes.lake_basins(channel_basins(t), lake_table(t)))
+query(
+    "gs_24_outlets",
+    f"""WITH RECURSIVE {_DRAINED},
+    lk AS MATERIALIZED (SELECT (s_suppkey * 3 // 2 + r) * 2147483648 + s_suppkey * 7 % 21 + q AS node, max(s_suppkey) AS lake FROM supplier, range(3) a(r), range(4) b(q) WHERE s_nationkey % 5 <> 0 GROUP BY 1),
+    o AS (SELECT c_custkey AS point, c_custkey % 150 * 2147483648 + c_nationkey % 24 AS node FROM customer),
+    t(point, pos, steps, lake) AS (SELECT point, node, 0, lake FROM o JOIN lk USING (node)
+      UNION ALL SELECT point, e.down, steps + 1, t.lake FROM t JOIN e ON e.node = t.pos JOIN lk ON lk.node = e.down WHERE lk.lake = t.lake)
+    SELECT o.point, o.node, lk.lake, CASE WHEN steps <= 2 THEN pos ELSE o.node END AS moved, CASE WHEN lk.lake IS NOT NULL THEN steps <= 2 END AS found
+    FROM o LEFT JOIN lk USING (node) LEFT JOIN (SELECT point, max_by(pos, steps) AS pos, max(steps) AS steps FROM t GROUP BY 1) w USING (point)""",
+)(lambda t: lakes.to_perimeter(outlets(t), drained(t), lake_table(t), 2))
