@@ -7,12 +7,14 @@ population, whose size is a setting and not a matter of the data.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catchment.operators.breaks import large_breaks
 from catchment.operators.iterate import cut
 
 
@@ -178,17 +180,34 @@ def jenks(values: list[float], classes: int, weights: list[float] | None = None,
     return out[::-1]
 
 
-def natural_breaks(df: DataFrame, by: list[str], value: str, classes: int, points: int = 1000) -> DataFrame:
+def natural_breaks(df: DataFrame, by: list[str], value: str, classes: int, points: int = 1000, most: int = 200_000, block: int = 1 << 16) -> DataFrame:
     """by, breaks: natural breaks of each group, every row counted.
 
-    Groups come down to their distinct values and how often each occurs, by aggregation. ``points`` only
-    sets the size from which ``jenks`` searches by halves.
+    Groups come down to their distinct values and how often each occurs, by aggregation. Those of at most ``most`` distinct
+    values are searched a task each (``points`` only sets the size from which ``jenks`` searches by halves), larger ones
+    in blocks of ``block`` values by many tasks; both are exact. Null values and NaN don't count; a group without others has no breaks.
     """
     often = df.groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").cast("double").alias("_n"))
-    lists = often.groupBy(*by).agg(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_x", "_n"))).alias("_v"))
+    often = cut(often.withColumn("_x", F.nanvl("_x", F.lit(None))))
+    sizes = cut(often.groupBy(*by).agg(F.count("_x").alias("_d")).withColumn("_g", F.monotonically_increasing_id()))
+    large = sizes.where(F.col("_d") > max(most, classes))
+    some = not large.isEmpty()
+
+    def of(groups: DataFrame) -> DataFrame:
+        named = groups.select("_g", *[F.col(c).alias(f"_by_{c}") for c in by])
+        return often.join(named, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.lit(True)))
+
+    small = of(sizes.where(F.col("_d") <= max(most, classes))) if some else often
+    lists = small.groupBy(*by).agg(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_x", "_n"))).alias("_v"))
 
     @F.pandas_udf("array<double>")
     def run(values: pd.Series, weights: pd.Series) -> pd.Series:
         return pd.Series([jenks(list(v), classes, list(w), points) for v, w in zip(values, weights)])
 
-    return lists.select(*by, run(F.col("_v._x"), F.col("_v._n")).alias("breaks"))
+    found = lists.select(*by, run(F.col("_v._x"), F.col("_v._n")).alias("breaks"))
+    if not some:
+        return found
+    if not by:
+        found = found.limit(0)
+    wide = large_breaks(of(large).where("_x is not null").select(F.col("_g").alias("g"), F.col("_x").alias("x"), F.col("_n").alias("n")), classes, block)
+    return found.unionByName(large.join(wide.withColumnRenamed("g", "_g"), "_g").select(*by, "breaks"))

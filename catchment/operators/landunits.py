@@ -6,7 +6,6 @@ key. Every filter keeps each unit's area: what stays is scaled by total over kep
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,29 +75,23 @@ def threshold(units: DataFrame, crop: float, soil: float, slope: float, percent:
 
 
 def remove_smallest(units: DataFrame, least: float, exempt: list[str] | None = None) -> DataFrame:
-    """Drops the smallest part of a unit under ``least`` and rescales, again and again, one part stays.
+    """Drops the smallest part of a unit under ``least`` and rescales, again and again; one part stays.
 
-    Each step depends on the one before, so a unit is one task's work; its parts are bounded by the
-    numbers of crops, soils and slopes.
+    Rescaling keeps the order of the parts, and once the smallest are gone the rest has grown by the whole area over
+    what is left of it. So one running sum over a unit's parts tells the first that is large enough by then: all before it go.
+    Ties go by the keys. Exempt crops, and parts without an area, stay; a unit of area 0 isn't rescaled.
     """
-    spared = set(exempt or [])
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["area", *KEYS]).reset_index(drop=True)
-        while len(rows) > 1:
-            small = rows.index[(rows["area"] < least) & ~rows["crop"].isin(spared)]
-            if not len(small):
-                break
-            total = rows["area"].sum()
-            rows = rows.drop(small[0])
-            kept = rows["area"].sum()
-            if kept > 0:
-                rows["area"] *= total / kept
-            rows = rows.sort_values(["area", *KEYS]).reset_index(drop=True)
-        return rows
-
-    whole = units.groupBy("unit", *KEYS).agg(F.sum("area").alias("area"))
-    return whole.groupBy("unit").applyInPandas(work, whole.schema)
+    spared = F.col("area").isNull() | (F.coalesce(F.col("crop").isin(exempt), F.lit(False)) if exempt else F.lit(False))
+    unit = Window.partitionBy("unit")
+    order = Window.partitionBy("unit", "_spared").orderBy("area", *KEYS)
+    rows = units.groupBy("unit", *KEYS).agg(F.sum("area").alias("area")).withColumn("_spared", spared)
+    rows = rows.select("*", F.sum("area").over(unit).alias("_all"), F.count("*").over(unit).alias("_n"), F.row_number().over(order).alias("_rank"), F.sum("area").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_gone"))
+    left = F.col("_all") - F.coalesce("_gone", F.lit(0))
+    grown = F.col("area") * F.when(left > 0, F.col("_all") / left).otherwise(1.0)
+    ended = F.max(grown >= least).over(order.rowsBetween(Window.unboundedPreceding, 0)) | (F.col("_rank") >= F.col("_n"))
+    kept = rows.withColumn("_ended", ended).where("_spared or _ended")
+    rest = F.sum("area").over(unit)
+    return kept.withColumn("area", F.col("area") * F.when(rest > 0, F.col("_all") / rest).otherwise(1.0)).select("unit", *KEYS, "area")
 
 
 def remove_to_target(units: DataFrame, target: int, exempt: list[str] | None = None) -> DataFrame:

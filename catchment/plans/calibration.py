@@ -95,8 +95,14 @@ query("sa_31", "SELECT o_orderkey AS run, o_totalprice * 2 + 1 AS score FROM ord
     lambda t: calibration.run_models(t.orders.select(c("o_orderkey").alias("run"), "o_totalprice"), lambda r: r["o_totalprice"] * 2 + 1, t.spark.sparkContext.defaultParallelism)
 )
 query("sa_32", "SELECT p_partkey, rpad(p_name, 14, ' ') || lpad(printf('%.4f', p_retailprice), 14, ' ') AS line FROM part")(lambda t: t.part.select("p_partkey", F.concat(F.rpad("p_name", 14, " "), F.lpad(F.format_string("%.4f", "p_retailprice"), 14, " ")).alias("line")))
-for _number in (23, 24):
-    query(f"wn_{_number}")(lambda t: calibration.natural_breaks(t.part, ["p_type"], "p_size", 4))
+# A size has 50 values, so that all ways to cut a type's into four classes can be tried in SQL.
+_FOUR = """WITH v AS (SELECT p_type, p_size AS x, CAST(sum(count(*)) OVER o AS DOUBLE) AS n, CAST(sum(count(*) * p_size) OVER o AS DOUBLE) AS s FROM part WHERE p_size IS NOT NULL GROUP BY 1, 2 WINDOW o AS (PARTITION BY p_type ORDER BY p_size)),
+  w AS (SELECT a.p_type, a.x AS b1, b.x AS b2, c.x AS b3, d.x AS b4, a.s * a.s / a.n + (b.s - a.s) ** 2 / (b.n - a.n) + (c.s - b.s) ** 2 / (c.n - b.n) + (d.s - c.s) ** 2 / (d.n - c.n) AS held
+    FROM v a JOIN v b ON b.p_type = a.p_type AND b.x > a.x JOIN v c ON c.p_type = a.p_type AND c.x > b.x JOIN (SELECT p_type, max(x) AS x, max(n) AS n, max(s) AS s FROM v GROUP BY 1) d ON d.p_type = a.p_type AND d.x > c.x)
+SELECT p_type, CAST(b1 AS DOUBLE) AS b1, CAST(b2 AS DOUBLE) AS b2, CAST(b3 AS DOUBLE) AS b3, CAST(b4 AS DOUBLE) AS b4 FROM w QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY round(held, 6) DESC, b3, b2, b1) = 1"""
+query("wn_23", _FOUR)(lambda t: calibration.natural_breaks(t.part, ["p_type"], "p_size", 4).select("p_type", *[c("breaks")[k].alias(f"b{k + 1}") for k in range(4)]))
+# The same by blocks of eight values, as for groups whose distinct values are too many for a task.
+query("wn_24", _FOUR)(lambda t: calibration.natural_breaks(t.part, ["p_type"], "p_size", 4, most=4, block=8).select("p_type", *[c("breaks")[k].alias(f"b{k + 1}") for k in range(4)]))
 # With two classes, every cut can be tried in SQL.
 query("wn_23_two", "WITH v AS (SELECT p_type, p_size AS x, count(*) AS n FROM part GROUP BY 1, 2), s AS (SELECT a.p_type, a.x AS cut, sum(b.n) FILTER (WHERE b.x <= a.x) AS n1, sum(b.n * b.x) FILTER (WHERE b.x <= a.x) AS s1, sum(b.n) FILTER (WHERE b.x > a.x) AS n2, sum(b.n * b.x) FILTER (WHERE b.x > a.x) AS s2, max(b.x) AS top FROM v a JOIN v b USING (p_type) GROUP BY 1, 2) SELECT p_type, CAST(max_by(cut, (s1 * s1 / n1 + s2 * s2 / n2, -cut)) AS DOUBLE) AS lower, CAST(max(top) AS DOUBLE) AS upper FROM s WHERE n2 > 0 GROUP BY 1")(
     lambda t: calibration.natural_breaks(t.part, ["p_type"], "p_size", 2).select("p_type", c("breaks")[0].alias("lower"), c("breaks")[1].alias("upper"))

@@ -72,7 +72,13 @@ for _number, _key in ((15, "crop"), (16, "soil"), (17, "slope")):
     query(f"gs_{_number}", f"WITH {UNITS} SELECT round(min(top), 6) AS \"limit\" FROM (SELECT unit, max(part / whole * 100) AS top FROM (SELECT unit, {_key}, sum(area) AS part, sum(sum(area)) OVER (PARTITION BY unit) AS whole FROM u GROUP BY 1, 2) GROUP BY 1)")(
         lambda t, key=_key: rounded(lu.crop_limit(units(t), key), 6)
     )
-query("gs_12")(lambda t: rounded(lu.remove_smallest(units(t), 300.0)))
+# One part at a time: the m smallest are gone, and what is left has grown by f.
+query(
+    "gs_12",
+    f"""WITH RECURSIVE {UNITS}, k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY area, crop, soil, slope) AS r, count(*) OVER (PARTITION BY unit) AS n, sum(area) OVER (PARTITION BY unit) AS whole FROM u),
+    g(unit, m, f) AS (SELECT DISTINCT unit, 0, CAST(1 AS DOUBLE) FROM u UNION ALL SELECT g.unit, m + 1, f * whole / (whole - area * f) FROM g JOIN k ON k.unit = g.unit AND r = m + 1 AND r < n WHERE area * f < 300)
+    SELECT unit, crop, soil, slope, round(area * f, 4) AS area FROM k JOIN (SELECT unit, max(m) AS m, max_by(f, m) AS f FROM g GROUP BY 1) USING (unit) WHERE r > m""",
+)(lambda t: rounded(lu.remove_smallest(units(t), 300.0)))
 query("st_14", f"WITH {UNITS}, k AS (SELECT *, row_number() OVER (ORDER BY area, unit, crop, soil, slope) AS n, sum(area) OVER (PARTITION BY unit) AS whole FROM u) SELECT unit, crop, soil, slope, round(area * whole / sum(area) OVER (PARTITION BY unit), 4) AS area FROM k WHERE n > (SELECT count(*) - 900 FROM u)")(
     lambda t: rounded(lu.remove_to_target(units(t), 900))
 )

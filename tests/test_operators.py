@@ -3,6 +3,7 @@
 import math
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -307,3 +308,46 @@ def test_nearest_of_odd_rows(spark):
     crowd = spark.range(3000).selectExpr("id AS station", "IF(id < 2500, 1.0, id * 1.0) AS sx", "IF(id < 2900, 1.0 + id % 3, id * 7.0) AS sy")
     some = spark.range(300).selectExpr("id", "id * 13.7 % 3100 - 50 AS x", "id * 211.3 % 22000 AS y")
     assert values(nearest(some, crowd, small=0), "id", "station") == values(nearest(some, crowd, small=5000), "id", "station")
+
+
+def test_breaks_by_blocks_are_those_of_one_search(spark):
+    from catchment.operators import calibration
+
+    r = np.random.default_rng(4)
+    rows = [(k, float(x)) for k, n in (("a", 150), ("b", 40), (None, 90)) for x in np.round(r.gamma(2, 30, n), 2)] + [("b", None), ("b", float("nan")), ("c", None), ("d", 1.5)]
+    data = spark.createDataFrame(rows, "k string, v double")
+    for classes in (1, 4):
+        want = {x["k"]: x["breaks"] for x in calibration.natural_breaks(data, ["k"], "v", classes).collect()}
+        got = {x["k"]: x["breaks"] for x in calibration.natural_breaks(data, ["k"], "v", classes, most=50, block=16).collect()}
+        assert got == want and want["c"] == [] and want["d"] == [1.5] and len(want["a"]) == classes
+
+
+def test_breaks_of_a_very_large_group(spark):
+    from catchment.operators import calibration
+
+    n = 100_000
+    data = spark.range(n).select(F.col("id").cast("double").alias("v"))
+    # Equal steps are cut into equal parts.
+    (row,) = calibration.natural_breaks(data, [], "v", 4, most=1000, block=1 << 14).collect()
+    assert row["breaks"] == [n / 4 - 1, n / 2 - 1, 3 * n / 4 - 1, n - 1]
+
+
+def test_smallest_parts_go_one_at_a_time(spark):
+    r = np.random.default_rng(8)
+    rows = [(u, f"c{i % 3}", f"s{i}", "x", float(a)) for u in range(12) for i, a in enumerate(np.round(r.gamma(1.0, 4.0, 9), 1))]
+    rows += [(20, "c0", "s", "x", 0.5), (21, "c0", "s", "x", 0.0), (21, "c1", "s", "x", 0.0), (22, "c1", "s", "x", None), (22, "c1", "t", "x", 1.0)]
+    for exempt in (None, ["c1"]):
+        want = set()
+        for unit in {x[0] for x in rows}:
+            parts = {x[1:4]: x[4] for x in rows if x[0] == unit}
+            while len(parts) > 1:
+                small = sorted((a, k) for k, a in parts.items() if a is not None and a < 5 and k[0] not in (exempt or []))
+                if not small:
+                    break
+                total = sum(a or 0 for a in parts.values())
+                del parts[small[0][1]]
+                rest = sum(a or 0 for a in parts.values())
+                parts = {k: a and a * total / rest if rest else a for k, a in parts.items()}
+            want |= {(unit, *k, a if a is None else round(a, 6)) for k, a in parts.items()}
+        got = landunits.remove_smallest(spark.createDataFrame(rows, "unit int, crop string, soil string, slope string, area double"), 5, exempt)
+        assert {(*x[:4], x[4] if x[4] is None else round(x[4], 6)) for x in map(tuple, got.collect())} == want
