@@ -8,7 +8,8 @@ paragraphs of the licences' own texts) against a bounded sample of paragraphs fr
 Probabilities are calibrated by a temperature on paragraphs, frames and licence names kept out of
 training; a paragraph that is surely some licence, but no family surely enough, is ``unknown``. A
 prediction is confirmed where the paragraph holds most of the word n-grams of one of the family's
-templates, or most of its own are in one of the family's texts.
+templates, or most of its own are in one of the family's texts. A window that names several families
+gives a row for each: without the words of those found, the rest is judged again and must be confirmed.
 
 A statement holds a word pair of the templates or is one word of them; a line that has neither is
 not judged.
@@ -113,6 +114,7 @@ class Model:
         self.number = {w: k for k, w in enumerate(sorted({w for g in self.features for w in g}), 1)}
         self.templates = {f: [set(zip(*(words(name)[k:] for k in range(n)))) for name in names for n in [min(2, len(words(name)))]] for f, names in FAMILIES.items()}
         self.notices = {f: [set(zip(words(x), words(x)[1:])) for x in texts] for f, texts in NOTICES.items()}
+        self.own = {f: {g for t in (*self.templates[f], *self.notices.get(f, [])) for g in t} for f in FAMILIES}
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         found = [self.features[g] for g in grams(tokens) if g in self.features]
@@ -146,6 +148,51 @@ class Model:
         alike = self.similarity(family, tokens)
         return family, sure, alike, alike >= CONFIRM_AT
 
+    def _spans(self, family: str, tokens: list[str]) -> list[tuple[int, int, float]]:
+        """(first, end, similarity) of the runs of words whose pairs, or single words, are in the family's names and texts, where they confirm it."""
+        grams, out, start = self.own[family], [], 0
+        for k in range(1, len(tokens) + 1):
+            if k == len(tokens) or (tokens[k - 1], tokens[k]) not in grams:
+                run = tokens[start:k]
+                if (len(run) > 1 or tuple(run) in grams) and (alike := self.similarity(family, run)) >= CONFIRM_AT:
+                    out.append((start, k, alike))
+                start = k
+        return out
+
+    def _without(self, families: set[str], tokens: list[str]) -> list[str]:
+        """The words with the runs blanked that confirm ``families``, but for those in which another family is confirmed better."""
+        others = [x for f in FAMILIES if f not in families for x in self._spans(f, tokens)] if families else []
+        out = list(tokens)
+        for first, end, alike in (x for f in families for x in self._spans(f, tokens)):
+            if not any(a < end and first < b and better > alike for a, b, better in others):
+                out[first:end] = [""] * (end - first)
+        return out
+
+    def judge_all(self, tokens: list[str]) -> list[tuple[str, float, float, bool]]:
+        """Verdicts on all families that a window states, the first found first; ``unknown`` only where no family is.
+
+        Without the words of the families found, what is left is judged again, as long as a further family is confirmed.
+        """
+        first = self.judge_words(tokens)
+        if first is None:
+            return []
+        found = {} if first[0] == UNKNOWN else {first[0]: first}
+        while (x := self._further(self._without(set(found), tokens))) is not None and x[0] not in found:
+            found[x[0]] = x
+        return list(found.values()) or [first]
+
+    def _further(self, tokens: list[str]) -> tuple[str, float, float, bool] | None:
+        """A confirmed verdict on what is left of a window.
+
+        Two families may share the probability, so that neither is sure: then it is judged without the likelier one's words.
+        """
+        x = self.judge_words(tokens) if self._pairs(tokens) else None
+        if x and x[0] == UNKNOWN:
+            p = self.probabilities(tokens)
+            tokens = self._without({max(FAMILIES, key=lambda f: p[self.classes.index(f)])}, tokens)
+            x = self.judge_words(tokens) if self._pairs(tokens) else None
+        return x if x and x[3] else None
+
     def statements(self, text: str | None) -> list[tuple[int, int, str, float, float, bool]]:
         """(paragraph, word, family, probability, similarity, confirmed) of every statement in the whole text."""
         if not text:
@@ -155,10 +202,10 @@ class Model:
         out = []
         for first, last, start, end in self._seams(lines):
             own = [x for k in range(first, last + 1) for x in found.get(k, [])]
-            whole = self.judge_words([w for k in range(first, last + 1) for w in lines[k][start if k == first else 0 : end if k == last else None]])
-            if whole and (not own or whole[2] > max(x[3] for x in own)):
+            whole = self.judge_all([w for k in range(first, last + 1) for w in lines[k][start if k == first else 0 : end if k == last else None]])
+            if whole and (not own or whole[0][2] > max(x[3] for x in own)):
                 # The lines keep what they hold beside the notice that runs over their ends.
-                out.append((first, start, *whole))
+                out += [(first, start, *x) for x in whole]
                 for k in range(first, last + 1):
                     rest = self._runs(lines[k][:start]) if k == first else []
                     if k == last:
@@ -205,20 +252,23 @@ class Model:
         return [k for k, (a, b, x, y) in enumerate(zip(known, known[1:], tokens, tokens[1:])) if a and b and (x, y) in self.features]
 
     def _runs(self, tokens: list[str]) -> list[tuple[int, str, float, float, bool]]:
-        """(word, family, ...) of the statements in a line: in long ones, of each run of overlapping windows of 40 words with one family."""
+        """(word, family, ...) of the statements in a line: in long ones, of each run of overlapping windows of 40 words that state a family."""
         # A statement has a word pair of the templates; most lines end here.
         if not (pairs := self._pairs(tokens)):
             return []
         if len(tokens) <= 40:
-            return [(0, *x)] if (x := self.judge_words(tokens)) else []
+            return [(0, *x) for x in self.judge_all(tokens)]
         runs: list[list] = []  # first word, end, verdicts
+        latest: dict[str, list] = {}
         for k in range(0, len(tokens) - 20, 20):
-            if x := self.judge_words(tokens[k : k + 40]):
-                if runs and runs[-1][1] == k + 20 and runs[-1][2][0][0] == x[0]:
-                    runs[-1][1] = k + 40
-                    runs[-1][2].append(x)
+            for x in self.judge_all(tokens[k : k + 40]):
+                run = latest.get(x[0])
+                if run and run[1] == k + 20:
+                    run[1] = k + 40
+                    run[2].append(x)
                 else:
-                    runs.append([k, k + 40, [x]])
+                    runs.append(run := [k, k + 40, [x]])
+                latest[x[0]] = run
         known = [(k, end) for k, end, x in runs if x[0][0] != UNKNOWN]
         out = []
         for k, end, x in runs:

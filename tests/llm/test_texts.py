@@ -218,6 +218,39 @@ def test_license_long_lines_and_wrapped_notices():
     assert [x[2] for x in model.statements("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")] == ["MIT", "Apache"]
 
 
+def test_all_licence_families_of_a_window():
+    model = license.train([])
+    families = lambda text: {x[2] for x in model.statements(text)}
+    assert families("dual-licensed under the MIT License or the Apache License, Version 2.0") == {"MIT", "Apache"}
+    assert families("either of Apache License, Version 2.0 or MIT license") == {"MIT", "Apache"}
+    assert families("triple licensed: MPL-2.0, the GNU General Public License, version 2 or LGPL-2.1") == {"MPL", "GPL", "LGPL"}
+    filler = " ".join(["water flows down the old river to the quiet sea"] * 12)
+    got = model.statements(f"{filler} code under the ISC License and pictures under CC BY-SA 4.0. {filler}")
+    assert sorted(x[2] for x in got) == ["CC-BY-SA", "ISC"] and all(x[5] for x in got)
+    # One name is one family, in whatever frame.
+    for family, names in license.FAMILIES.items():
+        for name in names:
+            for frame in license.FRAMES:
+                assert families(frame.format(name)) <= {family, license.UNKNOWN}, (frame, name)
+    # Every two families, named side by side.
+    pairs = [(a, b) for a in license.FAMILIES for b in license.FAMILIES if a != b]
+    found = [families(f"Code under the {license.FAMILIES[a][0]}, text under the {license.FAMILIES[b][0]}.") for a, b in pairs]
+    assert np.mean([{a, b} <= f for (a, b), f in zip(pairs, found)]) > 0.9
+    assert np.mean([f <= {a, b} for (a, b), f in zip(pairs, found)]) > 0.95
+
+
+def test_long_licence_lines_against_every_window(docs):
+    """Of long lines, the families found are those of all windows; unknown ones may lie at the edge of a known one."""
+    model = license.train(license.background(docs))
+    names = [n for names in license.FAMILIES.values() for n in names]
+    for k, r in enumerate(docs.orderBy("doc_id").limit(60).collect()):
+        words = license.words((r["text"] or "").replace("\n", " "))
+        tokens = [*words[:70], *license.words(names[k % len(names)]), *words[70 : 70 + 3 * k], *license.words(names[-1 - k % 7]), *words[70 + 3 * k :]]
+        if len(tokens) > 40:
+            want = {x[0] for i in range(0, len(tokens) - 20, 20) for x in model.judge_all(tokens[i : i + 40])} - {license.UNKNOWN}
+            assert {x[1] for x in model._runs(tokens)} - {license.UNKNOWN} == want and want
+
+
 def test_pipeline(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     from tests.llm.test_near_duplicates import brute_fingerprint, brute_groups
