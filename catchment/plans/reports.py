@@ -37,31 +37,17 @@ query(
 )(lambda t: checks.nested(t.nation, t.supplier.select("s_nationkey", "s_suppkey", "s_name"), "n_nationkey", "s_nationkey", "suppliers"))
 
 
-#: What the sections add up of line items.
-_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-
-
-def lines(t):
-    """Line items with how many rows stand in each, and in how many a measure is known: those of a table of sums as they are."""
-    if "rows" in t.lineitem.columns:
-        return t.lineitem
-    return t.lineitem.select("*", F.lit(1).alias("rows"), *[c(x).isNotNull().cast("int").alias(f"n_{x}") for x in _MEASURES])
-
-
 def totals(t):
-    """The tables with the sums of line items by supplier, year and flag in place of line items: one scan for all sections that need no more."""
-    sums = lines(t).groupBy("l_suppkey", F.date_trunc("year", "l_shipdate").alias("l_shipdate"), "l_returnflag").agg(*[F.sum(x).alias(x) for x in ["rows", *_MEASURES, *[f"n_{x}" for x in _MEASURES]]])
+    """The tables with the sums of line items by supplier, year and flag in place of line items: one scan for all sections that add up."""
+    sums = t.lineitem.groupBy("l_suppkey", F.date_trunc("year", "l_shipdate").alias("l_shipdate"), "l_returnflag").agg(*[F.sum(x).alias(x) for x in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
     return SimpleNamespace(lineitem=cut(sums), supplier=t.supplier, customer=t.customer, orders=t.orders)
 
 
 def balances(t):
     """A balance row for each nation from its suppliers' line items, scaled to plausible figures."""
-    returned = c("l_returnflag") == "R"
-    mean = lambda x: F.try_divide(F.sum(x), F.sum(f"n_{x}"))
-    rows = lines(t).join(t.supplier, c("l_suppkey") == c("s_suppkey")).groupBy("s_nationkey").agg(
-        mean("l_quantity").alias("q"), mean("l_discount").alias("d"), mean("l_tax").alias("x"),
-        F.try_divide(F.sum(F.when(returned, c("l_quantity")).otherwise(0.0)), F.sum(F.when(returned, c("n_l_quantity")).otherwise(c("rows")))).alias("r"),
-    )
+    rows = t.lineitem.join(t.supplier, c("l_suppkey") == c("s_suppkey")).groupBy("s_nationkey").agg(
+        F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("x"), F.avg(F.when(c("l_returnflag") == "R", c("l_quantity")).otherwise(0.0)).alias("r")
+    )
     scale = {"precip": 40 * c("q"), "surq": 9 * c("r"), "latq": 1000 * c("d"), "flo": 2000 * c("x"), "et": 41 * c("q"), "cn": 3 * c("q"), "denit": 10 * c("x"), "fertn": c("q"), "fertp": c("r"), "nplt": 9 * c("r") / 7, "pplnt": c("r") / 2.0,
              "sedorgn": c("r") * 4, "surqno3": c("d") * 100, "lat3no3": c("x"), "sedorgp": c("q") / 2, "surqsolp": c("x") * 30, "strsp": c("q") * 2.4, "strsn": c("x") * 25, "strsw": c("q") * 3, "yld": c("d") * 10, "bioms": c("x") * 25}
     return rows.select("s_nationkey", *[v.cast("double").alias(k) for k, v in scale.items()])
@@ -190,7 +176,7 @@ i AS (SELECT *, CASE WHEN up > 0 AND sed_out > sed_in THEN (sed_out - sed_in) /
 (n_out - n_in) / load_n * 100 AS change_n, (p_out - p_in) / load_p * 100 AS change_p, (tloss + tevap) / water * 100 AS stream_loss FROM q)"""
 _INSTREAM = ["erosion > 50", "deposition > 95", "erosion = 0 AND deposition = 0", "(erosion <> 0 OR deposition <> 0) AND (abs(erosion) < 2 OR abs(deposition) < 2)", "change_n < -50", "change_n > 10", "change_p < -50", "change_p > 10"]
 query("rp_10", f"WITH {_CHANNELS} SELECT name, round(erosion, 6) AS erosion, round(deposition, 6) AS deposition, round(change_n, 6) AS change_n, round(change_p, 6) AS change_p, round(stream_loss, 6) AS stream_loss, {_messages(_INSTREAM, model_rules.INSTREAM)} AS warnings FROM i")(
-    lambda t: model_rules.instream(channels(t)).select("name", *[F.round(x, 6).alias(x) for x in ("erosion", "deposition", "change_n", "change_p", "stream_loss")], F.array_join("warnings", "; ").alias("warnings"))
+    lambda t: model_rules.instream(channels(small)).select("name", *[F.round(x, 6).alias(x) for x in ("erosion", "deposition", "change_n", "change_p", "stream_loss")], F.array_join("warnings", "; ").alias("warnings"))
 )
 query("rp_10_reaches", f"WITH {_CHANNELS} SELECT name, round(sed_out / sed_in * 100, 6) AS sediment, round(n_out / n_in * 100, 6) AS nitrogen, round(p_out / p_in * 100, 6) AS phosphorus FROM q")(
     lambda t: model_rules.reaches(channels(t)).select("name", *[F.round(x, 6).alias(x) for x in ("sediment", "nitrogen", "phosphorus")])
@@ -200,11 +186,11 @@ query("rp_10_reaches", f"WITH {_CHANNELS} SELECT name, round(sed_out / sed_in *
 def bundle(t):
     """section, key, warnings: all sections that have something to tell, of all scenarios.
 
-    Line items are read twice: for the sums that all but land use go by, and for land use.
+    Line items are read three times: for means, for land use, and for the sums that the other sections go by.
     """
     small = totals(t)
     sections = F.explode(F.array(*[F.struct(F.lit(x).alias("section"), c(x).alias("warnings")) for x in _SECTIONS]))
-    parts = [model_rules.report(balances(small)).select("s_nationkey", sections.alias("s")).select("s.section", c("s_nationkey").cast("string").alias("key"), "s.warnings")]
+    parts = [model_rules.report(balances(t)).select("s_nationkey", sections.alias("s")).select("s.section", c("s_nationkey").cast("string").alias("key"), "s.warnings")]
     parts.append(model_rules.land_use(units(t)).select(F.lit("landuse").alias("section"), c("landuse").alias("key"), "warnings"))
     parts.append(model_rules.point_sources(loads(small)).select(F.lit("points").alias("section"), c("s_nationkey").cast("string").alias("key"), "warnings"))
     parts.append(model_rules.reservoirs(*stores(small))[1].select(F.lit("reservoirs").alias("section"), F.lit("all").alias("key"), "warnings"))
