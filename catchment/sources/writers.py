@@ -78,13 +78,16 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _three_digits(value: float | None) -> str | None:
+    return None if value is None else f"{value:.3g}"
+
+
 def three_digits(value: Column) -> Column:
-    """A number with three significant digits, as ``{:.3g}`` writes it: plain from 1e-4 to below 1000, else with an exponent; no zeros at the end."""
-    parts = F.split(F.format_string("%.2e", value.cast("double")), "e")
-    power = F.get(parts, F.lit(1)).cast("int")
-    plain = F.concat(F.get(parts, F.lit(0)), F.lit("e"), F.get(parts, F.lit(1))).cast("double").cast("decimal(12,6)").cast("string")
-    stripped = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(power.between(-4, 2), stripped(plain)).otherwise(F.concat(stripped(F.get(parts, F.lit(0))), F.lit("e"), F.get(parts, F.lit(1))))
+    """A number with three significant digits, as ``{:.3g}`` writes it: plain from 1e-4 to below 1000, else with an exponent; no zeros at the end.
+
+    The number's exact binary value is rounded, ties to the even digit. Spark's own formatting rounds its shortest decimal text, ties up.
+    """
+    return F.udf(_three_digits, "string")(value.cast("double"))
 
 
 def plot_table(values: DataFrame, labels: list[str], first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
