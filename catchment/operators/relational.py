@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catchment.operators.iterate import cut
+
 # Predicates
 
 
@@ -219,3 +221,19 @@ def soil_layers(wanted: DataFrame, soils: DataFrame, layers: DataFrame, option:
     own = layers.join(found.select("soil_id").distinct(), "soil_id", "left_semi")
     placed = own.withColumn("place", F.row_number().over(Window.partitionBy("soil_id").orderBy("layer_num")))
     return found.join(placed, "soil_id").select(*keys, "soil_id", "place", *[x for x in layers.columns if x != "soil_id"])
+
+
+def pairs_below(low: DataFrame, high: DataFrame) -> DataFrame:
+    """n: the number of pairs of a value of ``low`` below a value of ``high`` (tables of one column ``value``); nulls make no pair.
+
+    Values are counted on both sides and dealt by ranges. A range's running count of low values begins
+    after those of the ranges before it, so no pair is made and no task holds all values.
+    """
+    counted = low.select("value", F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(high.select("value", F.lit(0).alias("below"), F.lit(1).alias("above")))
+    counted = counted.where("value is not null").groupBy("value").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
+    dealt = cut(counted.repartitionByRange("value").withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("_part").agg(F.sum("below").alias("_n"))
+    starts = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    before = F.sum("below").over(Window.partitionBy("_part").orderBy("value")) - F.col("below")
+    placed = dealt.withColumn("_before", before).join(F.broadcast(starts), "_part")
+    return placed.agg(F.coalesce(F.sum(F.col("above") * (F.col("_start") + F.col("_before"))), F.lit(0)).cast("long").alias("n"))

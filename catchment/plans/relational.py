@@ -79,7 +79,10 @@ query("prj_35", "SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discoun
 
 # Joins
 
-query("jn_1", "SELECT CAST(count(*) AS BIGINT) AS n FROM supplier JOIN part ON s_suppkey < p_partkey AND p_size > s_suppkey")(lambda t: t.supplier.join(t.part, (c("s_suppkey") < c("p_partkey")) & (c("p_size") > c("s_suppkey"))).agg(F.count("*").alias("n")))
+query("jn_1", "SELECT CAST(count(*) AS BIGINT) AS n FROM supplier JOIN part ON s_suppkey < p_partkey AND p_size > s_suppkey")(
+    # Below both, where neither is null, is below the lesser.
+    lambda t: rel.pairs_below(t.supplier.select(c("s_suppkey").alias("value")), t.part.where("p_partkey is not null and p_size is not null").select(F.least("p_partkey", c("p_size").cast("long")).alias("value")))
+)
 for _number, _how, _sql in ((2, "inner", "JOIN"), (3, "left", "LEFT JOIN"), (4, "right", "RIGHT JOIN"), (5, "full", "FULL JOIN")):
     query(f"jn_{_number}", f"SELECT d.doc_id, l.doc_id AS label_id, l.toxic FROM (SELECT * FROM documents WHERE n_chars > 500) d {_sql} labels l ON d.doc_id = l.doc_id")(
         lambda t, how=_how: t.documents.where("n_chars > 500").alias("d").join(t.labels.alias("l"), c("d.doc_id") == c("l.doc_id"), how).select("d.doc_id", c("l.doc_id").alias("label_id"), "l.toxic")

@@ -20,3 +20,14 @@ def test_three_digits_of_ties(spark):
     numbers = [1845.0, 1855.0, 1885.0, 0.0004995, 0.0005005, 2.675, 1.005, 0.125, 0.0625, 12.25, 100.5, 101.5, -1845.0]
     table = spark.createDataFrame([(x,) for x in numbers], "x double")
     assert [r[0] for r in table.select(writers.three_digits(F.col("x"))).collect()] == [f"{x:.3g}" for x in numbers]
+
+
+def test_pairs_below(spark):
+    from catchment.operators import relational
+
+    low, high = [None, 3, 3, 7, -2, 40, 12, 12], [3, 4, None, 4, 12, 41, -2, 0]
+    table = lambda values: spark.createDataFrame([(x,) for x in values], "value long")
+    got = relational.pairs_below(table(low), table(high))
+    assert got.collect()[0]["n"] == sum(a < b for a in low for b in high if a is not None and b is not None)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert relational.pairs_below(table(low).limit(0), table(high)).collect()[0]["n"] == 0
