@@ -36,53 +36,59 @@ def nearest(points: DataFrame, stations: DataFrame, weighted: bool = False, limi
     """
     points = _placed(points, "x", "y")
     stations = cut(_placed(stations.where("station is not null"), "sx", "sy").groupBy("sx", "sy").agg(F.min("station").alias("station")))
-    d2 = distance2(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"), weighted)
     if stations.count() <= small:
-        found = _best(points.crossJoin(F.broadcast(stations)).withColumn("d2", d2))
+        found = _best(points.crossJoin(F.broadcast(stations.agg(F.collect_list(F.struct("sx", "sy", "station")).alias("near")))), weighted)
     else:
-        found = _by_cells(points, stations, d2, weighted)
+        found = _by_cells(points, stations, weighted)
     return found.where(F.col("d2") <= limit * limit) if limit is not None else found
 
 
 def nearest_of_list(points: DataFrame, listed: DataFrame, by: str) -> DataFrame:
     """id, station, d2: the nearest of each point's own list (column ``by`` of both tables); ties go to the smallest station.
 
-    Every pair in a list is compared, as that is what is asked for; rows without a finite place are left out.
+    A list is sought by cells, as all stations are in ``nearest``; rows without a finite place are left out.
     """
-    d2 = distance2(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"), False)
-    return _best(_placed(points, "x", "y").join(_placed(listed, "sx", "sy"), by).withColumn("d2", d2))
+    stations = _placed(listed.where("station is not null"), "sx", "sy").groupBy(by, "sx", "sy").agg(F.min("station").alias("station"))
+    return _by_cells(_placed(points, "x", "y"), cut(stations), False, (by,))
 
 
-def _best(joined: DataFrame) -> DataFrame:
-    return joined.groupBy("id").agg(F.min_by("station", F.struct(F.col("d2"), F.col("station"))).alias("station"), F.min("d2").alias("d2"))
+def _best(met: DataFrame, weighted: bool, *more: str) -> DataFrame:
+    """id, station, d2 and the least of each of ``more``: the nearest of the stations in the arrays ``near``, an array at a time."""
+    far = F.transform("near", lambda s: F.struct(distance2(F.col("x"), F.col("y"), s["sx"], s["sy"], weighted).alias("d2"), s["station"].alias("station")))
+    rows = met.select("id", F.array_min(far).alias("best"), *more).where("best is not null")
+    return rows.groupBy("id").agg(F.min("best").alias("best"), *[F.min(x).alias(x) for x in more]).select("id", "best.station", "best.d2", *more)
 
 
-def _by_cells(points: DataFrame, stations: DataFrame, d2: Column, weighted: bool) -> DataFrame:
+def _by_cells(points: DataFrame, stations: DataFrame, weighted: bool, by: tuple[str, ...] = ()) -> DataFrame:
     box = stations.agg(F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1")).first()
     width = max(float(box["x1"] or 0) - float(box["x0"] or 0), float(box["y1"] or 0) - float(box["y0"] or 0), 1e-9)
     cell = lambda c, low, size: F.floor((F.col(c) - F.lit(float(low or 0))) / size).cast("long")
+
+    def fullest(size):
+        cells = stations.groupBy(*by, cell("sx", box["x0"], size).alias("cx"), cell("sy", box["y0"], size).alias("cy")).count()
+        return cells.agg(F.max("count")).first()[0] or 0
+
     level = 0
-    while level < HALVINGS:
-        size = width / 2**level
-        cells = stations.groupBy(cell("sx", box["x0"], size).alias("cx"), cell("sy", box["y0"], size).alias("cy")).count()
-        if (cells.agg(F.max("count")).first()[0] or 0) <= FULL:
-            break
+    while (most := fullest(width / 2**level)) > FULL and level < HALVINGS:
         level += 1
     # Points outside the stations' box are sought from its edge: no station is nearer than that way.
     edge = lambda c, a, b: F.least(F.greatest(F.col(c), F.lit(float(a or 0))), F.lit(float(b or 0)))
-    todo = points.select("id", "x", "y", edge("x", box["x0"], box["x1"]).alias("qx"), edge("y", box["y0"], box["y1"]).alias("qy"))
+    todo = points.select("id", *by, "x", "y", edge("x", box["x0"], box["x1"]).alias("qx"), edge("y", box["y0"], box["y1"]).alias("qy"))
     todo = cut(todo.withColumn("off", distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"), weighted)))
     scale = F.least(F.lit(1.0), F.pow(F.cos(F.radians("y")), 2)) if weighted else F.lit(1.0)
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     done = None
     while True:
         size = width / 2**level
-        rows = todo.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        rows = rows.select("id", "x", "y", "off", (cell("qx", box["x0"], size) + F.col("dx")).alias("cx"), (cell("qy", box["y0"], size) + F.col("dy")).alias("cy"))
-        own = stations.withColumn("cx", cell("sx", box["x0"], size)).withColumn("cy", cell("sy", box["y0"], size))
-        met = rows.join(own, ["cx", "cy"]).withColumn("d2", d2).withColumn("sure", F.col("off") + scale * size * size)
+        rows = todo.withColumn("cx", cell("qx", box["x0"], size)).withColumn("cy", cell("qy", box["y0"], size))
+        own = stations.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
+        own = own.select(*by, "sx", "sy", "station", (cell("sx", box["x0"], size) + F.col("dx")).alias("cx"), (cell("sy", box["y0"], size) + F.col("dy")).alias("cy"))
+        # A point meets arrays of the stations around, of FULL on average or all of a few; a crowded cell has several.
+        own = own.withColumn("tile", F.pmod(F.xxhash64("sx", "sy"), F.lit(-(-most // FULL))))
+        own = own.groupBy(*by, "cx", "cy", "tile").agg(F.collect_list(F.struct("sx", "sy", "station")).alias("near")).drop("tile")
+        met = rows.join(own, [*by, "cx", "cy"]).withColumn("sure", F.col("off") + scale * size * size)
         # All that isn't met lies over a cell away from where the search began.
-        found = met.groupBy("id").agg(F.min_by("station", F.struct(F.col("d2"), F.col("station"))).alias("station"), F.min("d2").alias("d2"), F.min("sure").alias("sure"))
+        found = _best(met, weighted, "sure")
         found = cut((found if level == 0 else found.where("d2 < sure")).select("id", "station", "d2"))
         done = found if done is None else done.unionByName(found)
         if level == 0:
@@ -91,3 +97,4 @@ def _by_cells(points: DataFrame, stations: DataFrame, d2: Column, weighted: bool
         if todo.isEmpty():
             return done
         level -= 1
+        most = fullest(width / 2**level)

@@ -31,3 +31,29 @@ def test_pairs_below(spark):
     assert got.collect()[0]["n"] == sum(a < b for a in low for b in high if a is not None and b is not None)
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
     assert relational.pairs_below(table(low).limit(0), table(high)).collect()[0]["n"] == 0
+
+
+def test_nearest_of_list_by_cells(spark):
+    import random
+
+    from catchment.operators import nearest
+
+    rng = random.Random(5)
+    points = [(k, rng.uniform(-2, 2), rng.uniform(-2, 2), k % 4 if k % 9 else None) for k in range(300)]
+    listed = [(k, round(rng.uniform(-1, 1), 2), round(rng.uniform(-1, 1), 1), k % 3) for k in range(400)] + [(900, 50.0, 50.0, 7), (901, None, 1.0, 0)]
+    want = {}
+    for k, x, y, g in points:
+        near = [((x - a) ** 2 + (y - b) ** 2, s) for s, a, b, h in listed if h == g and a is not None and g is not None]
+        if near:
+            want[k] = min(near)[1]
+    got = nearest.nearest_of_list(spark.createDataFrame(points, "id int, x double, y double, g int"), spark.createDataFrame(listed, "station int, sx double, sy double, g int"), "g")
+    assert {r["id"]: r["station"] for r in got.collect()} == want
+
+
+def test_nearest_meets_arrays(spark):
+    """No row for each pair of point and station is made and sorted: an array of stations a row."""
+    from catchment.operators.nearest import nearest
+
+    points = spark.range(50).select("id", (F.col("id") / 50).alias("x"), (F.col("id") % 7 / 7).alias("y"))
+    stations = spark.range(40).select(F.col("id").alias("station"), (F.col("id") / 40).alias("sx"), (F.col("id") % 3 / 3).alias("sy"))
+    assert "array_min" in nearest(points, stations)._jdf.queryExecution().toString()
