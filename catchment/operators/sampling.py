@@ -6,6 +6,8 @@ a lost task redraws the same numbers, and other engines can.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -165,10 +167,24 @@ def sobol_directions(dimension: int) -> list[int]:
 
 def sobol(index: Column, dimension: int) -> Column:
     """A point's coordinate in [0, 1); points come in the order of the Gray code of their index."""
+    return _combined(index, [F.lit(v).cast("long") for v in sobol_directions(dimension)])
+
+
+def sobol_points(points: DataFrame, index: str, dimensions: int) -> DataFrame:
+    """``points`` with dimension and u: a row for each of the first ``dimensions`` coordinates of the point at ``index``.
+
+    The directions' numbers are a column, so that one expression serves all dimensions.
+    """
+    numbers = F.array(*[F.array(*[F.lit(v).cast("long") for v in sobol_directions(k)]) for k in range(dimensions)])
+    rows = points.select("*", F.posexplode(numbers).alias("dimension", "_numbers"))
+    return rows.withColumn("u", _combined(F.col(index), [F.col("_numbers")[k] for k in range(SOBOL_BITS)])).drop("_numbers")
+
+
+def _combined(index: Column, numbers: list[Column]) -> Column:
+    """The numbers of the bits that are set in the Gray code of ``index``, combined, in [0, 1)."""
     gray = index.bitwiseXOR(F.shiftright(index, 1))
-    numbers = F.expr("array(" + ", ".join(f"{v}L" for v in sobol_directions(dimension)) + ")")
-    used = F.transform(numbers, lambda v, k: F.call_function("shiftright", gray, k).bitwiseAND(1) * v)
-    return F.aggregate(used, F.lit(0).cast("long"), lambda out, v: out.bitwiseXOR(v)) / float(1 << SOBOL_BITS)
+    used = [F.shiftright(gray, k).bitwiseAND(1) * v for k, v in enumerate(numbers)]
+    return reduce(lambda out, v: out.bitwiseXOR(v), used) / float(1 << SOBOL_BITS)
 
 
 def sobol_sample(spark: SparkSession, n: int, params: list[tuple[str, float, float]], start: int = 1) -> DataFrame:
@@ -199,21 +215,43 @@ def one_at_a_time(base: DataFrame, factor: float) -> DataFrame:
     return rows.select("run", "step", "param", F.when(F.col("step") >= F.col("place"), F.col("value") * (1 + factor)).otherwise(F.col("value")).alias("value"))
 
 
+def steps_of_runs(runs: DataFrame, names: list[str], factor: float) -> DataFrame:
+    """run, step, param, base, ``names``, before: the steps of ``one_at_a_time`` in wide form, with no shuffle.
+
+    ``runs`` has a row a run with a column for each of ``names``, which are changed in that order. Step j
+    changes ``param``, whose value was ``base``; ``before`` holds the columns at the step before (null at step 0).
+    """
+    at = lambda j: [(F.col(x) * (1 + factor) if k < j else F.col(x)).alias(x) for k, x in enumerate(names)]
+    none = F.lit(None).cast("double")
+    rows = [
+        F.struct(
+            F.lit(j).alias("step"), F.lit(names[j - 1] if j else "-").alias("param"), (F.col(names[j - 1]) if j else none).cast("double").alias("base"), *at(j),
+            F.struct(*(at(j - 1) if j else [none.alias(x) for x in names])).alias("before"),
+        )
+        for j in range(len(names) + 1)
+    ]
+    return runs.select("run", F.inline(F.array(*rows)))
+
+
+def _before(outputs: DataFrame) -> Column:
+    """y at the step before: the column ``before`` where there is one, else sought in the run."""
+    return F.col("before") if "before" in outputs.columns else F.lag("y").over(Window.partitionBy("run").orderBy("step"))
+
+
 def elementary_effects(outputs: DataFrame, delta: float) -> DataFrame:
-    """param, mu, mu_star, sigma from outputs (run, step, param, y): step's change over the step before."""
-    before = F.lag("y").over(Window.partitionBy("run").orderBy("step"))
-    effects = outputs.withColumn("effect", (F.col("y") - before) / delta).where("step > 0")
+    """param, mu, mu_star, sigma from outputs (run, step, param, y[, before]): step's change over the step before."""
+    effects = outputs.withColumn("effect", (F.col("y") - _before(outputs)) / delta).where("step > 0")
     return effects.groupBy("param").agg(F.avg("effect").alias("mu"), F.avg(F.abs("effect")).alias("mu_star"), F.stddev_samp("effect").alias("sigma"))
 
 
 def perturbation_sensitivities(outputs: DataFrame, factor: float) -> DataFrame:
-    """param, cas, ctrs, pe: mean sensitivities over the base runs, from outputs (run, step, param, base, y).
+    """param, cas, ctrs, pe: mean sensitivities over the base runs, from outputs (run, step, param, base, y[, before]).
 
     Each step changes one parameter of value ``base`` by ``factor``. cas is the change of y for a
     unit of the parameter, ctrs the same relative to parameter and mean output, pe the absolute
     change in per cent of the mean output for the factor. Where a divisor is 0 the run doesn't count.
     """
-    before = F.lag("y").over(Window.partitionBy("run").orderBy("step"))
+    before = _before(outputs)
     rows = outputs.withColumn("change", F.col("y") - before).withColumn("mean", (F.col("y") + before) / 2).where("step > 0")
     cas = F.try_divide(F.col("change"), factor * F.col("base"))
     return rows.groupBy("param").agg(F.avg(cas).alias("cas"), F.avg(F.try_divide(cas * F.col("base"), F.col("mean"))).alias("ctrs"), F.avg(F.abs(F.try_divide(100 * F.col("change"), F.col("mean")) / factor)).alias("pe"))

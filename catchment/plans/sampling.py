@@ -94,11 +94,10 @@ query("sa_17", f"WITH {_STEPS} SELECT run, step, param, round(value, 8) AS value
 
 
 def _outputs(t):
-    """y = a * b + d * d at each step, the parameter that the step changed, and its value before."""
-    wide = sa.one_at_a_time(_base(t), 0.1).groupBy("run", "step").pivot("param", ["a", "b", "d"]).agg(F.first("value"))
-    changed = F.element_at(F.array(F.lit("-"), F.lit("a"), F.lit("b"), F.lit("d")), c("step") + 1)
-    base = F.when(c("step") == 1, c("a") / 1.1).when(c("step") == 2, c("b") / 1.1).when(c("step") == 3, c("d") / 1.1)
-    return wide.select("run", "step", changed.alias("param"), base.alias("base"), (c("a") * c("b") + c("d") * c("d")).alias("y"))
+    """y = a * b + d * d at each step and at the one before, the parameter that the step changed, and its value before."""
+    o = t.orders.select(c("o_orderkey").alias("run"), (c("o_totalprice") / 1000).alias("a"), (c("o_custkey") % 17 + 1.0).alias("b"), (c("o_orderkey") % 5 + 1.0).alias("d"))
+    y = lambda at: at("a") * at("b") + at("d") * at("d")
+    return sa.steps_of_runs(o, ["a", "b", "d"], 0.1).select("run", "step", "param", "base", y(c).alias("y"), y(lambda x: c(f"before.{x}")).alias("before"))
 
 
 _WIDE = "w AS (SELECT run, step, max(value) FILTER (WHERE param = 'a') AS a, max(value) FILTER (WHERE param = 'b') AS b, max(value) FILTER (WHERE param = 'd') AS d FROM s GROUP BY 1, 2), y AS (SELECT *, a * b + d * d AS y, lag(a * b + d * d) OVER (PARTITION BY run ORDER BY step) AS y0 FROM w)"

@@ -57,3 +57,17 @@ def test_nearest_meets_arrays(spark):
     points = spark.range(50).select("id", (F.col("id") / 50).alias("x"), (F.col("id") % 7 / 7).alias("y"))
     stations = spark.range(40).select(F.col("id").alias("station"), (F.col("id") / 40).alias("sx"), (F.col("id") % 3 / 3).alias("sy"))
     assert "array_min" in nearest(points, stations)._jdf.queryExecution().toString()
+
+
+def test_steps_in_wide_form(spark):
+    from catchment.operators import sampling as sa
+
+    runs = spark.createDataFrame([(1, 2.0, 3.0), (2, -1.0, None), (3, 0.5, 8.0)], "run int, a double, b double")
+    wide = sa.steps_of_runs(runs, ["a", "b"], 0.1)
+    got = sorted((r["run"], r["step"], p, r[p]) for r in wide.collect() for p in "ab")
+    want = sorted((r["run"], r["step"], r["param"], r["value"]) for r in sa.one_at_a_time(runs.unpivot("run", ["a", "b"], "param", "value"), 0.1).collect())
+    assert got == want
+    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+    outputs = wide.selectExpr("run", "step", "param", "base", "a * b as y", "before.a * before.b as before")
+    for effects in (sa.elementary_effects, sa.perturbation_sensitivities):
+        assert sorted(map(str, effects(outputs, 0.1).collect())) == sorted(map(str, effects(outputs.drop("before"), 0.1).collect()))
