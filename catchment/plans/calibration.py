@@ -41,7 +41,7 @@ def _sobol_sql(dimensions):
 
 
 query("sa_5", f"SELECT i, CAST(d AS INT) AS dimension, {_SOBOL} / 1073741824 AS u FROM (SELECT p_partkey AS i FROM part), (VALUES {_sobol_sql(40)}) z(d, v)")(
-    lambda t: t.part.select(c("p_partkey").alias("i"), F.posexplode(F.array(*[sampling.sobol(c("p_partkey"), k) for k in range(40)])).alias("dimension", "u"))
+    lambda t: sampling.sobol_points(t.part.select(c("p_partkey").alias("i")), "i", 40)
 )
 query("sa_27", "SELECT i - 1 AS run, param, low + (high - low) * " + _SOBOL + f" / 1073741824 AS value FROM range(1, 257) r(i), (VALUES {_sobol_sql(3)}) z(d, v) JOIN (VALUES (0, 'cn2', 35.0, 95.0), (1, 'esco', 0.0, 1.0), (2, 'awc', -0.25, 0.25)) p(d, param, low, high) USING (d)")(lambda t: sampling.sobol_sample(t.spark, 256, PARAMS))
 query("sa_19", "SELECT round(regr_r2(y, x), 6) AS r2, round(corr(x, y), 6) AS src FROM (SELECT ln(o_totalprice) AS y, o_custkey AS x FROM orders)")(

@@ -71,3 +71,12 @@ def test_steps_in_wide_form(spark):
     outputs = wide.selectExpr("run", "step", "param", "base", "a * b as y", "before.a * before.b as before")
     for effects in (sa.elementary_effects, sa.perturbation_sensitivities):
         assert sorted(map(str, effects(outputs, 0.1).collect())) == sorted(map(str, effects(outputs.drop("before"), 0.1).collect()))
+
+
+def test_sobol_points(spark):
+    from catchment.operators import sampling
+
+    long = {(r["id"], r["dimension"]): r["u"] for r in sampling.sobol_points(spark.range(70), "id", 40).collect()}
+    wide = spark.range(70).select("id", *[sampling.sobol(F.col("id"), k).alias(str(k)) for k in range(40)]).collect()
+    assert long == {(r["id"], k): r[str(k)] for r in wide for k in range(40)}
+    assert "lambda" not in sampling.sobol_points(spark.range(70), "id", 40)._jdf.queryExecution().optimizedPlan().toString()
