@@ -12,6 +12,7 @@ are the logarithm of the number of nodes.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,12 @@ def closure(edges: DataFrame, node: str = "node", down: str = "down") -> DataFra
     """node, down, depth: every node reachable downstream, with the least number of steps.
 
     Null ends are outlets and lead nowhere. Loops end when no shorter way or new pair turns up; a
-    node in a loop reaches itself.
+    node in a loop reaches itself. Where each node has one way down and none is in a loop, whole ways are
+    doubled and then taken apart, so a pair is made once; else pairs are, until no round finds more.
     """
+    ways = _trails(edges, node, down)
+    if ways is not None:
+        return ways.select("node", F.posexplode("trail").alias("depth", "down")).select("node", "down", (F.col("depth") + 1).alias("depth"))
     reach = edges.where(F.col(down).isNotNull()).select(F.col(node).alias("node"), F.col(down).alias("down")).distinct()
     reach = cut(reach.withColumn("depth", F.lit(1)))
     size = reach.count()
@@ -45,14 +50,45 @@ def _ways(edges: DataFrame, node: str = "node", down: str = "down") -> tuple[Dat
     return ways, row["edges"] or 0, (row["most"] or 0) <= 1
 
 
+def _trails(edges: DataFrame, node: str = "node", down: str = "down") -> DataFrame | None:
+    """node, trail: the nodes below each, in order; None where a node has several ways down, is null or drains into a loop.
+
+    A node's trail goes on with that of its last node, so lengths double. Those that have ended are set aside
+    and only read; loops are looked for first, without trails.
+    """
+    if not edges.where(F.col(node).isNull() & F.col(down).isNotNull()).isEmpty():
+        return None
+    ways, count, single = _ways(edges, node, down)
+    if not single:
+        return None
+    going = ways.select("node", F.col("down").alias("jump"))
+    for _ in range(_rounds(count)):
+        if going.isEmpty():
+            break
+        going = cut(going.join(going.select(F.col("node").alias("jump"), F.col("jump").alias("_jump")), "jump").select("node", F.col("_jump").alias("jump")))
+    if not going.isEmpty():
+        return None
+    state, ended = ways.select("node", F.col("down").alias("jump"), F.array("down").alias("trail")), []
+    while not (going := state.where("jump is not null")).isEmpty():
+        ahead = reduce(DataFrame.unionByName, [*ended, state]).select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("trail").alias("_trail"))
+        longer = F.when(F.col("_trail").isNull(), F.col("trail")).otherwise(F.concat("trail", "_trail"))
+        ended.append(state.where("jump is null"))
+        state = cut(going.join(ahead, "jump", "left").select("node", F.col("_jump").alias("jump"), longer.alias("trail")))
+    return reduce(DataFrame.unionByName, [*ended, state]).select("node", "trail")
+
+
 def _rounds(nodes: int) -> int:
     """Doublings after which every way of at most ``nodes`` steps has ended."""
     return max(1, nodes).bit_length() + 1
 
 
-def _jumped(state: DataFrame, onward: dict[str, Column]) -> DataFrame:
-    """``state`` (node, jump, ...) after the jump's own jump; ``onward`` gives its other columns, those of the jump as ``_name``."""
-    ahead = state.select(*[F.col(x).alias("jump" if x == "node" else f"_{x}") for x in state.columns])
+def _jumped(state: DataFrame, onward: dict[str, Column], everyone: DataFrame | None = None) -> DataFrame:
+    """``state`` (node, jump, ...) after the jump's own jump; ``onward`` gives its other columns, those of the jump as ``_name``.
+
+    ``everyone``: the rows that jumps may lead to, if these are more than ``state``.
+    """
+    ahead = state if everyone is None else everyone
+    ahead = ahead.select(*[F.col(x).alias("jump" if x == "node" else f"_{x}") for x in state.columns])
     return state.join(ahead, "jump", "left").select("node", F.col("_jump").alias("jump"), *[x.alias(name) for name, x in onward.items()])
 
 
@@ -86,12 +122,17 @@ def descend(edges: DataFrame, stop: Callable[[Column], Column] | None = None, le
         state = state.withColumn("length", F.lit(0))
     halt = stop(F.col("down")) if stop else F.lit(False)
     state = cut(state.select("node", F.when(~halt, F.col("down")).alias("jump"), F.col("down").alias("target"), F.lit(1).alias("steps"), F.coalesce("length", F.lit(0)).alias("length")))
+    # Ways that have ended are set aside: their null jumps would all meet in one task.
+    ended = []
     for _ in range(_rounds(count)):
-        if state.where("jump is not null").isEmpty():
+        going = state.where("jump is not null")
+        if going.isEmpty():
             break
         more = {"target": F.coalesce("_target", "target"), "steps": F.col("steps") + F.coalesce("_steps", F.lit(0)), "length": F.col("length") + F.coalesce("_length", F.lit(0))}
-        state = cut(_jumped(state, more))
-    found = state.where("jump is null").drop("jump")
+        everyone = reduce(DataFrame.unionByName, [*ended, state])
+        ended.append(state.where("jump is null"))
+        state = cut(_jumped(going, more, everyone))
+    found = reduce(DataFrame.unionByName, [*ended, state.where("jump is null")]).drop("jump")
     return found.where(stop(F.col("target"))) if stop else found
 
 
@@ -112,9 +153,11 @@ def upstream(edges: DataFrame, own: DataFrame, values: list[str]) -> DataFrame:
             break
         # What lies 2^k steps above, with all that it has gathered so far.
         gained = state.where("jump is not null").groupBy(F.col("jump").alias("node")).agg(*[F.sum(v).alias(f"_{v}") for v in values], (F.max("depth") + 2**k).alias("_depth"))
-        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"))
+        # Null jumps stay out of the join, where they would all meet in one task.
+        going = state.where("jump is not null").select("node", "jump")
+        onward = going.join(going.select(F.col("node").alias("jump"), F.col("jump").alias("_jump")), "jump").select("node", "_jump")
         sums = [(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values]
-        state = cut(state.join(gained, "node", "left").join(ahead, "jump", "left").select("node", F.col("_jump").alias("jump"), *sums, F.greatest("depth", "_depth").alias("depth")))
+        state = cut(state.join(gained, "node", "left").join(onward, "node", "left").select("node", F.col("_jump").alias("jump"), *sums, F.greatest("depth", "_depth").alias("depth")))
     ring = state.where("jump is not null").select(F.col("jump").alias("node"), F.lit(True).alias("ring")).distinct()
     state = state.join(ring, "node", "left")
     return state.select("node", *[F.when(F.col("ring").isNull(), F.col(v)).alias(v) for v in [*values, "depth"]])
@@ -149,10 +192,12 @@ def strahler(edges: DataFrame) -> DataFrame:
 
 def paths(edges: DataFrame) -> DataFrame:
     """node, path: the nodes from each node down to its outlet, itself first."""
-    reach = closure(edges)
-    below = reach.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("depth", "down"))).alias("below"))
+    below = _trails(edges)
+    if below is None:
+        below = closure(edges).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("depth", "down"))).alias("below"))
+        below = below.select("node", F.transform("below", lambda x: x["down"]).alias("trail"))
     nodes = edges.select("node").union(edges.where("down is not null").select(F.col("down").alias("node"))).distinct()
-    rest = F.coalesce(F.transform("below", lambda x: x["down"]), F.expr("array()").cast("array<long>"))
+    rest = F.coalesce(F.col("trail").cast("array<long>"), F.expr("array()").cast("array<long>"))
     return nodes.join(below, "node", "left").select("node", F.concat(F.array(F.col("node").cast("long")), rest).alias("path"))
 
 

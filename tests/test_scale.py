@@ -80,3 +80,32 @@ def test_sobol_points(spark):
     wide = spark.range(70).select("id", *[sampling.sobol(F.col("id"), k).alias(str(k)) for k in range(40)]).collect()
     assert long == {(r["id"], k): r[str(k)] for r in wide for k in range(40)}
     assert "lambda" not in sampling.sobol_points(spark.range(70), "id", 40)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _forest(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    return [(k, rng.randrange(max(0, k - 6), k) if rng.random() < 0.97 else None) for k in range(1, n)]
+
+
+def test_trails(spark):
+    from catchment.operators import network
+
+    rows = _forest(3, 300)
+    below = {k: d for k, d in rows if d is not None}
+
+    def way(k):
+        out = [k]
+        while out[-1] in below:
+            out.append(below[out[-1]])
+        return out
+
+    table = spark.createDataFrame(rows, "node long, down long")
+    nodes = {k for k, _ in rows} | {d for _, d in rows if d is not None}
+    assert {r["node"]: r["path"] for r in network.paths(table).collect()} == {k: way(k) for k in nodes}
+    reach = network.closure(table)
+    assert sorted(map(tuple, reach.collect())) == sorted((k, d, n) for k in nodes for n, d in enumerate(way(k)) if n)
+    assert "Aggregate" not in reach._jdf.queryExecution().optimizedPlan().toString()
+    ring = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "node long, down long")
+    assert sorted(map(tuple, network.closure(ring).collect())) == [(1, 1, 2), (1, 2, 1), (2, 1, 1), (2, 2, 2), (3, 1, 1), (3, 2, 2)]
