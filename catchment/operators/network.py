@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from catchment.operators.iterate import cut
 
+#: Rows up to which a table may be sent to every task.
+FEW = 100_000
+
 
 def closure(edges: DataFrame, node: str = "node", down: str = "down") -> DataFrame:
     """node, down, depth: every node reachable downstream, with the least number of steps.
@@ -175,19 +178,32 @@ def strahler(edges: DataFrame) -> DataFrame:
     Orders settle from the sources down, so there are as many rounds as the network has levels.
     """
     nodes = edges.select("node").union(edges.where("down is not null").select(F.col("down").alias("node"))).distinct()
-    links = edges.where("down is not null").select("node", "down").distinct()
-    sources = nodes.join(links.select(F.col("down").alias("node")), "node", "left_anti")
-    done = cut(sources.withColumn("strahler", F.lit(1)))
-    need = cut(links.groupBy(F.col("down").alias("node")).agg(F.count("*").alias("need")))
-    while True:
-        above = links.join(done, "node").select(F.col("down").alias("node"), "strahler")
-        top = above.groupBy("node", "strahler").agg(F.count("*").alias("same"))
-        top = top.groupBy("node").agg(F.sum("same").alias("have"), F.max(F.struct("strahler", "same")).alias("top"))
-        ready = top.join(need, "node").where("have = need").join(done, "node", "left_anti")
-        new = cut(ready.select("node", (F.col("top.strahler") + F.when(F.col("top.same") > 1, 1).otherwise(0)).alias("strahler")))
-        if new.isEmpty():
-            return done
-        done = cut(done.unionByName(new))
+    links = cut(edges.where("down is not null").select("node", "down").distinct())
+    sources = nodes.join(links.select(F.col("down").alias("node")).hint("merge"), "node", "left_anti")
+    need = links.groupBy(F.col("down").alias("below")).agg(F.count("*").alias("need"))
+    links = cut(links.join(need.hint("merge"), F.col("down") == F.col("below")).select("node", "down", "need"))
+    new = cut(sources.withColumn("strahler", F.lit(1)))
+    done, waiting, rounds = [new], None, 0
+    while size := new.count():
+        # Few rows may be broadcast; a table of many is small only as a file.
+        given = links.join(new if size <= FEW else new.hint("merge"), "node")
+        given = given.groupBy(F.col("down").alias("node"), "need", "strahler").agg(F.count("*").alias("same"))
+        # An order and whether one link has it or several, as one number.
+        code = F.max(F.col("strahler").cast("long") * 4 + F.least("same", F.lit(2)))
+        given = given.groupBy("node", "need").agg(F.sum("same").alias("have"), code.alias("top"))
+        if waiting is not None:
+            before = waiting.select("node", F.col("need").alias("_need"), F.col("have").alias("_have"), F.col("top").alias("_top"))
+            order = lambda top: F.floor(F.col(top) / 4)
+            both = F.when(order("top") == order("_top"), order("top") * 4 + 2).otherwise(F.greatest("top", "_top"))
+            given = given.join(before, "node", "full").select("node", F.coalesce("need", "_need").alias("need"), (F.coalesce("have", F.lit(0)) + F.coalesce("_have", F.lit(0))).alias("have"), F.coalesce(both, "top", "_top").alias("top"))
+        given = cut(given)
+        new = given.where("have = need").select("node", (F.floor(F.col("top") / 4) + F.when(F.col("top") % 4 > 1, 1).otherwise(0)).cast("int").alias("strahler"))
+        waiting = given.where("have < need")
+        done.append(new)
+        rounds += 1
+        if rounds % 32 == 0:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+    return reduce(DataFrame.unionByName, done)
 
 
 def paths(edges: DataFrame) -> DataFrame:

@@ -109,3 +109,19 @@ def test_trails(spark):
     assert "Aggregate" not in reach._jdf.queryExecution().optimizedPlan().toString()
     ring = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "node long, down long")
     assert sorted(map(tuple, network.closure(ring).collect())) == [(1, 1, 2), (1, 2, 1), (2, 1, 1), (2, 2, 2), (3, 1, 1), (3, 2, 2)]
+
+
+def test_strahler_of_forests(spark):
+    from catchment.operators import network
+
+    rows = _forest(8, 250) + [(1000, 1001), (1001, 1000), (1002, 1000), (5, 3)]
+    links = {(k, d) for k, d in rows if d is not None}
+    nodes = {k for k, _ in rows} | {d for _, d in links}
+    want, left = {}, set(nodes)
+    while ready := {k for k in left if all(u in want for u, d in links if d == k)}:
+        for k in ready:
+            above = sorted((want[u] for u, d in links if d == k), reverse=True)
+            want[k] = 1 if not above else above[0] + (len(above) > 1 and above[0] == above[1])
+        left -= ready
+    got = network.strahler(spark.createDataFrame(rows, "node long, down long"))
+    assert {r["node"]: r["strahler"] for r in got.collect()} == want and dict(got.dtypes)["strahler"] == "int"
