@@ -178,6 +178,18 @@ def fill_pits(cells: DataFrame) -> DataFrame:
     return owned.join(levels.select("basin", "level"), "basin").select("row", "col", "value", F.greatest("value", "level").alias("filled"))
 
 
+def stream_cells(cells: DataFrame, threshold: int) -> DataFrame:
+    """node, down, z, step, area, link, place: the stream cells of ``cells`` (node, down, z, step), in links as ``stream_links`` makes them; area is of all cells that drain through one."""
+    edges = cells.select("node", "down")
+    area = upstream(edges, cells.select("node", F.lit(1).cast("long").alias("area")), ["area"])
+    streams = cut(cells.join(area.where(F.col("area") >= threshold).select("node", "area"), "node"))
+    into = streams.select("node", "down").join(streams.select(F.col("node").alias("down")), "down", "left_semi")
+    gets = into.groupBy(F.col("down").alias("node")).agg(F.count("*").alias("n"), F.min("node").alias("up")).where("n = 1").select("node", "up")
+    # From each cell that continues a link up to the link's start.
+    starts = descend(gets.select("node", F.col("up").alias("down"))).select("node", F.col("target").alias("link"), F.col("steps").alias("place"))
+    return cut(streams.join(starts, "node", "left").select("node", "down", "z", "step", "area", F.coalesce("link", "node").alias("link"), F.coalesce("place", F.lit(0)).alias("place")))
+
+
 def stream_links(cells: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """The stream network of directions: (stream cells, links).
 
@@ -185,15 +197,9 @@ def stream_links(cells: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame
     through it, itself counted. A link begins at a head or a junction and holds the stream cells down to the next one.
     Stream cells: node, link, place (from 0). Links: link, last, down (the next link, null at an outlet), cells, length (to the next link's start),
     drop, strahler. Cells that drain into a loop have no area and are no streams; a missing z gives a null drop.
+    Where only the cells are asked for, ``stream_cells`` spares the orders' rounds.
     """
-    edges = cells.select("node", "down")
-    area = upstream(edges, cells.select("node", F.lit(1).cast("long").alias("area")), ["area"])
-    streams = cut(cells.join(area.where(F.col("area") >= threshold).select("node"), "node"))
-    into = streams.select("node", "down").join(streams.select(F.col("node").alias("down")), "down", "left_semi")
-    gets = into.groupBy(F.col("down").alias("node")).agg(F.count("*").alias("n"), F.min("node").alias("up")).where("n = 1").select("node", "up")
-    # From each cell that continues a link up to the link's start.
-    starts = descend(gets.select("node", F.col("up").alias("down"))).select("node", F.col("target").alias("link"), F.col("steps").alias("place"))
-    members = cut(streams.join(starts, "node", "left").select("node", "down", "z", "step", F.coalesce("link", "node").alias("link"), F.coalesce("place", F.lit(0)).alias("place")))
+    members = stream_cells(cells, threshold)
     ends = members.groupBy("link").agg(
         F.max_by("node", "place").alias("last"), F.max_by("down", "place").alias("_down"), F.count("*").alias("cells"), F.min_by("z", "place").alias("_top"), F.max_by("z", "place").alias("_bottom"),
         F.sum(F.when(F.col("down").isNotNull(), F.col("step"))).alias("length"),

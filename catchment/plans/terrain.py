@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from catchment.operators import lakes, terrain
 from catchment.operators import landunits as lu
-from catchment.operators.iterate import fresh_path
-from catchment.operators.network import upstream
+from catchment.operators.iterate import cut, fresh_path
 from catchment.plans.landunits import GRID, grid
 from catchment.plans.registry import query
 from catchment.sources import raster
@@ -63,7 +62,7 @@ def drained(t):
     ways = lu.downstream_cell(lu.steepest(cells))
     key = terrain.cell_key(c("row"), c("col"))
     ways = ways.select("row", "col", terrain.cell_key(c("down_row"), c("down_col")).alias("down"), F.when((c("row") == c("down_row")) | (c("col") == c("down_col")), 1.0).otherwise(2**0.5).alias("step"))
-    return cells.join(ways, ["row", "col"], "left").select(key.alias("node"), "down", c("value").alias("z"), F.coalesce("step", F.lit(1.0)).alias("step"))
+    return cut(cells.join(ways, ["row", "col"], "left").select(key.alias("node"), "down", c("value").alias("z"), F.coalesce("step", F.lit(1.0)).alias("step")))
 
 
 _DRAINED = f"""g AS MATERIALIZED (SELECT {KEY} AS k, row, col, value FROM {GRID}),
@@ -89,7 +88,7 @@ query(
         JOIN recurring.s y ON y.link = x.link WHERE x.o > y.o)
     SELECT link, last, down, CAST(cells AS BIGINT) AS cells, round(length, 6) AS length, round(drop, 4) AS drop, o AS strahler FROM links JOIN s USING (link)""",
 )(lambda t: terrain.stream_links(drained(t), 3)[1].select("link", "last", "down", "cells", F.round("length", 6).alias("length"), F.round("drop", 4).alias("drop"), "strahler"))
-query("gs_30_cells", f"WITH RECURSIVE {_DRAINED} SELECT node, link, place FROM m")(lambda t: terrain.stream_links(drained(t), 3)[0])
+query("gs_30_cells", f"WITH RECURSIVE {_DRAINED} SELECT node, link, place FROM m")(lambda t: terrain.stream_cells(drained(t), 3).select("node", "link", "place"))
 
 
 def outlets(t):
@@ -103,7 +102,7 @@ query(
     t(point, node, pos, steps) AS (SELECT point, node, node, 0 FROM o
       UNION ALL SELECT point, t.node, e.down, steps + 1 FROM t JOIN e ON e.node = t.pos WHERE e.down IS NOT NULL AND t.pos NOT IN (SELECT node FROM wet))
     SELECT o.point, o.node, pos AS moved, steps FROM o LEFT JOIN (SELECT point, pos, steps FROM t WHERE pos IN (SELECT node FROM wet)) USING (point)""",
-)(lambda t: terrain.move_to_streams(outlets(t), *(lambda d: (d, terrain.stream_links(d, 3)[0]))(drained(t))))
+)(lambda t: terrain.move_to_streams(outlets(t), *(lambda d: (d, terrain.stream_cells(d, 3)))(drained(t))))
 
 
 def outlined(t):
@@ -140,9 +139,7 @@ def lake_table(t):
 
 def network_with_areas(t):
     """node, down, link, place, z, area: the stream cells with what drains through them."""
-    cells = drained(t)
-    areas = upstream(cells.select("node", "down"), cells.select("node", F.lit(1).cast("long").alias("area")), ["area"]).select("node", "area")
-    return terrain.stream_links(cells, 3)[0].join(cells.select("node", "down", "z"), "node").join(areas, "node")
+    return terrain.stream_cells(drained(t), 3).select("node", "down", "link", "place", "z", "area")
 
 
 _LAKES = f"""{_DRAINED},
@@ -186,7 +183,7 @@ query(
 def channel_basins(t):
     """node, basin: for every cell the link of the first stream cell on its way down."""
     cells = drained(t)
-    wet = terrain.stream_links(cells, 3)[0]
+    wet = terrain.stream_cells(cells, 3)
     moved = terrain.move_to_streams(cells.select(c("node").alias("point"), "node"), cells, wet)
     return moved.join(wet.select(c("node").alias("moved"), c("link").alias("basin")), "moved", "left").select("node", "basin")
 

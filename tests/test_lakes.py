@@ -114,3 +114,14 @@ def test_points_to_the_perimeter(spark):
     points = spark.createDataFrame([(1, 5), (2, 4), (3, 3), (4, 2), (5, 10), (6, None)], "point int, node long")
     got = {r["point"]: (r["lake"], r["moved"], r["found"]) for r in lakes.to_perimeter(points, cells, water, 1).collect()}
     assert got == {1: (1, 5, False), 2: (1, 3, True), 3: (1, 3, True), 4: (None, 2, None), 5: (1, 10, False), 6: (None, None, None)}
+
+
+def test_lake_queries_sum_areas_once(spark, monkeypatch):
+    """What drains through a cell is summed once for links and lakes, and the links' orders, which nobody reads, not at all."""
+    import __spark_entry__ as entry
+    from catchment.operators import terrain
+
+    calls, upstream = [], terrain.upstream
+    monkeypatch.setattr(terrain, "upstream", lambda *a: calls.append("areas") or upstream(*a))
+    monkeypatch.setattr(terrain, "strahler", lambda *a: calls.append("orders"))
+    assert entry.queries()["gs_24"](spark, "/root/testdata/sf0.001").count() > 0 and calls == ["areas"]
