@@ -7,6 +7,8 @@ chains are followed by pointer doubling and graphs are contracted. No raster, ti
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,24 @@ def regions(cells: DataFrame) -> DataFrame:
 SIDES = [((-1, 0), (0, 0), (0, 1)), ((0, 1), (0, 1), (1, 1)), ((1, 0), (1, 1), (1, 0)), ((0, -1), (1, 0), (0, 0))]
 
 
+def _of_side(place: str, part: int) -> Column:
+    """A step of the side of direction ``d``: 0 to the neighbour, 1 to the side's start, 2 to its end."""
+    return F.element_at(F.array(*[F.lit(side[part]["row col".split().index(place)]) for side in SIDES]), F.col("d") + 1)
+
+
+def sides(labelled: DataFrame) -> DataFrame:
+    """region, node, row, col, next_row, next_col: the sides of cells (row, col, region) that border on another region or none, each with its ends, in no order.
+
+    ``node`` is the cell's key times 4 and the side's direction; the cell lies on the right hand.
+    """
+    every = labelled.select("region", "row", "col", F.explode(F.array(*[F.lit(d) for d in range(4)])).alias("d"))
+    every = every.withColumn("_row", F.col("row") + _of_side("row", 0)).withColumn("_col", F.col("col") + _of_side("col", 0))
+    near = labelled.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("region").alias("_region"))
+    border = every.join(near, ["_row", "_col"], "left").where("_region is null or _region <> region")
+    ends = [(F.col(place) + _of_side(place, part)).alias(name + place) for part, name in ((1, ""), (2, "next_")) for place in ("row", "col")]
+    return border.select("region", (cell_key(F.col("row"), F.col("col")) * 4 + F.col("d")).alias("node"), *ends)
+
+
 def outlines(labelled: DataFrame) -> DataFrame:
     """region, ring, place, row, col, next_row, next_col, turn, hole: the lattice points along every ring of every region, in order, each with the one that follows.
 
@@ -89,34 +109,38 @@ def outlines(labelled: DataFrame) -> DataFrame:
     cells of a region touch only by a corner, the ring keeps to the same cell, so outer rings never
     touch themselves; holes that touch by a corner are one ring.
     """
-    side = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(n[0]).alias("nr"), F.lit(n[1]).alias("nc"), F.lit(a[0]).alias("ar"), F.lit(a[1]).alias("ac"), F.lit(b[0]).alias("br"), F.lit(b[1]).alias("bc")) for d, (n, a, b) in enumerate(SIDES)]))
-    sides = labelled.select("row", "col", "region", side.alias("s")).select("region", "row", "col", "s.*")
-    near = labelled.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("region").alias("_region"))
-    open_ = sides.join(near, (F.col("row") + F.col("nr") == F.col("_row")) & (F.col("col") + F.col("nc") == F.col("_col")), "left").where("_region is null or _region <> region")
-    # A side's id: its cell and direction.
-    link = (cell_key(F.col("row"), F.col("col")) * 4 + F.col("d")).alias("node")
-    links = cut(open_.select("region", link, "d", (F.col("row") + F.col("ar")).alias("row"), (F.col("col") + F.col("ac")).alias("col"), (F.col("row") + F.col("br")).alias("end_row"), (F.col("col") + F.col("bc")).alias("end_col")))
-    starts = links.select("region", F.col("row").alias("end_row"), F.col("col").alias("end_col"), F.col("node").alias("down"), F.col("d").alias("_d"))
+    links = cut(sides(labelled))
+    way = lambda node: node.bitwiseAND(3)
+    ends = links.select("region", cell_key(F.col("next_row"), F.col("next_col")).alias("point"), "node")
+    starts = links.select("region", cell_key(F.col("row"), F.col("col")).alias("point"), F.col("node").alias("down"))
     # Right turn (the same cell) before straight on before left turn.
-    bend = F.pmod(F.col("_d") - F.col("d") + 3, F.lit(4))
-    onward = links.join(starts, ["region", "end_row", "end_col"]).withColumn("rank", F.when(bend == 0, 1).when(bend == 3, 2).when(bend == 2, 3))
-    nexts = cut(onward.where("rank is not null").groupBy("node").agg(F.min_by(F.struct("down", "_d", "d"), "rank").alias("n")).select("node", "n.down", (F.col("n._d") != F.col("n.d")).alias("turn")))
-    # The smallest side of each ring: minima over spans of 1, 2, 4, ... sides until they agree with those that follow.
-    state = nexts.select("node", F.col("down").alias("jump"), F.col("node").alias("low"))
-    while True:
-        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"))
-        state = cut(state.join(ahead, "jump").select("node", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low"), (F.col("low") != F.col("_low")).alias("open")))
-        if state.where("open").isEmpty():
-            break
-    rings = state.select("node", F.col("low").alias("ring"))
-    # Rank by doubling: steps to the side before the smallest one, where the ring is cut open.
-    opened = nexts.join(rings, "node").select("node", F.when(F.col("down") != F.col("ring"), F.col("down")).alias("down"))
-    left = descend(opened).select("node", F.col("steps").alias("left"))
+    bend = F.pmod(way(F.col("down")) - way(F.col("node")) + 3, F.lit(4))
+    onward = ends.join(starts, ["region", "point"]).select("node", "down", F.when(bend == 0, 1).when(bend == 3, 2).when(bend == 2, 3).alias("rank"))
+    nexts = cut(onward.where("rank is not null").groupBy("node").agg(F.min_by("down", "rank").alias("down")))
+    # Minima over the 1, 2, 4, ... sides that follow, the side itself not counted, with the steps to the first of them. The smallest side of a ring meets
+    # itself once the spans are as long as the ring; all its sides then know it, and are set aside, so that rounds hold the longer rings only.
+    state = nexts.select("node", F.col("down").alias("jump"), F.col("down").alias("low"), F.lit(1).cast("long").alias("left"))
+    span, closed = 1, []
+    while not state.isEmpty():
+        done = state.where("low = node").select(F.col("node").alias("low"), F.col("left").alias("size"))
+        if span < 4 or done.isEmpty():
+            open_sides = state
+        else:
+            marked = cut(state.join(done, "low", "left"))
+            closed.append(marked.where("size is not null").select("node", F.col("low").alias("ring"), "size", "left"))
+            open_sides = marked.where("size is null").select("node", "jump", "low", "left")
+        ahead = open_sides.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"), F.col("left").alias("_left"))
+        nearer = F.col("low") <= F.col("_low")
+        state = cut(open_sides.join(ahead, "jump").select("node", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low"), F.when(nearer, F.col("left")).otherwise(F.col("_left") + span).alias("left")))
+        span *= 2
+    none = nexts.select("node", F.col("node").alias("ring"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("left")).limit(0)
+    rings = reduce(DataFrame.unionByName, closed) if closed else none
     # A point turns where the side that leads to it and the one that leaves it differ.
-    bends = nexts.select(F.col("down").alias("node"), "turn")
-    placed = links.join(rings, "node").join(left, "node", "left").join(bends, "node").withColumn("left", F.coalesce("left", F.lit(0)))
-    size = placed.groupBy("ring").agg(F.count("*").alias("size"), F.sum(F.col("col") * F.col("end_row") - F.col("end_col") * F.col("row")).alias("twice"))
-    return placed.join(size, "ring").select("region", "ring", (F.col("size") - 1 - F.col("left")).alias("place"), "row", "col", F.col("end_row").alias("next_row"), F.col("end_col").alias("next_col"), "turn", (F.col("twice") < 0).alias("hole"))
+    bends = nexts.select(F.col("down").alias("node"), (way(F.col("node")) != way(F.col("down"))).alias("turn"))
+    # The smallest side of an outer ring is the top of a cell; of a hole, the bottom of one above it.
+    hole = (way(F.col("ring")) != 0).alias("hole")
+    placed = links.join(rings, "node").join(bends, "node")
+    return placed.select("region", "ring", (F.col("size") - F.col("left")).alias("place"), "row", "col", "next_row", "next_col", "turn", hole)
 
 
 def polygons(points: DataFrame) -> DataFrame:

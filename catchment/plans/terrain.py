@@ -106,8 +106,8 @@ query(
 
 
 def outlined(t):
-    """The regions' outlines as sides of polygons."""
-    points = terrain.outlines(terrain.regions(classes(t)).select("row", "col", "region"))
+    """The regions' sides as sides of polygons, which are drawn in any order."""
+    points = terrain.sides(terrain.regions(classes(t)).select("row", "col", "region"))
     ends = {"x1": "col", "y1": "row", "x2": "next_col", "y2": "next_row"}
     return points.select(c("region").alias("polygon"), c("region").alias("value"), *[c(v).cast("double").alias(k) for k, v in ends.items()])
 

@@ -157,3 +157,16 @@ def test_a_long_stream(spark):
     row = links.first()
     assert links.count() == 1 and (row["link"], row["last"], row["cells"], row["length"], row["drop"], row["strahler"]) == (n - 10, 0, n - 9, float(n - 10), float(n - 10), 1)
     assert members.agg(F.max("place")).first()[0] == n - 10
+
+
+def test_rings_are_ranked_with_their_search(spark, monkeypatch):
+    """A ring's smallest side and the steps to it come from the same rounds; drawing needs no rings."""
+    import __spark_entry__ as entry
+
+    followed, descend = [], terrain.descend
+    monkeypatch.setattr(terrain, "descend", lambda edges: followed.append(set(edges.columns)) or descend(edges))
+    grid = {(r, c): 1.0 for r in range(5) for c in range(4) if (r, c) not in ((1, 1), (2, 2))}
+    points = terrain.outlines(table(spark, grid).select("row", "col", F.lit(7).alias("region"))).collect()
+    assert not followed and sorted((p["hole"], p["place"]) for p in points) == [(False, k) for k in range(18)] + [(True, k) for k in range(8)]
+    monkeypatch.setattr(terrain, "outlines", None)
+    assert entry.queries()["snk_31"](spark, "/root/testdata/sf0.001").count() > 0
