@@ -142,3 +142,17 @@ def test_pairs_of_a_key_are_made_last(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "pairs")).count() == 6_000_000
     # A byte a pair would be 6 MB; joined row by row they take over 15.
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 3_000_000
+
+
+def test_runs_of_pairs_end_with_a_byte(spark, tmp_path):
+    """Runs of any length hold all pairs; written, those of a tile that isn't a multiple of 8 long recur as well."""
+    from catchment.operators import relational
+
+    ids = lambda name, n: spark.range(n).select((F.col("id") % 3).alias("k"), F.col("id").alias(name))
+    for n, m in ((1, 1), (20, 21), (50, 24), (60, 3 * 7), (70, 3 * 264), (49, 3 * 521)):
+        got = relational.pairs_of_key(ids("a", n), ids("b", m), "k", "a", "b")
+        assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(n) for b in range(m) if a % 3 == b % 3]
+    one = lambda name, n: spark.range(n).select(F.lit(1).cast("long").alias("k"), (F.col("id") * 7919 % 1000003).alias(name))
+    relational.pairs_of_key(one("a", 4000), one("b", 1003), "k", "a", "b").write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 4000 * 1003
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 500_000
