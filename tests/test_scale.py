@@ -156,3 +156,13 @@ def test_runs_of_pairs_end_with_a_byte(spark, tmp_path):
     relational.pairs_of_key(one("a", 4000), one("b", 1003), "k", "a", "b").write.parquet(str(tmp_path / "pairs"))
     assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 4000 * 1003
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 500_000
+
+
+def test_tiles_grow_with_the_pairs_of_a_task(spark, tmp_path):
+    """Blocks aren't repeated for every small tile where a task has room for more; tiles of 8 would be written in over half a byte a pair."""
+    from catchment.operators import relational
+
+    one = lambda name, n: spark.range(n).select(F.lit(1).cast("long").alias("k"), (F.col("id") * 7919 % 1000003).alias(name))
+    relational.pairs_of_key(one("a", 4000), one("b", 1000), "k", "a", "b", tile=8).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 4_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 800_000
